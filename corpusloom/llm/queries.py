@@ -17,9 +17,23 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.secret_scan import scan_secrets
+
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_packing,)}
+    return {f.__name__: f for f in (op3_license_scan, op7_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from corpusloom.llm import license_scan
+
+    return {"op3_license_scan": license_scan.oracle()}
