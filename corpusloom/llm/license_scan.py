@@ -110,7 +110,7 @@ h AS (SELECT p.rid, t.tid, t.label, t.is_base, t.full_votes, t.tpos, p.pos, p.po
 g AS (SELECT rid, tid, label, is_base, full_votes, diag, count(*) AS votes, list(tpos) AS ats FROM h GROUP BY ALL),
 m AS (SELECT *, is_base AND votes = full_votes AS exact, CASE WHEN diag - lag(diag) OVER (PARTITION BY rid, tid ORDER BY diag) <= 2 THEN 0 ELSE 1 END AS starts FROM g),
 c AS (SELECT *, sum(starts) OVER (PARTITION BY rid, tid ORDER BY diag ROWS UNBOUNDED PRECEDING) AS cluster FROM m),
-s AS (SELECT rid, tid, label, is_base, full_votes, cluster, len(list_distinct(flatten(list(ats)))) / full_votes AS share, count(*) FILTER (exact) AS n_exact, min(diag) FILTER (exact) AS first, max(diag) FILTER (exact) AS last FROM c GROUP BY ALL),
+s AS (SELECT rid, tid, label, is_base, full_votes, cluster, len(list_distinct(flatten(list(ats)))) / full_votes AS share, count(*) FILTER (exact) AS n_exact, min(diag) FILTER (exact) AS first, max(diag) FILTER (exact) AS last FROM c GROUP BY rid, tid, label, is_base, full_votes, cluster),
 k AS (SELECT *, CASE WHEN is_base THEN n_exact > 0 ELSE share >= 0.75 END AS counted FROM s),
 r AS (SELECT rid, sum(n_exact) AS n_base, min(first) AS first_word, max(last) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base AND counted) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (counted) AS labels, max(share) FILTER (counted) AS score FROM k GROUP BY rid)
 SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(r.n_base, 0) AS BIGINT) AS n_base, CAST(r.first_word AS BIGINT) AS first_word, CAST(r.last_word AS BIGINT) AS last_word,

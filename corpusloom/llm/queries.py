@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.quality_gam import score_quality
+
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.packing import pack
 
@@ -30,7 +36,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_license_scan, op7_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op3_license_scan, op4_quality_gam, op7_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
