@@ -17,6 +17,12 @@ def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.decontaminate import find_contamination
+
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.packing import pack
 
@@ -36,7 +42,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_license_scan, op4_quality_gam, op7_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op3_license_scan, op4_quality_gam, op6_decontamination, op7_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
