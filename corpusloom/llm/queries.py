@@ -35,6 +35,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.ngram_join import join_near
+
+    return join_near(_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.secret_scan import scan_secrets
 
@@ -42,7 +48,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_license_scan, op4_quality_gam, op6_decontamination, op7_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op3_license_scan, op4_quality_gam, op6_decontamination, op7_packing, op9_ngram_join, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
