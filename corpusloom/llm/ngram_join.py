@@ -1,63 +1,28 @@
 """N-gram Jaccard join with prefix trees.
 
-Every document is the set of its distinct shingles. Equal sets fall together by digest. For the rest:
-
-1. A global order puts shingles by hash, those seen often at the end. Two sets above the threshold must share
-   one of their first few shingles (the prefix bound), so each prefix shingle chains the sets that hold it,
-   neighbours in size order. Components of the chains are blocks that no link leaves.
-2. The sets of each block (recomputed from the texts, never kept for documents without candidates) go into a
-   trie of globally ordered shingles. Each set traverses the trie, sharing partial overlaps of common paths;
-   a subtree is left once overlap plus the lesser remaining length can't reach the threshold, or once all of
-   it is connected to the set already.
-3. A large block is dealt in chunks. Each chunk first meets a hub chunk; only sets that end up outside the
-   block's largest component then meet all other chunks. No group holds more than two chunks, no pairs of a
-   group are emitted, and every pair above the threshold is either found or already connected.
+Every document is the set of its distinct shingles. A global order puts shingles by hash, those seen often at
+the end; two sets above the threshold must share one of their first few shingles (the prefix bound), which
+gives the candidate blocks of near_sets. The sets of a block go into a trie of globally ordered shingles. Each
+set traverses the trie, sharing partial overlaps of common paths; a subtree is left once overlap plus the
+lesser remaining length can't reach the threshold, or once all of it is connected to the set already.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.components import Forest, components
+from corpusloom.llm.components import Forest
+from corpusloom.llm.near_sets import ROWS, Cut, Threshold, digest, set_components
 from corpusloom.llm.storage import saved
-from corpusloom.llm.textkit import shingle_sets
 
 _U = np.uint64
 #: Hashes below this share of their range are counted for the order; prefixes hardly reach beyond.
 COUNTED = _U(1 << 62)
 
 
-class Threshold:
-    """Jaccard of at least num / den, in whole numbers."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-
-    def overlap(self, n: int) -> int:
-        """The least overlap of two sets whose sizes sum to n."""
-        return -(-self.num * n // (self.num + self.den))
-
-    def prefix(self, n: int) -> int:
-        """How many of a set's first elements must hold one of any set above the threshold."""
-        return n - -(-self.num * n // self.den) + 1 if n else 0
-
-    def sizes_fit(self, small, large):
-        return small * self.den >= large * self.num
-
-
-def digest(elements: np.ndarray) -> bytes:
-    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
-
-
-def short_id(node: bytes) -> int:
-    return int.from_bytes(node[:8], "little", signed=True)
-
-
 def ordered_prefix(elements: np.ndarray, n: int, common: np.ndarray) -> np.ndarray:
     """The first n elements in the global order: rare ones by hash, then common ones by hash."""
     if n >= len(elements) or not len(common):
@@ -68,95 +33,40 @@ def ordered_prefix(elements: np.ndarray, n: int, common: np.ndarray) -> np.ndarr
     return rare if len(rare) == n else np.concatenate([rare, elements[often][: n - len(rare)]])
 
 
-def _summaries(k: int, least_count: int):
-    """Rows (doc_id, n, node) of documents, and rows (token, seen) of shingles met least_count times in a task."""
+def _summaries(cut: Cut, least_count: int):
+    """ROWS of texts, and rows (token, seen) of shingles met least_count times in a task."""
 
     def run(batches):
-        low, nodes = [], set()
-        none = lambda kind, n: pa.nulls(n, kind)
+        low, nodes = np.zeros(0, dtype=_U), set()
+        names = ["doc_id", "first_word", "n_words", "n", "node", "token", "seen"]
         for batch in batches:
-            size, digests = [], []
-            for s in shingle_sets(batch.column(1), k):
-                node = digest(s) if len(s) else None
-                size.append(len(s))
+            fresh, size, words, digests = [], [], [], []
+            for u in cut.units(batch.column(1)):
+                node = digest(u.elements) if len(u.elements) else None
+                size.append(len(u.elements))
+                words.append(u.n_words)
                 digests.append(node)
                 if node is not None and node not in nodes:
                     nodes.add(node)
-                    low.append(s[: np.searchsorted(s, COUNTED)])
-            m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), none(pa.int64(), m), none(pa.int64(), m)], ["doc_id", "n", "node", "token", "seen"])
-            low = [np.concatenate(low)] if low else []
-        if low:
-            token, seen = np.unique(low[0], return_counts=True)
-            token, seen = token[seen >= least_count], seen[seen >= least_count]
-            m = len(token)
-            yield pa.RecordBatch.from_arrays([none(pa.int64(), m), none(pa.int64(), m), none(pa.binary(), m), pa.array(token.view(np.int64)), pa.array(seen, pa.int64())], ["doc_id", "n", "node", "token", "seen"])
-
-    return run
-
-
-def _postings(k: int, limit: Threshold, common):
-    def run(batches):
-        often, nodes = np.frombuffer(common.value, dtype=_U), set()
-        for batch in batches:
-            tokens, ids, sizes = [], [], []
-            for s in shingle_sets(batch.column(0), k):
-                if not len(s) or (node := digest(s)) in nodes:
-                    continue
-                nodes.add(node)
-                p = ordered_prefix(s, limit.prefix(len(s)), often)
-                tokens.append(p)
-                ids.append(np.full(len(p), short_id(node), dtype=np.int64))
-                sizes.append(np.full(len(p), len(s), dtype=np.int64))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], ["token", "nid", "n"])
+                    fresh.append(u.elements[: np.searchsorted(u.elements, COUNTED)])
+            low = np.concatenate([low, *fresh])
+            m, none = batch.num_rows, pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(m, dtype=np.int64)), pa.array(words, pa.int64()), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), none, none], names)
+        token, seen = np.unique(low, return_counts=True)
+        token, seen = token[seen >= least_count], seen[seen >= least_count]
+        none = pa.nulls(len(token), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(token), pa.binary()), pa.array(token.view(np.int64)), pa.array(seen, pa.int64())], names)
 
     return run
 
 
-def _chains(limit: Threshold):
-    """Neighbours in each token's list, in size order; each pair once in a task."""
+def _prefixes(limit: Threshold, common):
+    """The prefix shingles of a set, the order's common ones coming from a broadcast of fixed size."""
 
-    def run(batches):
-        held, pairs = None, []
-        for batch in batches:
-            token, nid, n = (c.to_numpy() for c in batch.columns)
-            if held is not None:
-                token, nid, n = np.append(held[0], token), np.append(held[1], nid), np.append(held[2], n)
-            if len(token):
-                near = (token[1:] == token[:-1]) & (nid[1:] != nid[:-1]) & limit.sizes_fit(n[:-1], n[1:])
-                a, b = nid[:-1][near], nid[1:][near]
-                pairs.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
-                held = token[-1], nid[-1], n[-1]
-            if sum(map(len, pairs)) > 2_000_000:
-                pairs = [np.unique(np.concatenate(pairs), axis=0)]
-        if pairs:
-            every = np.unique(np.concatenate(pairs), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], ["a", "b"])
+    def tokens_of(elements: np.ndarray) -> np.ndarray:
+        return ordered_prefix(elements, limit.prefix(len(elements)), np.frombuffer(common.value, dtype=_U))
 
-    return run
-
-
-def _members(k: int, bitmap, bits: int):
-    """The sets of documents whose short id stands in the bitmap (a few others pass; the join drops these)."""
-
-    def run(batches):
-        held, nodes = np.frombuffer(bitmap.value, dtype=np.uint8), set()
-        for batch in batches:
-            rows = []
-            for s in shingle_sets(batch.column(0), k):
-                if not len(s):
-                    continue
-                node = digest(s)
-                nid = short_id(node)
-                at = nid & ((1 << bits) - 1)
-                if held[at >> 3] >> (at & 7) & 1 and node not in nodes:
-                    nodes.add(node)
-                    rows.append((nid, node, len(s), s.tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["nid", "node", "n", "elements"])
-
-    return run
+    return tokens_of
 
 
 class Trie:
@@ -224,93 +134,18 @@ def link_within(sets: list[np.ndarray], limit: Threshold, sides: list[bool] | No
     return forest
 
 
-def _linked(limit: Threshold, crossing: bool):
-    """Groups in a row by (block, i, j): stars of what is linked in each. crossing: only side a against side b."""
-
-    def close(rows):
-        seen, sets, nodes, sides = set(), [], [], []
-        for node, elements, side in rows:
-            if (node, side) not in seen:
-                seen.add((node, side))
-                sets.append(np.frombuffer(elements, dtype=_U))
-                nodes.append(node)
-                sides.append(side)
-        forest = link_within(sets, limit, sides if crossing else None)
-        return [(nodes[r], nodes[i]) for i in range(len(sets)) if (r := forest.find(i)) != i and nodes[r] != nodes[i]]
-
-    def run(batches):
-        key, rows, out = None, [], []
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in range(6)]
-            for block, i, j, node, elements, side in zip(*cols, strict=True):
-                if (block, i, j) != key:
-                    out += close(rows)
-                    key, rows = (block, i, j), []
-                rows.append((node, elements, side))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["a", "b"])
-                out = []
-        out = close(rows)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["a", "b"])
-
-    return run
-
-
-def _in_groups(rows: DataFrame, limit: Threshold, crossing: bool) -> DataFrame:
-    dealt = rows.select("block", "i", "j", "node", "elements", "side").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "node")
-    return dealt.mapInArrow(_linked(limit, crossing), "a binary, b binary")
-
-
-def member_bitmap(ids: DataFrame, bits: int) -> bytes:
-    """Bit id modulo 2 ** bits of each id: of a fixed size, put together by the executors in 4 KB pieces."""
-    at = F.col("id").bitwiseAND(F.lit((1 << bits) - 1))
-    rows = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("piece")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("held")).collect()
-    out = bytearray(1 << (bits - 3))
-    for r in rows:
-        out[r["piece"] * 4096 : (r["piece"] + 1) * 4096] = r["held"]
-    return bytes(out)
-
-
-def set_components(texts: DataFrame, *, words: int, num: int, den: int, least_count: int, common_rows: int, chunk_sets: int, chunk_elements: int, bitmap_bits: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node) of each row of texts (doc_id, text), and (node, root) of each node linked to another."""
-    spark, limit = texts.sparkSession, Threshold(num, den)
-    both = saved(texts.mapInArrow(_summaries(words, least_count), "doc_id long, n long, node binary, token long, seen long"))
-    rows = both.where("token IS NULL").select("doc_id", "n", "node")
+def linked_nodes(texts: DataFrame, *, words: int, num: int, den: int, least_count: int, common_rows: int, chunk_sets: int, chunk_words: int, bitmap_bits: int) -> tuple[DataFrame, DataFrame]:
+    """ROWS of each row of texts (doc_id, text), and (node, root) of each node linked to another."""
+    cut, limit = Cut(words), Threshold(num, den)
+    both = saved(texts.select("doc_id", "text").mapInArrow(_summaries(cut, least_count), f"{ROWS}, token long, seen long"))
+    rows = both.where("token IS NULL").select("doc_id", "first_word", "n_words", "n", "node")
     counted = both.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen"))
-    top = counted.orderBy(F.desc("seen"), "token").limit(common_rows).toArrow().column("token").combine_chunks().to_numpy(zero_copy_only=False)
-    common = spark.sparkContext.broadcast(np.sort(top.astype(np.int64).view(_U)).tobytes())
-    text = texts.select("text")
-    postings = text.mapInArrow(_postings(words, limit, common), "token long, nid long, n long")
-    chains = postings.repartition("token").sortWithinPartitions("token", "n", "nid").mapInArrow(_chains(limit), "a long, b long")
-    blocks = components(chains)
-    bitmap = spark.sparkContext.broadcast(member_bitmap(blocks.select("id"), bitmap_bits))
-    members = text.mapInArrow(_members(words, bitmap, bitmap_bits), "nid long, node binary, n long, elements binary")
-    sizes = saved(members.join(blocks, members.nid == blocks.id).select(F.col("root").alias("block"), "node", "n", "elements"))
-    share = sizes.groupBy("block").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
-    share = share.select("block", F.ceil(F.greatest(F.col("sets") / chunk_sets, F.col("total") / chunk_elements)).cast("int").alias("chunks"))
-    # A few blocks are large: only these need the number of their chunks, and the second round.
-    large = share.where("chunks > 1")
-    with_chunks = sizes.join(large, "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    first = with_chunks.withColumn("j", F.explode(F.when((F.col("chunk") == 0) & (F.col("chunks") > 1), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk")))).withColumn("i", F.lit(0)).withColumn("side", F.lit(False))
-    stars = saved(_in_groups(first, limit, crossing=False))
-    done = components(stars)
-    split = with_chunks.where("chunks > 1").join(done.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    counts = split.groupBy("block", "root").agg(F.countDistinct("node").alias("sets"))
-    biggest = counts.groupBy("block").agg(F.max(F.struct("sets", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("block", F.col("most.root").alias("main"))
-    open_ = saved(split.join(biggest, "block").withColumn("outside", F.col("root") != F.col("main")))
-    if not open_.isEmpty():
-        # Sets outside the main component, in chunks of their own, against every chunk of the block.
-        outside = open_.where("outside").groupBy("block").agg(F.ceil(F.greatest(F.countDistinct("node") / chunk_sets, F.sum("n") / chunk_elements)).cast("int").alias("groups"))
-        dealt = open_.join(outside, "block")
-        queries = dealt.where("outside").select("block", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), "node", "elements", F.lit(True).alias("side"))
-        others = dealt.select("block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"), F.col("chunk").alias("j"), "node", "elements", F.lit(False).alias("side"))
-        stars = saved(stars.unionByName(_in_groups(queries.unionByName(others), limit, crossing=True)))
-        done = components(stars)
-    return rows, done.select(F.col("id").alias("node"), "root")
+    top = counted.orderBy(F.desc("seen"), "token").limit(common_rows).toArrow().column("token").to_numpy()
+    common = texts.sparkSession.sparkContext.broadcast(np.sort(top.astype(np.int64).view(_U)).tobytes())
+    return rows, set_components(texts, rows, cut, _prefixes(limit, common), limit, link_within, chunk_sets=chunk_sets, chunk_words=chunk_words, bitmap_bits=bitmap_bits)
 
 
-def join_near(docs: DataFrame, *, words: int = 4, num: int = 85, den: int = 100, least_count: int = 3, common_rows: int = 1 << 18, chunk_sets: int = 128, chunk_elements: int = 1 << 20, bitmap_bits: int = 25) -> DataFrame:
+def join_near(docs: DataFrame, *, words: int = 4, num: int = 85, den: int = 100, least_count: int = 3, common_rows: int = 1 << 18, chunk_sets: int = 128, chunk_words: int = 1 << 20, bitmap_bits: int = 25) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of docs.
 
     Null and empty texts, and texts of white space alone, have no shingles and are linked with nothing; their
@@ -319,10 +154,10 @@ def join_near(docs: DataFrame, *, words: int = 4, num: int = 85, den: int = 100,
     columns are not. An empty table gives no rows.
 
     least_count and common_rows shape the global order and so the cost, never the result; chunk_sets and
-    chunk_elements bound a group of sets that meet in one task; bitmap_bits sizes the filter of step 2.
+    chunk_words bound a group of sets that meet in one task; bitmap_bits sizes a filter.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows, linked = set_components(texts, words=words, num=num, den=den, least_count=least_count, common_rows=common_rows, chunk_sets=chunk_sets, chunk_elements=chunk_elements, bitmap_bits=bitmap_bits)
+    rows, linked = linked_nodes(texts, words=words, num=num, den=den, least_count=least_count, common_rows=common_rows, chunk_sets=chunk_sets, chunk_words=chunk_words, bitmap_bits=bitmap_bits)
     smallest = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     named = smallest.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per_root = named.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("all")).where("all > 1")

@@ -86,9 +86,10 @@ def spans(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, np.ndarra
         i = j
 
 
-def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """For each text in order, its distinct k-word shingles as sorted hashes."""
+def shingle_sets(texts: pa.Array, k: int, least_words: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """For each text in order, its number of words and its distinct k-word shingles as sorted hashes (none for
+    texts of fewer than least_words words)."""
     for _, data, bounds in spans(texts):
         words, at = word_hashes(data, bounds)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            yield np.unique(shingle_hashes(words[a:b], k))
+            yield b - a, np.unique(shingle_hashes(words[a:b] if b - a >= least_words else words[:0], k))
