@@ -35,6 +35,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.embedding_dedup import dedup_embeddings
+
+    return dedup_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.ngram_join import join_near
 
@@ -48,7 +54,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_license_scan, op4_quality_gam, op6_decontamination, op7_packing, op9_ngram_join, op10_secret_scan)}
+    return {f.__name__: f for f in (op3_license_scan, op4_quality_gam, op6_decontamination, op7_packing, op8_embedding_dedup, op9_ngram_join, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
