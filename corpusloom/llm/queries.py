@@ -17,6 +17,12 @@ def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.paragraph_dedup import find_repeats
+
+    return find_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.decontaminate import find_contamination
 
@@ -54,7 +60,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_license_scan, op4_quality_gam, op6_decontamination, op7_packing, op8_embedding_dedup, op9_ngram_join, op10_secret_scan)}
+    return {f.__name__: f for f in (op3_license_scan, op4_quality_gam, op5_paragraph_dedup, op6_decontamination, op7_packing, op8_embedding_dedup, op9_ngram_join, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
