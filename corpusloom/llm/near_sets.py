@@ -4,9 +4,11 @@ Texts are cut into units (whole texts or paragraphs), a unit is the set of its d
 sets are one node. Tokens of each node (prefix shingles, or band keys) chain the nodes that hold them,
 neighbours in size order; components of the chains are blocks that no candidate pair leaves. The texts of the
 blocks' nodes, and of no others, are gathered by block, packed, and each block's sets are linked exactly. A
-large block is dealt in chunks. Each chunk first meets a hub chunk; only nodes that end up outside the block's
-largest component then meet all other chunks. So no group holds more than two chunks, no pairs of a group are
-emitted, and every pair above the threshold is either found or already connected.
+large block is dealt in chunks, and each chunk meets a hub chunk. Nodes that end up outside the block's largest
+component then meet all other chunks by parity sketches alone: the sketches of two sets differ in no more bits
+than the sets differ in elements, so what they rule out is below the threshold for certain. The few pairs that
+remain between different components are linked exactly. So no group holds more than two chunks, pairs already
+connected are never emitted, and every pair above the threshold is either found or already connected.
 """
 
 from __future__ import annotations
@@ -85,6 +87,40 @@ Tokens = Callable[[np.ndarray], np.ndarray]
 Link = Callable[[list[np.ndarray], Threshold, list[bool] | None], Forest]
 
 
+def sketch(elements: np.ndarray, bits: int) -> np.ndarray:
+    """For each hash modulo bits (a power of two), whether an odd number of elements have it."""
+    odd = np.bincount((elements & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def sketch_bits(n: int) -> int:
+    """Twice as many bits as elements or more, so that sets just below the threshold mostly show it; 64 to 16384."""
+    return min(1 << 14, max(64, 1 << (2 * n - 1).bit_length()))
+
+
+def may_link(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, limit: Threshold) -> np.ndarray:
+    """Which pairs of sketches (of one width) don't rule out the threshold; False is certain."""
+    total = na[:, None] + nb[None, :]
+    differ = np.zeros((len(a), len(b)), dtype=np.int64)
+    for k in range(a.shape[1]):
+        differ += np.bitwise_count(a[:, k][:, None] ^ b[:, k][None, :])
+    return differ <= total - 2 * -(-limit.num * total // (limit.num + limit.den))
+
+
+def narrowed(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The sketch for a smaller power of two of bits: halves laid over each other."""
+    while len(bitmap) > words:
+        bitmap = bitmap.reshape(2, -1)[0] ^ bitmap.reshape(2, -1)[1]
+    return bitmap
+
+
+def candidates_within(sets: list[np.ndarray], limit: Threshold) -> np.ndarray:
+    """A square of which sets may link, by sketches wide enough for the largest."""
+    bits = sketch_bits(max(map(len, sets)))
+    prints, n = np.stack([sketch(s, bits) for s in sets]), np.array([len(s) for s in sets])
+    return may_link(prints, n, prints, n, limit)
+
+
 def digest(elements: np.ndarray) -> bytes:
     return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
 
@@ -191,6 +227,69 @@ def _linked(cut: Cut, limit: Threshold, link: Link, crossing: bool):
     return run
 
 
+def _sketches(cut: Cut, bitmap, bits: int):
+    """Sketches of the nodes whose short id stands in the bitmap."""
+
+    def run(batches):
+        held, nodes = np.frombuffer(bitmap.value, dtype=np.uint8), set()
+        for batch in batches:
+            rows = []
+            for u in cut.units(batch.column(0)):
+                if len(u.elements):
+                    node = digest(u.elements)
+                    at = short_id(node) & ((1 << bits) - 1)
+                    if held[at >> 3] >> (at & 7) & 1 and node not in nodes:
+                        nodes.add(node)
+                        rows.append((node, sketch(u.elements, sketch_bits(len(u.elements))).tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["node", "bits"])
+
+    return run
+
+
+def _survivors(limit: Threshold):
+    """Groups in a row by (block, i, j): pairs of different roots, one of side True, that sketches don't rule out."""
+
+    def close(rows):
+        seen, sides = set(), ([], [])
+        for row in rows:
+            if (row[0], row[1]) not in seen:
+                seen.add((row[0], row[1]))
+                sides[row[1]].append(row)
+        others, queries = sides
+        out = []
+        if not others or not queries:
+            return out
+        for width in sorted({len(q[4]) // 8 for q in queries}):
+            mine = [q for q in queries if len(q[4]) // 8 == width]
+            a, na = np.stack([np.frombuffer(q[4], dtype=_U) for q in mine]), np.array([q[3] for q in mine])
+            for wide in sorted({len(o[4]) // 8 for o in others}):
+                theirs = [o for o in others if len(o[4]) // 8 == wide]
+                both = min(width, wide)
+                x = np.stack([narrowed(v, both) for v in a])
+                y = np.stack([narrowed(np.frombuffer(o[4], dtype=_U), both) for o in theirs])
+                for i, j in np.argwhere(may_link(x, na, y, np.array([o[3] for o in theirs]), limit)).tolist():
+                    if mine[i][2] != theirs[j][2] and (mine[i][0] < theirs[j][0] or not theirs[j][5]):
+                        out.append((mine[i][0], theirs[j][0]))
+        return out
+
+    def run(batches):
+        key, rows, out = None, [], []
+        for batch in batches:
+            for block, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (block, i, j) != key:
+                    out += close(rows)
+                    key, rows = (block, i, j), []
+                rows.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["x", "y"])
+                out = []
+        if out := close(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["x", "y"])
+
+    return run
+
+
 def member_bitmap(ids: DataFrame, bits: int) -> bytes:
     """Bit id modulo 2 ** bits of each id: of a fixed size, put together by the executors in 4 KB pieces."""
     at = F.col("id").bitwiseAND(F.lit((1 << bits) - 1))
@@ -201,7 +300,7 @@ def member_bitmap(ids: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
-def set_components(texts: DataFrame, rows: DataFrame, cut: Cut, tokens_of: Tokens, limit: Threshold, link: Link, *, chunk_sets: int, chunk_words: int, bitmap_bits: int) -> DataFrame:
+def set_components(texts: DataFrame, rows: DataFrame, cut: Cut, tokens_of: Tokens, limit: Threshold, link: Link, *, chunk_sets: int, chunk_words: int, bitmap_bits: int, sketch_sets: int = 1024) -> DataFrame:
     """(node, root) of each node that is linked to another, among the units of texts (text); rows: ROWS of them.
 
     chunk_sets and chunk_words bound what meets in one task, bitmap_bits sizes the filter for the blocks' texts.
@@ -233,10 +332,21 @@ def set_components(texts: DataFrame, rows: DataFrame, cut: Cut, tokens_of: Token
     counts = split.groupBy("block", "root").agg(F.count("*").alias("sets"))
     main = counts.groupBy("block").agg(F.max(F.struct("sets", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("block", F.col("most.root").alias("main"))
     open_ = split.join(main, "block").withColumn("outside", F.col("root") != F.col("main"))
-    groups = open_.where("outside").groupBy("block").agg(F.ceil(F.greatest(F.count("*") / chunk_sets, F.sum("n") / chunk_words)).cast("int").alias("groups"))
-    open_ = saved(open_.join(groups, "block"))
+    groups = open_.where("outside").groupBy("block").agg(F.ceil(F.count("*") / sketch_sets).cast("int").alias("groups"))
+    wide = open_.groupBy("block").agg(F.ceil(F.count("*") / sketch_sets).cast("int").alias("parts"))
+    open_ = saved(open_.join(groups, "block").join(wide, "block"))
     if open_.isEmpty():
         return done.select(F.col("id").alias("node"), "root")
-    queries = open_.where("outside").select("id", "node", "block", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), F.lit(True).alias("side"))
-    others = open_.select("id", "node", "block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"), F.col("chunk").alias("j"), F.lit(False).alias("side"))
-    return components(stars.unionByName(met(queries.unionByName(others), True))).select(F.col("id").alias("node"), "root")
+    bitmap = context.broadcast(member_bitmap(open_.select("id"), bitmap_bits))
+    known = saved(open_.join(text.mapInArrow(_sketches(cut, bitmap, bitmap_bits), "node binary, bits binary").groupBy("node").agg(F.first("bits").alias("bits")), "node"))
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = known.where("outside").select("block", part("groups").alias("i"), every("parts").alias("j"), "node", F.lit(True).alias("side"), "root", "n", "bits", "outside")
+    others = known.select("block", every("groups").alias("i"), part("parts").alias("j"), "node", F.lit(False).alias("side"), "root", "n", "bits", "outside")
+    dealt = queries.unionByName(others).repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "node", "side")
+    pairs = saved(dealt.mapInArrow(_survivors(limit), "x binary, y binary").distinct())
+    ids = open_.select("node", "id")
+    first = pairs.select(F.col("x").alias("block"), F.col("x").alias("node"), F.lit(True).alias("side")).distinct()
+    where = first.unionByName(pairs.select(F.col("x").alias("block"), F.col("y").alias("node"), F.lit(False).alias("side"))).join(ids, "node")
+    more = met(saved(where.select("id", "node", "block", F.lit(0).alias("i"), F.lit(0).alias("j"), "side")), True)
+    return components(stars.unionByName(more)).select(F.col("id").alias("node"), "root")

@@ -4,7 +4,8 @@ Every document is the set of its distinct shingles. A global order puts shingles
 the end; two sets above the threshold must share one of their first few shingles (the prefix bound), which
 gives the candidate blocks of near_sets. The sets of a block go into a trie of globally ordered shingles. Each
 set traverses the trie, sharing partial overlaps of common paths; a subtree is left once overlap plus the
-lesser remaining length can't reach the threshold, or once all of it is connected to the set already.
+lesser remaining length can't reach the threshold, or once all of it is connected to the set already or ruled
+out by a parity sketch.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import Forest
-from corpusloom.llm.near_sets import ROWS, Cut, Threshold, digest, set_components
+from corpusloom.llm.near_sets import ROWS, Cut, Threshold, candidates_within, digest, set_components
 from corpusloom.llm.storage import saved
 
 _U = np.uint64
@@ -107,7 +108,10 @@ def link_within(sets: list[np.ndarray], limit: Threshold, sides: list[bool] | No
     seqs = [np.sort(s) for s in np.split(order[ranks], cuts)]
     rows = sorted(range(len(seqs)), key=lambda r: seqs[r].astype(">i8").tobytes())
     root = Trie(seqs, rows)
+    maybe = candidates_within(sets, limit)
     for q in rows:
+        hope = set(np.flatnonzero(maybe[q]).tolist()) - {q}
+        hope = {r for r in hope if sides is None or sides[r] != sides[q]}
         mine, n = seqs[q], len(seqs[q])
         stack = [(root, 0, 0)]
         while stack:
@@ -115,7 +119,8 @@ def link_within(sets: list[np.ndarray], limit: Threshold, sides: list[bool] | No
             if not limit.sizes_fit(min(n, node.high), max(n, node.low)) and (node.high < n or node.low > n):
                 continue
             top = forest.find(q)
-            if (len(node.leaves) <= 64 or not node.children) and all(forest.find(r) == top or (sides is not None and sides[r] == sides[q]) for r in node.leaves):
+            open_here = hope if node is root else hope.intersection(node.leaves)
+            if all(forest.find(r) == top for r in open_here):
                 continue
             if len(node.run):
                 at = np.searchsorted(mine, node.run)
@@ -129,7 +134,7 @@ def link_within(sets: list[np.ndarray], limit: Threshold, sides: list[bool] | No
             stack += [(c, depth, overlap) for c in node.children]
             ended = node.leaves if not node.children else [r for r in node.leaves if len(seqs[r]) == depth]
             for r in ended:
-                if r != q and (sides is None or sides[r] != sides[q]) and overlap >= limit.overlap(n + len(seqs[r])):
+                if r in hope and overlap >= limit.overlap(n + len(seqs[r])):
                     forest.join(q, r)
     return forest
 
@@ -145,7 +150,7 @@ def linked_nodes(texts: DataFrame, *, words: int, num: int, den: int, least_coun
     return rows, set_components(texts, rows, cut, _prefixes(limit, common), limit, link_within, chunk_sets=chunk_sets, chunk_words=chunk_words, bitmap_bits=bitmap_bits)
 
 
-def join_near(docs: DataFrame, *, words: int = 4, num: int = 85, den: int = 100, least_count: int = 3, common_rows: int = 1 << 18, chunk_sets: int = 128, chunk_words: int = 1 << 20, bitmap_bits: int = 25) -> DataFrame:
+def join_near(docs: DataFrame, *, words: int = 4, num: int = 85, den: int = 100, least_count: int = 3, common_rows: int = 1 << 18, chunk_sets: int = 256, chunk_words: int = 1 << 20, bitmap_bits: int = 25) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of docs.
 
     Null and empty texts, and texts of white space alone, have no shingles and are linked with nothing; their

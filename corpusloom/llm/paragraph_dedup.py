@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import Forest
-from corpusloom.llm.near_sets import ROWS, Cut, Threshold, digest, set_components
+from corpusloom.llm.near_sets import ROWS, Cut, Threshold, candidates_within, digest, set_components
 from corpusloom.llm.storage import saved
 from corpusloom.llm.textkit import _BACK, _ROOT, _powers, mix, spans, word_hashes
 
@@ -41,12 +41,15 @@ def band_keys(bands: int, rows: int):
 def link_exact(sets: list[np.ndarray], limit: Threshold, sides: list[bool] | None = None) -> Forest:
     """Connects what is above the threshold by exact Jaccard; pairs already connected are not computed."""
     forest = Forest()
+    if len(sets) < 2:
+        return forest
+    maybe = candidates_within(sets, limit)
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     for x, q in enumerate(order):
         for r in order[x + 1 :]:
             if not limit.sizes_fit(len(sets[q]), len(sets[r])):
                 break
-            if (sides is None or sides[q] != sides[r]) and forest.find(q) != forest.find(r):
+            if maybe[q, r] and (sides is None or sides[q] != sides[r]) and forest.find(q) != forest.find(r):
                 common = len(np.intersect1d(sets[q], sets[r], assume_unique=True))
                 if common >= limit.overlap(len(sets[q]) + len(sets[r])):
                     forest.join(q, r)
@@ -181,7 +184,7 @@ def repeated_passages(docs: DataFrame, *, window: int = 40, among: int = 11) ->
     return rows.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(_spans(window), OUT)
 
 
-def repeated_paragraphs(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, least_words: int = 50, bands: int = 9, rows: int = 3, chunk_sets: int = 128, chunk_words: int = 1 << 20, bitmap_bits: int = 25) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, least_words: int = 50, bands: int = 9, rows: int = 3, chunk_sets: int = 256, chunk_words: int = 1 << 20, bitmap_bits: int = 25) -> DataFrame:
     """OUT rows of kind paragraph: members of clusters of two or more, named by the smallest id; the first is kept."""
     cut, limit = Cut(words, by_lines=True, least_words=least_words), Threshold(num, den)
     units = saved(docs.mapInArrow(_paragraphs(cut), ROWS))
