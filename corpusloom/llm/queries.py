@@ -35,6 +35,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.pii import pseudonymize
+
+    return pseudonymize(_table(spark, sf_dir, "documents"), key="corpusloom")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.token_counts import count_edited, sample_edits
+
+    return count_edited(sample_edits(_table(spark, sf_dir, "documents")))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.license_scan import scan_licenses
 
@@ -60,7 +72,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_license_scan, op4_quality_gam, op5_paragraph_dedup, op6_decontamination, op7_packing, op8_embedding_dedup, op9_ngram_join, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_token_counts, op3_license_scan, op4_quality_gam, op5_paragraph_dedup, op6_decontamination, op7_packing, op8_embedding_dedup, op9_ngram_join, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
