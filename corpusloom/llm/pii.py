@@ -246,7 +246,7 @@ def attempts_needed(docs: DataFrame, key: bytes, rounds: int) -> DataFrame:
         as_new = drawn.select("kind", F.col("surrogate").alias("value"), F.col("canonical").alias("of"))
         as_old = drawn.select("kind", F.col("canonical").alias("value"), F.lit(None).cast("string").alias("of"))
         met = as_new.unionByName(as_old).groupBy("kind", "value").agg(F.min("of").alias("first"), F.count("of").alias("new"), F.count(F.when(F.col("of").isNull(), 1)).alias("old")).where("new > 1 OR (new > 0 AND old > 0)")
-        taken = drawn.join(met, (drawn.kind == met.kind) & (drawn.surrogate == met.value), "left").select(drawn.kind, "canonical", "attempt", "surrogate", F.coalesce((F.col("old") > 0) | (F.col("first") != F.col("canonical")), F.lit(False)).alias("again"))
+        taken = drawn.join(met.withColumnRenamed("value", "surrogate"), ["kind", "surrogate"], "left").select("kind", "canonical", "attempt", "surrogate", F.coalesce((F.col("old") > 0) | (F.col("first") != F.col("canonical")), F.lit(False)).alias("again"))
         taken = saved(taken)
         if taken.where("again").isEmpty():
             break
