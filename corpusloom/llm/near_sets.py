@@ -1,14 +1,15 @@
 """Sets of shingles above a Jaccard threshold: what the n-gram join and the paragraph join have in common.
 
 Texts are cut into units (whole texts or paragraphs), a unit is the set of its distinct shingles, and equal
-sets are one node. Tokens of each node (prefix shingles, or band keys) chain the nodes that hold them,
-neighbours in size order; components of the chains are blocks that no candidate pair leaves. The texts of the
-blocks' nodes, and of no others, are gathered by block, packed, and each block's sets are linked exactly. A
-large block is dealt in chunks, and each chunk meets a hub chunk. Nodes that end up outside the block's largest
-component then meet all other chunks by parity sketches alone: the sketches of two sets differ in no more bits
-than the sets differ in elements, so what they rule out is below the threshold for certain. The few pairs that
-remain between different components are linked exactly. So no group holds more than two chunks, pairs already
-connected are never emitted, and every pair above the threshold is either found or already connected.
+sets are one node with a parity sketch. The sketches of two sets differ in no more bits than the sets differ in
+elements, so what a pair of sketches rules out is below the threshold for certain.
+
+Tokens of each node (prefix shingles, or band keys) list the nodes that hold them. Sketches leave, of each
+list, the pairs that may link; components of these are blocks that no link leaves. The texts of the blocks'
+nodes, and of no others, are gathered by block, packed, and each block's sets are linked exactly. A large block
+is dealt in chunks, and each chunk meets a hub chunk; what is still apart then meets by sketches across all
+chunks, and the pairs left between different components are linked exactly. No group holds more than two
+chunks, connected pairs are never emitted, and every pair above the threshold is either found or connected.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.components import Forest, components
 from corpusloom.llm.storage import saved
-from corpusloom.llm.textkit import shingle_sets
+from corpusloom.llm.textkit import mix, shingle_sets
 
 _U = np.uint64
-ROWS = "doc_id long, first_word long, n_words long, n long, node binary"
+ROWS = "doc_id long, first_word long, n_words long, n long, node binary, bits binary"
 
 
 class Threshold:
@@ -133,7 +134,7 @@ def _postings(cut: Cut, tokens_of: Tokens):
     def run(batches):
         nodes = set()
         for batch in batches:
-            tokens, ids, sizes = [], [], []
+            tokens, ids = [], []
             for u in cut.units(batch.column(0)):
                 if not len(u.elements) or (node := digest(u.elements)) in nodes:
                     continue
@@ -141,36 +142,111 @@ def _postings(cut: Cut, tokens_of: Tokens):
                 p = tokens_of(u.elements)
                 tokens.append(p)
                 ids.append(np.full(len(p), short_id(node), dtype=np.int64))
-                sizes.append(np.full(len(p), len(u.elements), dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], ["token", "nid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids))], ["token", "nid"])
 
     return run
 
 
-def _chains(limit: Threshold):
-    """Neighbours in each token's list, in size order; each pair once in a task."""
+def _lists(longest: int):
+    """Rows in order of token: (list, nid) for each list of two nodes or more, equal lists of a task once.
+
+    At most `longest` rows of a token are held; a longer list goes out as it comes, under its token.
+    """
+
+    def packed(lists, nids):
+        return pa.RecordBatch.from_arrays([pa.array(lists), pa.array(nids)], ["list", "nid"])
+
+    def groups(token, nid, seen):
+        cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(cut, len(token)))
+        two = cut[size == 2]
+        pairs = np.sort(np.stack([nid[two], nid[two + 1]], axis=1), axis=1)
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+        names = mix(mix(pairs[:, 0].view(_U)) + pairs[:, 1].view(_U)).view(np.int64)
+        out = [(names.repeat(2), pairs.reshape(-1))]
+        for a, m in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            members = np.unique(nid[a : a + m])
+            name = int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "big", signed=True)
+            if len(members) > 1 and name not in seen:
+                seen.add(name)
+                out.append((np.full(len(members), name), members))
+        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
     def run(batches):
-        held, pairs = None, []
+        seen, long = set(), None
+        held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for batch in batches:
-            token, nid, n = (c.to_numpy() for c in batch.columns)
-            if held is not None:
-                token, nid, n = np.append(held[0], token), np.append(held[1], nid), np.append(held[2], n)
-            if len(token):
-                near = (token[1:] == token[:-1]) & (nid[1:] != nid[:-1]) & limit.sizes_fit(n[:-1], n[1:])
-                a, b = nid[:-1][near], nid[1:][near]
-                pairs.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
-                held = token[-1], nid[-1], n[-1]
-            if sum(map(len, pairs)) > 2_000_000:
-                pairs = [np.unique(np.concatenate(pairs), axis=0)]
-        if pairs:
-            every = np.unique(np.concatenate(pairs), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], ["a", "b"])
+            token, nid = np.append(held[0], batch.column(0).to_numpy()), np.append(held[1], batch.column(1).to_numpy())
+            if long is not None:
+                more = int(np.searchsorted(token != long, True))
+                if more:
+                    yield packed(token[:more], nid[:more])
+                token, nid = token[more:], nid[more:]
+                long = long if not len(token) else None
+            if not len(token):
+                held = token, nid
+                continue
+            last = int(np.searchsorted(token, token[-1]))
+            if last:
+                yield packed(*groups(token[:last], nid[:last], seen))
+            held = token[last:], nid[last:]
+            if len(held[0]) > longest:
+                yield packed(*held)
+                long = int(held[0][0])
+                held = held[0][:0], held[1][:0]
+        if len(held[0]):
+            yield packed(*groups(*held, seen))
 
     return run
 
 
+def _possible(limit: Threshold):
+    """Groups in a row by (list, i, j): a forest over the nodes that sketches leave linked."""
+
+    def close(rows):
+        nodes, sizes, prints = map(list, zip(*rows, strict=True))
+        forest = Forest()
+        for x, y, at in _by_width(prints, sizes, prints, sizes, limit):
+            for a, b in at:
+                if nodes[x[a]] != nodes[y[b]]:
+                    forest.join(nodes[x[a]], nodes[y[b]])
+        return [(n, r) for n in forest.parent if (r := forest.find(n)) != n]
+
+    def run(batches):
+        key, rows, out = None, [], []
+        for batch in batches:
+            for name, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (name, i, j) != key:
+                    out += close(rows) if len(rows) > 1 else []
+                    key, rows = (name, i, j), []
+                rows.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                out = []
+        if len(rows) > 1 and (out := close(rows)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return run
+
+
+def _by_width(left: list[bytes], n_left: list[int], right: list[bytes], n_right: list[int], limit: Threshold):
+    """(indices, indices, pairs of positions that may link) for each two widths of sketches."""
+    by = []
+    for prints in (left, right):
+        widths: dict[int, list[int]] = {}
+        for k, p in enumerate(prints):
+            widths.setdefault(len(p) // 8, []).append(k)
+        by.append(widths)
+    sizes = np.array(n_left), np.array(n_right)
+    for w, x in by[0].items():
+        for v, y in by[1].items():
+            both = min(w, v)
+            a = np.stack([narrowed(np.frombuffer(left[k], dtype=_U), both) for k in x])
+            b = np.stack([narrowed(np.frombuffer(right[k], dtype=_U), both) for k in y])
+            yield x, y, np.argwhere(may_link(a, sizes[0][x], b, sizes[1][y], limit)).tolist()
+
+
 def _members(cut: Cut, bitmap, bits: int):
     """Texts with a unit whose short id stands in the bitmap: the unit's node and its text, packed. A few units
     pass by chance; the join drops these."""
@@ -227,26 +303,6 @@ def _linked(cut: Cut, limit: Threshold, link: Link, crossing: bool):
     return run
 
 
-def _sketches(cut: Cut, bitmap, bits: int):
-    """Sketches of the nodes whose short id stands in the bitmap."""
-
-    def run(batches):
-        held, nodes = np.frombuffer(bitmap.value, dtype=np.uint8), set()
-        for batch in batches:
-            rows = []
-            for u in cut.units(batch.column(0)):
-                if len(u.elements):
-                    node = digest(u.elements)
-                    at = short_id(node) & ((1 << bits) - 1)
-                    if held[at >> 3] >> (at & 7) & 1 and node not in nodes:
-                        nodes.add(node)
-                        rows.append((node, sketch(u.elements, sketch_bits(len(u.elements))).tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["node", "bits"])
-
-    return run
-
-
 def _survivors(limit: Threshold):
     """Groups in a row by (block, i, j): pairs of different roots, one of side True, that sketches don't rule out."""
 
@@ -258,19 +314,12 @@ def _survivors(limit: Threshold):
                 sides[row[1]].append(row)
         others, queries = sides
         out = []
-        if not others or not queries:
-            return out
-        for width in sorted({len(q[4]) // 8 for q in queries}):
-            mine = [q for q in queries if len(q[4]) // 8 == width]
-            a, na = np.stack([np.frombuffer(q[4], dtype=_U) for q in mine]), np.array([q[3] for q in mine])
-            for wide in sorted({len(o[4]) // 8 for o in others}):
-                theirs = [o for o in others if len(o[4]) // 8 == wide]
-                both = min(width, wide)
-                x = np.stack([narrowed(v, both) for v in a])
-                y = np.stack([narrowed(np.frombuffer(o[4], dtype=_U), both) for o in theirs])
-                for i, j in np.argwhere(may_link(x, na, y, np.array([o[3] for o in theirs]), limit)).tolist():
-                    if mine[i][2] != theirs[j][2] and (mine[i][0] < theirs[j][0] or not theirs[j][5]):
-                        out.append((mine[i][0], theirs[j][0]))
+        if others and queries:
+            for x, y, at in _by_width([q[4] for q in queries], [q[3] for q in queries], [o[4] for o in others], [o[3] for o in others], limit):
+                for i, j in at:
+                    q, o = queries[x[i]], others[y[j]]
+                    if q[2] != o[2] and (q[0] < o[0] or not o[5]):
+                        out.append((q[0], o[0]))
         return out
 
     def run(batches):
@@ -303,16 +352,22 @@ def member_bitmap(ids: DataFrame, bits: int) -> bytes:
 def set_components(texts: DataFrame, rows: DataFrame, cut: Cut, tokens_of: Tokens, limit: Threshold, link: Link, *, chunk_sets: int, chunk_words: int, bitmap_bits: int, sketch_sets: int = 1024) -> DataFrame:
     """(node, root) of each node that is linked to another, among the units of texts (text); rows: ROWS of them.
 
-    chunk_sets and chunk_words bound what meets in one task, bitmap_bits sizes the filter for the blocks' texts.
+    chunk_sets and chunk_words bound what meets in one task as texts, sketch_sets what meets as sketches (twice
+    as many at most); bitmap_bits sizes the filter for the blocks' texts.
     """
     context = texts.sparkSession.sparkContext
     text = texts.select("text")
-    postings = text.mapInArrow(_postings(cut, tokens_of), "token long, nid long, n int")
-    chains = postings.repartition("token").sortWithinPartitions("token", "n", "nid").mapInArrow(_chains(limit), "a long, b long")
-    blocks = components(chains)
     nid = F.expr("cast(conv(hex(substring(node, 1, 8)), 16, -10) as bigint)")
-    nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n")).withColumn("id", nid)
-    placed = nodes.join(blocks, "id").select("id", "node", "n", F.col("root").alias("block"))
+    nodes = saved(rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).withColumn("id", nid))
+    postings = text.mapInArrow(_postings(cut, tokens_of), "token long, nid long")
+    lists = saved(postings.repartition("token").sortWithinPartitions("token").mapInArrow(_lists(sketch_sets), "list long, nid long").distinct())
+    long = lists.groupBy("list").agg(F.ceil(F.count("*") / sketch_sets).cast("int").alias("parts")).where("parts > 1")
+    listed = lists.join(long, "list", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
+    paired = listed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), F.col("nid").alias("id"))
+    drawn = paired.join(nodes.select("id", "n", "bits"), "id").select("list", "i", "j", "id", "n", "bits")
+    possible = drawn.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(_possible(limit), "a long, b long")
+    blocks = components(possible)
+    placed = nodes.join(blocks, "id").select("id", "node", "n", "bits", F.col("root").alias("block"))
     share = placed.groupBy("block").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
     share = share.select("block", F.ceil(F.greatest(F.col("sets") / chunk_sets, F.col("total") / chunk_words)).cast("int").alias("chunks"))
     placed = saved(placed.join(share, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))
@@ -337,16 +392,16 @@ def set_components(texts: DataFrame, rows: DataFrame, cut: Cut, tokens_of: Token
     open_ = saved(open_.join(groups, "block").join(wide, "block"))
     if open_.isEmpty():
         return done.select(F.col("id").alias("node"), "root")
-    bitmap = context.broadcast(member_bitmap(open_.select("id"), bitmap_bits))
-    known = saved(open_.join(text.mapInArrow(_sketches(cut, bitmap, bitmap_bits), "node binary, bits binary").groupBy("node").agg(F.first("bits").alias("bits")), "node"))
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    queries = known.where("outside").select("block", part("groups").alias("i"), every("parts").alias("j"), "node", F.lit(True).alias("side"), "root", "n", "bits", "outside")
-    others = known.select("block", every("groups").alias("i"), part("parts").alias("j"), "node", F.lit(False).alias("side"), "root", "n", "bits", "outside")
+    queries = open_.where("outside").select("block", part("groups").alias("i"), every("parts").alias("j"), "node", F.lit(True).alias("side"), "root", "n", "bits", "outside")
+    others = open_.select("block", every("groups").alias("i"), part("parts").alias("j"), "node", F.lit(False).alias("side"), "root", "n", "bits", "outside")
     dealt = queries.unionByName(others).repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "node", "side")
     pairs = saved(dealt.mapInArrow(_survivors(limit), "x binary, y binary").distinct())
     ids = open_.select("node", "id")
-    first = pairs.select(F.col("x").alias("block"), F.col("x").alias("node"), F.lit(True).alias("side")).distinct()
-    where = first.unionByName(pairs.select(F.col("x").alias("block"), F.col("y").alias("node"), F.lit(False).alias("side"))).join(ids, "node")
-    more = met(saved(where.select("id", "node", "block", F.lit(0).alias("i"), F.lit(0).alias("j"), "side")), True)
+    batches = pairs.groupBy("x").agg(F.ceil(F.count("*") / chunk_sets).cast("int").alias("batches"))
+    first = batches.select(F.col("x").alias("block"), F.col("x").alias("node"), every("batches").alias("j"), F.lit(True).alias("side"))
+    second = pairs.join(batches, "x").select(F.col("x").alias("block"), F.col("y").alias("node"), F.pmod(F.xxhash64("y"), F.col("batches")).cast("int").alias("j"), F.lit(False).alias("side"))
+    where = first.unionByName(second).join(ids, "node")
+    more = met(saved(where.select("id", "node", "block", F.lit(0).alias("i"), "j", "side")), True)
     return components(stars.unionByName(more)).select(F.col("id").alias("node"), "root")

@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import Forest
-from corpusloom.llm.near_sets import ROWS, Cut, Threshold, candidates_within, digest, set_components
+from corpusloom.llm.near_sets import ROWS, Cut, Threshold, candidates_within, digest, set_components, sketch, sketch_bits
 from corpusloom.llm.storage import saved
 
 _U = np.uint64
@@ -39,24 +39,25 @@ def _summaries(cut: Cut, least_count: int):
 
     def run(batches):
         low, nodes = np.zeros(0, dtype=_U), set()
-        names = ["doc_id", "first_word", "n_words", "n", "node", "token", "seen"]
+        names = ["doc_id", "first_word", "n_words", "n", "node", "bits", "token", "seen"]
         for batch in batches:
-            fresh, size, words, digests = [], [], [], []
+            fresh, size, words, digests, prints = [], [], [], [], []
             for u in cut.units(batch.column(1)):
                 node = digest(u.elements) if len(u.elements) else None
                 size.append(len(u.elements))
                 words.append(u.n_words)
                 digests.append(node)
+                prints.append(sketch(u.elements, sketch_bits(len(u.elements))).tobytes() if node else None)
                 if node is not None and node not in nodes:
                     nodes.add(node)
                     fresh.append(u.elements[: np.searchsorted(u.elements, COUNTED)])
             low = np.concatenate([low, *fresh])
             m, none = batch.num_rows, pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(m, dtype=np.int64)), pa.array(words, pa.int64()), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(m, dtype=np.int64)), pa.array(words, pa.int64()), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), pa.array(prints, pa.binary()), none, none], names)
         token, seen = np.unique(low, return_counts=True)
         token, seen = token[seen >= least_count], seen[seen >= least_count]
-        none = pa.nulls(len(token), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(token), pa.binary()), pa.array(token.view(np.int64)), pa.array(seen, pa.int64())], names)
+        none, blank = pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.binary())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, blank, blank, pa.array(token.view(np.int64)), pa.array(seen, pa.int64())], names)
 
     return run
 
@@ -143,7 +144,7 @@ def linked_nodes(texts: DataFrame, *, words: int, num: int, den: int, least_coun
     """ROWS of each row of texts (doc_id, text), and (node, root) of each node linked to another."""
     cut, limit = Cut(words), Threshold(num, den)
     both = saved(texts.select("doc_id", "text").mapInArrow(_summaries(cut, least_count), f"{ROWS}, token long, seen long"))
-    rows = both.where("token IS NULL").select("doc_id", "first_word", "n_words", "n", "node")
+    rows = both.where("token IS NULL").select("doc_id", "first_word", "n_words", "n", "node", "bits")
     counted = both.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen"))
     top = counted.orderBy(F.desc("seen"), "token").limit(common_rows).toArrow().column("token").to_numpy()
     common = texts.sparkSession.sparkContext.broadcast(np.sort(top.astype(np.int64).view(_U)).tobytes())
@@ -172,10 +173,15 @@ def join_near(docs: DataFrame, *, words: int = 4, num: int = 85, den: int = 100,
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs with one row for each group of near copies: that of the smallest id; rows without shingles stay.
+    """docs with one row of each group of near copies: that of the smallest id. All columns stay.
 
-    Rows that repeat an id stay or go together, except exact repeats of id and text, of which one stays.
+    Rows without shingles or without an id stay. Of rows that repeat an id and its text one stays; rows that
+    share an id but not the text stay or go together.
     """
-    found = join_near(docs, **how).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(found, docs["doc_id"].cast("long") == found["gone"], "left_anti")
-    return kept
+    found = saved(join_near(docs, **how))
+    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("gone_id")).distinct()
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    among = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    return kept.withColumn("_copy", F.row_number().over(among)).where("doc_id IS NULL OR _copy = 1").drop("_copy")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import Forest
-from corpusloom.llm.near_sets import ROWS, Cut, Threshold, candidates_within, digest, set_components
+from corpusloom.llm.near_sets import ROWS, Cut, Threshold, candidates_within, digest, set_components, sketch, sketch_bits
 from corpusloom.llm.storage import saved
 from corpusloom.llm.textkit import _BACK, _ROOT, _powers, mix, spans, word_hashes
 
@@ -60,10 +60,10 @@ def _paragraphs(cut: Cut):
     def run(batches):
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
-            rows = [(ids[u.row], u.first_word, u.n_words, len(u.elements), digest(u.elements)) for u in cut.units(batch.column(1))]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "first_word", "n_words", "n", "node"])
+            rows = [(ids[u.row], u.first_word, u.n_words, len(u.elements), digest(u.elements), sketch(u.elements, sketch_bits(len(u.elements))).tobytes()) for u in cut.units(batch.column(1))]
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64()] * 4 + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "first_word", "n_words", "n", "node", "bits"])
 
     return run
 
