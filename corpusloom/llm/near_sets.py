@@ -105,7 +105,8 @@ def may_link(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, limit
     differ = np.zeros((len(a), len(b)), dtype=np.int64)
     for k in range(a.shape[1]):
         differ += np.bitwise_count(a[:, k][:, None] ^ b[:, k][None, :])
-    return differ <= total - 2 * -(-limit.num * total // (limit.num + limit.den))
+    least = -(-limit.num * total // (limit.num + limit.den))
+    return (differ <= total - 2 * least) & (np.minimum(na[:, None], nb[None, :]) >= least)
 
 
 def narrowed(bitmap: np.ndarray, words: int) -> np.ndarray:
