@@ -100,13 +100,35 @@ def sketch_bits(n: int) -> int:
 
 
 def may_link(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, limit: Threshold) -> np.ndarray:
-    """Which pairs of sketches (of one width) don't rule out the threshold; False is certain."""
-    total = na[:, None] + nb[None, :]
-    differ = np.zeros((len(a), len(b)), dtype=np.int64)
-    for k in range(a.shape[1]):
-        differ += np.bitwise_count(a[:, k][:, None] ^ b[:, k][None, :])
-    least = -(-limit.num * total // (limit.num + limit.den))
-    return (differ <= total - 2 * least) & (np.minimum(na[:, None], nb[None, :]) >= least)
+    """Which pairs of sketches (of one width) don't rule out the threshold; False is certain. Worked in strips."""
+    out = np.zeros((len(a), len(b)), dtype=bool)
+    for s in range(0, len(a), 128):
+        x, n = a[s : s + 128], na[s : s + 128]
+        total = n[:, None] + nb[None, :]
+        least = -(-limit.num * total // (limit.num + limit.den))
+        differ = np.zeros(total.shape, dtype=np.int32)
+        for k in range(a.shape[1]):
+            differ += np.bitwise_count(x[:, k][:, None] ^ b[:, k][None, :])
+        out[s : s + 128] = (differ <= total - 2 * least) & (np.minimum(n[:, None], nb[None, :]) >= least)
+    return out
+
+
+def pair_may_link(a: bytes, na: int, b: bytes, nb: int, limit: Threshold) -> bool:
+    """The same for two sketches of any widths."""
+    least = limit.overlap(na + nb)
+    if min(na, nb) < least:
+        return False
+    width = min(len(a), len(b)) * 8
+    x, y = (_folded(v, width) for v in (a, b))
+    return (x ^ y).bit_count() <= na + nb - 2 * least
+
+
+def _folded(raw: bytes, width: int) -> int:
+    n, bits = int.from_bytes(raw, "little"), len(raw) * 8
+    while bits > width:
+        bits //= 2
+        n = (n >> bits) ^ (n & ((1 << bits) - 1))
+    return n
 
 
 def narrowed(bitmap: np.ndarray, words: int) -> np.ndarray:
@@ -202,17 +224,48 @@ def _lists(longest: int):
     return run
 
 
+def possible_links(left: list[bytes], n_left: list[int], right: list[bytes], n_right: list[int], limit: Threshold) -> np.ndarray:
+    """Which pairs of sketches of any widths don't rule out the threshold."""
+    by = []
+    for prints in (left, right):
+        widths: dict[int, list[int]] = {}
+        for k, p in enumerate(prints):
+            widths.setdefault(len(p) // 8, []).append(k)
+        by.append({w: np.array(ks) for w, ks in widths.items()})
+    sizes = np.array(n_left), np.array(n_right)
+    out = np.zeros((len(left), len(right)), dtype=bool)
+    for w, x in by[0].items():
+        for v, y in by[1].items():
+            both = min(w, v)
+            a = np.stack([narrowed(np.frombuffer(left[k], dtype=_U), both) for k in x])
+            b = np.stack([narrowed(np.frombuffer(right[k], dtype=_U), both) for k in y])
+            out[np.ix_(x, y)] = may_link(a, sizes[0][x], b, sizes[1][y], limit)
+    return out
+
+
+def reached(square: np.ndarray) -> list[tuple[int, int]]:
+    """(index, first index) of each index that the links of a symmetric square connect to an earlier one."""
+    open_, out = np.ones(len(square), dtype=bool), []
+    for s in range(len(square)):
+        if open_[s]:
+            open_[s] = False
+            edge = np.array([s])
+            while len(edge):
+                fresh = square[edge].any(axis=0) & open_
+                open_ &= ~fresh
+                edge = np.flatnonzero(fresh)
+                out += [(k, s) for k in edge.tolist()]
+    return out
+
+
 def _possible(limit: Threshold):
-    """Groups in a row by (list, i, j): a forest over the nodes that sketches leave linked."""
+    """Groups in a row by (list, i, j): stars of the nodes that sketches leave linked."""
 
     def close(rows):
         nodes, sizes, prints = map(list, zip(*rows, strict=True))
-        forest = Forest()
-        for x, y, at in _by_width(prints, sizes, prints, sizes, limit):
-            for a, b in at:
-                if nodes[x[a]] != nodes[y[b]]:
-                    forest.join(nodes[x[a]], nodes[y[b]])
-        return [(n, r) for n in forest.parent if (r := forest.find(n)) != n]
+        if len(rows) > 4:
+            return [(nodes[k], nodes[s]) for k, s in reached(possible_links(prints, sizes, prints, sizes, limit)) if nodes[k] != nodes[s]]
+        return [(nodes[k], nodes[s]) for k in range(len(rows)) for s in range(k) if nodes[k] != nodes[s] and pair_may_link(prints[k], sizes[k], prints[s], sizes[s], limit)]
 
     def run(batches):
         key, rows, out = None, [], []
@@ -231,23 +284,6 @@ def _possible(limit: Threshold):
     return run
 
 
-def _by_width(left: list[bytes], n_left: list[int], right: list[bytes], n_right: list[int], limit: Threshold):
-    """(indices, indices, pairs of positions that may link) for each two widths of sketches."""
-    by = []
-    for prints in (left, right):
-        widths: dict[int, list[int]] = {}
-        for k, p in enumerate(prints):
-            widths.setdefault(len(p) // 8, []).append(k)
-        by.append(widths)
-    sizes = np.array(n_left), np.array(n_right)
-    for w, x in by[0].items():
-        for v, y in by[1].items():
-            both = min(w, v)
-            a = np.stack([narrowed(np.frombuffer(left[k], dtype=_U), both) for k in x])
-            b = np.stack([narrowed(np.frombuffer(right[k], dtype=_U), both) for k in y])
-            yield x, y, np.argwhere(may_link(a, sizes[0][x], b, sizes[1][y], limit)).tolist()
-
-
 def _members(cut: Cut, bitmap, bits: int):
     """Texts with a unit whose short id stands in the bitmap: the unit's node and its text, packed. A few units
     pass by chance; the join drops these."""
@@ -316,11 +352,13 @@ def _survivors(limit: Threshold):
         others, queries = sides
         out = []
         if others and queries:
-            for x, y, at in _by_width([q[4] for q in queries], [q[3] for q in queries], [o[4] for o in others], [o[3] for o in others], limit):
-                for i, j in at:
-                    q, o = queries[x[i]], others[y[j]]
-                    if q[2] != o[2] and (q[0] < o[0] or not o[5]):
-                        out.append((q[0], o[0]))
+            may = possible_links([q[4] for q in queries], [q[3] for q in queries], [o[4] for o in others], [o[3] for o in others], limit)
+            roots = {r: k for k, r in enumerate({*(q[2] for q in queries), *(o[2] for o in others)})}
+            may &= np.array([roots[q[2]] for q in queries])[:, None] != np.array([roots[o[2]] for o in others])[None, :]
+            for i, j in np.argwhere(may).tolist():
+                q, o = queries[i], others[j]
+                if q[0] < o[0] or not o[5]:
+                    out.append((q[0], o[0]))
         return out
 
     def run(batches):
