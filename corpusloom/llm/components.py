@@ -1,4 +1,4 @@
-"""Connected components of a distributed edge list: local forests, then rounds of hooking and contraction."""
+"""Connected components of a distributed edge list: rounds of hooking, pointer jumping and contraction."""
 
 from __future__ import annotations
 
@@ -58,7 +58,7 @@ def components(edges: DataFrame) -> DataFrame:
     In each round every id hooks to its smallest neighbour, pointers jump twice, and edges between different
     roots go on. No adjacency list is ever gathered and only emptiness reaches the driver.
     """
-    edges = saved(local_forest(edges))
+    edges = saved(edges.select("a", "b").distinct())
     maps: list[DataFrame] = []
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

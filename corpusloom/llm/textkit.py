@@ -69,7 +69,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def spans(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def spans(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, bounds of its texts) of runs of about `most` bytes; nulls are empty texts."""
     texts = texts.cast(pa.large_string()) if texts.null_count == 0 else texts.fill_null("").cast(pa.large_string())
     n = len(texts)
