@@ -33,8 +33,8 @@ def similarity_clusters(vectors: DataFrame, threshold: float, by: str = "label",
     than their distance, sqrt(2 - 2 threshold), so vectors meet only in equal or neighbouring bands of three such
     projections: a lossless range join on equal keys.
     """
-    unit = F.transform(F.col(vector).cast("array<double>"), lambda x: x / F.sqrt(dot(F.col(vector), F.col(vector))))
-    rows = saved(vectors.where(F.col(by).isNotNull() & (dot(F.col(vector), F.col(vector)) > 0)).select(F.col(by).alias("g"), F.col(vec_id).alias("id"), unit.alias("u")))
+    long = vectors.where(F.col(by).isNotNull()).select(F.col(by).alias("g"), F.col(vec_id).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("size"))
+    rows = saved(long.where("size > 0").select("g", "id", F.transform("v", lambda x: x / F.col("size")).alias("u")))
     far = (2 - 2 * threshold) ** 0.5
     d = F.size("u")
     along = lambda s: F.aggregate(F.transform("u", lambda x, i: F.when(F.pmod(F.xxhash64(i, F.lit(s)), F.lit(2)) == 0, x).otherwise(-x)), F.lit(0.0), lambda a, x: a + x) / F.sqrt(d)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from corpusloom.functions.text import SPACES, strip_years
 
@@ -114,9 +120,14 @@ def word_windows(text: Column, size: int = 512, overlap: int = 64) -> Column:
     return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(size)), " ")))
 
 
-def hashing_embedding(text: Column) -> Column:
+@F.pandas_udf(ArrayType(DoubleType()))
+def hashing_embedding(texts: pd.Series) -> pd.Series:
     """256 signed buckets of lower-cased tokens by MD5, at unit length."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("[0-9a-z가-힣]+"), F.lit(0))
-    coded = F.transform(tokens, lambda t: F.struct((F.conv(F.substring(F.md5(t), 31, 2), 16, 10).cast("int")).alias("i"), F.when(F.conv(F.substring(F.md5(t), 29, 2), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.aggregate(F.filter(coded, lambda c: c["i"] == b), F.lit(0.0), lambda a, c: a + c["s"]))
-    return F.transform(raw, lambda x: x / F.greatest(F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, y: a + y * y)), F.lit(1e-12)))
+    out = []
+    for text in texts:
+        vector = np.zeros(256)
+        for token in re.findall("[0-9a-z가-힣]+", (text or "").lower()):
+            code = hashlib.md5(token.encode("utf-8")).digest()
+            vector[code[15]] += 1.0 if code[14] & 1 else -1.0
+        out.append(vector / max(float(np.sqrt((vector * vector).sum())), 1e-12))
+    return pd.Series(out)
