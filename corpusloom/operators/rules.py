@@ -50,8 +50,8 @@ def evaluate_conditions(conditions: DataFrame, facts: DataFrame) -> DataFrame:
     unit): a status for every case and condition. A case without the field is UNKNOWN, not absent."""
     cases = facts.select("case_id").distinct()
     asked = cases.crossJoin(conditions)  # every case asks every condition: that is the result's size
-    held = facts.select("case_id", F.col("field").alias("_f"), F.col("value").alias("_value"), F.col("unit").alias("_unit"), F.lit(True).alias("_known"))
-    both = asked.join(held, (asked["case_id"] == held["case_id"]) & (asked["field"] == held["_f"]), "left").drop(held["case_id"])
+    held = facts.select(F.col("case_id").alias("_case"), F.col("field").alias("_f"), F.col("value").alias("_value"), F.col("unit").alias("_unit"), F.lit(True).alias("_known"))
+    both = asked.join(held, (F.col("case_id") == F.col("_case")) & (F.col("field") == F.col("_f")), "left")
     status = evaluate_condition(F.col("field"), F.col("operator"), F.col("expected"), F.col("unit"), F.col("_value"), F.col("_unit"), F.coalesce("_known", F.lit(False)), F.col("evidence"))
     return both.select("case_id", *conditions.columns, F.col("_value").alias("actual"), status.alias("status"))
 
