@@ -51,7 +51,7 @@ def audit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT * FROM (VALUES ('click', 0.5, 1.0), ('view', 0.25, 2.0), ('purchase', 2.0, 3.0)) t(model, price_in, price_out))
-SELECT e.event_type AS model, count(*) AS n, round(sum((e.event_id % 100) * coalesce(p.price_in, 0) + (e.event_id % 7) * coalesce(p.price_out, 0)), 2) AS cost FROM events e LEFT JOIN p ON e.event_type = p.model GROUP BY e.event_type""")
+SELECT e.event_type AS model, count(*) AS n, round(CAST(sum((e.event_id % 100) * coalesce(p.price_in, 0) + (e.event_id % 7) * coalesce(p.price_out, 0)) AS DOUBLE), 2) AS cost FROM events e LEFT JOIN p ON e.event_type = p.model GROUP BY e.event_type""")
 def usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = spark.sql("SELECT * FROM VALUES ('click', 0.5D, 1.0D), ('view', 0.25D, 2.0D), ('purchase', 2.0D, 3.0D) AS t(model, price_in, price_out)")
     usage = events(spark, sf_dir).select(F.col("event_type").alias("model"), (F.col("event_id") % 100).alias("n_in"), (F.col("event_id") % 7).alias("n_out"))

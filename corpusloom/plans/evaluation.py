@@ -48,7 +48,7 @@ def char_f1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(fn.char_f1(F.col("answer"), F.col("expected")), 4).alias("score"))
 
 
-@query(f"WITH b AS (SELECT a.item_id AS a, b.item_id AS b, {FORM.format('a.text')} AS x, {FORM.format("(' ' || b.text)")} AS y FROM benchmark a JOIN benchmark b ON a.item_id = b.item_id OR a.item_id + 1 = b.item_id) SELECT a, b, CASE WHEN x <> '' AND x = y THEN 1.0 ELSE 0.0 END AS score FROM b")
+@query(f"WITH b AS (SELECT a.item_id AS a, b.item_id AS b, {FORM.format('a.text')} AS x, {FORM.format("(' ' || b.text)")} AS y FROM benchmark a JOIN benchmark b ON a.item_id = b.item_id OR a.item_id + 1 = b.item_id) SELECT a, b, CAST(CASE WHEN x <> '' AND x = y THEN 1 ELSE 0 END AS DOUBLE) AS score FROM b")
 def exact_match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     other = items.select(F.col("item_id").alias("b"), F.concat(F.lit("  "), F.col("text")).alias("ref"), F.explode(F.array(F.col("item_id"), F.col("item_id") - 1)).alias("item_id"))
