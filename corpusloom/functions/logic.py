@@ -105,24 +105,35 @@ def evaluate_condition(field: Column, operator: Column, expected: Column, unit:
         qualitative = qualitative | F.contains(blob, F.lit(word))
     said = lambda ok: F.when(ok.isNull(), UNKNOWN).when(ok, SATISFIED).otherwise(NOT_SATISFIED)
     # Units: where one side names none, the value is taken as it is.
-    value = number_in(actual, unit)
-    value = F.when(unit_form(unit).isNull() | unit_form(actual_unit).isNull(), value).otherwise(convert_unit(value, actual_unit, unit))
-    low, high = number_in(F.get(expected, F.lit(0)), unit), number_in(F.get(expected, F.lit(1)), unit)
-    compared = F.when(op == "eq", value == low).when(op == "ne", value != low).when(op == "gt", value > low).when(op == "gte", value >= low).when(op == "lt", value < low).when(op == "lte", value <= low)
-    between = F.when(op == "between_inclusive", (value >= low) & (value <= high)).when(op == "between_exclusive", (value > low) & (value < high))
-    form, wanted = scalar_form(actual), F.transform(expected, scalar_form)
-    one = F.get(wanted, F.lit(0))
-    equal = F.when(F.left(form, F.lit(2)) == F.left(one, F.lit(2)), F.when(op == "equals", form == one).otherwise(form != one))
-    listed = F.when(op == "in", F.array_contains(wanted, form)).otherwise(~F.array_contains(wanted, form))
-    truth = F.when(F.startswith(form, F.lit("b:")), F.when(op == "is_true", form == "b:true").otherwise(form == "b:false"))
+    plain = number_in(actual, unit)
+    converted = F.when(unit_form(unit).isNull() | unit_form(actual_unit).isNull(), plain).otherwise(convert_unit(plain, actual_unit, unit))
+    numeric = op.isin(*NUMERIC)
+    parts = F.struct(
+        F.when(numeric, converted).alias("value"), F.when(numeric, number_in(F.get(expected, F.lit(0)), unit)).alias("low"), F.when(numeric, number_in(F.get(expected, F.lit(1)), unit)).alias("high"),
+        F.when(~numeric, scalar_form(actual)).alias("form"), F.when(~numeric, F.transform(expected, scalar_form)).alias("wanted"), op.alias("op"),
+    )
+
+    def decide(p: Column) -> Column:
+        value, low, high, form, wanted, op = (p[c] for c in ("value", "low", "high", "form", "wanted", "op"))
+        compared = F.when(op == "eq", value == low).when(op == "ne", value != low).when(op == "gt", value > low).when(op == "gte", value >= low).when(op == "lt", value < low).when(op == "lte", value <= low)
+        between = F.when(op == "between_inclusive", (value >= low) & (value <= high)).when(op == "between_exclusive", (value > low) & (value < high))
+        one = F.get(wanted, F.lit(0))
+        equal = F.when(F.left(form, F.lit(2)) == F.left(one, F.lit(2)), F.when(op == "equals", form == one).otherwise(form != one))
+        listed = F.when(op == "in", F.array_contains(wanted, form)).otherwise(~F.array_contains(wanted, form))
+        truth = F.when(F.startswith(form, F.lit("b:")), F.when(op == "is_true", form == "b:true").otherwise(form == "b:false"))
+        return (
+            F.when(op.isin("between_inclusive", "between_exclusive"), F.when(F.size(expected) != 2, INVALID).otherwise(said(between)))
+            .when(op.isin(*NUMERIC), F.when(low.isNull(), INVALID).otherwise(said(compared)))
+            .when(op.isin(*BOOLEAN), said(truth)).when(op.isin("in", "not_in"), F.when(expected.isNull(), INVALID).otherwise(said(listed))).otherwise(said(equal))
+        )
+
+    # The parts are bound once, by a list of one, and read often.
+    decided = F.get(F.transform(F.array(parts), decide), F.lit(0))
     return (
         F.when(F.coalesce(F.trim(field), F.lit("")) == "", INVALID).when(F.coalesce(op, F.lit("")) == "", UNKNOWN).when(qualitative, UNKNOWN)
         .when(~op.isin(*NUMERIC, *STRING, *BOOLEAN, *EXISTENCE), UNKNOWN)
         .when(op == "exists", F.when(known, SATISFIED).otherwise(NOT_SATISFIED)).when(op == "not_exists", F.when(known, NOT_SATISFIED).otherwise(SATISFIED))
-        .when(~known | (F.coalesce(F.trim(actual), F.lit("")) == ""), UNKNOWN)
-        .when(op.isin("between_inclusive", "between_exclusive"), F.when(F.size(expected) != 2, INVALID).otherwise(said(between)))
-        .when(op.isin(*NUMERIC), F.when(low.isNull(), INVALID).otherwise(said(compared)))
-        .when(op.isin(*BOOLEAN), said(truth)).when(op.isin("in", "not_in"), F.when(expected.isNull(), INVALID).otherwise(said(listed))).otherwise(said(equal))
+        .when(~known | (F.coalesce(F.trim(actual), F.lit("")) == ""), UNKNOWN).otherwise(decided)
     )
 
 
