@@ -6,7 +6,10 @@ tuned for recall: at a similarity of 0.8, nine bands of three rows miss a pair w
 
 A repeated passage need not be a paragraph. Windows of 40 words get rolling hashes, and the least of every 11
 neighbours is kept, so any passage of 50 words or more that two documents share has a kept window in common,
-wherever it stands in either. Kept windows that several documents hold are joined to spans.
+wherever it stands in either. The holders of a window are its cluster, named by the first of them, which keeps
+it. Kept windows in a row with the same first holder are joined to spans; where the first holder changes a new
+span starts, so spans of different clusters may overlap by less than a window. No word is lost where all spans
+that are not kept are cut out: each of their words stands in an earlier holder too, and so on to the first.
 """
 
 from __future__ import annotations
@@ -146,7 +149,7 @@ def _repeated(batches):
 
 
 def _spans(window: int):
-    """Rows in order of (doc_id, pos): overlapping windows of a document as one span."""
+    """Rows in order of (doc_id, pos): windows of a document that overlap and have one first holder as one span."""
 
     def run(batches):
         open_, out = None, []
@@ -161,8 +164,8 @@ def _spans(window: int):
 
         for batch in batches:
             for doc, pos, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if open_ and open_[0] == doc and pos <= open_[2]:
-                    open_ = (doc, open_[1], max(open_[2], pos + window), min(open_[3], first))
+                if open_ and open_[0] == doc and open_[3] == first and pos <= open_[2]:
+                    open_ = (doc, open_[1], max(open_[2], pos + window), first)
                 else:
                     if open_:
                         closed()

@@ -201,6 +201,30 @@ def test_paragraphs_and_passages(spark):
     assert paragraph_dedup.find_repeats(empty(spark)).count() == 0
 
 
+def test_passages_are_kept_by_their_first_holder(spark):
+    """Document 2 holds a passage of document 1 within a longer text of its own, which document 3 copies."""
+    rng = random.Random(11)
+    words = lambda n: [f"v{rng.randrange(9000)}" for _ in range(n)]
+    old, before, after = words(60), words(100), words(100)
+    long = [*before, *old, *after]
+    texts = {1: [*words(30), *old, *words(30)], 2: long, 3: [*words(17), *long]}
+    got = paragraph_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], SCHEMA)).collect()
+    spans = [(r["doc_id"], r["first_word"], r["n_words"], r["kept"]) for r in got]
+    prints = {i: set(map(tuple, (w[k : k + 40] for k in range(len(w) - 39)))) for i, w in texts.items()}
+    kept = {}
+    for doc, start, n, own in spans:
+        for k in range(start, start + n - 39):
+            window = tuple(texts[doc][k : k + 40])
+            assert sum(window in p for p in prints.values()) > 1
+            if own:
+                kept.setdefault(window, set()).add(doc)
+    assert {r["component_id"] for r in got if r["doc_id"] == 3} == {1, 2} and all(r["kept"] == (r["component_id"] == r["doc_id"]) for r in got)
+    assert {d for ds in kept.values() for d in ds} == {1, 2} and all(len(ds) == 1 for ds in kept.values())
+    assert kept[tuple(before[20:60])] == {2} and kept[tuple(after[20:60])] == {2} and kept[tuple(old[10:50])] == {1}
+    left = [w for d, ws in texts.items() for k, w in enumerate(ws) if not any(d == e and a <= k < a + n and not own for e, a, n, own in spans)]
+    assert set(left) == {w for ws in texts.values() for w in ws}
+
+
 def test_link_exact_sides():
     sets = [np.arange(10, dtype=np.uint64), np.arange(10, dtype=np.uint64), np.arange(5, 30, dtype=np.uint64)]
     forest = paragraph_dedup.link_exact(sets, Threshold(80, 100), [True, True, False])
