@@ -47,6 +47,10 @@ class Threshold:
         """How many of a set's first elements must hold one of any set above the threshold."""
         return n - -(-self.num * n // self.den) + 1 if n else 0
 
+    def stands_alone(self, n: int) -> bool:
+        """Whether no other set is within the threshold of a set of n: n of n + 1 is the nearest that one can be."""
+        return n * self.den < self.num * (n + 1)
+
     def sizes_fit(self, small, large):
         return small * self.den >= large * self.num
 

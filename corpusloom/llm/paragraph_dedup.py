@@ -1,6 +1,6 @@
 """Substring dedup by paragraph MinHash banding, with exact passages across paragraph bounds.
 
-Paragraphs (lines of enough words) get MinHash band keys; those that share a key are candidates, exact Jaccard
+Paragraphs (lines of five words or more, so that each has a shingle) get MinHash band keys; those that share a key are candidates, exact Jaccard
 of their five-word shingles decides, and components of what is linked are the clusters. Bands and rows are
 tuned for recall: at a similarity of 0.8, nine bands of three rows miss a pair with a chance of 0.0016.
 
@@ -28,13 +28,15 @@ _U = np.uint64
 OUT = "doc_id long, kind string, first_word long, n_words long, component_id long, kept boolean"
 
 
-def band_keys(bands: int, rows: int):
-    """MinHash band keys of a set of hashes."""
+def band_keys(bands: int, rows: int, limit: Threshold | None = None):
+    """MinHash band keys of a set of hashes; none of sets so small that no other set is within the limit."""
     seeds = mix(np.arange(1, bands * rows + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))[:, None]
     place = mix(np.arange(1, rows + 1, dtype=_U))[None, :]
     band = mix(np.arange(1001, 1001 + bands, dtype=_U))
 
     def tokens_of(elements: np.ndarray) -> np.ndarray:
+        if limit is not None and limit.stands_alone(len(elements)):
+            return elements[:0]
         least = mix(elements[None, :] ^ seeds).min(axis=1).reshape(bands, rows)
         return mix((least * place).sum(axis=1) + band)
 
@@ -187,11 +189,11 @@ def repeated_passages(docs: DataFrame, *, window: int = 40, among: int = 11) ->
     return rows.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(_spans(window), OUT)
 
 
-def repeated_paragraphs(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, least_words: int = 50, bands: int = 9, rows: int = 3, chunk_sets: int = 256, chunk_words: int = 1 << 20, bitmap_bits: int = 25) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, least_words: int = 5, bands: int = 9, rows: int = 3, chunk_sets: int = 256, chunk_words: int = 1 << 20, bitmap_bits: int = 25) -> DataFrame:
     """OUT rows of kind paragraph: members of clusters of two or more, named by the smallest id; the first is kept."""
     cut, limit = Cut(words, by_lines=True, least_words=least_words), Threshold(num, den)
     units = saved(docs.mapInArrow(_paragraphs(cut), ROWS))
-    linked = set_components(docs, units, cut, band_keys(bands, rows), limit, link_exact, chunk_sets=chunk_sets, chunk_words=chunk_words, bitmap_bits=bitmap_bits)
+    linked = set_components(docs, units, cut, band_keys(bands, rows, limit), limit, link_exact, chunk_sets=chunk_sets, chunk_words=chunk_words, bitmap_bits=bitmap_bits)
     per_node = units.groupBy("node").agg(F.min(F.struct("doc_id", "first_word")).alias("least"), F.count("*").alias("copies"))
     named = per_node.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     clusters = named.groupBy("root").agg(F.min("least").alias("first"), F.sum("copies").alias("all")).where("all > 1")

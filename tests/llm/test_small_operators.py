@@ -201,6 +201,28 @@ def test_paragraphs_and_passages(spark):
     assert paragraph_dedup.find_repeats(empty(spark)).count() == 0
 
 
+def test_short_paragraphs_match_brute_force(spark):
+    """Lines of five words or more are paragraphs: equal and near copies below and across fifty words are found."""
+    rng = random.Random(12)
+    words = lambda n: [f"v{rng.randrange(9000)}" for _ in range(n)]
+    lines = [" ".join(words(n)) for n in (1, 4, 5, 7, 8, 12, 15, 30, 49, 51)]
+    docs = {1: lines, 2: [" ".join(words(20)), *lines], 3: [lines[8] + " one two"], 4: [" ".join(lines[9].split()[:-2])], 5: [lines[4] + " more"], 6: [lines[3] + " more"]}
+    units = [(d, n, line.split()) for d, ls in docs.items() for n, line in zip(np.cumsum([0, *(len(x.split()) for x in ls)]).tolist(), ls, strict=False) if len(line.split()) >= 5]
+    sets, parent = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, _, w in units], list(range(len(units)))
+    for i in range(len(units)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent = [parent[j] if p == parent[i] else p for p in parent]
+    want = set()
+    for k, (d, first, w) in enumerate(units):
+        group = [units[m][:2] for m in range(len(units)) if parent[m] == parent[k]]
+        if len(group) > 1:
+            want.add((d, first, len(w), min(group)[0], (d, first) == min(group)))
+    got = paragraph_dedup.repeated_paragraphs(spark.createDataFrame([(i, "\n".join(ls)) for i, ls in docs.items()], SCHEMA))
+    assert {(r["doc_id"], r["first_word"], r["n_words"], r["component_id"], r["kept"]) for r in got.collect()} == want and len(want) == 19
+    assert [n for n in range(1, 9) if Threshold(80, 100).stands_alone(n)] == [1, 2, 3]
+
+
 def test_passages_are_kept_by_their_first_holder(spark):
     """Document 2 holds a passage of document 1 within a longer text of its own, which document 3 copies."""
     rng = random.Random(11)
