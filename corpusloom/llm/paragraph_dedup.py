@@ -5,11 +5,12 @@ of their five-word shingles decides, and components of what is linked are the cl
 tuned for recall: at a similarity of 0.8, nine bands of three rows miss a pair with a chance of 0.0016.
 
 A repeated passage need not be a paragraph. Windows of 40 words get rolling hashes, and the least of every 11
-neighbours is kept, so any passage of 50 words or more that two documents share has a kept window in common,
-wherever it stands in either. The holders of a window are its cluster, named by the first of them, which keeps
-it. Kept windows in a row with the same first holder are joined to spans; where the first holder changes a new
-span starts, so spans of different clusters may overlap by less than a window. No word is lost where all spans
-that are not kept are cut out: each of their words stands in an earlier holder too, and so on to the first.
+neighbours is kept, so any passage of 50 words or more that stands in two places has a kept window in common,
+be they in two documents or, without overlap, in one. The places of a window are its cluster, named by the
+first document that has it, whose first place is kept. Kept windows in a row with the same first holder are
+joined to spans; where that changes a new span starts, so spans of different clusters may overlap by less than
+a window. No word is lost where all spans that are not kept are cut out: each of their words stands in an
+earlier place too, and so on to the first.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def _sliding(op, x: np.ndarray, width: int) -> np.ndarray:
 
 
 def winnow(words: np.ndarray, window: int, among: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first word) of the windows that are the least of `among` neighbours; equal hashes once."""
+    """(hash, first word) of the windows that are the least of `among` neighbours, each place of equal hashes."""
     n = len(words)
     if n < window + among - 1:
         return np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64)
@@ -94,8 +95,7 @@ def winnow(words: np.ndarray, window: int, among: int) -> tuple[np.ndarray, np.n
     edge = np.zeros(among - 1, dtype=_U)
     top = _sliding(np.maximum, np.concatenate([edge, low, edge]), among)
     at = np.flatnonzero(top == r)
-    value, first = np.unique(r[at], return_index=True)
-    return value, at[first]
+    return r[at], at
 
 
 def _windows(window: int, among: int):
@@ -116,62 +116,69 @@ def _windows(window: int, among: int):
     return run
 
 
-def _repeated(batches):
-    """Rows in order of (print, doc_id, pos): those whose print several documents hold, with the first of these.
+def _repeated(window: int):
+    """Rows in order of (print, doc_id, pos): the places of each print that has copies, with the document that has it
+    first and whether this place is the first. A copy is a place in another document, or one in the same document
+    that doesn't overlap the first place; what overlaps it is the same text and is left out.
 
     Only the open group's first row is held, however long the group is.
     """
-    held = None  # print, doc, pos, whether it has been given
-    for batch in batches:
-        p, d, w = (c.to_numpy() for c in batch.columns)
-        if not len(p):
-            continue
-        start = np.concatenate([[True], p[1:] != p[:-1]])
-        goes_on = held is not None and held[0] == p[0]
-        at = np.flatnonzero(start)
-        group = np.cumsum(start) - 1
-        first = d[at].copy()
-        if goes_on:
-            first[0] = held[1]
-        several = d != first[group]
-        shown = np.zeros(len(at), dtype=bool)
-        shown[group[several]] = True
-        out = several.copy()
-        heads = at[1:] if goes_on else at
-        out[heads] |= shown[group[heads]]
-        docs, places, firsts = d[out], w[out], first[group[out]]
-        if goes_on and shown[0] and not held[3]:
-            docs, places, firsts = np.append(docs, held[1]), np.append(places, held[2]), np.append(firsts, held[1])
-        if len(docs):
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(places.astype(np.int32)), pa.array(firsts)], ["doc_id", "pos", "first"])
-        if goes_on and len(at) == 1:
-            held = (held[0], held[1], held[2], held[3] or bool(shown[0]))
-        else:
-            held = (p[-1], d[at[-1]], w[at[-1]], bool(shown[-1]))
+
+    def run(batches):
+        held = None  # print, doc, pos, whether it has been given
+        for batch in batches:
+            p, d, w = (c.to_numpy() for c in batch.columns)
+            if not len(p):
+                continue
+            start = np.concatenate([[True], p[1:] != p[:-1]])
+            goes_on = held is not None and held[0] == p[0]
+            at = np.flatnonzero(start)
+            group = np.cumsum(start) - 1
+            first, place = d[at].copy(), w[at].copy()
+            if goes_on:
+                first[0], place[0] = held[1], held[2]
+            copy = (d != first[group]) | (w >= place[group] + window)
+            shown = np.zeros(len(at), dtype=bool)
+            shown[group[copy]] = True
+            out = copy.copy()
+            heads = at[1:] if goes_on else at
+            out[heads] |= shown[group[heads]]
+            docs, places, firsts, own = d[out], w[out], first[group[out]], ~copy[out]
+            if goes_on and shown[0] and not held[3]:
+                docs, places, firsts, own = np.append(docs, held[1]), np.append(places, held[2]), np.append(firsts, held[1]), np.append(own, True)
+            if len(docs):
+                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(places.astype(np.int32)), pa.array(firsts), pa.array(own)], ["doc_id", "pos", "first", "own"])
+            if goes_on and len(at) == 1:
+                held = (held[0], held[1], held[2], held[3] or bool(shown[0]))
+            else:
+                held = (p[-1], d[at[-1]], w[at[-1]], bool(shown[-1]))
+
+    return run
 
 
 def _spans(window: int):
-    """Rows in order of (doc_id, pos): windows of a document that overlap and have one first holder as one span."""
+    """Rows in order of (doc_id, pos): windows of a document that overlap, with the same first holder and all first places
+    or all copies, as one span."""
 
     def run(batches):
         open_, out = None, []
 
         def closed():
-            doc, start, end, first = open_
-            out.append((doc, "passage", start, end - start, first, first == doc))
+            doc, start, end, first, own = open_
+            out.append((doc, "passage", start, end - start, first, own))
 
         def packed():
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "kind", "first_word", "n_words", "component_id", "kept"])
 
         for batch in batches:
-            for doc, pos, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if open_ and open_[0] == doc and open_[3] == first and pos <= open_[2]:
-                    open_ = (doc, open_[1], max(open_[2], pos + window), first)
+            for doc, pos, first, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if open_ and open_[0] == doc and open_[3:] == (first, own) and pos <= open_[2]:
+                    open_ = (doc, open_[1], max(open_[2], pos + window), first, own)
                 else:
                     if open_:
                         closed()
-                    open_ = (doc, pos, pos + window, first)
+                    open_ = (doc, pos, pos + window, first, own)
             if out:
                 yield packed()
                 out = []
@@ -183,9 +190,9 @@ def _spans(window: int):
 
 
 def repeated_passages(docs: DataFrame, *, window: int = 40, among: int = 11) -> DataFrame:
-    """OUT rows of kind passage: the spans of windows that other documents hold too, named by the first of these."""
+    """OUT rows of kind passage: the spans of windows that repeat, named by their first document; their first place is kept."""
     prints = docs.mapInArrow(_windows(window, among), "print long, doc_id long, pos int")
-    rows = prints.repartition("print").sortWithinPartitions("print", "doc_id", "pos").mapInArrow(_repeated, "doc_id long, pos int, first long")
+    rows = prints.repartition("print").sortWithinPartitions("print", "doc_id", "pos").mapInArrow(_repeated(window), "doc_id long, pos int, first long, own boolean")
     return rows.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(_spans(window), OUT)
 
 

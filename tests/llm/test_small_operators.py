@@ -201,6 +201,28 @@ def test_paragraphs_and_passages(spark):
     assert paragraph_dedup.find_repeats(empty(spark)).count() == 0
 
 
+def test_passages_repeat_within_a_document(spark):
+    """Each later place is a copy, in the same or another document; text that overlaps its own copy is not."""
+    rng = random.Random(13)
+    words = lambda n: [f"v{rng.randrange(9000)}" for _ in range(n)]
+    twice, alone = words(60), words(60)
+    docs = [(1, [*words(20), *twice, *words(30), *twice]), (2, [*words(5), *twice, *words(9), *twice, *words(7)]), (3, [*alone, *words(10), *alone]), (4, ["long"] * 300), (5, words(300))]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], SCHEMA)
+    got = paragraph_dedup.repeated_passages(frame).collect()
+    spans = sorted((r["doc_id"], r["first_word"], r["n_words"], r["component_id"], r["kept"]) for r in got)
+    at = {1: [20, 110], 2: [5, 74], 3: [0, 70]}
+    for doc, places in at.items():
+        for k, start in enumerate(places):
+            own = [s for s in spans if s[0] == doc and start <= s[1] and s[1] + s[2] <= start + 60]
+            assert len(own) == 1 and own[0][2] >= 40 and own[0][3] == min(doc, 3 if doc == 3 else 1) and own[0][4] == (k == 0 and doc != 2)
+    assert [s[1:] for s in spans if s[0] == 4] == [(0, 40, 4, True), (40, 260, 4, False)] and len(spans) == 8
+    batches = lambda size: [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + size], strict=True)], ["print", "doc_id", "pos"]) for i in range(0, len(rows), size)]
+    rows = [(1, 4, 0), (1, 4, 20), (1, 4, 45), (1, 6, 3), (2, 4, 7), (2, 4, 9), (3, 5, 0), (3, 6, 0)]
+    for size in (1, 2, 3, 8):
+        out = [r for b in paragraph_dedup._repeated(40)(batches(size)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert sorted(out) == [(4, 0, 4, True), (4, 45, 4, False), (5, 0, 5, True), (6, 0, 5, False), (6, 3, 4, False)]
+
+
 def test_short_paragraphs_match_brute_force(spark):
     """Lines of five words or more are paragraphs: equal and near copies below and across fifty words are found."""
     rng = random.Random(12)
