@@ -9,7 +9,6 @@ its characters, the span of the document that it came from, so every finding has
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -32,6 +31,9 @@ URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 UNICODE_ITEM = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines, indented or not; the lines need not be of one width.
+BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+BASE64_PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, n_decoded long"
 
 
@@ -67,40 +69,46 @@ def matches(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _inflate(data: bytes, most: int) -> bytes | None:
-    """What a compressed run holds; None if it is none, is broken, or holds more than `most` bytes."""
-    if data[:2] == b"\x1f\x8b":
-        engine = zlib.decompressobj(31)
-    elif len(data) > 2 and data[0] & 0x0F == 8 and (data[0] * 256 + data[1]) % 31 == 0:
-        engine = zlib.decompressobj(15)
-    elif data[:3] == b"BZh":
-        engine = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        engine = lzma.LZMADecompressor()
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
+def _engine(head: bytes):
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if len(head) > 2 and head[0] & 0x0F == 8 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj(15)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd":
         import zstandard
 
-        try:
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                out = reader.read(most + 1)
-            return out if len(out) <= most else None
-        except zstandard.ZstdError:
-            return None
-    else:
-        return None
-    try:
-        out = engine.decompress(data, most + 1)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
+        return zstandard.ZstdDecompressor().decompressobj()
+    return None
+
+
+def _inflate(data: bytes) -> tuple[bytes, int] | None:
+    """What a compressed run holds, up to its end or to where it breaks, and how many bytes of data were read."""
+    engine = _engine(data[:8])
+    if engine is None:
         return None
-    return out if len(out) <= most and engine.eof else None
+    out = []
+    for at in range(0, len(data), 1 << 12):
+        try:
+            out.append(engine.decompress(data[at : at + (1 << 12)]))
+        except Exception:  # each engine has errors of its own; what came before the break is kept
+            break
+        if getattr(engine, "eof", False):
+            break
+    plain = b"".join(out)
+    return (plain, len(data) - len(getattr(engine, "unused_data", b""))) if plain else None
+
+
+#: No secret, and no run that unwraps to one, is shorter than twelve characters.
+HOLDS = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
 
 
 def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+    """Bytes as text if a secret can stand in them, whatever stands around it."""
+    return data.decode("utf-8", "replace") if HOLDS.search(data) else None
 
 
 def _rewrite(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | None:
@@ -157,39 +165,99 @@ def _unicode(run: str) -> list[tuple[str, int]] | None:
     return None if pending else out
 
 
-def _base64(run: str, most: int) -> tuple[str, str] | None:
+def _plain(run: str) -> bytes:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    if (plain := _inflate(data, most)) is not None:
-        return (text, "base64/inflate") if (text := _readable(plain)) else None
+    body = body[:-1] if len(body) % 4 == 1 else body
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _base64(run: str) -> tuple[str, str] | None:
+    data = _plain(run)
+    if (got := _inflate(data)) is not None:
+        return (text, "base64/inflate") if (text := _readable(got[0])) else None
     return (text, "base64") if (text := _readable(data)) else None
 
 
-def unwrap(layer: Layer, most: int) -> list[Layer]:
+def _joined(layer: Layer, m: re.Match) -> list[Layer]:
+    """What a run wrapped over lines holds. A payload starts with some line, after which nothing is known of where it
+    ends: so the rest is decoded from the first line of each alignment, and inflated from each line that has the
+    head of a compressed stream. A character's span is that of the readable lines in a row which it is in."""
+    pieces = [(m.start() + p.start(), m.start() + p.end()) for p in BASE64_PIECE.finditer(m[0])]
+    lengths = np.array([b - a for a, b in pieces])
+    begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    body = "".join(layer.text[a:b] for a, b in pieces)
+    if len(body) < 16:
+        return []
+    end = m.end() + len(layer.text[m.end() : m.end() + 2]) - len(layer.text[m.end() : m.end() + 2].lstrip("="))
+    padded = end > m.end() or layer.text[m.end() - 1] == "="
+    loose = not padded and layer.text[m.end() : m.end() + 1].isspace() and layer.text[m.end()] not in "\r\n"
+    out, first = [], {}
+    for k, s in enumerate(begins.tolist()):
+        first.setdefault(s % 4, k)
+    for turn, k0 in first.items():
+        s0 = int(begins[k0])
+        data = _plain(body[s0:])
+        inner = [k for k in range(k0, len(pieces)) if begins[k] % 4 == turn]
+        for k in inner:
+            at = (int(begins[k]) - s0) // 4 * 3
+            if _engine(data[at : at + 8]) is not None and (got := _inflate(data[at:])) is not None and (text := _readable(got[0])):
+                last = int(np.searchsorted(begins, begins[k] + -(-got[1] * 4 // 3) - 1, side="right")) - 1
+                lo, hi = layer.span(pieces[k][0], end if last == len(pieces) - 1 else pieces[last][1])
+                out.append(Layer(text, np.full(len(text), lo), np.full(len(text), hi), f"{layer.route}base64/inflate/"))
+        if not HOLDS.search(data):
+            continue
+        # Byte i is in the characters from i * 8 // 6 to (i * 8 + 7) // 6.
+        of = np.arange(len(data))
+        head = np.searchsorted(begins, s0 + of * 8 // 6, side="right") - 1
+        tail = np.searchsorted(begins, s0 + (of * 8 + 7) // 6, side="right") - 1
+        raw = np.frombuffer(data, dtype=np.uint8)
+        good = ((raw >= 0x20) & (raw < 0x7F)) | (raw == 9) | (raw == 10) | (raw == 13)
+        n = np.bincount(head, minlength=len(pieces))
+        fine = np.bincount(head, weights=good, minlength=len(pieces)) > 0.8 * n
+        if loose:
+            fine[-1] = False
+        group = np.cumsum(np.concatenate([[True], ~(fine[1:] & fine[:-1])])) - 1
+        lo = np.array([pieces[i][0] for i in np.flatnonzero(np.diff(group, prepend=-1))])
+        hi = np.array([pieces[i][1] for i in np.flatnonzero(np.diff(group, append=group[-1] + 1))])
+        hi[-1] = max(hi[-1], end)
+        x, y = lo[group[head]], hi[group[tail]]
+        if layer.starts is not None:
+            spans = {(a, b): layer.span(a, b) for a, b in set(zip(x.tolist(), y.tolist(), strict=True))}
+            both = np.array([spans[p] for p in zip(x.tolist(), y.tolist(), strict=True)])
+            x, y = both[:, 0], both[:, 1]
+        out.append(Layer(data.decode("latin-1"), x, y, f"{layer.route}base64/"))
+    return out
+
+
+def unwrap(layer: Layer) -> list[Layer]:
     """The layers one decoding away."""
     out = []
     if "%" in layer.text and (child := _rewrite(layer, URL_RUN, _url, "url")):
         out.append(child)
     if ("\\" in layer.text or "&#" in layer.text) and (child := _rewrite(layer, UNICODE_RUN, _unicode, "unicode")):
         out.append(child)
+    taken, wrapped = [], [m for m in BASE64_LINES.finditer(layer.text)] if "\n" in layer.text else []
+    for m in wrapped:
+        taken.append(m.span())
+        out += _joined(layer, m)
+    at = 0
     for m in BASE64_RUN.finditer(layer.text):
-        if got := _base64(m[0], most):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if at < len(taken) and taken[at][0] <= m.start():
+            continue
+        if got := _base64(m[0]):
             lo, hi = layer.span(*m.span())
             n = len(got[0])
             out.append(Layer(got[0], np.full(n, lo), np.full(n, hi), f"{layer.route}{got[1]}/"))
     return out
 
 
-def scan(text: str, most: int = 1 << 24) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
+def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
     """Base spans, spans that only decoding shows (kind with its route), and the number of layers."""
     base = sorted(matches(text), key=lambda x: (x[1], KINDS.index(x[0])))
     found, seen = {(k, a, b) for k, a, b in base}, {text}
-    added, work, layers = set(), unwrap(Layer(text, None, None, ""), most), 1
+    added, work, layers = set(), unwrap(Layer(text, None, None, "")), 1
     while work:
         layer = work.pop()
         if layer.text in seen:
@@ -201,7 +269,7 @@ def scan(text: str, most: int = 1 << 24) -> tuple[list[tuple[str, int, int]], li
             if (kind, lo, hi) not in found:
                 found.add((kind, lo, hi))
                 added.add((layer.route + kind, lo, hi))
-        work += unwrap(layer, most)
+        work += unwrap(layer)
     return base, sorted(added, key=lambda x: (x[1], x[0], x[2])), layers
 
 
@@ -209,12 +277,12 @@ def _listed(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _run(most: int):
+def _run():
     def run(batches):
         for batch in batches:
             rows, texts = [], batch.column(1)
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                base, added, layers = scan(texts[i].as_py() or "", most)
+                base, added, layers = scan(texts[i].as_py() or "")
                 n = [sum(k == kind for k, _, _ in base) for kind in KINDS]
                 rank = {k: j for j, k in enumerate(KINDS)}
                 every = sorted([*base, *added], key=lambda x: (x[1], rank.get(x[0], len(rank)), x[0], x[2]))
@@ -227,22 +295,21 @@ def _run(most: int):
     return run
 
 
-def scan_secrets(docs: DataFrame, *, max_inflated_bytes: int = 1 << 24) -> DataFrame:
+def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row for each row of docs, repeated rows and null ids included; a null text counts as empty.
 
     base_sha256 is over the base spans, spans lists these and the decoded ones (kind with its route, such as
-    base64/assign). A text without findings has the digest of the empty string and empty spans. A compressed
-    run that holds more than max_inflated_bytes is left wrapped (a bomb); whole texts are read whatever their
-    length. Other columns are not read. An empty table gives no rows.
+    base64/assign). A text without findings has the digest of the empty string and empty spans. Compressed runs
+    are unwrapped and whole texts are read whatever their length. Other columns are not read. An empty table gives no rows.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_run(max_inflated_bytes), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_run(), SCHEMA)
 
 
-def _redact(column: int, most: int):
+def _redact(column: int):
     def redacted(text: str | None) -> str | None:
         if not text:
             return text
-        base, added, _ = scan(text, most)
+        base, added, _ = scan(text)
         out, at = [], 0
         for a, b in sorted((a, b) for _, a, b in [*base, *added]):
             if b > at:
@@ -259,7 +326,7 @@ def _redact(column: int, most: int):
     return run
 
 
-def redact_secrets(docs: DataFrame, *, max_inflated_bytes: int = 1 << 24) -> DataFrame:
+def redact_secrets(docs: DataFrame) -> DataFrame:
     """docs with every span found, plain or wrapped, replaced by [SECRET] in text; all else stays."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(_redact(docs.columns.index("text"), max_inflated_bytes), docs.schema)
+    return docs.mapInArrow(_redact(docs.columns.index("text")), docs.schema)

@@ -82,6 +82,30 @@ def test_secret_cycles_end():
     assert layers == 7 and added[-1][0].count("base64/") == 6
 
 
+@pytest.mark.parametrize("odd", ["\u00a0", "\u3000", "\u200b", "\u200d", "\f", "\0"])
+def test_secrets_beside_odd_characters(odd):
+    run = base64.b64encode(f"some{odd}text password = hunter22 end".encode()).decode()
+    assert secret_scan.scan(f"x {run} y")[1] == [("base64/assign", 2, 2 + len(run))]
+
+
+@pytest.mark.parametrize("width", [64, 75, 76])
+@pytest.mark.parametrize("packed", [False, True])
+def test_secrets_in_wrapped_base64(spark, width, packed):
+    rng = random.Random(width)
+    noise = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    for shift in range(48, 70):
+        plain = f"{noise(60)[:shift]} password = hunter2222 {noise(60)}".encode()
+        flat = base64.b64encode(gzip.compress(plain) if packed else plain).decode()
+        for sep in ("\n", "\r\n", "\n  "):
+            block = sep.join(flat[k : k + width] for k in range(0, len(flat), width))
+            text = f"Title:\n{block}\n\nthe end"
+            _, added, _ = secret_scan.scan(text)
+            assert added == [("base64/inflate/assign" if packed else "base64/assign", 7, 7 + len(block))]
+    red = secret_scan.redact_secrets(spark.createDataFrame([(1, text)], SCHEMA)).first()["text"]
+    assert red == "Title:\n[SECRET]\n\nthe end"
+    assert secret_scan.scan(f"-----BEGIN X-----\n{block}\n-----END X-----")[1]
+
+
 def test_licenses_match_sql(spark):
     rows = [*EDGES, (8, "This work is licensed under the GNU General Public License, version 3."), (9, "cc by cc-by CC BY-NC 4.0; licensed under CC BY-NC 4.0"), (10, "licensed under the (new) apache license version 2.0"), (11, "All rights reserved.\nK mit liKense")]
     docs = spark.createDataFrame(rows, SCHEMA)
