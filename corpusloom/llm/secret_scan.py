@@ -14,6 +14,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +35,8 @@ BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 over several lines, indented or not; the lines need not be of one width.
 BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 BASE64_PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Compressed runs are scanned in pieces; a secret of up to OVERLAP bytes stands whole in one of them.
+PIECE, OVERLAP = 1 << 24, 1 << 20
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, n_decoded long"
 
 
@@ -69,7 +72,8 @@ def matches(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _engine(head: bytes):
+def _engine(data: bytes):
+    head = data[:8]
     if head[:2] == b"\x1f\x8b":
         return zlib.decompressobj(31)
     if len(head) > 2 and head[0] & 0x0F == 8 and (head[0] * 256 + head[1]) % 31 == 0:
@@ -81,25 +85,49 @@ def _engine(head: bytes):
     if head[:4] == b"\x28\xb5\x2f\xfd":
         import zstandard
 
-        return zstandard.ZstdDecompressor().decompressobj()
+        return zstandard.ZstdDecompressor().stream_reader(data)
     return None
 
 
-def _inflate(data: bytes) -> tuple[bytes, int] | None:
-    """What a compressed run holds, up to its end or to where it breaks, and how many bytes of data were read."""
-    engine = _engine(data[:8])
+def _inflated(data: bytes) -> Iterator[tuple[bytes, int]]:
+    """What a compressed run holds, in parts of a megabyte at most, up to its end or to where it breaks; with each
+    part the bytes of data read so far. Nothing if it is none."""
+    most, engine = 1 << 20, _engine(data)
     if engine is None:
-        return None
-    out = []
-    for at in range(0, len(data), 1 << 12):
-        try:
-            out.append(engine.decompress(data[at : at + (1 << 12)]))
-        except Exception:  # each engine has errors of its own; what came before the break is kept
-            break
-        if getattr(engine, "eof", False):
-            break
-    plain = b"".join(out)
-    return (plain, len(data) - len(getattr(engine, "unused_data", b""))) if plain else None
+        return
+    try:
+        if not hasattr(engine, "eof"):
+            while out := engine.read(most):
+                yield out, len(data)
+            return
+        for at in range(0, len(data), 1 << 12):
+            left = data[at : at + (1 << 12)]
+            while not engine.eof:
+                out = engine.decompress(left, most)
+                left = getattr(engine, "unconsumed_tail", b"")
+                if out:
+                    yield out, min(at + (1 << 12), len(data)) - len(engine.unused_data)
+                if not left and (len(out) < most or getattr(engine, "needs_input", False)):
+                    break
+            if engine.eof:
+                return
+    except Exception:  # each engine has errors of its own; what came before the break is kept
+        return
+
+
+def _inflate(data: bytes) -> Iterator[tuple[bytes, int]]:
+    """The same in pieces of PIECE bytes, each of which begins with the last OVERLAP bytes of the one before."""
+    held, read = bytearray(), 0
+    fresh = False
+    for out, read in _inflated(data):
+        held += out
+        fresh = True
+        if len(held) >= PIECE:
+            yield bytes(held), read
+            del held[:-OVERLAP]
+            fresh = False
+    if fresh:
+        yield bytes(held), read
 
 
 #: No secret, and no run that unwraps to one, is shorter than twelve characters.
@@ -171,23 +199,31 @@ def _plain(run: str) -> bytes:
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def _base64(run: str) -> tuple[str, str] | None:
-    data = _plain(run)
-    if (got := _inflate(data)) is not None:
-        return (text, "base64/inflate") if (text := _readable(got[0])) else None
-    return (text, "base64") if (text := _readable(data)) else None
+def _constant(text: str, span: tuple[int, int], route: str) -> Layer:
+    """A layer all of whose characters came from one span."""
+    return Layer(text, np.broadcast_to(np.int64(span[0]), len(text)), np.broadcast_to(np.int64(span[1]), len(text)), route)
+
 
+def _unpacked(layer: Layer, data: bytes, bounds) -> Iterator[Layer]:
+    """Layers of what a compressed run holds, made as they are asked for; bounds gives the span of the bytes read."""
+    none = True
+    for plain, read in _inflate(data):
+        none = False
+        if text := _readable(plain):
+            yield _constant(text, bounds(read), f"{layer.route}base64/inflate/")
+    if none and (text := _readable(data)):  # only the head was that of a compressed stream
+        yield _constant(text, bounds(len(data)), f"{layer.route}base64/")
 
-def _joined(layer: Layer, m: re.Match) -> list[Layer]:
+
+def _joined(layer: Layer, m: re.Match) -> list[Layer | Iterator[Layer]]:
     """What a run wrapped over lines holds. A payload starts with some line, after which nothing is known of where it
     ends: so the rest is decoded from the first line of each alignment, and inflated from each line that has the
     head of a compressed stream. A character's span is that of the readable lines in a row which it is in."""
     pieces = [(m.start() + p.start(), m.start() + p.end()) for p in BASE64_PIECE.finditer(m[0])]
-    lengths = np.array([b - a for a, b in pieces])
-    begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     body = "".join(layer.text[a:b] for a, b in pieces)
     if len(body) < 16:
         return []
+    begins = np.concatenate([[0], np.cumsum([b - a for a, b in pieces])[:-1]])
     end = m.end() + len(layer.text[m.end() : m.end() + 2]) - len(layer.text[m.end() : m.end() + 2].lstrip("="))
     padded = end > m.end() or layer.text[m.end() - 1] == "="
     loose = not padded and layer.text[m.end() : m.end() + 1].isspace() and layer.text[m.end()] not in "\r\n"
@@ -200,10 +236,13 @@ def _joined(layer: Layer, m: re.Match) -> list[Layer]:
         inner = [k for k in range(k0, len(pieces)) if begins[k] % 4 == turn]
         for k in inner:
             at = (int(begins[k]) - s0) // 4 * 3
-            if _engine(data[at : at + 8]) is not None and (got := _inflate(data[at:])) is not None and (text := _readable(got[0])):
-                last = int(np.searchsorted(begins, begins[k] + -(-got[1] * 4 // 3) - 1, side="right")) - 1
-                lo, hi = layer.span(pieces[k][0], end if last == len(pieces) - 1 else pieces[last][1])
-                out.append(Layer(text, np.full(len(text), lo), np.full(len(text), hi), f"{layer.route}base64/inflate/"))
+            if _engine(data[at : at + 8]) is not None:
+
+                def bounds(read: int, k=k) -> tuple[int, int]:
+                    last = int(np.searchsorted(begins, begins[k] + -(-read * 4 // 3) - 1, side="right")) - 1
+                    return layer.span(pieces[k][0], end if last == len(pieces) - 1 else pieces[last][1])
+
+                out.append(_unpacked(layer, data[at:], bounds))
         if not HOLDS.search(data):
             continue
         # Byte i is in the characters from i * 8 // 6 to (i * 8 + 7) // 6.
@@ -229,14 +268,14 @@ def _joined(layer: Layer, m: re.Match) -> list[Layer]:
     return out
 
 
-def unwrap(layer: Layer) -> list[Layer]:
-    """The layers one decoding away."""
+def unwrap(layer: Layer) -> list[Layer | Iterator[Layer]]:
+    """The layers one decoding away; those of a compressed run as an iterator."""
     out = []
     if "%" in layer.text and (child := _rewrite(layer, URL_RUN, _url, "url")):
         out.append(child)
     if ("\\" in layer.text or "&#" in layer.text) and (child := _rewrite(layer, UNICODE_RUN, _unicode, "unicode")):
         out.append(child)
-    taken, wrapped = [], [m for m in BASE64_LINES.finditer(layer.text)] if "\n" in layer.text else []
+    taken, wrapped = [], [m for m in BASE64_LINES.finditer(layer.text) if m.end() - m.start() > 16] if "\n" in layer.text else []
     for m in wrapped:
         taken.append(m.span())
         out += _joined(layer, m)
@@ -246,23 +285,30 @@ def unwrap(layer: Layer) -> list[Layer]:
             at += 1
         if at < len(taken) and taken[at][0] <= m.start():
             continue
-        if got := _base64(m[0]):
-            lo, hi = layer.span(*m.span())
-            n = len(got[0])
-            out.append(Layer(got[0], np.full(n, lo), np.full(n, hi), f"{layer.route}{got[1]}/"))
+        data = _plain(m[0])
+        if _engine(data) is not None:
+            out.append(_unpacked(layer, data, lambda _, span=layer.span(*m.span()): span))
+        elif text := _readable(data):
+            out.append(_constant(text, layer.span(*m.span()), f"{layer.route}base64/"))
     return out
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
     """Base spans, spans that only decoding shows (kind with its route), and the number of layers."""
     base = sorted(matches(text), key=lambda x: (x[1], KINDS.index(x[0])))
-    found, seen = {(k, a, b) for k, a, b in base}, {text}
+    known = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    found, seen = {(k, a, b) for k, a, b in base}, {known(text)}
     added, work, layers = set(), unwrap(Layer(text, None, None, "")), 1
     while work:
         layer = work.pop()
-        if layer.text in seen:
+        if not isinstance(layer, Layer):
+            if (first := next(layer, None)) is None:
+                continue
+            work.append(layer)
+            layer = first
+        if (name := known(layer.text)) in seen:
             continue
-        seen.add(layer.text)
+        seen.add(name)
         layers += 1
         for kind, a, b in matches(layer.text):
             lo, hi = layer.span(a, b)
@@ -300,7 +346,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     base_sha256 is over the base spans, spans lists these and the decoded ones (kind with its route, such as
     base64/assign). A text without findings has the digest of the empty string and empty spans. Compressed runs
-    are unwrapped and whole texts are read whatever their length. Other columns are not read. An empty table gives no rows.
+    are unwrapped piece by piece, whatever they hold, and whole texts are read whatever their length. Other columns are not read. An empty table gives no rows.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_run(), SCHEMA)
 

@@ -1,7 +1,9 @@
 """Packing, secrets, licences, quality, decontamination, tokens, surrogates, paragraphs, vectors on small fixtures."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import zlib
 
@@ -106,6 +108,17 @@ def test_secrets_in_wrapped_base64(spark, width, packed):
     assert secret_scan.scan(f"-----BEGIN X-----\n{block}\n-----END X-----")[1]
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_secrets_in_large_compressed_runs(pack):
+    """A run that holds more than 16 MiB is scanned to its end, and so is one whose stream is cut off."""
+    text = b"line of a log\n" * 1_300_000 + b"password = hunter22\n"
+    run = base64.b64encode(pack(text)).decode()
+    assert secret_scan.scan(f"x {run} y")[1] == [("base64/inflate/assign", 2, 2 + len(run))]
+    rng = random.Random(4)
+    cut = base64.b64encode(pack(b"password = hunter22\n" + rng.randbytes(2_000_000))[:-30]).decode()
+    assert secret_scan.scan(f"x {cut} y")[1][0][0] == "base64/inflate/assign"
+
+
 def test_licenses_match_sql(spark):
     rows = [*EDGES, (8, "This work is licensed under the GNU General Public License, version 3."), (9, "cc by cc-by CC BY-NC 4.0; licensed under CC BY-NC 4.0"), (10, "licensed under the (new) apache license version 2.0"), (11, "All rights reserved.\nK mit liKense")]
     docs = spark.createDataFrame(rows, SCHEMA)
