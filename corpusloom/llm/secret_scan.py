@@ -204,14 +204,18 @@ def _constant(text: str, span: tuple[int, int], route: str) -> Layer:
     return Layer(text, np.broadcast_to(np.int64(span[0]), len(text)), np.broadcast_to(np.int64(span[1]), len(text)), route)
 
 
-def _unpacked(layer: Layer, data: bytes, bounds) -> Iterator[Layer]:
+def _unpacked(layer: Layer, data: bytes, bounds, raw: bool = True) -> Iterator[Layer]:
     """Layers of what a compressed run holds, made as they are asked for; bounds gives the span of the bytes read."""
     none = True
     for plain, read in _inflate(data):
         none = False
         if text := _readable(plain):
             yield _constant(text, bounds(read), f"{layer.route}base64/inflate/")
-    if none and (text := _readable(data)):  # only the head was that of a compressed stream
+    try:
+        none = none or bool(data.decode("utf-8"))
+    except UnicodeDecodeError:
+        pass
+    if raw and none and (text := _readable(data)):  # only the head was that of a compressed stream
         yield _constant(text, bounds(len(data)), f"{layer.route}base64/")
 
 
@@ -242,7 +246,7 @@ def _joined(layer: Layer, m: re.Match) -> list[Layer | Iterator[Layer]]:
                     last = int(np.searchsorted(begins, begins[k] + -(-read * 4 // 3) - 1, side="right")) - 1
                     return layer.span(pieces[k][0], end if last == len(pieces) - 1 else pieces[last][1])
 
-                out.append(_unpacked(layer, data[at:], bounds))
+                out.append(_unpacked(layer, data[at:], bounds, False))
         if not HOLDS.search(data):
             continue
         # Byte i is in the characters from i * 8 // 6 to (i * 8 + 7) // 6.

@@ -114,6 +114,8 @@ def test_secrets_in_large_compressed_runs(pack):
     text = b"line of a log\n" * 1_300_000 + b"password = hunter22\n"
     run = base64.b64encode(pack(text)).decode()
     assert secret_scan.scan(f"x {run} y")[1] == [("base64/inflate/assign", 2, 2 + len(run))]
+    headed = base64.b64encode(b"x password = hunter22 end").decode()  # as a zlib stream begins
+    assert secret_scan.scan(headed)[1] == [("base64/assign", 0, len(headed))]
     rng = random.Random(4)
     cut = base64.b64encode(pack(b"password = hunter22\n" + rng.randbytes(2_000_000))[:-30]).decode()
     assert secret_scan.scan(f"x {cut} y")[1][0][0] == "base64/inflate/assign"
