@@ -52,3 +52,8 @@ def test_others_run(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_hashing_embed_takes_every_document(spark):
+    got = __spark_entry__.queries()["hashing_embed"](spark, SF)
+    assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
