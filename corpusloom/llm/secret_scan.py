@@ -2,8 +2,10 @@
 
 A document starts a worklist of layers. Each layer is scanned for secrets; then its URL escapes, Unicode
 escapes, base64 runs and compressed base64 runs are unwrapped into further layers, until no layer is new.
-Layers are known by their text, so a cycle (a compressed quine, say) ends. Each layer keeps, for every one of
-its characters, the span of the document that it came from, so every finding has a span of the document.
+A layer is known by its text and by where its characters stand in the document, so the same run in two places
+is two layers, and a cycle (a compressed quine, say), which stays in its place, ends. Each layer keeps, for
+every one of its characters, the span of the document that it came from, so every finding has a span of the
+document. What a decoded run holds is worked out once for each text and put at each place that shows it.
 """
 
 from __future__ import annotations
@@ -29,11 +31,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs are maximal, so asking for the least length at once finds the same spans as dropping short runs after.
 HEX = re.compile(r"[0-9a-f]{24,}")
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
-UNICODE_ITEM = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+UNICODE_ITEM = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)+")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 over several lines, indented or not; the lines need not be of one width.
 BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+#: What may stand between a name and a payload within one run.
+GLUE = re.compile(r"[_/+-]")
 BASE64_PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
 #: Compressed runs are scanned in pieces; a secret of up to OVERLAP bytes stands whole in one of them.
 PIECE, OVERLAP = 1 << 24, 1 << 20
@@ -54,6 +58,12 @@ class Layer:
             return a, b
         return int(self.starts[a:b].min()), int(self.ends[a:b].max())
 
+    def one_place(self) -> tuple[int, int] | None:
+        """The span that all characters share, if they do."""
+        if self.starts is None or not len(self.starts) or self.starts.strides != (0,) or self.ends.strides != (0,):
+            return None
+        return int(self.starts[0]), int(self.ends[0])
+
     def maps(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         if self.starts is None:
             return np.arange(a, b), np.arange(a + 1, b + 1)
@@ -72,6 +82,10 @@ def matches(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+#: How compressed streams begin; zlib's two bytes, which text may begin with as well, are told by _engine.
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+
+
 def _engine(data: bytes):
     head = data[:8]
     if head[:2] == b"\x1f\x8b":
@@ -85,34 +99,34 @@ def _engine(data: bytes):
     if head[:4] == b"\x28\xb5\x2f\xfd":
         import zstandard
 
-        return zstandard.ZstdDecompressor().stream_reader(data)
+        return zstandard.ZstdDecompressor().decompressobj()
     return None
 
 
 def _inflated(data: bytes) -> Iterator[tuple[bytes, int]]:
-    """What a compressed run holds, in parts of a megabyte at most, up to its end or to where it breaks; with each
-    part the bytes of data read so far. Nothing if it is none."""
-    most, engine = 1 << 20, _engine(data)
-    if engine is None:
-        return
-    try:
-        if not hasattr(engine, "eof"):
-            while out := engine.read(most):
-                yield out, len(data)
+    """What a compressed run holds, in parts of a megabyte at most where the engine allows it, up to its end or to
+    where it breaks; with each part the bytes of data read so far. Streams laid end to end (the members of a gzip
+    file, say) are read one after another. Nothing if it is none."""
+    most, base = 1 << 20, 0
+    while (engine := _engine(data[base : base + 8])) is not None:
+        fed, bounded = base, not type(engine).__name__.startswith("Zstd")
+        try:
+            while fed < len(data) and not engine.eof:
+                left = data[fed : fed + (1 << 12)]
+                fed += len(left)
+                while not engine.eof:
+                    out = engine.decompress(left, most) if bounded else engine.decompress(left)
+                    left = getattr(engine, "unconsumed_tail", b"") if bounded else b""
+                    if out:
+                        yield out, fed - len(engine.unused_data)
+                    if not left and (not bounded or len(out) < most or getattr(engine, "needs_input", False)):
+                        break
+        except Exception:  # each engine has errors of its own; what came before the break is kept
             return
-        for at in range(0, len(data), 1 << 12):
-            left = data[at : at + (1 << 12)]
-            while not engine.eof:
-                out = engine.decompress(left, most)
-                left = getattr(engine, "unconsumed_tail", b"")
-                if out:
-                    yield out, min(at + (1 << 12), len(data)) - len(engine.unused_data)
-                if not left and (len(out) < most or getattr(engine, "needs_input", False)):
-                    break
-            if engine.eof:
-                return
-    except Exception:  # each engine has errors of its own; what came before the break is kept
-        return
+        if not engine.eof:
+            return
+        base = fed - len(engine.unused_data)
+        base += len(data[base : base + 512]) - len(data[base : base + 512].lstrip(b"\0"))  # padding between members
 
 
 def _inflate(data: bytes) -> Iterator[tuple[bytes, int]]:
@@ -176,7 +190,7 @@ def _url(run: str) -> list[tuple[str, int]] | None:
 def _unicode(run: str) -> list[tuple[str, int]] | None:
     out, pending = [], None
     for m in UNICODE_ITEM.finditer(run):
-        code = int(m[3]) if m[3] else int(m[1] or m[2] or m[4], 16)
+        code = int(m[6]) if m[6] else int(next(g for g in m.groups() if g), 16)
         width = m.end() - m.start()
         if pending is not None:
             if 0xDC00 <= code < 0xE000:
@@ -193,8 +207,9 @@ def _unicode(run: str) -> list[tuple[str, int]] | None:
     return None if pending else out
 
 
-def _plain(run: str) -> bytes:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+def _plain(run: str, skip: int = 0) -> bytes:
+    """The bytes of a base64 run from one of its four alignments on; of either alphabet, padded or not."""
+    body = run.rstrip("=")[skip:].replace("-", "+").replace("_", "/")
     body = body[:-1] if len(body) % 4 == 1 else body
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
@@ -219,10 +234,17 @@ def _unpacked(layer: Layer, data: bytes, bounds, raw: bool = True) -> Iterator[L
         yield _constant(text, bounds(len(data)), f"{layer.route}base64/")
 
 
+def _stream_starts(data: bytes, run: str, skip: int) -> set[int]:
+    """Where in the bytes of a run, read from character `skip` on, a compressed stream may begin: at the head of
+    one, or after a character that glues a name to a payload."""
+    glued = {(m.end() - skip) // 4 * 3 for m in GLUE.finditer(run) if m.end() >= skip and (m.end() - skip) % 4 == 0}
+    return {m.start() for m in MAGIC.finditer(data)} | {at for at in glued if _engine(data[at : at + 8]) is not None}
+
+
 def _joined(layer: Layer, m: re.Match) -> list[Layer | Iterator[Layer]]:
-    """What a run wrapped over lines holds. A payload starts with some line, after which nothing is known of where it
-    ends: so the rest is decoded from the first line of each alignment, and inflated from each line that has the
-    head of a compressed stream. A character's span is that of the readable lines in a row which it is in."""
+    """What a run wrapped over lines holds. A payload may start with any line, or within the first where a name is
+    glued to it: so all four alignments are decoded, and inflated from each place that has the head of a compressed
+    stream. A character's span is that of the readable lines in a row which it is in."""
     pieces = [(m.start() + p.start(), m.start() + p.end()) for p in BASE64_PIECE.finditer(m[0])]
     body = "".join(layer.text[a:b] for a, b in pieces)
     if len(body) < 16:
@@ -231,28 +253,25 @@ def _joined(layer: Layer, m: re.Match) -> list[Layer | Iterator[Layer]]:
     end = m.end() + len(layer.text[m.end() : m.end() + 2]) - len(layer.text[m.end() : m.end() + 2].lstrip("="))
     padded = end > m.end() or layer.text[m.end() - 1] == "="
     loose = not padded and layer.text[m.end() : m.end() + 1].isspace() and layer.text[m.end()] not in "\r\n"
-    out, first = [], {}
-    for k, s in enumerate(begins.tolist()):
-        first.setdefault(s % 4, k)
-    for turn, k0 in first.items():
-        s0 = int(begins[k0])
-        data = _plain(body[s0:])
-        inner = [k for k in range(k0, len(pieces)) if begins[k] % 4 == turn]
-        for k in inner:
-            at = (int(begins[k]) - s0) // 4 * 3
-            if _engine(data[at : at + 8]) is not None:
-
-                def bounds(read: int, k=k) -> tuple[int, int]:
-                    last = int(np.searchsorted(begins, begins[k] + -(-read * 4 // 3) - 1, side="right")) - 1
-                    return layer.span(pieces[k][0], end if last == len(pieces) - 1 else pieces[last][1])
-
-                out.append(_unpacked(layer, data[at:], bounds, False))
+    line_of = lambda char: np.searchsorted(begins, char, side="right") - 1
+    out = []
+    for skip in range(4):
+        data = _plain(body, skip)
+        lines = {(s - skip) // 4 * 3 for s in begins.tolist() if s >= skip and (s - skip) % 4 == 0}
+        heads = {at for at in lines if _engine(data[at : at + 8]) is not None}
+        for at in sorted(heads | _stream_starts(data, body[: len(body) if len(pieces) == 1 else int(begins[1])], skip)):
+            first = skip + at * 8 // 6
+
+            def bounds(read: int, first=first) -> tuple[int, int]:
+                last = int(line_of(first - (-read * 4 // 3) - 1))
+                return layer.span(pieces[int(line_of(first))][0], end if last >= len(pieces) - 1 else pieces[last][1])
+
+            out.append(_unpacked(layer, data[at:], bounds, False))
         if not HOLDS.search(data):
             continue
         # Byte i is in the characters from i * 8 // 6 to (i * 8 + 7) // 6.
         of = np.arange(len(data))
-        head = np.searchsorted(begins, s0 + of * 8 // 6, side="right") - 1
-        tail = np.searchsorted(begins, s0 + (of * 8 + 7) // 6, side="right") - 1
+        head, tail = line_of(skip + of * 8 // 6), line_of(skip + (of * 8 + 7) // 6)
         raw = np.frombuffer(data, dtype=np.uint8)
         good = ((raw >= 0x20) & (raw < 0x7F)) | (raw == 9) | (raw == 10) | (raw == 13)
         n = np.bincount(head, minlength=len(pieces))
@@ -289,36 +308,82 @@ def unwrap(layer: Layer) -> list[Layer | Iterator[Layer]]:
             at += 1
         if at < len(taken) and taken[at][0] <= m.start():
             continue
-        data = _plain(m[0])
-        if _engine(data) is not None:
-            out.append(_unpacked(layer, data, lambda _, span=layer.span(*m.span()): span))
-        elif text := _readable(data):
-            out.append(_constant(text, layer.span(*m.span()), f"{layer.route}base64/"))
+        out += _run_layers(layer, m[0], layer.span(*m.span()))
     return out
 
 
+def _run_layers(layer: Layer, run: str, span: tuple[int, int]) -> Iterator[Layer | Iterator[Layer]]:
+    """What a run on one line holds. A name may be glued to a payload (blob_UGFz...), so all four alignments are
+    read: some one of them has the payload's bytes right, with odd ones before it."""
+    for skip in range(4):
+        data = _plain(run, skip)
+        if len(data) < 9:
+            continue
+        if whole := skip == 0 and _engine(data) is not None:
+            yield _unpacked(layer, data, lambda _: span)
+            if next(_inflated(data), None):  # a stream from end to end; what other alignments show of it is chance
+                return
+        elif text := _readable(data):
+            yield _constant(text, span, f"{layer.route}base64/")
+        for at in sorted(_stream_starts(data, run, skip) - ({0} if whole else set())):
+            yield _unpacked(layer, data[at:], lambda _: span, False)
+
+
+def _known(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _layers(work: list[Layer | Iterator[Layer]]) -> Iterator[Layer]:
+    """The layers on a stack, those of a compressed run one by one; what is pushed meanwhile goes first."""
+    while work:
+        top = work.pop()
+        if isinstance(top, Layer):
+            yield top
+        elif (first := next(top, None)) is not None:
+            work.append(top)
+            yield first
+
+
+def _within(text: str, memo: dict[bytes, tuple[frozenset[str], int]]) -> tuple[frozenset[str], int]:
+    """(kinds with their routes, layers) of a text that stands in one place as a whole, with all that it unwraps to."""
+    if (name := _known(text)) in memo:
+        return memo[name]
+    kinds, seen, work = set(), set(), [_constant(text, (0, 1), "")]
+    for layer in _layers(work):
+        if (own := _known(layer.text)) not in seen:
+            seen.add(own)
+            kinds |= {layer.route + k for k, _, _ in matches(layer.text)}
+            work += unwrap(layer)
+    memo[name] = frozenset(kinds), len(seen)
+    return memo[name]
+
+
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
     """Base spans, spans that only decoding shows (kind with its route), and the number of layers."""
     base = sorted(matches(text), key=lambda x: (x[1], KINDS.index(x[0])))
-    known = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-    found, seen = {(k, a, b) for k, a, b in base}, {known(text)}
+    found, seen, memo = set(base), set(), {}
     added, work, layers = set(), unwrap(Layer(text, None, None, "")), 1
-    while work:
-        layer = work.pop()
-        if not isinstance(layer, Layer):
-            if (first := next(layer, None)) is None:
-                continue
-            work.append(layer)
-            layer = first
-        if (name := known(layer.text)) in seen:
+
+    def note(route: str, kind: str, lo: int, hi: int) -> None:
+        if (kind, lo, hi) not in found:
+            found.add((kind, lo, hi))
+            added.add((route + kind, lo, hi))
+
+    for layer in _layers(work):
+        place = layer.one_place()
+        if (name := (_known(layer.text), place or (layer.starts.tobytes(), layer.ends.tobytes()))) in seen:
             continue
         seen.add(name)
+        if place:
+            kinds, n = _within(layer.text, memo)
+            layers += n
+            for kind in sorted(kinds, key=lambda k: (k.count("/"), k)):
+                route, _, own = kind.rpartition("/")
+                note(layer.route + route + "/" * bool(route), own, *place)
+            continue
         layers += 1
         for kind, a, b in matches(layer.text):
-            lo, hi = layer.span(a, b)
-            if (kind, lo, hi) not in found:
-                found.add((kind, lo, hi))
-                added.add((layer.route + kind, lo, hi))
+            note(layer.route, kind, *layer.span(a, b))
         work += unwrap(layer)
     return base, sorted(added, key=lambda x: (x[1], x[0], x[2])), layers
 

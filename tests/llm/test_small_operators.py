@@ -5,6 +5,7 @@ import bz2
 import gzip
 import lzma
 import random
+import re
 import zlib
 
 import duckdb
@@ -84,6 +85,75 @@ def test_secret_cycles_end():
     assert layers == 7 and added[-1][0].count("base64/") == 6
 
 
+def test_secrets_of_repeated_runs_are_all_found(spark):
+    """The same run in two places gives two spans, plain, nested and compressed; redaction leaves neither."""
+    for run in (b64 := base64.b64encode(b"password=hunter2222").decode(), base64.b64encode(b64.encode()).decode(), base64.b64encode(gzip.compress(b"password=hunter2222")).decode()):
+        text = f"x {run} y {run} z"
+        spans = [(a, b) for _, a, b in secret_scan.scan(text)[1]]
+        assert spans == [(2, 2 + len(run)), (5 + len(run), 5 + 2 * len(run))]
+        assert secret_scan.redact_secrets(spark.createDataFrame([(1, text)], SCHEMA)).first()["text"] == "x [SECRET] y [SECRET] z"
+    twice = base64.b64encode(f"{b64} and {b64}".encode()).decode()
+    assert [s[1:] for s in secret_scan.scan(f"{twice} {b64}")[1]] == [(0, len(twice)), (len(twice) + 1, len(twice) + 1 + len(b64))]
+
+
+def test_secrets_in_joined_streams_and_behind_names():
+    import zstandard
+
+    plain, secret = b"nothing to see here, move along", b"some text password = hunter22 end"
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
+        run = base64.b64encode(pack(plain) + pack(secret)).decode()
+        assert secret_scan.scan(run)[1] == [("base64/inflate/assign", 0, len(run.rstrip("=")) + run.count("="))]
+        for name in ("blob_", "a/", "key-x_", "data+", "q"):
+            glued = name + base64.b64encode(pack(secret)).decode()
+            found = secret_scan.scan(f"x {glued}")[1]
+            assert found == [("base64/inflate/assign", 2, 2 + len(glued))] or (name == "q" and pack is zlib.compress)
+    for name in ("blob_", "a/", "key-x_", "data+", "q", "ab", "abc"):
+        glued = name + base64.b64encode(secret).decode()
+        assert secret_scan.scan(f"x {glued}")[1] == [("base64/assign", 2, 2 + len(glued))]
+    assert secret_scan.scan("\\U00000074oken: abcdef1")[1] == [("unicode/assign", 0, 23)] and secret_scan.scan("\\u{74}oken: abcdef1")[1] == [("unicode/assign", 0, 19)]
+
+
+def test_base_spans_match_a_plain_scanner():
+    """Against a scanner that tries every place by itself, without hints or least lengths in the patterns."""
+    rng = random.Random(21)
+    parts = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", "=", ": ", " := ", "'", '"', " ", "AKIA", "AKIAABCD", "0123456789abcdef", "deadbeef", "Zz+/_.-", "x", "\n", "é", "K"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(40)))
+        want = []
+        for kind, pattern, group, least in (("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6), ("access", r"(AKIA[A-Z0-9]+)", 1, 20), ("hex", r"([0-9a-f]+)", 1, 24)):
+            at = 0
+            while at < len(text):
+                m = re.compile(pattern, re.ASCII).match(text, at)
+                if m and len(m[group]) >= least:
+                    want.append((kind, m.start(), m.end()))
+                at = m.end() if m else at + 1
+        assert sorted(secret_scan.matches(text)) == sorted(want)
+
+
+def test_nested_layers_at_random(spark):
+    """Planted secrets under random layers: each planted place is covered by a span, and redaction leaves no secret."""
+    rng = random.Random(31)
+    wraps = {
+        "url": lambda t: "".join(f"%{b:02X}" for b in t.encode()), "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t), "entity": lambda t: "".join(f"&#{ord(c)};" for c in t),
+        "base64": lambda t: base64.b64encode(t.encode()).decode(), "gzip": lambda t: base64.b64encode(gzip.compress(t.encode())).decode(), "lzma": lambda t: base64.b64encode(lzma.compress(t.encode())).decode(),
+        "glued": lambda t: "id_" + base64.b64encode(t.encode()).decode(), "twice": lambda t: base64.b64encode(f"see {t} or {t}".encode()).decode(),
+    }
+    for _ in range(60):
+        text, places, used = "", [], []
+        for _ in range(rng.randint(1, 4)):
+            run = f"password=hunt{rng.randrange(10**6):06d}"
+            route = [rng.choice(sorted(wraps)) for _ in range(rng.randint(1, 4))]
+            for name in route:
+                run = wraps[name](run)
+            text += rng.choice([" ", "\n\n", " - "]) + "words "
+            for _ in range(rng.randint(1, 2)):
+                places.append((len(text), len(text) + len(run), route))
+                text += run + " "
+        spans = [(a, b) for _, a, b in secret_scan.scan(text)[1]]
+        for a, b, route in places:
+            assert any(x <= a + 8 and b - 3 <= y for x, y in spans), (route, a, b, spans)
+
+
 @pytest.mark.parametrize("odd", ["\u00a0", "\u3000", "\u200b", "\u200d", "\f", "\0"])
 def test_secrets_beside_odd_characters(odd):
     run = base64.b64encode(f"some{odd}text password = hunter22 end".encode()).decode()
