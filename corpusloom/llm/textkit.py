@@ -23,6 +23,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _BYTE_OF_WORD = np.where(SPACE, _U(0), _BYTE[LOWER])
+#: Apart from words of letters and digits: every ASCII character that is neither a digit nor a small letter.
+MARKS = np.zeros(256, dtype=bool)
+MARKS[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
+_BYTE_OF_TERM = np.where(MARKS, _U(0), _BYTE)
 _ROOT, _BACK = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
 _PLACE = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6E6877736C46E3, 0x2D358DCCAA6C78A5], dtype=_U)
 _POWERS: dict[int, np.ndarray] = {}
@@ -37,12 +41,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs free of white space, A-Z lower-cased) of texts laid end to end in data, and the
-    number of the first word of each text (with the total as the last entry)."""
+def word_hashes(data: np.ndarray, bounds: np.ndarray, terms: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (runs free of white space, A-Z lower-cased; with terms, runs free of MARKS, as they are)
+    of texts laid end to end in data, and the number of the first word of each text (with the total as the last
+    entry)."""
     if not len(data):
         return np.zeros(0, dtype=_U), np.zeros(len(bounds), dtype=np.int64)
-    solid = ~SPACE[data]
+    solid = ~(MARKS if terms else SPACE)[data]
     first = np.zeros(len(data) + 1, dtype=bool)
     first[bounds] = True
     starts = solid.copy()
@@ -51,7 +56,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     ends[:-1] &= ~solid[1:] | first[1:-1]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     total = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum(_BYTE_OF_WORD[data] * _powers(_ROOT, len(data))[: len(data)], out=total[1:])
+    np.cumsum((_BYTE_OF_TERM if terms else _BYTE_OF_WORD)[data] * _powers(_ROOT, len(data))[: len(data)], out=total[1:])
     return mix((total[e] - total[s]) * _powers(_BACK, len(data))[s]), np.searchsorted(s, bounds)
 
 

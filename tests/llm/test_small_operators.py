@@ -245,6 +245,50 @@ def test_decontamination(spark):
     assert decontaminate.find_contamination(edges(spark), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("radius", [0, 5, 30, 40, 44])
+def test_block_index_finds_all_within_the_radius(radius):
+    rng = np.random.default_rng(radius)
+    items = rng.integers(0, 2**63, (70, 2), dtype=np.uint64)
+    flipped = np.unpackbits(items[rng.integers(70, size=300)].view(np.uint8), axis=1)
+    for row in flipped:
+        row[rng.permutation(128)[: rng.integers(0, 50)]] ^= 1
+    queries = np.concatenate([np.packbits(flipped, axis=1).view(np.uint64), rng.integers(0, 2**63, (300, 2), dtype=np.uint64)])
+    index = decontaminate.BlockIndex(items, radius)
+    assert sum(t + 1 for t in decontaminate.flips(radius)) == radius + 1 and sum(decontaminate.WIDTHS) == decontaminate.BITS
+    d = np.bitwise_count(queries[:, None, :] ^ items[None, :, :]).sum(axis=2)
+    assert {(q, i, int(d[q, i])) for q, i in np.argwhere(d <= radius).tolist()} == {tuple(map(int, x)) for x in zip(*index.within(queries), strict=True)}
+    assert len(index.candidates(queries)[0]) < queries.shape[0] * 70
+
+
+def test_contamination_steps(spark):
+    """What each step looks at: all windows of the items' sizes, fingerprints of few, comparisons of fewer; and the
+    same findings as from comparing every window, for long texts, ties, repeated items and clashing columns."""
+    rng = random.Random(17)
+    words = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    items = [(i, " ".join(words(n))) for i, n in enumerate([15, 15, 22, 40, 41, 4])]
+    items += [(7, items[3][1]), (None, items[0][1]), (0, items[0][1])]
+    change = lambda t, k: " ".join(w if j % 17 or not k else "zz" for j, w in enumerate(t.split(), 1))
+    texts = [" ".join([*words(40), change(items[rng.randrange(6)][1], k % 3), *words(9), items[k % 6][1].upper() + "!", *words(3000 if k == 5 else 30)]) for k in range(12)]
+    texts += [items[3][1] + " and " + items[3][1], " ".join(items[3][1].split()[:38]), "", None, "one", *[" ".join(words(60)) for _ in range(30)]]
+    bench = decontaminate.Benchmark([(i, t) for i, t in items], 40, 0.8)
+    got = bench.match(texts)
+    want = []
+    for t in texts:
+        w, best = decontaminate.words_of(t), {}
+        for i, ws in bench.items:
+            for s in range(max(1, len(w) - len(ws) + 1)) if w else []:
+                v = decontaminate.similarity(decontaminate.shingles(w[s : s + len(ws)]), decontaminate.shingles(list(ws)))
+                if v >= 0.8 and (i not in best or v > best[i][1]):
+                    best[i] = (s, v)
+        want.append({(i, s, round(v, 9)) for i, (s, v) in best.items()})
+    assert [{(m[0], m[1], round(m[4], 9)) for m in found} for found in got] == want and sum(map(len, want)) > 20
+    seen = bench.seen
+    assert seen["windows"] >= sum(max(1, len(decontaminate.words_of(t)) - 3) for t in texts) and seen["compared"] < seen["fingerprints"] < seen["windows"] / 3
+    docs = spark.createDataFrame([(k, t, "x", 3) for k, t in enumerate(texts)], "doc_id long, text string, item_id string, similarity int")
+    kept = decontaminate.drop_contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, f in enumerate(want) if not f}
+
+
 def test_token_tree_equals_full_pass(spark):
     path, rng = default_vocabulary(), random.Random(5)
     enc, letters = encoder(path), "ab c'st \n\n  12é日本,.!?'ll x"
