@@ -31,7 +31,7 @@ WIDTHS = (12, 12, 12, 12, 12, 12, 12, 11, 11, 11, 11)
 SCHEMA = "doc_id long, item_id long, first_word long, n_words long, hamming int, similarity double"
 _SALTS = mix(np.arange(71, 73, dtype=_U))
 #: Windows that are fingerprinted at once start within so many words.
-STRETCH = 1 << 14
+STRETCH = 1 << 16
 
 
 def words_of(text: str | None) -> list[str]:
@@ -91,12 +91,17 @@ def bits_of(hashes: np.ndarray) -> np.ndarray:
     return np.stack([mix(hashes ^ s) for s in _SALTS], axis=1)
 
 
-def fingerprints(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """SimHash, as two words, of each run [start, end) of weighted shingles, by rolling sums of their signs."""
+def rolling_signs(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Running sums, from zero on, of the weighted signs of each shingle's bits."""
     signs = np.unpackbits(bits_of(hashes).view(np.uint8), axis=1).astype(np.int32) * 2 - 1
     sums = np.zeros((len(hashes) + 1, BITS), dtype=np.int32)
     np.cumsum(signs * weights[:, None], axis=0, out=sums[1:])
-    return np.packbits(sums[ends] - sums[starts] > 0, axis=1).view(_U)
+    return sums
+
+
+def fingerprints(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """SimHash, as two words, of each run [start, end) of shingles."""
+    return np.packbits(sums[ends] > sums[starts], axis=1).view(_U)
 
 
 def blocks_of_bits(prints: np.ndarray) -> list[np.ndarray]:
@@ -163,7 +168,7 @@ class Benchmark:
     @staticmethod
     def _print(words: np.ndarray) -> np.ndarray:
         value, distinct = hashed_shingles(words, min(SHINGLE, len(words)))
-        return fingerprints(value, distinct, np.array([0]), np.array([len(value)]))
+        return fingerprints(rolling_signs(value, distinct), np.array([0]), np.array([len(value)]))
 
     def windows(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(size, starts, fingerprints) of the windows of each item's size that may reach the least similarity. A
@@ -177,14 +182,15 @@ class Benchmark:
         for k in range(1, SHINGLE):
             whole &= known[k : k + m]
         balance = np.concatenate([[0.0], np.cumsum((whole - self.least) * distinct)])
+        opened: list[tuple[int, np.ndarray, np.ndarray]] = []
         for n in self.by_size:
+            self.seen["windows"] += int((left >= n).sum()) + int((length < n).sum())
             if n < SHINGLE:
                 own, _ = hashed_shingles(words, n)
                 fit = left[: len(own)] >= n
                 for k in range(n):
                     fit &= known[k : k + len(own)]
                 starts = np.flatnonzero(fit)
-                self.seen["windows"] += int((left >= n).sum())
                 self.seen["fingerprints"] += len(starts)
                 if len(starts):
                     yield n, starts, bits_of(own[starts])
@@ -194,17 +200,31 @@ class Benchmark:
             starts = np.flatnonzero((balance[reach:] - balance[:size] >= -1e-9) & (left[:size] >= n))
             short = np.flatnonzero((length >= SHINGLE) & (length < n))
             short = short[balance[at[short + 1] - SHINGLE + 1] - balance[at[short]] >= -1e-9]
-            self.seen["windows"] += int((left >= n).sum()) + int((length < n).sum())
             starts, ends = np.append(starts, at[short]), np.append(starts + reach, at[short + 1] - SHINGLE + 1)
-            order = np.argsort(starts, kind="stable")
-            starts, ends = starts[order], ends[order]
-            self.seen["fingerprints"] += len(starts)
-            i = 0
-            while i < len(starts):
-                j = int(np.searchsorted(starts, starts[i] + STRETCH))
-                a, b = int(starts[i]), int(ends[i:j].max())
-                yield n, starts[i:j], fingerprints(value[a:b], distinct[a:b], starts[i:j] - a, ends[i:j] - a)
-                i = j
+            if len(starts):
+                order = np.argsort(starts, kind="stable")
+                opened.append((n, starts[order], ends[order]))
+                self.seen["fingerprints"] += len(starts)
+        # Signs are summed once for all sizes, and only where some window lies.
+        for low in range(0, m, STRETCH):
+            parts = []
+            for n, starts, ends in opened:
+                i, j = np.searchsorted(starts, (low, low + STRETCH))
+                if i < j:
+                    parts.append((n, starts[i:j], ends[i:j]))
+            if not parts:
+                continue
+            high = max(int(ends.max()) for _, _, ends in parts)
+            edge = np.zeros(high - low + 1, dtype=np.int64)
+            for _, starts, ends in parts:
+                np.add.at(edge, starts - low, 1)
+                np.add.at(edge, ends - low, -1)
+            covered = np.cumsum(edge)[:-1] > 0
+            place = np.concatenate([[0], np.cumsum(covered)])
+            held = low + np.flatnonzero(covered)
+            sums = rolling_signs(value[held], distinct[held])
+            for n, starts, ends in parts:
+                yield n, starts, fingerprints(sums, place[starts - low], place[ends - low])
 
     def match(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int, float]]]:
         """For each text its (item id, first word, words, distance, similarity): the best window for each item, the
