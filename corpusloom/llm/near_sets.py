@@ -6,10 +6,12 @@ elements, so what a pair of sketches rules out is below the threshold for certai
 
 Tokens of each node (prefix shingles, or band keys) list the nodes that hold them. Sketches leave, of each
 list, the pairs that may link; components of these are blocks that no link leaves. The texts of the blocks'
-nodes, and of no others, are gathered by block, packed, and each block's sets are linked exactly. A large block
-is dealt in chunks, and each chunk meets a hub chunk; what is still apart then meets by sketches across all
-chunks, and the pairs left between different components are linked exactly. No group holds more than two
-chunks, connected pairs are never emitted, and every pair above the threshold is either found or connected.
+nodes, and of no others, are gathered by block, packed, and each block's sets are linked exactly. A long list,
+and a large block, is dealt in chunks, and each chunk meets a hub chunk; only what is apart after that meets
+across all chunks, and pairs left between different components are linked. So a family of near copies costs a
+multiple of its size, not its square. No group holds more than two chunks, connected pairs are never emitted,
+and every pair above the threshold is either found or connected. Tokens that a sample shows to be very common
+are dealt by node instead of by token: their rows go straight into a long list.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ from corpusloom.llm.storage import saved
 from corpusloom.llm.textkit import mix, shingle_sets
 
 _U = np.uint64
-ROWS = "doc_id long, first_word long, n_words long, n long, node binary, bits binary"
+ROWS = "doc_id long, ref long, line int, first_word long, n_words long, n long, node binary, bits binary"
+#: Odd, so that lines of one text fall apart in the filter for texts.
+STEP = 1_000_003
 
 
 class Threshold:
@@ -57,6 +61,7 @@ class Threshold:
 
 class Unit(NamedTuple):
     row: int
+    line: int
     first_word: int
     n_words: int
     elements: np.ndarray
@@ -69,19 +74,22 @@ class Cut:
     def __init__(self, words: int, by_lines: bool = False, least_words: int = 0):
         self.words, self.by_lines, self.least_words = words, by_lines, least_words
 
-    def units(self, texts: pa.Array) -> Iterator[Unit]:
+    def places(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(text of each unit, its row, its line): every line, or every text."""
         if not self.by_lines:
-            for row, (n, elements) in enumerate(shingle_sets(texts, self.words)):
-                yield Unit(row, 0, n, elements, texts[row])
-            return
+            return texts, np.arange(len(texts)), np.zeros(len(texts), dtype=np.int64)
         lines = pc.split_pattern(texts.fill_null(""), "\n")
-        rows, flat = pc.list_parent_indices(lines).to_pylist(), lines.flatten()
+        rows = pc.list_parent_indices(lines).to_numpy()
+        return lines.flatten(), rows, np.arange(len(rows)) - np.searchsorted(rows, rows)
+
+    def units(self, texts: pa.Array) -> Iterator[Unit]:
+        flat, rows, lines = self.places(texts)
         row, at = -1, 0
-        for k, (n, elements) in enumerate(shingle_sets(flat, self.words, self.least_words)):
-            if rows[k] != row:
-                row, at = rows[k], 0
-            if n >= max(1, self.least_words):
-                yield Unit(row, at, n, elements, flat[k])
+        for k, (here, line, (n, elements)) in enumerate(zip(rows.tolist(), lines.tolist(), shingle_sets(flat, self.words, self.least_words), strict=True)):
+            if here != row:
+                row, at = here, 0
+            if not self.by_lines or n >= max(1, self.least_words):
+                yield Unit(row, line, at, n, elements, flat[k])
             at += n
 
     def elements(self, text: bytes) -> np.ndarray:
@@ -98,6 +106,24 @@ def sketch(elements: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """The sketch of each set, each as wide as it needs, worked out for all sets of a width at once."""
+    out: list[bytes] = [b""] * len(sets)
+    by_width: dict[int, list[int]] = {}
+    for k, s in enumerate(sets):
+        by_width.setdefault(sketch_bits(len(s)), []).append(k)
+    for bits, ks in by_width.items():
+        for i in range(0, len(ks), max(1, (1 << 22) // bits)):
+            part = ks[i : i + max(1, (1 << 22) // bits)]
+            sizes = [len(sets[k]) for k in part]
+            at = np.repeat(np.arange(len(part)) * bits, sizes) + (np.concatenate([sets[k] for k in part]) & _U(bits - 1)).astype(np.int64)
+            odd = np.bincount(at, minlength=len(part) * bits) & 1
+            raw = np.packbits(odd.astype(np.uint8)).tobytes()
+            for j, k in enumerate(part):
+                out[k] = raw[j * bits // 8 : (j + 1) * bits // 8]
+    return out
+
+
 def sketch_bits(n: int) -> int:
     """Twice as many bits as elements or more, so that sets just below the threshold mostly show it; 64 to 16384."""
     return min(1 << 14, max(64, 1 << (2 * n - 1).bit_length()))
@@ -178,7 +204,8 @@ def _postings(cut: Cut, tokens_of: Tokens):
 def _lists(longest: int):
     """Rows in order of token: (list, nid) for each list of two nodes or more, equal lists of a task once.
 
-    At most `longest` rows of a token are held; a longer list goes out as it comes, under its token.
+    At most `longest` rows of a token are held; a longer list goes out as it comes, under its token, and so do the
+    rows of a token that is dealt by node (those with a salt).
     """
 
     def packed(lists, nids):
@@ -204,7 +231,11 @@ def _lists(longest: int):
         seen, long = set(), None
         held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for batch in batches:
-            token, nid = np.append(held[0], batch.column(0).to_numpy()), np.append(held[1], batch.column(1).to_numpy())
+            token, nid, salt = (c.to_numpy() for c in batch.columns)
+            if (salt >= 0).any():
+                yield packed(token[salt >= 0], nid[salt >= 0])
+                token, nid = token[salt < 0], nid[salt < 0]
+            token, nid = np.append(held[0], token), np.append(held[1], nid)
             if long is not None:
                 more = int(np.searchsorted(token != long, True))
                 if more:
@@ -288,24 +319,56 @@ def _possible(limit: Threshold):
     return run
 
 
+def _bridges(limit: Threshold):
+    """Groups in a row by (list, i, j): links between different roots that sketches leave, as few as connect them."""
+
+    def close(rows):
+        sides = ([], [])
+        for row in rows:
+            sides[row[1]].append(row)
+        others, queries = sides
+        if not others or not queries:
+            return []
+        may = possible_links([q[4] for q in queries], [q[3] for q in queries], [o[4] for o in others], [o[3] for o in others], limit)
+        left, right, forest = np.array([q[2] for q in queries]), np.array([o[2] for o in others]), Forest()
+        pairs = np.argwhere(may & (left[:, None] != right[None, :]))
+        return [(a, b) for a, b in {(int(left[i]), int(right[j])) for i, j in pairs.tolist()} if forest.join(a, b)]
+
+    def run(batches):
+        key, rows, out = None, [], []
+        for batch in batches:
+            for name, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (name, i, j) != key:
+                    out += close(rows)
+                    key, rows = (name, i, j), []
+                rows.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                out = []
+        if out := close(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return run
+
+
 def _members(cut: Cut, bitmap, bits: int):
-    """Texts with a unit whose short id stands in the bitmap: the unit's node and its text, packed. A few units
-    pass by chance; the join drops these."""
+    """Texts (ref, text) with a unit whose place stands in the bitmap: the place and the unit's text, packed. No word
+    is read. A few units pass by chance; the join drops these."""
 
     def run(batches):
-        held, nodes, pack = np.frombuffer(bitmap.value, dtype=np.uint8), set(), zstandard.ZstdCompressor(level=3)
+        held, seen, pack = np.frombuffer(bitmap.value, dtype=np.uint8), set(), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            rows, texts = [], batch.column(0)
-            for unit in cut.units(texts):
-                if not len(unit.elements):
-                    continue
-                node = digest(unit.elements)
-                at = short_id(node) & ((1 << bits) - 1)
-                if held[at >> 3] >> (at & 7) & 1 and node not in nodes:
-                    nodes.add(node)
-                    rows.append((node, pack.compress(unit.text.as_py().encode())))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["node", "packed"])
+            flat, rows, lines = cut.places(batch.column(1))
+            refs = batch.column(0).to_numpy()[rows]
+            at = (refs ^ (lines * STEP)) & ((1 << bits) - 1)
+            out = []
+            for k in np.flatnonzero(held[at >> 3] >> (at & 7) & 1).tolist():
+                text = (flat[k].as_py() or "").encode()
+                if (place := (int(refs[k]), int(lines[k]), len(text))) not in seen:
+                    seen.add(place)
+                    out.append((*place[:2], pack.compress(text)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["ref", "line", "packed"])
 
     return run
 
@@ -316,9 +379,9 @@ def _linked(cut: Cut, limit: Threshold, link: Link, crossing: bool):
     def close(rows):
         seen, sets, nodes, sides, unpack = set(), [], [], [], zstandard.ZstdDecompressor()
         for node, packed, side in rows:
-            if (node, side) not in seen:
+            if (node, side) not in seen and digest(elements := cut.elements(unpack.decompress(packed))) == node:
                 seen.add((node, side))
-                sets.append(cut.elements(unpack.decompress(packed)))
+                sets.append(elements)
                 nodes.append(node)
                 sides.append(side)
         forest = link(sets, limit, sides if crossing else None)
@@ -382,69 +445,119 @@ def _survivors(limit: Threshold):
     return run
 
 
-def member_bitmap(ids: DataFrame, bits: int) -> bytes:
-    """Bit id modulo 2 ** bits of each id: of a fixed size, put together by the executors in 4 KB pieces."""
-    at = F.col("id").bitwiseAND(F.lit((1 << bits) - 1))
-    rows = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("piece")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("held")).collect()
+def member_bitmap(places: DataFrame, bits: int) -> bytes:
+    """Bit `at` of each place (ref, line): put together by the executors in 4 KB pieces."""
+    at = F.col("ref").bitwiseXOR(F.col("line").cast("long") * STEP).bitwiseAND(F.lit((1 << bits) - 1))
+    rows = places.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("piece")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("held")).collect()
     out = bytearray(1 << (bits - 3))
     for r in rows:
         out[r["piece"] * 4096 : (r["piece"] + 1) * 4096] = r["held"]
     return bytes(out)
 
 
-def set_components(texts: DataFrame, rows: DataFrame, cut: Cut, tokens_of: Tokens, limit: Threshold, link: Link, *, chunk_sets: int, chunk_words: int, bitmap_bits: int, sketch_sets: int = 1024) -> DataFrame:
-    """(node, root) of each node that is linked to another, among the units of texts (text); rows: ROWS of them.
+def common_tokens(postings: DataFrame, least: int, most: int) -> DataFrame | None:
+    """The tokens seen `least` times or more in a sample of postings, `most` at most; None if there are none. They are
+    only dealt otherwise, so neither the sample nor the bound changes a result."""
+    seen = postings.groupBy("token").agg(F.count("*").alias("seen")).where(F.col("seen") >= least)
+    rows = seen.orderBy(F.desc("seen"), "token").limit(most).select("token").toArrow()
+    return postings.sparkSession.createDataFrame(rows) if rows.num_rows else None
+
+
+def _dealt(rows: DataFrame, kernel, schema: str, *order: str) -> DataFrame:
+    """Groups by (list or block, i, j), each in one task, rows in order."""
+    return rows.repartition(*order[:3]).sortWithinPartitions(*order).mapInArrow(kernel, schema)
+
+
+def _split(rows: DataFrame, key: str, root: str, size: int) -> DataFrame:
+    """Rows of the keys that hold several roots, with `outside` (not of the key's largest root) and the numbers of
+    groups that its outside rows, and all its rows, are dealt in."""
+    counts = rows.groupBy(key, root).agg(F.count("*").alias("sets"))
+    main = counts.groupBy(key).agg(F.max(F.struct("sets", root)).alias("most"), F.count("*").alias("roots"), F.sum("sets").alias("every")).where("roots > 1")
+    shape = main.select(key, F.col(f"most.{root}").alias("main"), F.ceil((F.col("every") - F.col("most.sets")) / size).cast("int").alias("groups"), F.ceil(F.col("every") / size).cast("int").alias("parts"))
+    return rows.join(shape, key).withColumn("outside", F.col(root) != F.col("main")).drop("main")
+
+
+def _grid(open_: DataFrame, key: str, member: str, *columns: str) -> DataFrame:
+    """Outside rows of each key against all its rows, dealt by group and part; side: whether a row is a query."""
+    part = lambda n: F.pmod(F.xxhash64(member), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = open_.where("outside").select(key, part("groups").alias("i"), every("parts").alias("j"), member, F.lit(True).alias("side"), *columns)
+    others = open_.select(key, every("groups").alias("i"), part("parts").alias("j"), member, F.lit(False).alias("side"), *columns)
+    return queries.unionByName(others)
+
+
+def possible_blocks(lists: DataFrame, nodes: DataFrame, limit: Threshold, sketch_sets: int) -> DataFrame:
+    """(id, root) of what the pairs of each list that sketches leave connect; nodes: id, n, bits."""
+    long = lists.groupBy("list").agg(F.ceil(F.count("*") / sketch_sets).cast("int").alias("parts")).where("parts > 1")
+    listed = lists.join(long, "list", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
+    hub = F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+    met = listed.select("list", F.lit(0).alias("i"), F.explode(hub).alias("j"), F.col("nid").alias("id"))
+    drawn = met.join(nodes, "id").select("list", "i", "j", "id", "n", "bits")
+    possible = saved(_dealt(drawn, _possible(limit), "a long, b long", "list", "i", "j"))
+    blocks = components(possible)
+    long = saved(long)
+    if long.isEmpty():
+        return blocks
+    rows = lists.join(long.select("list"), "list").join(blocks.withColumnRenamed("id", "nid"), "nid", "left").select("list", F.col("nid").alias("id"), F.coalesce("root", "nid").alias("root"))
+    open_ = saved(_split(rows, "list", "root", sketch_sets))
+    if open_.isEmpty():
+        return blocks
+    dealt = _grid(open_.join(nodes, "id"), "list", "id", "root", "n", "bits")
+    return components(possible.unionByName(_dealt(dealt, _bridges(limit), "a long, b long", "list", "i", "j")))
+
+
+def set_components(texts: DataFrame, rows: DataFrame, cut: Cut, tokens_of: Tokens | None, limit: Threshold, link: Link, *, chunk_sets: int, chunk_words: int, sketch_sets: int = 1024, sample: int = 64, common_seen: int = 64) -> DataFrame:
+    """(node, root) of each node that is linked to another, among the units of texts (ref, text); rows: ROWS of them,
+    with their tokens where tokens_of is None.
 
     chunk_sets and chunk_words bound what meets in one task as texts, sketch_sets what meets as sketches (twice
-    as many at most); bitmap_bits sizes the filter for the blocks' texts.
+    as many at most). A token that common_seen nodes of one in `sample` hold is dealt by node.
     """
     context = texts.sparkSession.sparkContext
-    text = texts.select("text")
+    text = texts.select("ref", "text")
     nid = F.expr("cast(conv(hex(substring(node, 1, 8)), 16, -10) as bigint)")
-    nodes = saved(rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).withColumn("id", nid))
-    postings = text.mapInArrow(_postings(cut, tokens_of), "token long, nid long")
-    lists = saved(postings.repartition("token").sortWithinPartitions("token").mapInArrow(_lists(sketch_sets), "list long, nid long").distinct())
-    long = lists.groupBy("list").agg(F.ceil(F.count("*") / sketch_sets).cast("int").alias("parts")).where("parts > 1")
-    listed = lists.join(long, "list", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
-    paired = listed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), F.col("nid").alias("id"))
-    drawn = paired.join(nodes.select("id", "n", "bits"), "id").select("list", "i", "j", "id", "n", "bits")
-    possible = drawn.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(_possible(limit), "a long, b long")
-    blocks = components(possible)
-    placed = nodes.join(blocks, "id").select("id", "node", "n", "bits", F.col("root").alias("block"))
+    held = ["n", "bits", "ref", "line", *(["tokens"] if tokens_of is None else [])]
+    nodes = saved(rows.where("n > 0").groupBy("node").agg(F.first(F.struct(*held)).alias("x")).select("node", "x.*").withColumn("id", nid))
+    if tokens_of is None:
+        postings = nodes.select(F.explode("tokens").alias("token"), F.col("id").alias("nid"))
+        shown = nodes.where(F.pmod(F.col("id"), F.lit(sample)) == 0).select(F.explode("tokens").alias("token"))
+    else:
+        listing = lambda some: some.select("text").mapInArrow(_postings(cut, tokens_of), "token long, nid long")
+        postings, shown = listing(text), listing(text.where(F.pmod(F.col("ref"), F.lit(sample)) == 0))
+    common = common_tokens(shown, common_seen, 1 << 16)
+    salt = F.lit(-1)
+    if common is not None:
+        postings = postings.join(F.broadcast(common.withColumn("common", F.lit(True))), "token", "left")
+        salt = F.when(F.col("common"), F.pmod(F.xxhash64("nid"), F.lit(1 << 20)).cast("int")).otherwise(-1)
+    salted = postings.select("token", "nid", salt.alias("salt"))
+    lists = saved(salted.repartition("token", "salt").sortWithinPartitions("token").mapInArrow(_lists(sketch_sets), "list long, nid long").distinct())
+    blocks = possible_blocks(lists, nodes.select("id", "n", "bits"), limit, sketch_sets)
+    placed = nodes.join(blocks, "id").select("id", "node", "n", "bits", "ref", "line", F.col("root").alias("block"))
     share = placed.groupBy("block").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
     share = share.select("block", F.ceil(F.greatest(F.col("sets") / chunk_sets, F.col("total") / chunk_words)).cast("int").alias("chunks"))
     placed = saved(placed.join(share, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))
 
     def met(where: DataFrame, crossing: bool) -> DataFrame:
-        """where: id, node, block, i, j, side."""
-        bitmap = context.broadcast(member_bitmap(where.select("id").distinct(), bitmap_bits))
-        members = text.mapInArrow(_members(cut, bitmap, bitmap_bits), "node binary, packed binary")
-        dealt = members.join(where.drop("id"), "node").select("block", "i", "j", "node", "packed", "side")
-        return dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "node").mapInArrow(_linked(cut, limit, link, crossing), "a binary, b binary")
+        """where: ref, line, node, block, i, j, side. The filter has sixteen bits for each place, up to 128 MB."""
+        bits = min(30, max(16, (16 * where.count()).bit_length()))
+        bitmap = context.broadcast(member_bitmap(where, bits))
+        members = text.mapInArrow(_members(cut, bitmap, bits), "ref long, line int, packed binary")
+        dealt = members.join(where, ["ref", "line"]).select("block", "i", "j", "node", "packed", "side")
+        return _dealt(dealt, _linked(cut, limit, link, crossing), "a binary, b binary", "block", "i", "j", "node")
 
     spread = F.when(F.col("chunk") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
-    stars = saved(met(placed.select("id", "node", "block", F.lit(0).alias("i"), F.explode(spread).alias("j"), F.lit(False).alias("side")), False))
+    stars = saved(met(placed.select("ref", "line", "node", "block", F.lit(0).alias("i"), F.explode(spread).alias("j"), F.lit(False).alias("side")), False))
     done = components(stars)
     # Only blocks of several chunks that fell into several components go on.
-    split = placed.where("chunks > 1").join(done.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    counts = split.groupBy("block", "root").agg(F.count("*").alias("sets"))
-    main = counts.groupBy("block").agg(F.max(F.struct("sets", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("block", F.col("most.root").alias("main"))
-    open_ = split.join(main, "block").withColumn("outside", F.col("root") != F.col("main"))
-    groups = open_.where("outside").groupBy("block").agg(F.ceil(F.count("*") / sketch_sets).cast("int").alias("groups"))
-    wide = open_.groupBy("block").agg(F.ceil(F.count("*") / sketch_sets).cast("int").alias("parts"))
-    open_ = saved(open_.join(groups, "block").join(wide, "block"))
+    apart = placed.where("chunks > 1").join(done.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = saved(_split(apart, "block", "root", sketch_sets))
     if open_.isEmpty():
         return done.select(F.col("id").alias("node"), "root")
-    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    queries = open_.where("outside").select("block", part("groups").alias("i"), every("parts").alias("j"), "node", F.lit(True).alias("side"), "root", "n", "bits", "outside")
-    others = open_.select("block", every("groups").alias("i"), part("parts").alias("j"), "node", F.lit(False).alias("side"), "root", "n", "bits", "outside")
-    dealt = queries.unionByName(others).repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "node", "side")
-    pairs = saved(dealt.mapInArrow(_survivors(limit), "x binary, y binary").distinct())
-    ids = open_.select("node", "id")
+    dealt = _grid(open_, "block", "node", "root", "n", "bits", "outside")
+    pairs = saved(_dealt(dealt, _survivors(limit), "x binary, y binary", "block", "i", "j", "node", "side").distinct())
     batches = pairs.groupBy("x").agg(F.ceil(F.count("*") / chunk_sets).cast("int").alias("batches"))
-    first = batches.select(F.col("x").alias("block"), F.col("x").alias("node"), every("batches").alias("j"), F.lit(True).alias("side"))
+    first = batches.select(F.col("x").alias("block"), F.col("x").alias("node"), F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("j"), F.lit(True).alias("side"))
     second = pairs.join(batches, "x").select(F.col("x").alias("block"), F.col("y").alias("node"), F.pmod(F.xxhash64("y"), F.col("batches")).cast("int").alias("j"), F.lit(False).alias("side"))
-    where = first.unionByName(second).join(ids, "node")
-    more = met(saved(where.select("id", "node", "block", F.lit(0).alias("i"), "j", "side")), True)
+    where = first.unionByName(second).join(open_.select("node", "ref", "line").distinct(), "node")
+    more = met(saved(where.select("ref", "line", "node", "block", F.lit(0).alias("i"), "j", "side")), True)
     return components(stars.unionByName(more)).select(F.col("id").alias("node"), "root")

@@ -7,7 +7,8 @@ tuned for recall: at a similarity of 0.8, nine bands of three rows miss a pair w
 A repeated passage need not be a paragraph. Windows of 40 words get rolling hashes, and the least of every 11
 neighbours is kept, so any passage of 50 words or more that stands in two places has a kept window in common,
 be they in two documents or, without overlap, in one. The places of a window are its cluster, named by the
-first document that has it, whose first place is kept. Kept windows in a row with the same first holder are
+first document that has it, whose first place is kept; minima found before the shuffle and a join with the
+repeated windows alone find them, so a window that stands everywhere is no group of its own. Kept windows in a row with the same first holder are
 joined to spans; where that changes a new span starts, so spans of different clusters may overlap by less than
 a window. No word is lost where all spans that are not kept are cut out: each of their words stands in an
 earlier place too, and so on to the first.
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import Forest
-from corpusloom.llm.near_sets import ROWS, Cut, Threshold, candidates_within, digest, set_components, sketch, sketch_bits
-from corpusloom.llm.storage import saved
+from corpusloom.llm.near_sets import ROWS, Cut, Threshold, candidates_within, digest, set_components, sketches
+from corpusloom.llm.storage import saved, saved_table
 from corpusloom.llm.textkit import _BACK, _ROOT, _powers, mix, spans, word_hashes
 
 _U = np.uint64
@@ -30,18 +31,31 @@ OUT = "doc_id long, kind string, first_word long, n_words long, component_id lon
 
 
 def band_keys(bands: int, rows: int, limit: Threshold | None = None):
-    """MinHash band keys of a set of hashes; none of sets so small that no other set is within the limit."""
-    seeds = mix(np.arange(1, bands * rows + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))[:, None]
-    place = mix(np.arange(1, rows + 1, dtype=_U))[None, :]
+    """MinHash band keys of sets of hashes; none of sets so small that no other set is within the limit."""
+    seeds = mix(np.arange(1, bands * rows + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+    odds = mix(seeds) | _U(1)
+    place = mix(np.arange(1, rows + 1, dtype=_U))
     band = mix(np.arange(1001, 1001 + bands, dtype=_U))
 
-    def tokens_of(elements: np.ndarray) -> np.ndarray:
-        if limit is not None and limit.stands_alone(len(elements)):
-            return elements[:0]
-        least = mix(elements[None, :] ^ seeds).min(axis=1).reshape(bands, rows)
-        return mix((least * place).sum(axis=1) + band)
-
-    return tokens_of
+    def keys_of(sets: list[np.ndarray]) -> list[np.ndarray]:
+        out = [s[:0] for s in sets]
+        some = [k for k, s in enumerate(sets) if len(s) and not (limit is not None and limit.stands_alone(len(s)))]
+        i = 0
+        while i < len(some):
+            j, n = i, 0
+            while j < len(some) and (j == i or n < 1 << 16):
+                n += len(sets[some[j]])
+                j += 1
+            every = np.concatenate([sets[k] for k in some[i:j]])
+            first = np.concatenate([[0], np.cumsum([len(sets[k]) for k in some[i : j - 1]])]).astype(np.int64)
+            least = np.stack([np.minimum.reduceat((every ^ s) * odd, first) for s, odd in zip(seeds, odds, strict=True)], axis=1)
+            keys = mix((least.reshape(-1, bands, rows) * place).sum(axis=2) + band)
+            for k, key in zip(some[i:j], keys, strict=True):
+                out[k] = key
+            i = j
+        return out
+
+    return keys_of
 
 
 def link_exact(sets: list[np.ndarray], limit: Threshold, sides: list[bool] | None = None) -> Forest:
@@ -62,14 +76,22 @@ def link_exact(sets: list[np.ndarray], limit: Threshold, sides: list[bool] | Non
     return forest
 
 
-def _paragraphs(cut: Cut):
+def _paragraphs(cut: Cut, keys_of):
+    """ROWS of each paragraph with its tokens."""
+
     def run(batches):
+        names = [f.split()[0] for f in f"{ROWS}, tokens".split(", ")]
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            rows = [(ids[u.row], u.first_word, u.n_words, len(u.elements), digest(u.elements), sketch(u.elements, sketch_bits(len(u.elements))).tobytes()) for u in cut.units(batch.column(1))]
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.binary()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "first_word", "n_words", "n", "node", "bits"])
+            ids, refs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            units = list(cut.units(batch.column(2)))
+            sets = [u.elements for u in units]
+            rows = [(ids[u.row], refs[u.row], u.line, u.first_word, u.n_words, len(u.elements), digest(u.elements), p) for u, p in zip(units, sketches(sets), strict=True)]
+            cols = list(zip(*rows, strict=True)) or [()] * 8
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            keys = keys_of(sets)
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.zeros(0, dtype=_U)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), tokens], names)
 
     return run
 
@@ -116,44 +138,19 @@ def _windows(window: int, among: int):
     return run
 
 
-def _repeated(window: int):
-    """Rows in order of (print, doc_id, pos): the places of each print that has copies, with the document that has it
-    first and whether this place is the first. A copy is a place in another document, or one in the same document
-    that doesn't overlap the first place; what overlaps it is the same text and is left out.
-
-    Only the open group's first row is held, however long the group is.
+def repeated_places(prints: DataFrame, window: int) -> DataFrame:
+    """(doc_id, pos, first, own) of the places of each print that has copies: the document that has it first, and
+    whether this place is the first. A copy is a place in another document, or one in the same document that doesn't
+    overlap the first place; what overlaps it is the same text and is left out.
     """
-
-    def run(batches):
-        held = None  # print, doc, pos, whether it has been given
-        for batch in batches:
-            p, d, w = (c.to_numpy() for c in batch.columns)
-            if not len(p):
-                continue
-            start = np.concatenate([[True], p[1:] != p[:-1]])
-            goes_on = held is not None and held[0] == p[0]
-            at = np.flatnonzero(start)
-            group = np.cumsum(start) - 1
-            first, place = d[at].copy(), w[at].copy()
-            if goes_on:
-                first[0], place[0] = held[1], held[2]
-            copy = (d != first[group]) | (w >= place[group] + window)
-            shown = np.zeros(len(at), dtype=bool)
-            shown[group[copy]] = True
-            out = copy.copy()
-            heads = at[1:] if goes_on else at
-            out[heads] |= shown[group[heads]]
-            docs, places, firsts, own = d[out], w[out], first[group[out]], ~copy[out]
-            if goes_on and shown[0] and not held[3]:
-                docs, places, firsts, own = np.append(docs, held[1]), np.append(places, held[2]), np.append(firsts, held[1]), np.append(own, True)
-            if len(docs):
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(places.astype(np.int32)), pa.array(firsts), pa.array(own)], ["doc_id", "pos", "first", "own"])
-            if goes_on and len(at) == 1:
-                held = (held[0], held[1], held[2], held[3] or bool(shown[0]))
-            else:
-                held = (p[-1], d[at[-1]], w[at[-1]], bool(shown[-1]))
-
-    return run
+    many = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first <> last OR n > 1")
+    held = saved(prints.join(many.drop("n"), "print"))
+    starts = held.where("doc_id = first").groupBy("print").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
+    copied = F.col("end") >= F.col("start") + window
+    starts = starts.select("print", "start", copied.alias("again"))
+    first_place = (F.col("doc_id") == F.col("first")) & (F.col("pos") == F.col("start"))
+    shown = (F.col("doc_id") != F.col("first")) | (F.col("pos") >= F.col("start") + window) | (first_place & (F.col("again") | (F.col("first") != F.col("last"))))
+    return held.join(starts, "print").where(shown).select("doc_id", "pos", "first", first_place.alias("own"))
 
 
 def _spans(window: int):
@@ -190,17 +187,26 @@ def _spans(window: int):
 
 
 def repeated_passages(docs: DataFrame, *, window: int = 40, among: int = 11) -> DataFrame:
-    """OUT rows of kind passage: the spans of windows that repeat, named by their first document; their first place is kept."""
-    prints = docs.mapInArrow(_windows(window, among), "print long, doc_id long, pos int")
-    rows = prints.repartition("print").sortWithinPartitions("print", "doc_id", "pos").mapInArrow(_repeated(window), "doc_id long, pos int, first long, own boolean")
+    """OUT rows of kind passage: the spans of windows that repeat, named by their first document; their first place is kept.
+
+    Documents must have ids, and rows that share one are one document. Texts of fewer than window + among - 1 words,
+    and null ones, have no windows. An empty table gives no rows.
+    """
+    prints = saved_table(docs.select("doc_id", "text").mapInArrow(_windows(window, among), "print long, doc_id long, pos int"))
+    rows = repeated_places(prints, window)
     return rows.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(_spans(window), OUT)
 
 
-def repeated_paragraphs(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, least_words: int = 5, bands: int = 9, rows: int = 3, chunk_sets: int = 256, chunk_words: int = 1 << 20, bitmap_bits: int = 25) -> DataFrame:
-    """OUT rows of kind paragraph: members of clusters of two or more, named by the smallest id; the first is kept."""
+def repeated_paragraphs(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, least_words: int = 5, bands: int = 9, rows: int = 3, chunk_sets: int = 256, chunk_words: int = 1 << 20) -> DataFrame:
+    """OUT rows of kind paragraph: members of clusters of two or more, named by the smallest id; the first is kept.
+
+    Documents without an id are left out; null texts have no paragraphs, and lines of fewer than least_words words
+    are none. A paragraph may repeat within a document. An empty table gives no rows.
+    """
     cut, limit = Cut(words, by_lines=True, least_words=least_words), Threshold(num, den)
-    units = saved(docs.mapInArrow(_paragraphs(cut), ROWS))
-    linked = set_components(docs, units, cut, band_keys(bands, rows, limit), limit, link_exact, chunk_sets=chunk_sets, chunk_words=chunk_words, bitmap_bits=bitmap_bits)
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("ref"), "text")
+    units = saved(docs.mapInArrow(_paragraphs(cut, band_keys(bands, rows, limit)), f"{ROWS}, tokens array<long>"))
+    linked = set_components(docs, units, cut, None, limit, link_exact, chunk_sets=chunk_sets, chunk_words=chunk_words)
     per_node = units.groupBy("node").agg(F.min(F.struct("doc_id", "first_word")).alias("least"), F.count("*").alias("copies"))
     named = per_node.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     clusters = named.groupBy("root").agg(F.min("least").alias("first"), F.sum("copies").alias("all")).where("all > 1")

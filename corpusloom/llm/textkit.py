@@ -91,10 +91,22 @@ def spans(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarra
         i = j
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    if len(hashes) < 2:
+        return hashes.copy()
+    out = np.sort(hashes)
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
+
+
 def shingle_sets(texts: pa.Array, k: int, least_words: int = 0) -> Iterator[tuple[int, np.ndarray]]:
     """For each text in order, its number of words and its distinct k-word shingles as sorted hashes (none for
     texts of fewer than least_words words)."""
     for _, data, bounds in spans(texts):
         words, at = word_hashes(data, bounds)
+        every = shingle_hashes(words, k) if len(words) >= k else words[:0]  # those across two texts are left out below
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            yield b - a, np.unique(shingle_hashes(words[a:b] if b - a >= least_words else words[:0], k))
+            if b - a < least_words:
+                yield b - a, words[:0]
+            else:
+                yield b - a, distinct(every[a : b - k + 1] if b - a >= k else shingle_hashes(words[a:b], k))

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,35 @@ def test_chunks_and_second_round_match_brute_force(spark, monkeypatch):
     assert joined(spark, rows, chunk_sets=3) == brute(rows)
 
 
+def test_long_lists_meet_in_a_hub(spark, monkeypatch):
+    """Families far longer than a list's chunk, common tokens dealt by node, and lists of unlike nodes."""
+    rows = families(seed=5, groups=2, members=70, words=40)
+    rng = random.Random(4)
+    rows += [(1000 + k, " ".join(["the same five words stand", *(f"y{rng.randrange(10**6)}" for _ in range(3))])) for k in range(40)]
+    real = near_sets.set_components
+    monkeypatch.setattr(ngram_join, "set_components", lambda *a, **k: real(*a, **k, sketch_sets=6, sample=1, common_seen=12))
+    assert joined(spark, rows, chunk_sets=7, common_rows=5) == brute(rows)
+
+
+def test_order_and_steps_of_the_trie():
+    """Prefixes and tries use one order, and each step leaves fewer pairs."""
+    rng, limit = np.random.default_rng(6), Threshold(85, 100)
+    shared = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([shared[rng.random(60) < 0.95], rng.integers(0, 2**63, 4, dtype=np.uint64)])) for _ in range(30)] + [np.unique(rng.integers(0, 2**63, 50, dtype=np.uint64)) for _ in range(30)]
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    top = values[np.lexsort((values, -counts))][:60]
+    by_hash = np.argsort(top)
+    order = ngram_join.Order(top[by_hash], by_hash)
+    place = order.from_the_end(values)
+    rank = {v: len(values) - 1 - p for v, p in zip(values.tolist(), place.tolist(), strict=True)}
+    for s in sets:
+        assert order.prefix(s, 9).tolist() == sorted(s.tolist(), key=rank.get)[:9] and sorted(order.prefix(s, len(s)).tolist()) == s.tolist()
+    plain, seen = ngram_join.link_within(sets, limit), Counter()
+    ordered = ngram_join.link_within(sets, limit, None, order, seen)
+    assert all((plain.find(i) == plain.find(j)) == (ordered.find(i) == ordered.find(j)) for i in range(60) for j in range(i))
+    assert seen["pairs"] == 60 * 59 > seen["hoped"] > seen["summed"] >= seen["linked"] > 0
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert joined(spark, []) == []
     rows = [(1, "a b c d e f", "x", 5), (2, "a b c d e f", "y", 6)]
@@ -83,6 +113,8 @@ def test_empty_table_and_clashing_columns(spark):
 
 def test_keep_one(spark):
     rows = [(3, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, None), (None, "a b c d e f g"), (5, "other words stand in this one")]
+    clashing = spark.createDataFrame([(*r, 7, "x") for r in rows], f"{SCHEMA}, _copy int, gone_id string")
+    assert sorted(ngram_join.keep_one(clashing).columns) == sorted(clashing.columns) and ngram_join.keep_one(clashing).where("_copy = 7").count() == 4
     kept = ngram_join.keep_one(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text"]
     assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(1, "a b c d e f g"), (2, None), (None, "a b c d e f g"), (5, "other words stand in this one")], key=str)

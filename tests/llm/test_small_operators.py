@@ -369,11 +369,9 @@ def test_passages_repeat_within_a_document(spark):
             own = [s for s in spans if s[0] == doc and start <= s[1] and s[1] + s[2] <= start + 60]
             assert len(own) == 1 and own[0][2] >= 40 and own[0][3] == min(doc, 3 if doc == 3 else 1) and own[0][4] == (k == 0 and doc != 2)
     assert [s[1:] for s in spans if s[0] == 4] == [(0, 40, 4, True), (40, 260, 4, False)] and len(spans) == 8
-    batches = lambda size: [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + size], strict=True)], ["print", "doc_id", "pos"]) for i in range(0, len(rows), size)]
     rows = [(1, 4, 0), (1, 4, 20), (1, 4, 45), (1, 6, 3), (2, 4, 7), (2, 4, 9), (3, 5, 0), (3, 6, 0)]
-    for size in (1, 2, 3, 8):
-        out = [r for b in paragraph_dedup._repeated(40)(batches(size)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        assert sorted(out) == [(4, 0, 4, True), (4, 45, 4, False), (5, 0, 5, True), (6, 0, 5, False), (6, 3, 4, False)]
+    out = paragraph_dedup.repeated_places(spark.createDataFrame(rows, "print long, doc_id long, pos int"), 40).collect()
+    assert sorted(map(tuple, out)) == [(4, 0, 4, True), (4, 45, 4, False), (5, 0, 5, True), (6, 0, 5, False), (6, 3, 4, False)]
 
 
 def test_short_paragraphs_match_brute_force(spark):
