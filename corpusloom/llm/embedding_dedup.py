@@ -1,12 +1,14 @@
 """Near-duplicate embeddings with randomised-rotation binary codes.
 
-A unit vector is turned by fixed random rotations and kept as the signs of its coordinates, with the inner
-product of the vector and its own code as correction factor. For a query vector, (query . code) / factor is an
-unbiased estimate of the inner product, and its error has a known scale; a pair is computed exactly, in double
-precision, unless the estimate plus a confidence bound stays below the threshold. Pairs are looked for in
-tables of sign-bit keys; the number of tables follows from the chance that a pair at the threshold shares a key
-in none. Large buckets are dealt in chunks that meet two at a time, and a pair counts in the first table that
-both vectors share, so counts are exact without any pair being emitted.
+A unit vector is turned by fixed random rotations and stored, once, as the signs of its coordinates, with the
+inner product of the vector and its own code as correction factor, and with its coordinates rounded to a byte for
+when it asks. For a rounded vector q and a code, (q . code) / factor is an unbiased estimate of q's inner product
+with the coded vector. For a pair at or above the threshold t its error is a share sqrt(1 - t^2) at most of the
+factor's own, so a pair is out where estimate plus bound stays below t, and is recomputed, in double precision,
+where it doesn't. Codes alone are dealt to tables of sign-bit keys, as many as each label's size asks for by the
+chance that a pair at the threshold shares a key in none; vectors are fetched for what is left undecided. Large
+buckets are dealt in chunks that meet two at a time, and a pair counts in the first table that both vectors
+share, so counts are exact without any pair being emitted.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ import functools
 import hashlib
 import math
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import Forest, components
@@ -37,11 +41,12 @@ def rotation(dims: int, bits: int, seed: int) -> np.ndarray:
     return np.concatenate(parts, axis=1)[:, :bits]
 
 
-def table_plan(largest: int, threshold: float, miss: float, bucket: int) -> tuple[int, int]:
-    """(bits of a key, tables): keys long enough for buckets of about `bucket`, tables enough for the miss rate."""
-    bits = max(4, math.ceil(math.log2(max(2, largest / bucket))))
-    share = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, max(1, math.ceil(math.log(miss) / math.log(1 - share)))
+def table_plan(size: Column, threshold: float, miss: float, bucket: int) -> tuple[Column, Column]:
+    """(bits of a key, tables) for a label of some size: keys long enough for buckets of about `bucket`, tables enough
+    for the miss rate; a label of one bucket needs no key."""
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(size / bucket))).cast("int")
+    share = F.pow(F.lit(1 - math.acos(threshold) / math.pi), bits)
+    return bits, F.when(bits == 0, 1).otherwise(F.ceil(math.log(miss) / F.log(1 - share))).cast("int")
 
 
 def _nodes(batches):
@@ -69,83 +74,149 @@ def _unit(raws: list[bytes]) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _deal(bits: int, tables: int, seed: int):
+@dataclass
+class Codes:
+    """Signs of the turned vectors (packed), correction factors, and the vectors rounded to bytes with their scales."""
+
+    signs: np.ndarray
+    factor: np.ndarray
+    rounded: np.ndarray
+    scale: np.ndarray
+
+    @classmethod
+    def of(cls, units: np.ndarray, code_bits: int, seed: int) -> Codes:
+        turned = units @ rotation(units.shape[1], code_bits, seed + 1)
+        factor = np.abs(turned).sum(axis=1) / math.sqrt(code_bits * code_bits / units.shape[1])
+        scale = np.abs(units).max(axis=1) / 127
+        return cls(np.packbits(turned > 0, axis=1), factor.astype(np.float32), np.rint(units / scale[:, None]).astype(np.int8), scale.astype(np.float32))
+
+    def part(self, at: np.ndarray) -> Codes:
+        return Codes(self.signs[at], self.factor[at], self.rounded[at], self.scale[at])
+
+
+def estimates(left: Codes, right: Codes, code_bits: int, seed: int) -> np.ndarray:
+    """Inner products of the left vectors, rounded, with the right ones, from the right ones' codes."""
+    dims = left.rounded.shape[1]
+    turned = (left.rounded * left.scale[:, None]) @ rotation(dims, code_bits, seed + 1).astype(np.float32)
+    codes = np.unpackbits(right.signs, axis=1, count=code_bits).astype(np.float32) * 2 - 1
+    return turned @ codes.T / (math.sqrt(code_bits * code_bits / dims) * right.factor)[None, :]
+
+
+def undecided(left: Codes, right: Codes, threshold: float, code_bits: int, deviations: float, seed: int) -> np.ndarray:
+    """Which pairs the estimates don't rule out."""
+    f = right.factor.astype(np.float64)
+    noise = deviations * np.sqrt(np.maximum(0, 1 - f * f) / (f * f) / max(1, code_bits - 1) * max(0.0, 1 - threshold * threshold))
+    rounding = math.sqrt(left.rounded.shape[1]) / 2 * left.scale[:, None] / f[None, :]
+    return estimates(left, right, code_bits, seed) + noise[None, :] + rounding + 1e-5 >= threshold
+
+
+CODED = "label long, dims int, key_bits int, node binary, keys array<long>, signs binary, factor float, rounded binary, scale float"
+
+
+def _coded(code_bits: int, seed: int):
+    """The stored codes of nodes (label, node, vector, key_bits, tables), with their keys in each table."""
+
     def run(batches):
-        names = ["label", "dims", "tab", "key", "node", "copies", "vector"]
+        names = [f.split()[0] for f in CODED.split(", ")]
         for batch in batches:
-            label, node, copies, vector = (c.to_pylist() for c in batch.columns)
-            by_dims: dict[int, list[int]] = {}
+            label, node, vector, bits, tables = (c.to_pylist() for c in batch.columns)
+            alike: dict[tuple[int, int, int], list[int]] = {}
             for i, v in enumerate(vector):
-                by_dims.setdefault(len(v) // 8, []).append(i)
-            for dims, at in by_dims.items():
+                alike.setdefault((len(v) // 8, bits[i], tables[i]), []).append(i)
+            for (dims, b, t), at in alike.items():
                 for a in range(0, len(at), 1000):
                     part = at[a : a + 1000]
-                    keys = _keys(_unit([vector[i] for i in part]), bits, tables, seed)
-                    n = len(part) * tables
-                    who = [i for i in part for _ in range(tables)]
-                    cols = [pa.array([label[i] for i in who], pa.int64()), pa.array(np.full(n, dims, dtype=np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(part))), pa.array(keys.reshape(-1)), pa.array([node[i] for i in who], pa.binary()), pa.array([copies[i] for i in who], pa.int64()), pa.array([vector[i] for i in who], pa.binary())]
+                    units = _unit([vector[i] for i in part])
+                    codes, keys = Codes.of(units, code_bits, seed), _keys(units, b, t, seed)
+                    cols = [pa.array([label[i] for i in part], pa.int64()), pa.array(np.full(len(part), dims, dtype=np.int32)), pa.array(np.full(len(part), b, dtype=np.int32)), pa.array([node[i] for i in part], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))]
+                    cols += [pa.array([s.tobytes() for s in codes.signs], pa.binary()), pa.array(codes.factor), pa.array([r.tobytes() for r in codes.rounded], pa.binary()), pa.array(codes.scale)]
                     yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
-def linked_pairs(units: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, code_bits: int, deviations: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the pairs (left, right) at or above the threshold; estimates rule out the rest beforehand."""
-    turned = units @ rotation(units.shape[1], code_bits, seed + 1)
-    codes = np.where(turned > 0, 1.0, -1.0).astype(np.float32)
-    scale = code_bits / units.shape[1]  # how many rotations the code holds
-    factor = (turned * codes).sum(axis=1) / math.sqrt(code_bits * scale)  # inner product of a unit vector and its unit code
-    est = turned[left].astype(np.float32) @ codes[right].T / (math.sqrt(code_bits * scale) * factor[right])[None, :]
-    bound = deviations * np.sqrt(np.maximum(0, 1 - factor[right] ** 2) / factor[right] ** 2 / max(1, code_bits - 1))
-    a, b = np.nonzero(est + bound[None, :] >= threshold)
-    a, b = left[a], right[b]
-    exact = np.empty(len(a))
-    for s in range(0, len(a), 1 << 16):
-        exact[s : s + (1 << 16)] = np.einsum("ij,ij->i", units[a[s : s + (1 << 16)]], units[b[s : s + (1 << 16)]])
-    keep = exact >= threshold
-    return a[keep], b[keep]
-
+GROUP = ["label", "dims", "key_bits", "tab", "key", "i", "j"]
+GROUPED = "label long, dims int, key_bits int, tab int, key long, i int, j int"
 
-def _meet(threshold: float, bits: int, tables: int, code_bits: int, deviations: float, seed: int):
-    """Groups in a row by (label, dims, table, key, i, j): links counted for each vector, and a star of what is linked."""
 
-    def close(table, i, j, rows):
+def _in_groups(batches, close):
+    """Rows in order of GROUP: what close(group, rows) gives for each group, batch by batch."""
+    group, rows, out = None, [], []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[: len(GROUP)] != group:
+                if rows:
+                    out += close(group, rows)
+                group, rows = row[: len(GROUP)], []
+            rows.append(row[len(GROUP) :])
+        if out:
+            yield out
+            out = []
+    if rows and (out := close(group, rows)):
+        yield out
+
+
+def _sift(threshold: float, code_bits: int, deviations: float, seed: int):
+    """Rows (node, side, signs, factor, rounded, scale) of each group: those with pairs left undecided, with their
+    place in the group and, as bits, the places of their partners."""
+
+    def close(group, rows):
         if len(rows) < 2:
             return []
-        nodes, copies, sides, vectors = map(list, zip(*rows, strict=True))
-        units = _unit(vectors)
-        weight, side = np.array(copies), np.array(sides)
-        every = np.arange(len(nodes))
-        a, b = linked_pairs(units, every[side == i], every[side == j], threshold, code_bits, deviations, seed)
+        nodes, sides, signs, factor, rounded, scale = map(list, zip(*rows, strict=True))
+        codes = Codes(np.frombuffer(b"".join(signs), dtype=np.uint8).reshape(len(rows), -1), np.array(factor, dtype=np.float32), np.frombuffer(b"".join(rounded), dtype=np.int8).reshape(len(rows), -1), np.array(scale, dtype=np.float32))
+        side, (i, j) = np.array(sides), group[-2:]
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        open_ = undecided(codes.part(left), codes.part(right), threshold, code_bits, deviations, seed)
         if i == j:
-            a, b = a[a < b], b[a < b]
+            open_ = np.triu(open_, 1)
+        asks = np.zeros((len(rows), len(rows)), dtype=bool)
+        asks[np.ix_(left, right)] = open_
+        some = asks.any(axis=1) | asks.any(axis=0)
+        partners = np.packbits(asks, axis=1)
+        return [(*group, nodes[k], k, partners[k].tobytes() if asks[k].any() else b"") for k in np.flatnonzero(some).tolist()]
+
+    def run(batches):
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+        for out in _in_groups(batches, close):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [*GROUP, "node", "place", "partners"])
+
+    return run
+
+
+def _exact(threshold: float, seed: int):
+    """Rows (place, node, copies, partners, vector) of each group: the undecided pairs computed; links counted for
+    each vector, and a star of what is linked."""
+
+    def close(group, rows):
+        places, nodes, copies, partners, vectors = map(list, zip(*rows, strict=True))
+        units, weight = _unit(vectors), np.array(copies)
+        row_of = {p: k for k, p in enumerate(places)}
+        a, b = [], []
+        for k, bits in enumerate(partners):
+            if bits:
+                others = np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8)))
+                a.append(np.full(len(others), k))
+                b.append(np.array([row_of[p] for p in others.tolist()]))
+        a, b = np.concatenate(a), np.concatenate(b)
+        pieces = range(0, len(a), 1 << 16)
+        keep = np.concatenate([np.einsum("ij,ij->i", units[a[s : s + (1 << 16)]], units[b[s : s + (1 << 16)]]) >= threshold for s in pieces])
+        a, b = a[keep], b[keep]
+        bits, table = group[2:4]
         if table and len(a):
-            keys = _keys(units, bits, tables, seed)[:, :table]
+            keys = _keys(units, bits, table, seed)
             fresh = np.concatenate([~(keys[a[s : s + 65536]] == keys[b[s : s + 65536]]).any(axis=1) for s in range(0, len(a), 65536)])
             a, b = a[fresh], b[fresh]
         if not len(a):
             return []
         links = np.bincount(a, weight[b], len(nodes)) + np.bincount(b, weight[a], len(nodes))
         forest = Forest()
-        last = None
         for p in np.unique(a * len(nodes) + b).tolist() if len(a) < 4 * len(nodes) else _spanning(a, b, len(nodes)):
-            last = divmod(p, len(nodes))
-            forest.join(*last)
+            forest.join(*divmod(p, len(nodes)))
         return [(nodes[k], int(links[k]), nodes[forest.find(k)]) for k in np.flatnonzero(links).tolist()]
 
     def run(batches):
-        group, rows, out = None, [], []
-        for batch in batches:
-            for label, dims, table, key, i, j, node, copies, side, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (label, dims, table, key, i, j) != group:
-                    if rows:
-                        out += close(group[2], group[4], group[5], rows)
-                    group, rows = (label, dims, table, key, i, j), []
-                rows.append((node, copies, side, vector))
-            if out:
-                yield _counted(out)
-                out = []
-        if rows and (out := close(group[2], group[4], group[5], rows)):
+        for out in _in_groups(batches, close):
             yield _counted(out)
 
     return run
@@ -167,7 +238,7 @@ def _counted(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["node", "links", "root"])
 
 
-def dedup_embeddings(vectors: DataFrame, *, threshold: float = 0.93, miss: float = 1e-4, bucket: int = 64, chunk: int = 512, code_bits: int = 256, deviations: float = 6.0, seed: int = 20) -> DataFrame:
+def dedup_embeddings(vectors: DataFrame, *, threshold: float = 0.93, miss: float = 1e-4, bucket: int = 1024, chunk: int = 512, code_bits: int = 256, deviations: float = 6.0, seed: int = 20) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of vectors (vec_id, embedding, label).
 
     Rows whose label or vector is null, or whose vector is empty, zero or holds a null or non-finite component,
@@ -185,16 +256,19 @@ def dedup_embeddings(vectors: DataFrame, *, threshold: float = 0.93, miss: float
     keyed = saved(rows.where(good).mapInArrow(_nodes, NODE))
     alone = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     nodes = saved(keyed.groupBy("label", "node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("vector").alias("vector")))
-    largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits, tables = table_plan(largest, threshold, miss, bucket)
-    dealt = nodes.select("label", "node", "copies", "vector").mapInArrow(_deal(bits, tables, seed), "label long, dims int, tab int, key long, node binary, copies long, vector binary")
-    where = ["label", "dims", "tab", "key"]
-    places = saved(dealt)
-    chunks = places.groupBy(*where).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"), F.count("*").alias("met")).where("met > 1").drop("met")
-    placed = places.join(chunks, where).withColumn("side", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    paired = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*where, F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "node", "copies", "side", "vector")
-    sorted_ = paired.repartition(*where, "i", "j").sortWithinPartitions(*where, "i", "j", "node")
-    met = saved(sorted_.mapInArrow(_meet(threshold, bits, tables, code_bits, deviations, seed), "node binary, links long, root binary"))
+    sizes = nodes.groupBy("label").agg(F.count("*").alias("size"))
+    key_bits, tables = table_plan(F.col("size"), threshold, miss, bucket)
+    planned = nodes.join(sizes, "label").select("label", "node", "vector", key_bits.alias("key_bits"), tables.alias("tables"))
+    codes = saved(planned.mapInArrow(_coded(code_bits, seed), CODED))
+    where, stored = ["label", "dims", "key_bits", "tab", "key"], ["node", "signs", "factor", "rounded", "scale"]
+    places = codes.select("label", "dims", "key_bits", F.posexplode("keys").alias("tab", "key"), *stored)
+    hot = places.groupBy(*where).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).where("chunks > 1")
+    placed = places.join(hot, where, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    paired = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*where, F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "node", "side", *stored[1:])
+    grouped = lambda rows, order: rows.repartition(*GROUP).sortWithinPartitions(*GROUP, order)
+    sifted = grouped(paired, "node").mapInArrow(_sift(threshold, code_bits, deviations, seed), f"{GROUPED}, node binary, place int, partners binary")
+    fetched = sifted.join(nodes.select("node", "copies", "vector"), "node").select(*GROUP, "place", "node", "copies", "partners", "vector")
+    met = saved(grouped(fetched, "place").mapInArrow(_exact(threshold, seed), "node binary, links long, root binary"))
     links = met.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(met.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = nodes.select("node", "copies", "least").join(links, "node", "left").join(roots.withColumnRenamed("id", "node"), "node", "left")

@@ -459,10 +459,28 @@ def test_vectors_match_brute_force(spark, chunk):
 
 
 def test_estimates_leave_no_link_out():
+    """Estimates are right on average, no pair at the threshold is ruled out, and few others are recomputed."""
     rng = np.random.default_rng(8)
     x = rng.standard_normal((400, 64))
     x[200:] = x[:200] + rng.standard_normal((200, 64)) * 0.35
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    every = np.arange(400)
-    a, b = embedding_dedup.linked_pairs(x, every, every, 0.93, 256, 6.0, 20)
-    assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(map(tuple, np.argwhere(x @ x.T >= 0.93).tolist()))
+    codes, exact = embedding_dedup.Codes.of(x, 256, 20), x @ x.T
+    error = embedding_dedup.estimates(codes, codes, 256, 20) - exact
+    assert abs(error.mean()) < 2e-3 and np.abs(error[~np.eye(400, dtype=bool)]).std() < 0.06
+    open_ = embedding_dedup.undecided(codes, codes, 0.93, 256, 6.0, 20)
+    assert open_[exact >= 0.93].all() and (exact >= 0.93).sum() > 500 and open_[exact < 0.8].mean() < 1e-3
+    assert codes.signs.nbytes + codes.factor.nbytes + codes.rounded.nbytes + codes.scale.nbytes == 400 * (32 + 4 + 64 + 4)
+
+
+def test_vectors_of_large_labels_match_all_pairs(spark):
+    """Labels of several buckets, a crowd of near copies among them, against all pairs in double precision."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((500, 24))
+    rows = [(int(i), (base[i % 500] + rng.standard_normal(24) * 0.12 * (i % 3)).astype(np.float32).tolist(), int(i % 500 < 50)) for i in range(1500)]
+    rows += [(2000 + i, (base[0] + rng.standard_normal(24) * 0.1).astype(np.float32).tolist(), 1) for i in range(150)]
+    got = embedding_dedup.dedup_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), bucket=64, chunk=40)
+    x, label = np.array([v for _, v, _ in rows], dtype=np.float64), np.array([k for _, _, k in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.93) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
+    want = {v: int(n) for (v, _, _), n in zip(rows, near.sum(axis=1), strict=True)}
+    assert {r["vec_id"]: r["n_links"] for r in got.collect()} == want and sum(want.values()) > 20_000
