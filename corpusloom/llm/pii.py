@@ -4,8 +4,10 @@ An entity is known by its canonical form (digits of a number, lower-case address
 gets the same surrogate, put back into the form at hand: separators, letter case, script and gender stay. A
 surrogate is a keyed permutation of the entity's own format class (two halves add keyed functions of each other
 modulo the sizes of their alphabets), so different entities of a class cannot meet. What a permutation can't
-rule out, a surrogate that is another entity of the corpus, or a meeting across classes or of generated family
-names, is found by a distributed collision check over all distinct entities and drawn again.
+rule out, a surrogate that is another entity of the corpus, or a meeting of generated names, is found by a
+distributed collision check over all distinct entities and drawn again until none is left. In a class of which
+the corpus fills more than a quarter no draw could avoid its other entities; there the permutation itself is
+turned into one cycle through the class, which keeps entities distinct and moves each of them.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import hmac
+import math
 import re
 from dataclasses import dataclass
 
@@ -24,8 +27,8 @@ from corpusloom.llm.storage import saved
 
 # Given names by script and gender, and the titles that announce a family name.
 GIVEN = {
-    ("latin", "f"): "Alice Amelia Anna Barbara Carla Catherine Charlotte Claire Elena Elizabeth Emily Emma Eva Francesca Greta Hannah Helen Isabel Jane Julia Karen Laura Linda Lucia Maria Martha Mary Monica Nina Olivia Paula Rachel Rosa Sarah Sofia Susan Teresa Victoria".split(),
-    ("latin", "m"): "Adam Albert Alexander Andrew Anthony Antonio Benjamin Carlos Charles Christian Daniel David Edward Eric Felix Francis Frank George Henry Hugo Jack James Javier John Joseph Juan Karl Lucas Mark Martin Michael Oliver Paul Peter Richard Robert Thomas William".split(),
+    ("latin", "f"): "Aisha Alice Amelia Anna Anne Barbara Carla Catherine Charlotte Claire Elena Elizabeth Emily Emma Eva Fatima Francesca Giulia Greta Hannah Helen Isabel Jane Julia Karen Lakshmi Laura Linda Lucia Maria Marie Martha Mary Mei Monica Nina Olivia Paula Priya Rachel Rosa Sarah Sofia Susan Teresa Victoria Yuki".split(),
+    ("latin", "m"): "Adam Ahmed Albert Alexander Andrew Anthony Antonio Benjamin Carlos Charles Christian Daniel David Edward Eric Felix Francis Frank George Henry Hans Hiroshi Hugo Jack James Javier Jean John José Joseph Juan Karl Klaus Lucas Luigi Mark Martin Michael Mohammed Oliver Paul Peter Pierre Raj Richard Robert Thomas Wei William".split(),
     ("cyrillic", "f"): "Анна Валентина Вера Галина Дарья Екатерина Елена Ирина Мария Наталья Ольга Светлана Софья Татьяна".split(),
     ("cyrillic", "m"): "Александр Алексей Андрей Борис Виктор Владимир Дмитрий Иван Константин Михаил Николай Павел Пётр Сергей".split(),
     ("greek", "f"): "Άννα Βασιλική Ελένη Ειρήνη Κατερίνα Μαρία Σοφία Χριστίνα".split(),
@@ -38,14 +41,22 @@ SYLLABLES = {
     "greek": "βα βε βο γα γο δα δε δο θα θε κα κε κο λα λε λο μα με μο να νε νο πα πε πο ρα ρε ρο σα σε σο τα τε το".split(),
 }
 
+# Words in small letters that may stand before a family name.
+PARTICLES = "al bin da de del della den der di du el ibn la le ten ter van von".split()
+# Endings by which generated given names show script and gender.
+ENDINGS = {
+    ("latin", "f"): "a elle ette ina".split(), ("latin", "m"): "an ert o us".split(), ("cyrillic", "f"): "а ина ия".split(),
+    ("cyrillic", "m"): "ий ор слав".split(), ("greek", "f"): "α η ια".split(), ("greek", "m"): "ας ης ος".split(),
+}
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 IPV4 = re.compile(r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 CARD = re.compile(r"(?<![0-9+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])")
-PHONE = re.compile(r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9])")
+PHONE = re.compile(r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9])|(?<![0-9A-Za-z+.,/_-])[2-9][0-9]{2}[2-9][0-9]{6}(?![0-9A-Za-z_])")
 _NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
-PERSON = re.compile(rf"(?<![\w])({_NAME})(\.?[ ])(?=({_NAME}))")
+PERSON = re.compile(rf"(?<![\w])({_NAME})(\.?[ ])(?=(?:(?:{'|'.join(PARTICLES)})[ ])*({_NAME}))")
 WORD = re.compile(rf"(?<![\w]){_NAME}")
 GENDER = {n: k for k, names in GIVEN.items() for n in names}
 _TITLES = frozenset(TITLES)
@@ -64,6 +75,14 @@ def script_of(word: str) -> str:
     return "greek" if 0x370 <= c < 0x400 else "cyrillic" if 0x400 <= c < 0x530 else "latin"
 
 
+def gender_of(name: str) -> tuple[str, str] | None:
+    """(script, gender) of a given name: of the lists, or by the ending of a generated one."""
+    if name in GENDER:
+        return GENDER[name]
+    fits = [(len(e), k) for k, endings in ENDINGS.items() if k[0] == script_of(name) for e in endings if name.endswith(e)]
+    return max(fits)[1] if fits else None
+
+
 def _titled(word: str) -> bool:
     return len(word) > 1 and word[0].isupper() and not word.isupper()
 
@@ -92,17 +111,13 @@ def find_entities(text: str) -> list[Entity]:
             family.add(last)
     if family:
         found += [Entity("family", *m.span(), m[0].lower()) for m in WORD.finditer(text) if m[0] in family]
-    out, taken = [], 0
     order = {k: i for i, k in enumerate(("email", "iban", "ssn", "card", "ip", "phone", "given", "family"))}
-    best: list[Entity] = []
-    for e in sorted(found, key=lambda e: order[e.kind]):
-        if all(e.end <= b.start or b.end <= e.start for b in best):
+    taken, best = bytearray(len(text)), []
+    for e in sorted(found, key=lambda e: (order[e.kind], e.start)):
+        if taken.find(1, e.start, e.end) < 0:
+            taken[e.start : e.end] = b"\1" * (e.end - e.start)
             best.append(e)
-    for e in sorted(best, key=lambda e: e.start):
-        if e.start >= taken:
-            out.append(e)
-            taken = e.end
-    return out
+    return sorted(best, key=lambda e: e.start)
 
 
 def _iban_valid(plain: str) -> bool:
@@ -125,21 +140,19 @@ class Keyed:
     def number(self, *parts) -> int:
         return int.from_bytes(hmac.digest(self.key, "\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"), hashlib.sha256)[:16], "big")
 
-    def permute(self, values: list[int], sizes: list[int], *tweak) -> list[int]:
-        """A permutation of the mixed-radix numbers of these sizes."""
-        half = (len(sizes) + 1) // 2
-        spans = [sizes[:half], sizes[half:]]
-        both = []
-        for digits, radix in ((values[:half], spans[0]), (values[half:], spans[1])):
+    def _halves(self, values: list[int], sizes: list[int]) -> list[list[int]]:
+        """[value, size] of the mixed-radix number of each half."""
+        half, out = (len(sizes) + 1) // 2, []
+        for digits, radix in ((values[:half], sizes[:half]), (values[half:], sizes[half:])):
             n, m = 0, 1
             for d, r in zip(digits, radix, strict=True):
                 n, m = n * r + d, m * r
-            both.append([n, m])
-        for k in range(8):
-            here, there = both[k % 2], both[1 - k % 2]
-            here[0] = (here[0] + self.number("round", k, there[0], *sizes, *tweak)) % here[1]
-        out = []
-        for (n, _), radix in zip(both, spans, strict=True):
+            out.append([n, m])
+        return out
+
+    def _digits(self, both: list[list[int]], sizes: list[int]) -> list[int]:
+        half, out = (len(sizes) + 1) // 2, []
+        for (n, _), radix in zip(both, (sizes[:half], sizes[half:]), strict=True):
             digits = []
             for r in reversed(radix):
                 n, d = divmod(n, r)
@@ -147,55 +160,137 @@ class Keyed:
             out += digits[::-1]
         return out
 
-    def chars(self, text: str, *tweak) -> str:
-        """Each ASCII letter by a letter, each digit by a digit (a leading one stays zero or not), the rest as it is."""
+    def _rounds(self, both: list[list[int]], sizes: list[int], tweak: tuple, back: bool = False) -> None:
+        for k in reversed(range(8)) if back else range(8):
+            here, there = both[k % 2], both[1 - k % 2]
+            step = self.number("round", k, there[0], *sizes, *tweak)
+            here[0] = (here[0] - step if back else here[0] + step) % here[1]
+
+    def permute(self, values: list[int], sizes: list[int], *tweak) -> list[int]:
+        """A permutation of the mixed-radix numbers of these sizes."""
+        both = self._halves(values, sizes)
+        self._rounds(both, sizes, tweak)
+        return self._digits(both, sizes)
+
+    def cycle(self, values: list[int], sizes: list[int], *tweak) -> list[int]:
+        """The next number in a keyed cycle through all of them: a permutation that leaves none in its place."""
+        both = self._halves(values, sizes)
+        self._rounds(both, sizes, tweak)
+        n = (both[0][0] * both[1][1] + both[1][0] + 1) % (both[0][1] * both[1][1])
+        both[0][0], both[1][0] = divmod(n, both[1][1])
+        self._rounds(both, sizes, tweak, back=True)
+        return self._digits(both, sizes)
+
+    def _move(self, values: list[int], sizes: list[int], attempt: int, *tweak) -> list[int]:
+        return self.cycle(values, sizes, *tweak) if attempt < 0 else self.permute(values, sizes, *tweak, attempt)
+
+    def chars(self, text: str, *tweak, attempt: int = 0, leading: bool = True) -> str:
+        """Each ASCII letter by a letter, each digit by a digit (with leading, a first one stays zero or not), the rest
+        as it is."""
         at = [i for i, c in enumerate(text) if c.isascii() and c.isalnum()]
-        classes = ["0123456789" if text[i].isdigit() else "abcdefghijklmnopqrstuvwxyz" if text[i].islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for i in at]
-        if at and classes[0][0] == "0":
-            classes[0] = "0" if text[at[0]] == "0" else "123456789"
-        got = self.permute([c.index(text[i]) for i, c in zip(at, classes, strict=True)], [len(c) for c in classes], *tweak)
+        classes = alphabets(text, leading)
+        got = self._move([c.index(text[i]) for i, c in zip(at, classes, strict=True)], [len(c) for c in classes], attempt, *tweak)
         out = list(text)
         for i, c, d in zip(at, classes, got, strict=True):
             out[i] = c[d]
         return "".join(out)
 
+    def domain(self, domain: str) -> str:
+        """An address's domain by another: the same for all addresses of it, different ones staying different."""
+        labels = domain.split(".")
+        kept = 2 if re.fullmatch(r".*\bexample\.(com|org|net)", domain) else 1
+        return ".".join([*(self.chars(x, "label") for x in labels[:-kept]), *labels[-kept:]])
+
+    def format_class(self, kind: str, canonical: str) -> tuple[str, str, float]:
+        """(class of the entity, class of its surrogates, size of the class; infinite where names are generated)."""
+        if kind == "email":
+            local, _, domain = canonical.rpartition("@")
+            return f"{shape(local, False)}@{domain}", f"{shape(local, False)}@{self.domain(domain)}", room(local, False)
+        if kind in ("given", "family"):
+            own = f"{script_of(canonical)}"
+            return own, own, math.inf
+        if kind == "ip":
+            own = ".".join("x" * len(o) for o in canonical.split("."))
+            return own, own, float(math.prod(OCTETS[len(o)][1] for o in canonical.split(".")))
+        if kind == "phone":
+            keep = 1 if len(canonical) > 10 else 0
+            own = canonical[:keep] + shape(canonical[keep:])
+            return own, own, room(canonical[keep:])
+        if kind == "card":
+            valid = _luhn(canonical[:-1]) == int(canonical[-1])
+            own = f"{canonical[0]}{shape(canonical[1:-1])}{'L' if valid else shape(canonical[-1])}"
+            return own, own, room(canonical[1:-1]) if valid else room(canonical[1:])
+        if kind == "iban":
+            return canonical[:2] + shape(canonical[4:]), canonical[:2] + shape(canonical[4:]), room(canonical[4:])
+        return shape(canonical), shape(canonical), room(canonical)
+
     def surrogate(self, kind: str, canonical: str, attempt: int = 0) -> str:
-        """The canonical surrogate of a canonical entity."""
+        """The canonical surrogate of a canonical entity; attempt -1 is that of a class which is well filled."""
         if kind == "email":
             local, _, domain = canonical.rpartition("@")
-            labels = domain.split(".")
-            kept = 2 if re.fullmatch(r".*\bexample\.(com|org|net)", domain) else 1
-            hidden = [self.chars(x, "label", attempt) for x in labels[:-kept]]
-            return self.chars(local, "local", domain, attempt) + "@" + ".".join([*hidden, *labels[-kept:]])
+            return f"{self.chars(local, 'local', domain, attempt=attempt, leading=False)}@{self.domain(domain)}"
         if kind == "phone":
             keep = 1 if len(canonical) > 10 else 0
-            return canonical[:keep] + self.chars(canonical[keep:], "phone", canonical[:keep], attempt)
+            return canonical[:keep] + self.chars(canonical[keep:], "phone", canonical[:keep], attempt=attempt)
         if kind == "card":
             if _luhn(canonical[:-1]) == int(canonical[-1]):
-                body = canonical[0] + self.chars(canonical[1:-1], "card", canonical[0], attempt)
+                body = canonical[0] + self.chars(canonical[1:-1], "card", canonical[0], attempt=attempt)
                 return body + str(_luhn(body))
-            return canonical[0] + self.chars(canonical[1:], "number", canonical[0], attempt)
+            return canonical[0] + self.chars(canonical[1:], "number", canonical[0], attempt=attempt)
         if kind == "iban":
-            body = self.chars(canonical[4:], "iban", canonical[:2], attempt)
+            body = self.chars(canonical[4:], "iban", canonical[:2], attempt=attempt)
             rest = int("".join(str(int(c, 36)) for c in f"{body}{canonical[:2]}00")) % 97
             return f"{canonical[:2]}{98 - rest:02d}{body}"
         if kind == "ip":
-            ranges = [((0, 10), (10, 90), (100, 156))[len(o) - 1] for o in canonical.split(".")]
-            got = self.permute([int(o) - r[0] for o, r in zip(canonical.split("."), ranges, strict=True)], [r[1] for r in ranges], "ip", attempt)
+            ranges = [OCTETS[len(o)] for o in canonical.split(".")]
+            got = self._move([int(o) - r[0] for o, r in zip(canonical.split("."), ranges, strict=True)], [r[1] for r in ranges], attempt, "ip")
             return ".".join(str(r[0] + g) for r, g in zip(ranges, got, strict=True))
         if kind == "given":
-            names = GIVEN[GENDER[canonical]]
-            order = sorted(names, key=lambda n: self.number("given", n))  # a cycle through all: never the name itself
-            return order[(order.index(canonical) + 1 + attempt % (len(order) - 1)) % len(order)]
+            script, gender = GENDER[canonical]
+            order = sorted(GIVEN[script, gender], key=lambda n: self.number("given", n))  # a cycle through all: never the name itself
+            if attempt == 0:
+                return order[(order.index(canonical) + 1) % len(order)]
+            n = self.number("given", canonical, attempt)
+            n, k = divmod(n, len(ENDINGS[script, gender]))
+            stem = self._syllables(n, script, 2 + attempt // 2)
+            return (stem.rstrip("aeoаеоαεο") + ENDINGS[script, gender][k]).capitalize()
         if kind == "family":
-            parts = SYLLABLES[script_of(canonical)]
-            n = self.number("family", canonical, attempt)
-            out = ""
-            for _ in range(3 + n % 2):
-                n, k = divmod(n, len(parts))
-                out += parts[k]
-            return out + "n" * (script_of(canonical) == "latin")
-        return self.chars(canonical, kind, attempt)
+            script, n = script_of(canonical), self.number("family", canonical, attempt)
+            return self._syllables(n >> 1, script, 3 + n % 2 + attempt // 2) + "n" * (script == "latin")
+        return self.chars(canonical, kind, attempt=attempt)
+
+    @staticmethod
+    def _syllables(n: int, script: str, count: int) -> str:
+        """A name of so many syllables: longer ones after some draws, so that there is always one that is free."""
+        out = ""
+        for _ in range(count):
+            n, k = divmod(n, len(SYLLABLES[script]))
+            out += SYLLABLES[script][k]
+        return out
+
+
+#: First value and number of values of an octet, by its digits.
+OCTETS = {1: (0, 10), 2: (10, 90), 3: (100, 156)}
+
+
+def alphabets(text: str, leading: bool = True) -> list[str]:
+    """The alphabet of each ASCII letter or digit of a text."""
+    out = ["0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in text if c.isascii() and c.isalnum()]
+    first = next((c for c in text if c.isascii() and c.isalnum()), "")
+    if leading and first.isdigit():
+        out[0] = "0" if first == "0" else "123456789"
+    return out
+
+
+def shape(text: str, leading: bool = True) -> str:
+    """The format of a text: a mark for the alphabet in place of each letter or digit."""
+    marks = iter({"0": "0", "123456789": "1", "0123456789": "9"}.get(a, a[0]) for a in alphabets(text, leading))
+    return "".join(next(marks) if c.isascii() and c.isalnum() else c for c in text)
+
+
+def room(text: str, leading: bool = True) -> float:
+    """How many texts have the same format."""
+    return float(math.prod(len(a) for a in alphabets(text, leading)))
 
 
 def render(original: str, kind: str, surrogate: str) -> str:
@@ -217,13 +312,22 @@ def _surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
     return Keyed(key).surrogate(kind, canonical, attempt)
 
 
-def _collect(batches):
-    """Distinct (kind, canonical) of each batch."""
-    for batch in batches:
-        texts = batch.column(0)
-        seen = sorted({(e.kind, e.canonical) for i in range(batch.num_rows) for e in find_entities(texts[i].as_py() or "")})
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*seen, strict=True)], ["kind", "canonical"])
+ENTITIES = "kind string, canonical string, own string, target string, room double"
+
+
+def _collect(key: bytes):
+    """Distinct entities of each batch with their classes."""
+
+    def run(batches):
+        keyed, names = Keyed(key), [f.split()[0] for f in ENTITIES.split(", ")]
+        for batch in batches:
+            texts = batch.column(0)
+            seen = sorted({(e.kind, e.canonical) for i in range(batch.num_rows) for e in find_entities(texts[i].as_py() or "")})
+            rows = [(*e, *keyed.format_class(*e)) for e in seen]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string()] * 4 + [pa.float64()], strict=True)], names)
+
+    return run
 
 
 def _draw(key: bytes):
@@ -236,23 +340,36 @@ def _draw(key: bytes):
     return run
 
 
+def crowded_classes(entities: DataFrame) -> DataFrame:
+    """(kind, own): the classes whose surrogates share their class with so many entities, of their own and of the
+    corpus, that these fill more than half of it."""
+    sizes = entities.groupBy("kind", "own").agg(F.count("*").alias("n"), F.first("target").alias("target"), F.first("room").alias("room"))
+    there = sizes.select("kind", F.col("own").alias("target"), F.col("n").alias("met"))
+    return sizes.join(there, ["kind", "target"], "left").where((F.col("n") + F.coalesce("met", F.lit(0))) * 2 > F.col("room")).select("kind", "own")
+
+
 def attempts_needed(docs: DataFrame, key: bytes, rounds: int) -> DataFrame:
     """(kind, canonical, attempt) of the entities whose first surrogate is taken: by another entity's surrogate
-    (the smaller canonical form has it) or as an entity of the corpus. Given names come from short lists and are
-    left out: their cycle never meets within a gender."""
-    every = docs.select("text").mapInArrow(_collect, "kind string, canonical string").where("kind <> 'given'").distinct()
-    drawn = saved(every.withColumn("attempt", F.lit(0)).mapInArrow(_draw(key), "kind string, canonical string, attempt int, surrogate string"))
-    for _ in range(rounds):
+    (the smaller canonical form has it) or as an entity of the corpus. Drawn again until none is left; a check that
+    finds some after `rounds` draws raises. Entities of crowded classes have attempt -1: their permutation keeps them
+    apart from each other, and the check is not for them."""
+    drawing = "kind string, canonical string, attempt int, surrogate string"
+    every = saved(docs.select("text").mapInArrow(_collect(key), ENTITIES).distinct())
+    crowded = crowded_classes(every).withColumn("crowded", F.lit(-1))
+    first = every.join(crowded, ["kind", "own"], "left").select("kind", "canonical", F.coalesce("crowded", F.lit(0)).alias("attempt"))
+    drawn = saved(first.mapInArrow(_draw(key), drawing))
+    for _ in range(rounds + 1):
         as_new = drawn.select("kind", F.col("surrogate").alias("value"), F.col("canonical").alias("of"))
         as_old = drawn.select("kind", F.col("canonical").alias("value"), F.lit(None).cast("string").alias("of"))
         met = as_new.unionByName(as_old).groupBy("kind", "value").agg(F.min("of").alias("first"), F.count("of").alias("new"), F.count(F.when(F.col("of").isNull(), 1)).alias("old")).where("new > 1 OR (new > 0 AND old > 0)")
-        taken = drawn.join(met.withColumnRenamed("value", "surrogate"), ["kind", "surrogate"], "left").select("kind", "canonical", "attempt", "surrogate", F.coalesce((F.col("old") > 0) | (F.col("first") != F.col("canonical")), F.lit(False)).alias("again"))
-        taken = saved(taken)
+        taken = drawn.join(met.withColumnRenamed("value", "surrogate"), ["kind", "surrogate"], "left")
+        again = (F.col("attempt") >= 0) & ((F.col("old") > 0) | (F.col("first") != F.col("canonical")))
+        taken = saved(taken.select("kind", "canonical", "attempt", "surrogate", F.coalesce(again, F.lit(False)).alias("again")))
         if taken.where("again").isEmpty():
-            break
-        redrawn = taken.where("again").select("kind", "canonical", (F.col("attempt") + 1).alias("attempt")).mapInArrow(_draw(key), drawn.schema)
+            return drawn.where("attempt <> 0").select("kind", "canonical", "attempt")
+        redrawn = taken.where("again").select("kind", "canonical", (F.col("attempt") + 1).alias("attempt")).mapInArrow(_draw(key), drawing)
         drawn = saved(taken.where("NOT again").drop("again").unionByName(redrawn))
-    return drawn.where("attempt > 0").select("kind", "canonical", "attempt")
+    raise RuntimeError(f"surrogates still collide after {rounds} draws")
 
 
 def replace_entities(text: str, key: bytes, attempts: dict) -> tuple[str, list[Entity]]:
@@ -290,13 +407,14 @@ def _entities(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)], ["rid", "kind", "canonical"])
 
 
-def pseudonymize(docs: DataFrame, key: str, *, rounds: int = 8, broadcast_rows: int = 100_000) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, *, rounds: int = 64, broadcast_rows: int = 100_000) -> DataFrame:
     """doc_id, text, n_entities, entities: each row's text with its entities replaced, and their kinds and spans in
     the original text (code points, end exclusive).
 
     A null text stays null and an empty one empty, with no entities. Repeated rows and null ids give a row each.
     Whole texts are read and given back; other columns are not read. An empty table gives no rows. The same key
-    gives the same surrogates for the same corpus.
+    gives the same surrogates for the same corpus. Persons are known by a given name of the lists or a title before a
+    family name, which then counts throughout its text.
 
     The few entities that were drawn again are broadcast if at most broadcast_rows; else joined to their rows.
     """

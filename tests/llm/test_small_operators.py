@@ -3,9 +3,11 @@
 import base64
 import bz2
 import gzip
+import itertools
 import lzma
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -341,6 +343,70 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     assert len(set(names)) == 4
 
 
+def test_crowded_classes_stay_distinct(spark):
+    """Of a class that the corpus fills, and of one it fills to a third, no two entities share a surrogate and none
+    keeps its own; in a wide class no surrogate is another entity."""
+    for n in (10_000, 3_000, 40):
+        docs = spark.createDataFrame([(i, " ".join(f"{k // 1000}.{k // 100 % 10}.{k // 10 % 10}.{k % 10}" for k in range(i, n, 20))) for i in range(20)], SCHEMA)
+        out = {r["doc_id"]: r["text"].split() for r in pii.pseudonymize(docs, "k").collect()}
+        pairs = [(old, new) for r in docs.collect() for old, new in zip(r["text"].split(), out[r["doc_id"]], strict=True)]
+        assert len({new for _, new in pairs}) == n and all(old != new and re.fullmatch(r"\d(\.\d){3}", new) for old, new in pairs)
+        if n == 40:
+            assert not {new for _, new in pairs} & {old for old, _ in pairs}
+    keyed = pii.Keyed(b"k" * 32)
+    for sizes in ([3, 4, 2], [1], [5], [2, 2]):
+        every = list(itertools.product(*map(range, sizes)))
+        for move in (keyed.permute, keyed.cycle):
+            got = [tuple(move(list(v), sizes, "t")) for v in every]
+            assert sorted(got) == every
+        at, walk = every[0], set()
+        while at not in walk:
+            walk.add(at)
+            at = tuple(keyed.cycle(list(at), sizes, "t"))
+        assert len(walk) == len(every)
+
+
+def test_distinct_and_coreferent_over_a_table(spark):
+    """By brute force over many documents: one surrogate for each entity, none shared, none an entity of the corpus."""
+    rng = random.Random(9)
+    names = [f"{a}{b}{c}son" for a in ("Bra", "Klo", "Mer", "Tan") for b in ("da", "lo", "mi") for c in ("", "ric", "tan")]
+    firsts = ["Maria", "Anna", "John", "Wei", "Fatima", "Jean"]
+    people = [(rng.choice(firsts), n) for n in names]
+    mails = [f"{rng.choice('abcdef')}{k}.{rng.choice('xyz')}@{rng.choice(['mail', 'work', 'corp'])}.example{k % 3}.org" for k in range(80)]
+    phones = [f"555-{rng.randrange(200, 999)}-{k:04d}" for k in range(90)] + [f"555{rng.randrange(200, 999)}{9000 + k}" for k in range(20)]
+    rows = []
+    for i in range(60):
+        who = rng.sample(people, 3)
+        parts = [f"{f} {n} met" for f, n in who] + [f"Mr {who[0][1]} said"] + rng.sample(mails, 3) + rng.sample(phones, 3)
+        rng.shuffle(parts)
+        rows.append((i, " ; ".join(parts)))
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymize(spark.createDataFrame(rows, SCHEMA), "k").collect()}
+    seen: dict[tuple, set] = {}
+    for i, text in rows:
+        at = 0
+        found = pii.find_entities(text)
+        new, pieces = out[i], []
+        for e, after in zip(found, [*found[1:], None], strict=True):
+            gap = text[e.end : after.start if after else len(text)]
+            start = e.start + at
+            stop = new.index(gap, start + 1) if gap else len(new)
+            pieces.append(new[start:stop])
+            at += (stop - start) - (e.end - e.start)
+            seen.setdefault((e.kind, e.canonical), set()).add("".join(c for c in pieces[-1].lower() if c.isalnum() or c in "@.") if e.kind in ("email", "phone") else pieces[-1].lower())
+    assert all(len(v) == 1 for v in seen.values()) and len(seen) > 150
+    for kind in ("email", "phone", "family", "given"):
+        new = [next(iter(v)) for (k, _), v in seen.items() if k == kind]
+        assert len(set(new)) == len(new) and not set(new) & {c.lower() for k, c in seen if k == kind}
+    assert {k for k, _ in seen} == {"email", "phone", "family", "given"} and all(pii.gender_of(next(iter(v)).capitalize()) == pii.GENDER[c] for (k, c), v in seen.items() if k == "given")
+
+
+def test_many_entities_in_one_text():
+    text = " ".join(f"10.{k // 65536 % 256}.{k // 256 % 256}.{k % 256}" for k in range(100_000))
+    began = time.time()
+    assert len(pii.find_entities(text)) == 100_000 and time.time() - began < 20
+    assert [e.canonical for e in pii.find_entities("Jean van der Berg met Wei Zhang and Fatima Al-Sayed") if e.kind == "family"] == ["berg", "zhang", "al-sayed"]
+
+
 def test_paragraphs_and_passages(spark):
     rng = random.Random(6)
     words = lambda n: [f"v{rng.randrange(9000)}" for _ in range(n)]
