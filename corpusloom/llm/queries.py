@@ -12,60 +12,70 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learned from the labels that the contract leaves: doc_id, held_out, score, predicted."""
     from corpusloom.llm.quality_gam import score_quality
 
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph and passage that repeats: doc_id, kind, first_word, n_words, component_id, kept. Documents without copies give no row."""
     from corpusloom.llm.paragraph_dedup import find_repeats
 
     return find_repeats(_table(spark, sf_dir, "documents"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every document: doc_id, item_id, first_word, n_words, hamming, similarity. Clean documents give no row."""
     from corpusloom.llm.decontaminate import find_contamination
 
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in sequences of 2048: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     from corpusloom.llm.packing import pack
 
     return pack(_table(spark, sf_dir, "documents"))
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its entities replaced: doc_id, text, n_entities, entities. A null text stays null."""
     from corpusloom.llm.pii import pseudonymize
 
     return pseudonymize(_table(spark, sf_dir, "documents"), key="corpusloom")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after four edits, from stored trees: doc_id and counts. Null texts count as empty."""
     from corpusloom.llm.token_counts import count_edited, sample_edits
 
     return count_edited(sample_edits(_table(spark, sf_dir, "documents")))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license phrases and notices: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     from corpusloom.llm.license_scan import scan_licenses
 
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links within its label: vec_id, n_links, component_id, kept. Vectors that can't be compared link with nothing."""
     from corpusloom.llm.embedding_dedup import dedup_embeddings
 
     return dedup_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near copies: doc_id, n_shingles, component_id. Documents without words link with nothing."""
     from corpusloom.llm.ngram_join import join_near
 
     return join_near(_table(spark, sf_dir, "documents"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets, plain and wrapped: doc_id, counts, base_sha256, spans. A null text counts as empty."""
     from corpusloom.llm.secret_scan import scan_secrets
 
     return scan_secrets(_table(spark, sf_dir, "documents"))

@@ -291,22 +291,59 @@ def test_contamination_steps(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, f in enumerate(want) if not f}
 
 
+def check_tree(tree, text):
+    """Every leaf ends where a piece of a full pass ends, and every node holds the sums of those below."""
+    ends = [m.end() for m in tree.pattern.finditer(text)]
+    leaves = tree._leaves()
+    bounds = np.cumsum(leaves[:, 0])
+    assert tree.text == text and tree.n_chars == len(text) and tree.n_pieces == len(ends)
+    assert [int((np.array(ends) <= b).sum()) for b in bounds] == np.cumsum(leaves[:, 1]).tolist() and set(bounds.tolist()) <= {0, *ends}
+    size = len(tree.sums) // 2
+    assert all((tree.sums[k] == tree.sums[2 * k] + tree.sums[2 * k + 1]).all() for k in range(1, size))
+
+
 def test_token_tree_equals_full_pass(spark):
     path, rng = default_vocabulary(), random.Random(5)
     enc, letters = encoder(path), "ab c'st \n\n  12é日本,.!?'ll x"
     for _ in range(200):
-        tree = token_counts.TokenTree("".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 50, 400]))), path, rng.choice([2, 4, 64]))
+        text = "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 50, 400])))
+        tree = token_counts.TokenTree.build(text, path, rng.choice([2, 4, 64]))
         for _ in range(5):
-            tree.edit(rng.randint(0, max(1, len(tree.text))), rng.choice([0, 1, 20]), "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 30]))))
-            assert tree.n_tokens == len(enc.fast.encode_ordinary(tree.text)) and tree.offsets() == [m.end() for m in tree.pattern.finditer(tree.text)]
-    big = token_counts.TokenTree("word and more " * 3000, path)
+            start, length, new = rng.randint(0, max(1, len(text))), rng.choice([0, 1, 20]), "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 30])))
+            tree.edit(start, length, new)
+            text = text[:start] + new + text[start + length :]
+            assert tree.n_tokens == len(enc.fast.encode_ordinary(text))
+            check_tree(tree, text)
+    big = token_counts.TokenTree.build("word and more " * 3000, path)
     big.edit(20_000, 3, "x")
-    assert big.reencoded < 10
+    assert big.reencoded <= 3 * big.width
     out = token_counts.count_edited(token_counts.sample_edits(edges(spark))).collect()
     assert len(out) == len(EDGES) and all(r["n_edits"] == 4 for r in out)
     assert token_counts.count_edited(token_counts.sample_edits(empty(spark))).count() == 0
 
 
+def test_trees_are_kept_and_edited_again(spark, tmp_path):
+    """A stored table of trees takes edits, is stored, and takes more: the same as a full pass, without one."""
+    path = default_vocabulary()
+    count = lambda t: len(encoder(path).fast.encode_ordinary(t or ""))
+    rows = [(i, f"Line {i} of text. " * 400) for i in range(5)] + [(7, None), (8, ""), (None, "no id"), (5, "twice"), (5, "twice")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], f"{SCHEMA}, version int, chars string")
+    token_counts.build_trees(docs).write.parquet(str(tmp_path / "v0"))
+    edits = "doc_id long, edits array<struct<start: int, length: int, text: string>>"
+    first = spark.createDataFrame([(0, [(100, 5, "changed"), (3000, 0, " more")]), (1, None), (5, [(0, 2, "T")]), (8, [(4, 4, "new text")])], edits)
+    one = token_counts.apply_edits(spark.read.parquet(str(tmp_path / "v0")), first)
+    one.drop("n_edits", "n_reencoded").write.parquet(str(tmp_path / "v1"))
+    two = token_counts.apply_edits(spark.read.parquet(str(tmp_path / "v1")), spark.createDataFrame([(0, [(50, 1, ""), None])], edits))
+    for frame, changed in ((one, {0: 2, 5: 1, 8: 1}), (two, {0: 1})):
+        got = frame.collect()
+        assert len(got) == len(rows) and all(r["tokens"][1] == count(r["text"]) and r["n_edits"] == changed.get(r["doc_id"], 0) for r in got)
+        assert sum(r["n_reencoded"] for r in got) < 250 and all(r["n_reencoded"] == 0 for r in got if r["doc_id"] not in changed)
+    text = {r["doc_id"]: (r["text"], r["version"]) for r in two.collect()}
+    want = rows[0][1][:100] + "changed" + rows[0][1][105:]
+    want = want[:3000] + " more" + want[3000:]
+    assert text[0] == (want[:50] + want[51:], 2) and text[8] == ("new text", 1) and text[7] == (None, 0)
+
+
 def test_surrogates(spark):
     text = "Maria Schmidt, +1 (386) 555-3733 or +13865553733, A.b7@mail.example.com / a.b7@mail.example.com, 61.131.143.218, 4111 1111 1111 1111. Schmidt said so. Анна Петрова."
     rows = [(1, text), (2, "again +1 (386) 555-3733"), *EDGES]
