@@ -5,7 +5,7 @@ document, 1 to capacity - 1 ids, is packed by the minimum-bin-slack rule: the lo
 and a bitset subset-sum over the multiset of remaining lengths picks what fills it closest to capacity,
 backtracked to counts for each length. A filling is repeated as often as the counts allow, so the plan has
 at most about one step for each length, however many documents there are. Only the histogram of lengths (at
-most `capacity` rows) and one figure for each partition reach the driver.
+most `capacity` rows) and the number of whole windows reach the driver.
 """
 
 from __future__ import annotations
@@ -120,14 +120,14 @@ def _tokenize(path: str, end_id: int, capacity: int):
     return run
 
 
-def _place(where: dict, full_start: dict[int, int], capacity: int):
+def _place(where: dict, capacity: int):
     def run(batches):
         for batch in batches:
             out: list[list[int]] = [[] for _ in range(7)]
-            for doc, total, part, before, rest, rank, crcs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, total, before, rest, rank, crcs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for i, crc in enumerate(crcs):
                     if (i + 1) * capacity <= total:
-                        row = (doc, i * capacity, capacity, crc, total, full_start[part] + before + i, 0)
+                        row = (doc, i * capacity, capacity, crc, total, before + i, 0)
                     else:
                         starts, rows = where[rest]
                         k = bisect_right(starts, rank) - 1
@@ -151,16 +151,14 @@ def pack(docs: DataFrame, *, capacity: int = 2048, end_id: int = 1, vocabulary:
     """
     path = vocabulary or default_vocabulary()
     tokens = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_tokenize(path, end_id, capacity), TOKENIZED))
-    # Both results are bounded: one row for each partition, one for each length below capacity.
-    full = tokens.groupBy("part").agg(F.sum(F.floor(F.col("doc_tokens") / capacity)).alias("n")).collect()
-    full_start, at = {}, 0
-    for r in sorted(full):
-        full_start[r["part"]] = at
-        at += int(r["n"])
-    cells = tokens.where("rest > 0").groupBy("part", "rest").agg(F.count("*").alias("n"))
-    counts = {int(r["rest"]): int(r["n"]) for r in cells.groupBy("rest").agg(F.sum("n").alias("n")).collect()}
-    where = slots(plan_fillings(counts, capacity), at)
-    before = F.sum("n").over(Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = cells.select("part", "rest", F.coalesce(before, F.lit(0)).alias("base"))
-    ranked = tokens.join(bases, ["part", "rest"], "left").select("doc_id", "doc_tokens", "part", "full_before", "rest", (F.col("rest_rank") + F.coalesce("base", F.lit(0))).alias("rest_rank"), "crcs")
-    return ranked.mapInArrow(_place(where, full_start, capacity), PIECES)
+    cells = tokens.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("doc_tokens") / capacity)).alias("full"))
+    # Bounded: one row for each length below capacity.
+    lengths = cells.groupBy("rest").agg(F.sum("n").alias("n"), F.sum("full").alias("full")).collect()
+    counts = {int(r["rest"]): int(r["n"]) for r in lengths if r["rest"]}
+    where = slots(plan_fillings(counts, capacity), sum(int(r["full"]) for r in lengths))
+    before = lambda n, window: F.coalesce(F.sum(n).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # The window without a key runs over one row for each input partition.
+    starts = cells.groupBy("part").agg(F.sum("full").alias("full")).select("part", before("full", Window.orderBy("part")).alias("full_start"))
+    bases = cells.withColumn("base", before("n", Window.partitionBy("rest").orderBy("part"))).join(starts, "part").select("part", "rest", "base", "full_start")
+    ranked = tokens.join(bases, ["part", "rest"]).select("doc_id", "doc_tokens", (F.col("full_before") + F.col("full_start")).alias("full_before"), "rest", (F.col("rest_rank") + F.col("base")).alias("rest_rank"), "crcs")
+    return ranked.mapInArrow(_place(where, capacity), PIECES)

@@ -5,6 +5,7 @@ import bz2
 import gzip
 import itertools
 import lzma
+import os
 import random
 import re
 import time
@@ -222,6 +223,28 @@ def test_quality(spark):
     assert {r["score"] for r in quality_gam.score_quality(edges(spark), none).collect()} == {0.5}
 
 
+def test_scores_are_sums_of_table_entries(spark):
+    """Each row by itself: the intercept and one entry for each feature and pair."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((400, 5)).round(1)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    model = quality_gam.fit(x, y, rounds=20, pair_rounds=20)
+    got = model.score(x)
+    for row, score in zip(x, got, strict=True):
+        b = [sum(v >= c for c in cuts) for v, cuts in zip(row, model.cuts, strict=True)]
+        z = model.intercept + sum(t[i] for t, i in zip(model.singles, b, strict=True)) + sum(t[b[i], b[j]] for (i, j), t in model.pairs.items())
+        assert abs(1 / (1 + np.exp(-z)) - score) < 1e-12
+    assert ((got > 0.5) == (y > 0.5)).mean() > 0.9 and model.pairs[0, 1].any()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the supplied tables are not here")
+def test_quality_on_held_out_labels(spark):
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+    rows = quality_gam.score_quality(read("documents"), read("labels")).where("held_out").join(read("labels"), "doc_id").select("quality", "score").collect()
+    good, bad = [r["score"] for r in rows if r["quality"] == 1], [r["score"] for r in rows if r["quality"] == 0]
+    assert len(rows) > 50 and np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad]) > 0.95
+
+
 def test_decontamination(spark):
     rng = random.Random(3)
     words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
