@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, ngram_join, packing, quality_gam, secret_scan
-from corpusloom.llm.storage import ensure_checkpoint_dir
+from corpusloom.llm.storage import ensure_checkpoint_dir, remove
 
 #: Packing has no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -25,9 +25,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject; it learns from those of its input that have labels."""
-    model = quality_gam.train(docs, _table(spark, sf_dir, "labels"))
-    return quality_gam.add_score(docs, model, "_score").where(F.col("_score") >= 0.3).drop("_score")
+    """Documents that the classifier doesn't reject; it learns from those of its input that have labels.
+
+    Null and empty texts are scored like others; without labels all stay. Repeated rows share their fate.
+    """
+    model, score = quality_gam.train(docs, _table(spark, sf_dir, "labels")), f"score_{uuid.uuid4().hex}"
+    return quality_gam.add_score(docs, model, score).where(F.col(score) >= 0.3).drop(score)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +39,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found; null and empty texts hold none, and without items all stay."""
     return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
@@ -47,7 +50,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of 2048-token sequences."""
+    """Pieces of 2048-token sequences, as op7_packing gives them; a null text is its end id alone."""
     return packing.pack(docs)
 
 
@@ -61,12 +64,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = _table(spark, sf_dir, "documents")
+    """All stages over documents, each written to the shared folder and read again; what a stage has read is removed
+    once its own rows are written. An empty table gives no rows."""
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = _table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
