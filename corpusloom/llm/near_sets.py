@@ -495,7 +495,6 @@ def possible_blocks(lists: DataFrame, nodes: DataFrame, limit: Threshold, sketch
     drawn = met.join(nodes, "id").select("list", "i", "j", "id", "n", "bits")
     possible = saved(_dealt(drawn, _possible(limit), "a long, b long", "list", "i", "j"))
     blocks = components(possible)
-    long = saved(long)
     if long.isEmpty():
         return blocks
     rows = lists.join(long.select("list"), "list").join(blocks.withColumnRenamed("id", "nid"), "nid", "left").select("list", F.col("nid").alias("id"), F.coalesce("root", "nid").alias("root"))
@@ -506,7 +505,7 @@ def possible_blocks(lists: DataFrame, nodes: DataFrame, limit: Threshold, sketch
     return components(possible.unionByName(_dealt(dealt, _bridges(limit), "a long, b long", "list", "i", "j")))
 
 
-def set_components(texts: DataFrame, rows: DataFrame, cut: Cut, tokens_of: Tokens | None, limit: Threshold, link: Link, *, chunk_sets: int, chunk_words: int, sketch_sets: int = 1024, sample: int = 64, common_seen: int = 64) -> DataFrame:
+def set_components(texts: DataFrame, rows: DataFrame, cut: Cut, tokens_of: Tokens | None, limit: Threshold, link: Link, *, chunk_sets: int, chunk_words: int, sketch_sets: int = 4096, sample: int = 64, common_seen: int = 64) -> DataFrame:
     """(node, root) of each node that is linked to another, among the units of texts (ref, text); rows: ROWS of them,
     with their tokens where tokens_of is None.
 
@@ -538,9 +537,11 @@ def set_components(texts: DataFrame, rows: DataFrame, cut: Cut, tokens_of: Token
     placed = saved(placed.join(share, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))
 
     def met(where: DataFrame, crossing: bool) -> DataFrame:
-        """where: ref, line, node, block, i, j, side. The filter has sixteen bits for each place, up to 128 MB."""
-        bits = min(30, max(16, (16 * where.count()).bit_length()))
-        bitmap = context.broadcast(member_bitmap(where, bits))
+        """where: ref, line, node, block, i, j, side. The filter of 4 MB gives way to one of 128 MB if it fills up."""
+        bits, held = 25, member_bitmap(where, 25)
+        if int(np.bitwise_count(np.frombuffer(held, dtype=np.uint8)).sum()) > 1 << 22:
+            bits, held = 30, member_bitmap(where, 30)
+        bitmap = context.broadcast(held)
         members = text.mapInArrow(_members(cut, bitmap, bits), "ref long, line int, packed binary")
         dealt = members.join(where, ["ref", "line"]).select("block", "i", "j", "node", "packed", "side")
         return _dealt(dealt, _linked(cut, limit, link, crossing), "a binary, b binary", "block", "i", "j", "node")
