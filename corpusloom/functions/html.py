@@ -88,6 +88,12 @@ def table_grid(html: pd.Series) -> pd.Series:
 
 
 def row_text(header: Column, row: Column) -> Column:
-    """'header: value' for each value that is not blank; values under a blank or equal header stand alone."""
-    cells = F.zip_with(header, row, lambda h, v: F.when(F.coalesce(v, F.lit("")) != "", F.when((F.coalesce(h, F.lit("")) == "") | (h == v), v).otherwise(F.concat(h, F.lit(": "), v))))
-    return F.array_join(F.array_distinct(F.array_compact(cells)), " | ")
+    """A row as text: the value of a row that repeats one in all cells, once; 'header: value' for each value under a
+    header of the row's width, those equal to their header left out; else the values, a blank between."""
+    shown = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    values = F.filter(F.transform(row, shown), lambda v: v != "")
+    whole = (F.size(F.array_distinct(values)) == 1) & (F.size(values) == F.size(row))
+    pairs = F.zip_with(header, row, lambda h, v: F.when((shown(v) != "") & (shown(h) != shown(v)), F.trim(F.concat(F.coalesce(h, F.lit("")), F.lit(": "), v), F.lit(" :"))))
+    named = F.array_join(F.array_distinct(F.filter(pairs, lambda p: p.isNotNull() & (p != ""))), " | ")
+    filled = F.filter(row, lambda c: shown(c) != "")
+    return F.when(whole, F.get(values, F.lit(0))).when((F.size(header) > 0) & (F.size(header) == F.size(row)), named).otherwise(F.array_join(filled, " "))

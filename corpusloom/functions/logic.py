@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -191,18 +193,151 @@ def training_decision(verdict: Column, agreement: Column, verifier: Column, prog
     return rows.when(agreement == "ALL_DISAGREE", out(False, "all_labels_disagree")).otherwise(out(True, "accepted"))
 
 
-def modality(text: Column) -> Column:
-    """The modality of a normative sentence: patterns take their part in order, so later ones don't see it again;
-    two normative ones leave it unknown, one goes before the descriptive ones."""
+def modality_hits(text: Column) -> Column:
+    """The modalities whose expressions a sentence shows. Each takes its first match away, so that later ones don't
+    see it again."""
     rest, found = F.coalesce(text, F.lit("")), []
     for name, pattern in MODALITIES:
         found.append(F.when(rest.rlike(pattern), name))
-        rest = F.regexp_replace(rest, pattern, " ")
-    hits = F.array_compact(F.array(*found))
+        rest = F.regexp_replace(rest, rf"(?s)^(.*?)(?:{pattern})", "$1 ")
+    return F.array_compact(F.array(*found))
+
+
+def modality(text: Column) -> Column:
+    """The modality of a normative sentence: two normative ones leave it unknown, one goes before the descriptive ones."""
+    hits = modality_hits(text)
     normative = F.filter(hits, lambda h: h.isin(*NORMATIVE))
     return F.when(F.size(normative) > 1, "unknown").otherwise(F.coalesce(F.get(normative, F.lit(0)), F.get(hits, F.lit(0)), F.lit("unknown")))
 
 
+# The modality words of rule cards.
+CARD_MODALITY = {"의무": "mandatory", "금지": "prohibition", "허용": "permission", "권고": "recommendation"}
+
+
+def requirement_modality(card: Column, text: Column) -> Column:
+    """The card's modality, else the text's; unknown where they contradict each other."""
+    said, read = F.try_element_at(_map(CARD_MODALITY), F.trim(card)), modality(text)
+    return F.when(said.isNotNull() & (read != "unknown") & (said != read), "unknown").otherwise(F.coalesce(said, read))
+
+
+# The labels of each question's intent, positive and negative; and the intent that each modality asks for.
+INTENT_LABELS = {
+    "rule_applies": ("APPLICABLE", "NOT_APPLICABLE"),
+    "obligation_triggered": ("OBLIGATION_TRIGGERED", "OBLIGATION_NOT_TRIGGERED"),
+    "action_prohibited": ("PROHIBITED", "NOT_PROHIBITED"),
+    "action_permitted": ("PERMITTED", "NOT_PERMITTED"),
+    "exception_applies": ("EXCEPTION_APPLIES", "EXCEPTION_NOT_APPLIES"),
+    "requirement_satisfied": ("REQUIREMENT_SATISFIED", "REQUIREMENT_NOT_SATISFIED"),
+    "compliance_judgment": ("COMPLIANT", "NON_COMPLIANT"),
+}
+DEFAULT_INTENT = {
+    "applicability": "rule_applies", "mandatory": "obligation_triggered", "prohibition": "action_prohibited", "permission": "action_permitted", "exemption": "exception_applies",
+    "recommendation": "requirement_satisfied", "definition": "information_extraction", "procedure": "requirement_satisfied", "unknown": "rule_applies",
+}
+
+
+def default_intent(modality_: Column) -> Column:
+    return F.coalesce(F.try_element_at(_map(DEFAULT_INTENT), modality_), F.lit("rule_applies"))
+
+
+def normative_label(applicability: Column, modality_: Column) -> Column:
+    """What a rule of some modality says where it applies, doesn't, or can't be told."""
+    axis = {"mandatory": "obligation_triggered", "prohibition": "action_prohibited", "permission": "action_permitted"}
+    by = lambda k: F.coalesce(F.try_element_at(_map({m: INTENT_LABELS[i][k] for m, i in axis.items()}), modality_), F.lit(INTENT_LABELS["rule_applies"][k]))
+    plain = F.when(applicability == "APPLICABLE", by(0)).when(applicability == "NOT_APPLICABLE", by(1)).when(applicability.isin("EXCEPTION_APPLIES", "INSUFFICIENT_INFORMATION"), applicability)
+    exempt = F.when(applicability.isin("EXCEPTION_APPLIES", "INSUFFICIENT_INFORMATION"), applicability).when(applicability.isin("APPLICABLE", "NOT_APPLICABLE"), "EXCEPTION_NOT_APPLIES")
+    return F.coalesce(F.when(modality_ == "exemption", exempt).otherwise(plain), F.lit("UNKNOWN"))
+
+
+def compliance_label(normative: Column, modality_: Column, performed: Column) -> Column:
+    """Compliance where a prohibited or required act is known to be done or not; else not assessed."""
+    bad = ((modality_ == "prohibition") & (normative == "PROHIBITED") & performed) | ((modality_ == "mandatory") & (normative == "OBLIGATION_TRIGGERED") & ~performed)
+    judged = performed.isNotNull() & (((modality_ == "prohibition") & (normative == "PROHIBITED")) | ((modality_ == "mandatory") & (normative == "OBLIGATION_TRIGGERED")))
+    return F.when(~F.coalesce(judged, F.lit(False)), "NOT_ASSESSED").when(bad, "NON_COMPLIANT").otherwise("COMPLIANT")
+
+
+def primary_label(intent: Column, applicability: Column, normative: Column, compliance: Column) -> Column:
+    """The label of the axis that a question asks about."""
+    return F.when(intent == "rule_applies", applicability).when(intent == "compliance_judgment", compliance).when(intent == "information_extraction", "NOT_ASSESSED").otherwise(normative)
+
+
+# Names of labels and the label that each stands for.
+CANONICAL = {
+    "applicable": "APPLICABLE", "compliant": "APPLICABLE", "적용": "APPLICABLE", "적합": "APPLICABLE", "not_applicable": "NOT_APPLICABLE", "non_compliant": "NOT_APPLICABLE", "미적용": "NOT_APPLICABLE", "부적합": "NOT_APPLICABLE",
+    "exception_applies": "EXCEPTION_APPLIES", "예외 적용": "EXCEPTION_APPLIES", "insufficient_information": "INSUFFICIENT_INFORMATION", "uncertain": "INSUFFICIENT_INFORMATION", "판단 불가": "INSUFFICIENT_INFORMATION", "unknown": "UNKNOWN",
+}
+
+
+def canonical_label(label: Column) -> Column:
+    return F.coalesce(F.try_element_at(_map(CANONICAL), F.lower(F.trim(label))), F.lit("UNKNOWN"))
+
+
+def compare_primary_labels(intent: Column, generation: Column, verifier: Column, program: Column, understood: Column) -> Column:
+    """(agreement, action) on the axis of a question; a verifier that understood another question is no comparison."""
+    other = F.coalesce(F.nullif(understood, F.lit("")) != intent, F.lit(False))
+    unread = F.when(F.coalesce(program, F.lit("")).isin("", "UNKNOWN", "NOT_ASSESSED"), F.lit("UNKNOWN")).otherwise(program)
+    mismatch = F.struct(F.lit("SEMANTIC_AXIS_MISMATCH").alias("agreement"), F.lit("REVERIFY").alias("action"))
+    return F.when(other, mismatch).otherwise(compare_labels(generation, verifier, unread))
+
+
+# The checks without which a verdict is a rejection.
+CRITICAL = ("faithfulness", "numeric_unit_consistency", "logical_validity")
+
+
+def verdict(target: Column, derived: Column, checks: Column) -> Column:
+    """(verdict, priority, reasons) from a target label, the verifier's label and its checks (map name -> PASS or
+    another); an unknown label is rejected."""
+    failed = lambda k: ~F.coalesce(F.try_element_at(checks, F.lit(k)) == "PASS", F.lit(False))
+    mismatch = ~derived.eqNullSafe(target)
+    reasons = F.array_compact(F.array(F.when(mismatch, F.concat(F.lit("label_mismatch:"), target, F.lit("->"), derived)), *[F.when(failed(k), F.lit(f"{k}_fail")) for k in CRITICAL]))
+    out = lambda v, p, r: F.struct(F.lit(v).alias("verdict"), p.alias("priority"), r.alias("reasons"))
+    known = F.coalesce(derived.isin("compliant", "non_compliant", "uncertain"), F.lit(False))
+    return (
+        F.when(~known, out("REJECT", F.lit("HIGH"), F.array(F.lit("invalid_verifier_output"))))
+        .when(F.size(reasons) > 0, out("REJECT", F.when(mismatch, "HIGH").otherwise("MEDIUM"), reasons))
+        .when(failed("style_quality"), out("ACCEPT_WITH_EDIT", F.lit("LOW"), F.array(F.lit("style_quality_fail"))))
+        .otherwise(out("ACCEPT", F.lit("LOW"), F.array().cast("array<string>")))
+    )
+
+
+def literal_condition(operator: str, expected: list[str], actual: Column, unit: str | None = None, actual_unit: str | None = None) -> Column:
+    """evaluate_condition for a numeric column against an operator, values and units known beforehand: everything but
+    the comparison is worked out here, so rows are compared as the numbers they are."""
+    op = ALIASES.get(operator.strip(), operator.strip())
+    dimension = {u: d for d, units in UNITS.items() for u in units}
+    factor = {u: f for units in UNITS.values() for u, f in units.items()}
+    form = lambda u: (u or "").strip().lower() or None
+
+    def number(text: str) -> float | None:
+        m = re.fullmatch(r"\s*([-+]?[\d,]*\.?\d+(?:[eE][-+]?\d+)?)\s*([^\s\d,]{0,6})\s*", text)
+        if not m:
+            return None
+        value, own = float(m[1].replace(",", "")), form(m[2])
+        if own is None or form(unit) is None or own == form(unit):
+            return value
+        return value * factor[own] / factor[form(unit)] if dimension.get(own) is not None and dimension.get(own) == dimension.get(form(unit)) else None
+
+    if any(w in " ".join(expected) for w in QUALITATIVE) or op not in NUMERIC:
+        return F.lit(UNKNOWN)
+    if op.startswith("between") and len(expected) != 2:
+        return F.lit(INVALID)
+    wanted, value = [number(e) for e in expected], actual.cast("double")
+    if not op.startswith("between") and (not wanted or wanted[0] is None):
+        return F.when(actual.isNull(), UNKNOWN).otherwise(INVALID)
+    if form(unit) and form(actual_unit) and form(unit) != form(actual_unit):
+        if dimension.get(form(unit)) is None or dimension.get(form(unit)) != dimension.get(form(actual_unit)):
+            return F.lit(UNKNOWN)
+        value = value * F.lit(factor[form(actual_unit)]) / F.lit(factor[form(unit)])
+    if None in wanted[:2]:
+        return F.lit(UNKNOWN)
+    low, high = F.lit(wanted[0]), F.lit(wanted[1]) if len(wanted) > 1 else None
+    ok = {
+        "eq": lambda: value == low, "ne": lambda: value != low, "gt": lambda: value > low, "gte": lambda: value >= low, "lt": lambda: value < low, "lte": lambda: value <= low,
+        "between_inclusive": lambda: (value >= low) & (value <= high), "between_exclusive": lambda: (value > low) & (value < high),
+    }[op]()
+    return F.when(ok.isNull(), UNKNOWN).when(ok, SATISFIED).otherwise(NOT_SATISFIED)
+
+
 def length_reward(text: Column, target: int) -> Column:
     """1 at the target length, falling to 0 at none and at twice as long."""
     return F.greatest(F.lit(0.0), 1 - F.abs(F.length(text) - target) / F.lit(float(target)))

@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import content_hash, normalize_text
+from corpusloom.operators import near_dup
 
 # Patterns of personal numbers, in order of precedence, with the tag that replaces them.
 PERSONAL = (
-    ("KR_RRN", r"(?<![0-9A-Za-z_])\d{6}[-\s]?[1-8]\d{6}(?![0-9A-Za-z_])"),
-    ("KR_PHONE", r"(?<![0-9A-Za-z_])01[016789][-\s.]?\d{3,4}[-\s.]?\d{4}(?![0-9A-Za-z_])"),
-    ("KR_PHONE", r"(?<![0-9A-Za-z_])0\d{1,2}[-\s.]?\d{3,4}[-\s.]?\d{4}(?![0-9A-Za-z_])"),
+    ("KR_RRN", r"(?U)\b\d{6}[-\s]?[1-8]\d{6}\b"),
+    ("KR_PHONE", r"(?U)\b01[016789][-\s.]?\d{3,4}[-\s.]?\d{4}\b"),
+    ("KR_PHONE", r"(?U)\b0\d{1,2}[-\s.]?\d{3,4}[-\s.]?\d{4}\b"),
     ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("KR_BANK_ACCOUNT", r"(?<![0-9A-Za-z_])\d{2,6}-\d{2,6}-\d{2,6}(-\d{1,6})?(?![0-9A-Za-z_])"),
+    ("KR_BANK_ACCOUNT", r"(?U)\b\d{2,6}-\d{2,6}-\d{2,6}(?:-\d{1,6})?\b"),
 )
 # Turns of phrase of prompt injection.
 INJECTION = (
@@ -41,6 +42,8 @@ class GateRules:
     most_chars: int = 20_000
     languages: tuple[str, ...] = ("ko", "en")
     most_duplicates: float = 0.2
+    most_near_duplicates: float | None = None
+    near_threshold: float = 0.85
     required_metadata: tuple[str, ...] = field(default=())
 
 
@@ -55,15 +58,16 @@ def first_by(records: DataFrame, keys: list[Column], order: list[Column]) -> Dat
     return keyed.withColumn("_rank", F.row_number().over(Window.partitionBy(*names).orderBy(*order))).where("_rank = 1").drop("_rank", *names)
 
 
-def exact_dedup(records: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
-    """One record of each normalised text: the first by `order`.
+def exact_dedup(records: DataFrame, order: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """One record of each normalised text: the first by `order`, records without an order last; `keep` names the
+    columns that are wanted of it. Null texts count as one.
 
-    The survivors are found on hashes alone (map-side minima), so copies by the thousand shuffle one small row
-    for each task, and the texts meet their survivors in one join.
+    Firsts are found in one aggregation, before the shuffle where copies lie in one task, so a text by the
+    thousand sends one row from each task and no group is gathered.
     """
-    hashed = records.withColumn("_hash", content_hash(F.col(text)))
-    first = hashed.groupBy("_hash").agg(F.min(order).alias("_first"))
-    return hashed.join(first.select(F.col("_first")), hashed[order] == first["_first"], "left_semi").drop("_hash")
+    kept = F.struct(*[F.col(c) for c in keep or records.columns])
+    first = F.min_by(kept, F.struct(F.col(order).isNull().alias("late"), F.col(order).alias("at")))
+    return records.groupBy(content_hash(F.col(text)).alias("content_hash of exact_dedup")).agg(first.alias("first of exact_dedup")).select("`first of exact_dedup`.*")
 
 
 def duplicate_ratio(text: Column) -> Column:
@@ -109,8 +113,9 @@ def banned_hits(text: Column, terms: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(t)) for t, p in found])) if found else F.array().cast("array<string>")
 
 
-def quality_report(records: DataFrame, rules: GateRules = GateRules(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row: counters of the gate in one pass, and whether it passes. An empty input fails."""
+def quality_report(records: DataFrame, rules: GateRules = GateRules(), text: str = "text", lang: str = "lang", id_column: str = "doc_id") -> DataFrame:
+    """One row: counters of the gate in one pass, the share of near copies where the rules bound it, and whether it
+    passes. An empty input fails."""
     t = F.length(F.col(text))
     counts = records.agg(
         F.count("*").alias("n"), F.count_if(t < rules.least_chars).alias("too_short"), F.count_if(t > rules.most_chars).alias("too_long"),
@@ -119,7 +124,12 @@ def quality_report(records: DataFrame, rules: GateRules = GateRules(), text: str
     )
     missing = sum((F.col(f"missing_{k}") for k in rules.required_metadata), F.lit(0))
     ok = (F.col("n") > 0) & (F.col("too_short") == 0) & (F.col("too_long") == 0) & (F.col("bad_lang") == 0) & (F.col("dup_ratio") <= rules.most_duplicates) & (missing == 0)
-    return counts.withColumn("passed", ok)
+    if rules.most_near_duplicates is None:
+        return counts.withColumn("passed", ok)
+    kept = near_dup.keep_first(records.select(id_column, text), rules.near_threshold, id_column=id_column, text=text)
+    share = counts.crossJoin(F.broadcast(kept.agg(F.count("*").alias("n_kept"))))  # one row each
+    ratio = F.round(F.when(F.col("n") == 0, 0.0).otherwise((F.col("n") - F.col("n_kept")) / F.col("n")), 4)
+    return share.withColumn("near_dup_ratio", ratio).withColumn("passed", ok & (F.col("near_dup_ratio") <= rules.most_near_duplicates)).drop("n_kept")
 
 
 def expectation_report(records: DataFrame, id_column: str = "doc_id", text: str = "text", least: int = 10, most: int = 20_000) -> DataFrame:
@@ -134,10 +144,20 @@ def repeated_lines(records: DataFrame, least: int = 3, most_chars: int = 15, tex
     return lines.where((F.length("line") > 0) & (F.length("line") < most_chars)).groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+# How a diagram that a caption makes up begins.
+DIAGRAM = r"```\s*mermaid|graph\s+(TD|LR|RL|BT)\b|flowchart\s+(TD|LR)"
+
+
 def degenerate_caption(text: Column, n: int = 8, share: float = 0.3, least: int = 24) -> Column:
-    """Whether one n-gram of words covers too much of a caption, or it holds a diagram's arrows."""
+    """Whether one n-gram of words covers more than `share` of a caption of `least` words or more. The last n-gram
+    isn't counted."""
     words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
     size = F.size(words)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(size - n, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
     run = F.aggregate(F.sort_array(grams), F.struct(F.lit("").alias("last"), F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, g: F.struct(g.alias("last"), F.when(a["last"] == g, a["now"] + 1).otherwise(1).alias("now"), F.greatest(a["most"], F.when(a["last"] == g, a["now"] + 1).otherwise(1)).alias("most")))["most"]
-    return ((size >= least) & (run * n / size > share)) | text.contains("mermaid") | (F.regexp_count(text, F.lit("-->")) >= 2)
+    return F.coalesce((size >= least) & (run * n / size > share), F.lit(False))
+
+
+def confabulated_caption(text: Column) -> Column:
+    """Whether a caption is a made-up diagram: it begins one, or has two arrows or more."""
+    return F.coalesce(text.rlike(DIAGRAM) | (F.regexp_count(text, F.lit("-->")) >= 2), F.lit(False))

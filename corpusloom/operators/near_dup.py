@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from corpusloom.functions.text import SPACES
 from corpusloom.sources.checkpoints import saved
@@ -15,50 +18,74 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0)))
 
 
-def band_keys(words: Column, bands: int, rows: int) -> Column:
-    """One hash for each band: of the minima of `rows` seeded hashes of the words."""
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    minimum = lambda k: F.array_min(F.transform(hashed, lambda h: F.xxhash64(h, F.lit(k))))
-    return F.array(*[F.xxhash64(F.lit(b), *[minimum(b * rows + r) for r in range(rows)]) for b in range(bands)])
+def _minima(bands: int, rows: int):
+    seeds = np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    place = np.arange(3, 2 * rows + 3, 2, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
 
+    @F.pandas_udf(ArrayType(LongType()))
+    def keys(hashes: pd.Series) -> pd.Series:
+        out = []
+        for h in hashes:
+            x = np.asarray(h, dtype=np.int64).view(np.uint64)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            least = ((x[None, :] ^ (x[None, :] >> np.uint64(32))) * seeds[:, None]).min(axis=1).reshape(bands, rows)
+            out.append((least * place).sum(axis=1).view(np.int64))
+        return pd.Series(out)
 
-def similar_pairs(records: DataFrame, threshold: float = 0.85, bands: int = 16, rows: int = 5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b, jaccard) with a < b of different or equal word sets at or above the threshold.
+    return keys
 
-    Records of one word set stand for each other: bands are joined for one representative of each set, and
-    members are put in again at the end, so copies never multiply in the bands.
-    """
+
+def band_keys(words: Column, bands: int, rows: int) -> Column:
+    """One number for each band: of the minima of `rows` keyed hashes of the words. Words are hashed in the JVM, minima
+    are taken in Arrow batches; as expressions they would read each list bands * rows times over."""
+    return _minima(bands, rows)(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def word_classes(records: DataFrame, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rep, words) of each set of words, rep being the smallest id of it, and (rep, id) of the ids besides. Records
+    without words are left out."""
     sets = records.select(F.col(id_column).alias("id"), F.array_sort(word_set(F.col(text))).alias("words")).where(F.size("words") > 0).withColumn("key", F.sha2(F.array_join("words", " "), 256))
     keyed = saved(sets.groupBy("key").agg(F.min("id").alias("rep"), F.first("words").alias("words")))
-    members = sets.select("id", "key").join(keyed.select("key", "rep"), "key").select("id", "rep")
-    banded = keyed.select("rep", F.posexplode(band_keys(F.col("words"), bands, rows)).alias("band", "hash"))
-    met = banded.alias("x").join(banded.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.hash") == F.col("y.hash")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("x"), F.col("y.rep").alias("y")).distinct()
-    words = keyed.select("rep", "words")
-    both = met.join(words.select(F.col("rep").alias("x"), F.col("words").alias("wx")), "x").join(words.select(F.col("rep").alias("y"), F.col("words").alias("wy")), "y")
-    common = F.size(F.array_intersect("wx", "wy"))
-    exact = both.withColumn("jaccard", common / (F.size("wx") + F.size("wy") - common)).where(F.col("jaccard") >= threshold).select("x", "y", "jaccard")
-    linked = exact.unionByName(keyed.select(F.col("rep").alias("x"), F.col("rep").alias("y"), F.lit(1.0).alias("jaccard")))
-    full = linked.join(members.select(F.col("rep").alias("x"), F.col("id").alias("p")), "x").join(members.select(F.col("rep").alias("y"), F.col("id").alias("q")), "y").where((F.col("x") != F.col("y")) | (F.col("p") < F.col("q")))
-    return full.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.round("jaccard", 4).alias("jaccard"))
+    copies = sets.select("id", "key").join(keyed.select("key", "rep"), "key").where("id <> rep").select("rep", "id")
+    return keyed.select("rep", "words"), copies
+
+
+def similar_classes(classes: DataFrame, threshold: float = 0.85, bands: int = 16, rows: int = 5) -> DataFrame:
+    """(a, b, jaccard) with a < b of classes (rep, words) at or above the threshold."""
+    banded = classes.select("rep", F.posexplode(band_keys(F.col("words"), bands, rows)).alias("band", "hash"))
+    met = banded.alias("x").join(banded.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.hash") == F.col("y.hash")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    both = met.join(classes.select(F.col("rep").alias("a"), F.col("words").alias("wa")), "a").join(classes.select(F.col("rep").alias("b"), F.col("words").alias("wb")), "b")
+    common = F.size(F.array_intersect("wa", "wb"))
+    exact = both.withColumn("jaccard", common / (F.size("wa") + F.size("wb") - common)).where(F.col("jaccard") >= threshold)
+    return exact.select("a", "b", F.round("jaccard", 4).alias("jaccard"))
+
+
+def similar_pairs(records: DataFrame, threshold: float = 0.85, bands: int = 16, rows: int = 5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b, jaccard) with a < b: the pairs of different word sets at or above the threshold, each set by its first
+    record, and each first record with the others of its set. So N copies give N - 1 rows, and no link is lost."""
+    classes, copies = word_classes(records, id_column, text)
+    return similar_classes(classes, threshold, bands, rows).unionByName(copies.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")))
 
 
 def keep_first(records: DataFrame, threshold: float = 0.85, id_column: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """Records without those that are like an earlier kept one: the sequential rule, in rounds.
+    """Records without those that are like an earlier kept one: the sequential rule, in rounds over the first records
+    of each word set (their copies are like them and later, so they always go).
 
     A record is kept once all earlier neighbours are dropped, and dropped once one of them is kept. Each round
     settles at least the first open record of every component; rounds follow the longest chain of neighbours.
     """
-    pairs = saved(similar_pairs(records, threshold, id_column=id_column, text=text, **how).select("a", "b"))
-    open_, dropped = pairs, None
+    classes, copies = word_classes(records, id_column, text)
+    open_ = saved(similar_classes(classes, threshold, **how).select("a", "b"))
+    dropped = copies.select("id")
     while not open_.isEmpty():
         later = open_.select(F.col("b").alias("id")).distinct()
         kept = open_.select(F.col("a").alias("id")).distinct().join(later, "id", "left_anti")
         gone = saved(open_.join(kept, open_["a"] == kept["id"], "left_semi").select(F.col("b").alias("id")).distinct())
-        dropped = gone if dropped is None else dropped.unionByName(gone)
+        dropped = dropped.unionByName(gone)
         settled = gone.unionByName(kept)
         open_ = open_.join(settled, open_["a"] == settled["id"], "left_anti").join(gone, F.col("b") == gone["id"], "left_anti")
         open_ = saved(open_)
-    return records if dropped is None else records.join(dropped.withColumnRenamed("id", "_gone"), F.col(id_column) == F.col("_gone"), "left_anti")
+    return records.join(dropped.withColumnRenamed("id", "_gone"), F.col(id_column) == F.col("_gone"), "left_anti")
 
 
 def contained(docs: DataFrame, items: DataFrame, words: int = 5) -> DataFrame:

@@ -23,26 +23,49 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def search(store: DataFrame, queries: DataFrame, k: int, least: float | None = None, by: list[str] | None = None, batch: int = 64) -> DataFrame:
+def search(store: DataFrame, queries: DataFrame, k: int, least: float | None = None, by: list[str] | None = None, most_queries: int = 20_000) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best vectors of each query, ties by id.
 
-    queries (query_id, vector) is a stated set, dealt in batches of vectors that meet the store's rows; each task
-    keeps k rows for each query before anything is shuffled. by: columns on which both sides must agree.
+    queries (query_id, vector) is a stated set. It is counted and broadcast in blocks of most_queries rows at most, each
+    met by all of the store; with by, columns on which both sides must agree, the sides are joined instead. Ranks are
+    bounded before the shuffle, so each task sends k rows for a query at most.
     """
-    by = by or []
+
+    def one(asked: DataFrame) -> DataFrame:
+        s, q = store.alias("s"), asked.alias("q")
+        on = [F.col(f"s.{c}") == F.col(f"q.{c}") for c in by or []]
+        rows = s.join(q, on) if on else s.crossJoin(F.broadcast(q))
+        scored = rows.select("query_id", "vec_id", dot(F.col("embedding"), F.col("vector")).alias("score"))
+        return scored if least is None else scored.where(F.col("score") >= least)
+
+    blocks = 1 if by else max(1, -(-queries.count() // most_queries))
+    scored = one(queries) if blocks == 1 else None
+    for b in range(blocks if blocks > 1 else 0):
+        part = one(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
+        scored = part if scored is None else scored.unionByName(part)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = Window.partitionBy("query_id", "_task").orderBy(F.desc("score"), "vec_id")
-    sets = queries.withColumn("_batch", F.pmod(F.xxhash64("query_id"), F.lit(batch)))
-    on = [F.col(f"s.{c}") == F.col(f"q.{c}") for c in by]
-    condition = on[0] if on else F.lit(True)
-    for c in on[1:]:
-        condition = condition & c
-    rows = store.withColumn("_task", F.spark_partition_id()).alias("s").join(sets.alias("q"), condition) if on else store.withColumn("_task", F.spark_partition_id()).alias("s").crossJoin(F.broadcast(queries).alias("q"))
-    scored = rows.select("query_id", "vec_id", "_task", dot(F.col("embedding"), F.col("vector")).alias("score"))
-    if least is not None:
-        scored = scored.where(F.col("score") >= least)
-    local = scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
-    return local.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
+    return scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+
+
+def rerank(hits: DataFrame, score: Column, k: int) -> DataFrame:
+    """The k best hits of each query by another score; where it is null, by rank. Queries of k hits or fewer keep their order."""
+    own = Window.partitionBy("query_id")
+    many = F.count("*").over(own) > k
+    order = own.orderBy(F.desc_nulls_last(F.when(F.col("many of rerank"), F.col("score of rerank"))), "rank")
+    scored = hits.withColumn("many of rerank", many).withColumn("score of rerank", score)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("many of rerank", "score of rerank")
+
+
+def retrieve(store: DataFrame, queries: DataFrame, k: int = 4, least: float = 0.3, over: int = 20, rescore: Column | None = None, path: str | None = "section_path") -> DataFrame:
+    """Hits of each query in stages: more than k where they are scored anew, a threshold (0: none), one edition of each
+    section, the new score, and the k best; with the store's columns."""
+    found = search(store, queries, max(k, over) if rescore is not None else k)
+    hits = (found.where(F.col("score") >= least) if least > 0 else found).join(store.drop("embedding"), "vec_id")
+    if path is not None:
+        hits = dedup_editions(hits, path)
+    if rescore is not None:
+        return rerank(hits, rescore, k)
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
 
 def low_confidence(hits: DataFrame, queries: DataFrame, least: float = 0.38) -> DataFrame:
@@ -100,6 +123,117 @@ def allocate_context(hits: DataFrame, budget: int, content: str = "content") ->
     return rows.withColumn("n_chars", (F.least(need, F.col("_base")) + extra).cast("long")).withColumn("excerpt", F.substr(F.col(content), F.lit(1), F.col("n_chars").cast("int"))).drop("_base", "_spare", "_want")
 
 
+def text_units(text: Column, size: int = 600) -> Column:
+    """Lines gathered to units of about `size` characters: a unit ends before the line that would take it beyond."""
+    lines = F.split(text, "\n")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+
+    def step(state: Column, line: Column) -> Column:
+        full = (state["now"] != "") & (F.length(state["now"]) + F.length(line) > size)
+        return F.struct(F.when(full, F.array_append(state["done"], state["now"])).otherwise(state["done"]).alias("done"), F.when(full | (state["now"] == ""), line).otherwise(F.concat(state["now"], F.lit("\n"), line)).alias("now"))
+
+    return F.aggregate(lines, start, step, lambda s: F.when(s["now"] != "", F.array_append(s["done"], s["now"])).otherwise(s["done"]))
+
+
+GAP = "…(중략)…"
+
+
+def trim_relevant(text: Column, limit: Column, units: Column, scores: Column, least: int = 300) -> Column:
+    """A text cut to a limit: its best units by score as long as they fit, in their order, with a mark where some are left
+    out; its beginning where the limit is below `least`, scores are missing or no unit fits."""
+    by_score = F.array_sort(F.transform(units, lambda u, i: F.struct((-F.get(scores, i)).alias("s"), i.alias("i"), (F.length(u) + len(GAP) + 2).alias("cost"))))
+    fits = lambda a, x: a["used"] + x["cost"] <= limit
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("kept"))
+    kept = F.array_sort(F.aggregate(by_score, start, lambda a, x: F.struct(F.when(fits(a, x), a["used"] + x["cost"]).otherwise(a["used"]).alias("used"), F.when(fits(a, x), F.array_append(a["kept"], x["i"])).otherwise(a["kept"]).alias("kept")))["kept"])
+    parts = F.transform(kept, lambda i, n: F.when((n > 0) & (F.get(kept, n - 1) != i - 1), F.concat(F.lit(f"{GAP}\n"), F.get(units, i))).otherwise(F.get(units, i)))
+    plain = F.left(text, limit)
+    return F.when(F.length(text) <= limit, text).when((limit < least) | scores.isNull() | (F.size(kept) == 0), plain).otherwise(F.array_join(parts, "\n"))
+
+
+def build_context(hits: DataFrame, budget: int = 12_000, path: str = "section_path", body: str = "content", scores=None) -> DataFrame:
+    """(query_id, context): each query's hits as numbered documents within a budget, shared as by allocate_context; a text
+    beyond its share is trimmed by the scores of its units (a function of units to scores), or to its beginning."""
+    head = F.concat(F.lit("[문서 "), F.col("rank").cast("string"), F.lit("]"), F.when(F.coalesce(path, F.lit("")) != "", F.concat(F.lit(" "), F.col(path))).otherwise(""))
+    rows = hits.select("query_id", "rank", head.alias("head"), F.col(body).alias("body"), *[c for c in hits.columns if c not in ("query_id", "rank", "head", "body", "content")])
+    shared = allocate_context(rows.withColumn("content", F.concat("head", F.lit("\n"), "body")), budget)
+    limit = F.greatest(F.lit(0), F.col("n_chars") - F.length("head") - 1).cast("int")
+    cut = shared.withColumn("limit", limit).withColumn("units", text_units(F.col("body")))
+    cut = cut.withColumn("scores", scores(F.col("units")) if scores else F.lit(None).cast("array<double>"))
+    block = F.concat("head", F.lit("\n"), trim_relevant(F.col("body"), F.col("limit"), F.col("units"), F.col("scores")))
+    blocks = cut.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("b"))
+    return blocks.select("query_id", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("context"))
+
+
+TABLES = "\n\n[인용된 표]\n"
+
+
+def with_tables(text: Column, tables: Column, budget: int, least: int = 200) -> Column:
+    """A text with as much of its tables as the budget leaves room for; none where that is less than `least`."""
+    room = F.lit(budget) - F.length(text) - len(TABLES)
+    shown = F.when(F.length(tables) > room, F.concat(F.rtrim(F.left(tables, F.greatest(room, F.lit(0)).cast("int"))), F.lit("\n(표 일부 생략 — 분량 제한)"))).otherwise(tables)
+    return F.when((F.coalesce(tables, F.lit("")) == "") | (room < least), text).otherwise(F.concat(text, F.lit(TABLES), shown))
+
+
+def siblings_text(children: DataFrame, keys: list[str]) -> DataFrame:
+    """(parent_chunk_id, keys..., text): the texts of the children that share their numbers, in order, under the first
+    line of the first, which all of them begin with."""
+    rows = children.where("chunk_type = 'text'").select("parent_chunk_id", *[F.coalesce(k, F.lit("")).alias(k) for k in keys], "chunk_order", "content")
+    parts = F.array_sort(F.collect_list(F.struct(F.coalesce("chunk_order", F.lit(0)).alias("o"), F.col("content").alias("c"))))
+    grouped = rows.groupBy("parent_chunk_id", *keys).agg(parts.alias("p"))
+    rest = F.transform("p", lambda x: F.when(F.contains(x["c"], F.lit("\n")), F.regexp_replace(x["c"], r"(?s)^[^\n]*\n", "")).otherwise(x["c"]))
+    return grouped.select("parent_chunk_id", *keys, F.trim(F.concat_ws("\n", F.substring_index(F.get("p", F.lit(0))["c"], "\n", 1), F.array_join(rest, "\n"))).alias("text"))
+
+
+def expand_graded(hits: DataFrame, parents: DataFrame, children: DataFrame, budget: int = 4000) -> DataFrame:
+    """hits (chunk_id, parent_chunk_id, paragraph_no, item_no, content) with `expanded`, the largest of article, paragraph
+    and item that a budget allows, else the hit's own text, and its `level`. An article beyond the budget only by its
+    tables keeps its text and what fits of them. Siblings are gathered for articles beyond the budget alone."""
+    text = F.coalesce("content", F.lit(""))
+    held = parents.select(F.col("chunk_id").alias("parent_chunk_id"), text.alias("whole"), F.rtrim(F.substring_index(text, TABLES, 1)).alias("body"), F.when(F.contains(text, F.lit(TABLES)), F.regexp_replace(text, r"(?s)^.*?\n\n\[인용된 표\]\n", "")).otherwise("").alias("tables"))
+    held = held.withColumn("fits", (F.col("whole") != "") & (F.length("whole") <= budget)).withColumn("body_fits", (F.col("body") != "") & (F.length("body") <= budget))
+    large = children.join(held.where("NOT fits AND NOT body_fits").select("parent_chunk_id"), "parent_chunk_id", "left_semi")
+    rows = hits.withColumn("p of graded", F.coalesce("paragraph_no", F.lit(""))).withColumn("i of graded", F.coalesce("item_no", F.lit("")))
+    named = lambda keys, text: siblings_text(large, keys).select("parent_chunk_id", *[F.col(k).alias({"paragraph_no": "p of graded", "item_no": "i of graded"}[k]) for k in keys], F.col("text").alias(text))
+    rows = rows.join(held, "parent_chunk_id", "left").join(named(["paragraph_no"], "paragraph"), ["parent_chunk_id", "p of graded"], "left").join(named(["paragraph_no", "item_no"], "item"), ["parent_chunk_id", "p of graded", "i of graded"], "left")
+    ok = lambda c: (F.coalesce(c, F.lit("")) != "") & (F.length(c) <= budget)
+    level = F.when(F.coalesce("fits", F.lit(False)) | F.coalesce("body_fits", F.lit(False)), "article").when(ok("paragraph"), "paragraph").when((F.col("p of graded") != "") & ok("item"), "item").otherwise("leaf")
+    chosen = F.when(F.col("level") == "leaf", text).when(F.col("level") == "paragraph", with_tables(F.col("paragraph"), F.col("tables"), budget)).when(F.col("level") == "item", with_tables(F.col("item"), F.col("tables"), budget)).when(F.col("fits"), F.col("whole")).otherwise(with_tables(F.col("body"), F.col("tables"), budget))
+    return rows.withColumn("level", level).withColumn("expanded", chosen).select(*hits.columns, "level", "expanded")
+
+
+def expand_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
+    """Hits with their parents' texts, one for each parent in the order of scores; a hit without a parent stays as it is."""
+    held = parents.select(F.col("chunk_id").alias("parent of expand"), F.col("content").alias("text of expand"), F.lit(True).alias("held of expand"))
+    joined = hits.join(held, hits["parent_chunk_id"] == held["parent of expand"], "left").withColumn("parent of expand", F.when(F.col("held of expand"), F.col("parent_chunk_id").cast("string")))
+    kept = collapse_parents(joined, "parent of expand", "chunk_id", by=["query_id"])
+    return kept.withColumn("content", F.coalesce("text of expand", "content")).drop("parent of expand", "text of expand", "held of expand")
+
+
+def inject_context(messages: Column, context: Column, into: str = "system") -> Column:
+    """Messages (array of struct role, content) with a context: in the system message, a new one if there is none, or in
+    place of the last question. Without a context or a question they stay."""
+    place = F.transform(messages, lambda m, i: F.when(m["role"] == into, i))
+    asked = F.exists(messages, lambda m: (m["role"] == "user") & (F.coalesce(m["content"], F.lit("")) != ""))
+    if into == "user":
+        last = F.array_max(place)
+        said = lambda m: F.concat(F.lit("[검색된 규정 조항]\n"), context, F.lit("\n\n[질문]\n"), m["content"])
+        new = F.transform(messages, lambda m, i: F.struct(m["role"].alias("role"), F.when(i == last, said(m)).otherwise(m["content"]).alias("content")))
+    else:
+        first = F.array_min(place)
+        own = F.transform(messages, lambda m, i: F.struct(m["role"].alias("role"), F.when(i == first, compose_system(m["content"], context)).otherwise(m["content"]).alias("content")))
+        head = F.array(F.struct(F.lit("system").alias("role"), compose_system(F.lit(None).cast("string"), context).alias("content")))
+        new = F.when(first.isNull(), F.concat(head, own)).otherwise(own)
+    return F.when((F.coalesce(context, F.lit("")) == "") | ~asked, messages).otherwise(new)
+
+
+def case_messages(question: Column, contexts: Column) -> Column:
+    """The messages that ask a case's question, its contexts as the system's."""
+    context = F.array_join(F.coalesce(contexts, F.array().cast("array<string>")), "\n\n")
+    user = F.struct(F.lit("user").alias("role"), question.alias("content"))
+    system = F.struct(F.lit("system").alias("role"), F.concat(F.lit("다음 컨텍스트를 근거로 답하라:\n"), context).alias("content"))
+    return F.when(context == "", F.array(user)).otherwise(F.array(system, user))
+
+
 def unverified_citations(answer: Column, context: Column, least: int = 15, most: int = 300, prefix: int = 60) -> Column:
     """Quotes in corner brackets whose beginning the context does not hold."""
     quotes = F.regexp_extract_all(answer, F.lit(f"「([^」]{{{least},{most}}})」"), F.lit(1))

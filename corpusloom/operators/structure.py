@@ -148,8 +148,9 @@ def merge_adjacent(rows: DataFrame, partition: list[str], order: str, same: list
 
 
 def spatial_score(ax: Column, ay: Column, x0: Column, y0: Column, x1: Column, y1: Column, slack: float = 20.0) -> Column:
-    """1 where a centre lies in a box widened by slack, else falling with its scaled distance from the box's centre."""
+    """1 where a centre lies in a box widened by slack, else falling with its distance from the box's centre, which is
+    scaled by the box's sides, 120 across and 60 down at least."""
     inside = ax.between(x0 - slack, x1 + slack) & ay.between(y0 - slack, y1 + slack)
-    dx = F.abs(ax - (x0 + x1) / 2) / F.greatest(x1 - x0, F.lit(1.0))
-    dy = F.abs(ay - (y0 + y1) / 2) / F.greatest(y1 - y0, F.lit(1.0))
+    dx = F.abs(ax - (x0 + x1) / 2) / F.greatest(x1 - x0, F.lit(120.0))
+    dy = F.abs(ay - (y0 + y1) / 2) / F.greatest(y1 - y0, F.lit(60.0))
     return F.when(inside, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (dx + dy) / 2))

@@ -25,13 +25,67 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumn("rank", rank).where("rank <= 4").select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
-@query(f"WITH {SCORES}, b AS (SELECT query_id, max(score) AS best, count(*) FILTER (score >= 0.3) AS n FROM s GROUP BY query_id) SELECT query_id, n, best < 0.38 AS low FROM b")
+@query(f"WITH {SCORES}, b AS (SELECT query_id, max(score) FILTER (score >= 0.3) AS best, count(*) FILTER (score >= 0.3) AS n FROM s GROUP BY query_id) SELECT query_id, n, coalesce(best, -1) < 0.38 AS low FROM b")
 def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many vectors pass the threshold for each query, and whether its best hit is of low confidence."""
     store, queries = asked(spark, sf_dir)
-    scored = store.crossJoin(F.broadcast(queries)).where("vec_id <> query_id").select("query_id", ops.dot(F.col("embedding"), F.col("vector")).alias("score"))
-    counts = scored.groupBy("query_id").agg(F.count_if(F.col("score") >= 0.3).alias("n"), F.max("score").alias("score"))
-    return counts.join(ops.low_confidence(counts, queries), "query_id").select("query_id", "n", "low")
+    hits = ops.search(store, queries, 1_000_000, least=0.3).where("vec_id <> query_id")
+    counts = queries.select("query_id").join(hits.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
+    return counts.join(ops.low_confidence(hits, queries), "query_id").select("query_id", F.coalesce("n", F.lit(0)).alias("n"), "low")
+
+
+@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, vec_id // 2 AS section, list_dot_product(embedding::DOUBLE[], v::DOUBLE[]) AS score FROM q CROSS JOIN embeddings),
+o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20), e AS (SELECT * FROM o WHERE score >= 0.05 QUALIFY row_number() OVER (PARTITION BY query_id, section ORDER BY score DESC, vec_id) = 1),
+c AS (SELECT *, count(*) OVER (PARTITION BY query_id) > 4 AS many, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM e)
+SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN many THEN (vec_id * 37) % 101 ELSE 0 END DESC, r) AS rank FROM c QUALIFY rank <= 4""")
+def retrieve_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over-fetching, threshold, editions, a second score and the best four."""
+    store, queries = asked(spark, sf_dir)
+    half = F.floor(F.col("vec_id") / 2)
+    named = store.withColumn("section_path", F.concat(F.lit("Part "), half, F.lit(" ("), 2000 + F.col("vec_id") % 2, F.lit(")")))
+    return ops.retrieve(named, queries.select("query_id", "vector"), 4, 0.05, 20, ((F.col("vec_id") * 37) % 101).cast("double")).select("query_id", "vec_id", "rank")
+
+
+@query(r"""WITH w AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+SELECT conv_id, length(t) AS n_chars, CAST(len(list_filter(string_split(t, chr(10)), lambda x: x <> '')) AS BIGINT) AS n_units FROM w""")
+def context_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as texts of a line for each turn, cut to units of a line each."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    text = turns.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"))
+    return text.select("conv_id", F.length("text").cast("long").alias("n_chars"), F.size(ops.text_units(F.col("text"), 1)).cast("long").alias("n_units"))
+
+
+@query()
+def context_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's best documents as a context of 1,500 characters, long ones trimmed to their most telling units."""
+    store, queries = asked(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
+    hits = ops.search(store, queries, 3).join(docs, "vec_id").withColumn("section_path", F.concat(F.lit("doc "), "vec_id"))
+    return ops.build_context(hits, 1500, scores=lambda units: F.transform(units, lambda u: (F.length(u) % 97).cast("double")))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_totalprice > 250000 AS large, o_orderstatus FROM orders), k AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) % 3 AS p FROM lineitem GROUP BY ALL),
+g AS (SELECT l_orderkey, p, count(*) AS n FROM k GROUP BY l_orderkey, p)
+SELECT k.l_orderkey, k.l_linenumber, CASE WHEN NOT large THEN 'article' WHEN g.n <= 2 THEN 'paragraph' WHEN k.p = 0 THEN 'leaf' ELSE 'item' END AS level,
+CAST(CASE WHEN NOT large THEN 400 WHEN g.n <= 2 THEN 5 + g.n * 201 ELSE CASE WHEN k.p = 0 THEN 206 ELSE 206 END END AS BIGINT) AS n_chars
+FROM k JOIN o ON k.l_orderkey = o.o_orderkey JOIN g ON g.l_orderkey = k.l_orderkey AND g.p = k.p""")
+def expand_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as items of paragraphs of their order: small orders whole, large ones by paragraph, item or alone."""
+    k = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.min("l_suppkey") % 3).alias("p"))
+    content = F.concat(F.lit("path:\n"), F.lpad(F.col("l_linenumber").cast("string"), 200, "x"))
+    leaves = k.select(F.concat("l_orderkey", F.lit(":"), "l_linenumber").alias("chunk_id"), F.col("l_orderkey").alias("parent_chunk_id"), F.when(F.col("p") == 0, "").otherwise(F.col("p").cast("string")).alias("paragraph_no"), F.col("l_linenumber").cast("string").alias("item_no"), F.lit("text").alias("chunk_type"), F.col("l_linenumber").alias("chunk_order"), content.alias("content"), "l_orderkey", "l_linenumber")
+    parents = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.expr("repeat('y', if(o_totalprice > 250000, 9000, 400))").alias("content"))
+    return ops.expand_graded(leaves, parents, leaves, 450).select("l_orderkey", "l_linenumber", "level", F.length("expanded").cast("long").alias("n_chars"))
+
+
+@query("""WITH m AS (SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS ms, bool_or(role = 'user' AND text <> '') AS asked, min(turn) FILTER (role = 'system') AS sys FROM conversations GROUP BY conv_id)
+SELECT conv_id, CAST(len(ms) + CASE WHEN asked AND sys IS NULL THEN 1 ELSE 0 END AS BIGINT) AS n, CASE WHEN asked THEN CASE WHEN sys IS NULL THEN '[Context]' || chr(10) || 'facts' ELSE list_filter(ms, lambda x: x.role = 'system')[1].content || chr(10) || chr(10) || '[Context]' || chr(10) || 'facts' END ELSE ms[1].content END AS first FROM m""")
+def injected_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    messages = turns.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("m"))
+    made = messages.select("conv_id", ops.inject_context(F.col("m"), F.lit("facts")).alias("m"))
+    first = F.coalesce(F.get(F.filter("m", lambda x: x["role"] == "system"), F.lit(0)), F.get("m", F.lit(0)))
+    return made.select("conv_id", F.size("m").cast("long").alias("n"), first["content"].alias("first"))
 
 
 @query(f"""WITH {SCORES}, r AS (SELECT query_id, label = q_label AS relevant, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s),
@@ -55,11 +109,11 @@ def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT vec_id, label, vec_id // 2 AS section, row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings)
-SELECT label AS query_id, section, min(vec_id) AS vec_id FROM v WHERE vec_id < 200 GROUP BY label, section""")
+SELECT label AS query_id, section, min(vec_id) AS vec_id FROM v GROUP BY label, section""")
 def edition_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits named by section and year: one edition of each section is left."""
     path = F.concat(F.lit("Part "), F.floor(F.col("vec_id") / 2), F.lit(" ("), 2000 + F.col("vec_id") % 2, F.lit(")"))
-    hits = table(spark, sf_dir, "embeddings").where("vec_id < 200").select(F.col("label").alias("query_id"), "vec_id", (F.floor(F.col("vec_id") / 2)).alias("section"), path.alias("section_path"), (-F.col("vec_id")).cast("double").alias("score"))
+    hits = table(spark, sf_dir, "embeddings").select(F.col("label").alias("query_id"), "vec_id", (F.floor(F.col("vec_id") / 2)).alias("section"), path.alias("section_path"), (-F.col("vec_id")).cast("double").alias("score"))
     return ops.dedup_editions(hits).select("query_id", "section", "vec_id")
 
 
@@ -86,20 +140,26 @@ def parent_child_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.hydrate_parents(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), parents, "l_orderkey", "body", 30)
 
 
-@query("""SELECT l_suppkey, coalesce(nullif(l_orderkey % 7, 0), l_orderkey) AS parent, l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_quantity > 48
-QUALIFY row_number() OVER (PARTITION BY l_suppkey, coalesce(nullif(l_orderkey % 7, 0), l_orderkey) ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) = 1""")
+@query("""WITH l AS (SELECT l_suppkey, l_orderkey, l_linenumber, max(l_extendedprice) AS price FROM lineitem GROUP BY ALL), p AS (SELECT *, CASE WHEN o_orderkey IS NULL THEN 'L' || l_orderkey || ':' || l_linenumber ELSE 'O' || l_orderkey END AS parent FROM l LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey)
+SELECT l_suppkey, parent, price FROM p QUALIFY row_number() OVER (PARTITION BY l_suppkey, parent ORDER BY price DESC, l_orderkey || ':' || l_linenumber) = 1""")
 def parent_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best line of each parent and supplier; a line without a parent stands for itself."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select("l_suppkey", F.nullif(F.col("l_orderkey") % 7, F.lit(0)).alias("p"), F.col("l_orderkey").alias("own"), "l_orderkey", "l_linenumber", "l_extendedprice", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))
-    first = Window.partitionBy("l_suppkey", F.coalesce("p", "own")).orderBy(F.desc("l_extendedprice"), "o")
-    return lines.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("l_suppkey", F.coalesce("p", "own").alias("parent"), "l_orderkey", "l_linenumber", "l_extendedprice")
+    """The best line of each order and supplier, with its order's text; a line whose order isn't there stays as it is."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("score"))
+    hits = lines.select(F.col("l_suppkey").alias("query_id"), F.concat("l_orderkey", F.lit(":"), "l_linenumber").alias("chunk_id"), F.col("l_orderkey").alias("parent_chunk_id"), "score", F.concat(F.lit("L"), "l_orderkey", F.lit(":"), "l_linenumber").alias("content"))
+    parents = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("chunk_id"), F.concat(F.lit("O"), "o_orderkey").alias("content"))
+    return ops.expand_parents(hits, parents).select(F.col("query_id").alias("l_suppkey"), F.col("content").alias("parent"), F.col("score").alias("price"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z가-힣]+')) AS w FROM documents), h AS (SELECT doc_id, md5(w) AS m FROM t),
+b AS (SELECT doc_id, ('0x' || substr(m, 31, 2))::INT AS bucket, sum(CASE WHEN ('0x' || substr(m, 30, 1))::INT % 2 = 1 THEN 1 ELSE -1 END) AS v FROM h GROUP BY ALL), s AS (SELECT doc_id, sum(v * v) AS norm, sum(v * bucket) AS place, sum(v) AS total, count(*) FILTER (v <> 0) AS filled FROM b GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(filled, 0) AS BIGINT) AS filled, coalesce(round(place / sqrt(norm), 6), 0) AS place, coalesce(round(total / sqrt(norm), 6), 0) AS total FROM documents d LEFT JOIN s USING (doc_id) WHERE coalesce(norm, 1) > 0""")
 def hashing_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Hashed vectors of all documents, told by their filled buckets, their sum, and their sum weighted by place."""
     vector = ops.hashing_embedding(F.col("text"))
-    return docs.select("doc_id", vector.alias("vector")).select("doc_id", F.round(ops.dot(F.col("vector"), F.col("vector")), 6).alias("norm"), F.size("vector").alias("dims"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", vector.alias("v"))
+    weighted = F.aggregate(F.transform("v", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("doc_id", F.size(F.filter("v", lambda x: x != 0)).cast("long").alias("filled"), F.round(weighted, 6).alias("place"), F.round(total, 6).alias("total"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(trim(text), '\s+'), lambda w: w <> '') AS w FROM documents)

@@ -26,13 +26,21 @@ CONDITIONS = {"quantity": ("이상", ["25"]), "discount": ("between_inclusive",
 CASE WHEN l_returnflag IN ('A', 'R') THEN 'SATISFIED' ELSE 'NOT_SATISFIED' END AS flag, CASE WHEN l_quantity * 1000 > 30000 THEN 'SATISFIED' ELSE 'NOT_SATISFIED' END AS power, 'UNKNOWN' AS other_dimension FROM lineitem WHERE l_orderkey % 10 < 10""")
 def condition_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir)
-    text = lambda c: F.col(c).cast("string")
+    numeric = logic.literal_condition
     return rows.select(
-        "l_orderkey", "l_linenumber", status(*CONDITIONS["quantity"], text("l_quantity")).alias("quantity"), status(*CONDITIONS["discount"], text("l_discount")).alias("discount"), status(*CONDITIONS["flag"], text("l_returnflag")).alias("flag"),
-        status("gt", ["30,000"], text("l_quantity"), "W", F.lit("kW")).alias("power"), status("gt", ["1"], text("l_quantity"), "dwt", F.lit("gt")).alias("other_dimension"),
+        "l_orderkey", "l_linenumber", numeric(*CONDITIONS["quantity"], F.col("l_quantity")).alias("quantity"), numeric(*CONDITIONS["discount"], F.col("l_discount")).alias("discount"), status(*CONDITIONS["flag"], F.col("l_returnflag")).alias("flag"),
+        numeric("gt", ["30,000"], F.col("l_quantity"), "W", "kW").alias("power"), numeric("gt", ["1"], F.col("l_quantity"), "dwt", "gt").alias("other_dimension"),
     )
 
 
+@query("SELECT l_linenumber, CASE WHEN l_quantity >= 25 THEN 'SATISFIED' ELSE 'NOT_SATISFIED' END AS status, count(*) AS n FROM lineitem GROUP BY ALL")
+def condition_table_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same evaluator where operator, value and unit are columns of a table of conditions, joined by line number."""
+    rows = lines(spark, sf_dir).withColumn("operator", F.lit("gte")).withColumn("expected", F.array(F.lit("25")))
+    found = logic.evaluate_condition(F.lit("quantity"), F.col("operator"), F.col("expected"), F.lit(None).cast("string"), F.col("l_quantity").cast("string"), F.lit(None).cast("string"), F.lit(True))
+    return rows.groupBy("l_linenumber", found.alias("status")).agg(F.count("*").alias("n"))
+
+
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity >= 25 AS q, l_discount BETWEEN 0.02 AND 0.06 AS d, l_returnflag = 'N' AS f FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE WHEN NOT q OR NOT d THEN 'NOT_SATISFIED' WHEN f THEN 'UNKNOWN' ELSE 'SATISFIED' END AS all_of, CASE WHEN q OR d THEN 'SATISFIED' WHEN f THEN 'UNKNOWN' ELSE 'NOT_SATISFIED' END AS any_of FROM s""")
 def tri_state_combine(spark: SparkSession, sf_dir: str) -> DataFrame:

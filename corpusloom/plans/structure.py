@@ -19,11 +19,28 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", strip_markup(F.col("html")).alias("text"))
 
 
-@query()
+@query("""WITH n AS (SELECT n_regionkey, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k, count(*) OVER (PARTITION BY n_regionkey) AS rows FROM nation),
+r AS (SELECT n_regionkey AS page_id, k AS pos, 'Region: ' || r_name || ' | Key: ' || n_nationkey || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE ' | Name: ' || n_name END AS text FROM n JOIN region ON n_regionkey = r_regionkey)
+SELECT page_id, pos, text FROM r UNION ALL SELECT n_regionkey, max(rows) + 1, 'Total' FROM n GROUP BY n_regionkey""")
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the pages' tables as 'header: value' text; pages without a table give none."""
-    grids = table(spark, sf_dir, "pages").where("html LIKE '%<t%'").select("page_id", table_grid(F.col("html")).alias("grid")).where(F.size("grid") > 1)
-    rows = grids.select("page_id", F.get("grid", F.lit(0)).alias("header"), F.posexplode(F.slice("grid", 2, 1 << 20)).alias("pos", "row"))
+    """Rows of tables as 'header: value' text, from pages made of the nations: the region's name spans its rows, some
+    names are blank, and the last row is one cell over all columns. No supplied page has a table."""
+    region = table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    nations = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("ns"))
+    first = lambda i: F.when(i == 0, F.concat(F.lit("<td rowspan="), F.size("ns").cast("string"), F.lit(">"), F.col("r_name"), F.lit("</td>"))).otherwise("")
+    name = lambda x: F.when(x["n_nationkey"] % 3 == 0, " ").otherwise(x["n_name"])
+    body = F.array_join(F.transform("ns", lambda x, i: F.concat(F.lit("<tr>"), first(i), F.lit("<td>"), x["n_nationkey"].cast("string"), F.lit("</td><td>"), name(x))), "")
+    html = F.concat(F.lit("<table><tr><th>Region<th>Key<th>Name</tr>"), body, F.lit("<tr><td colspan=3>Total</td></tr></table>"))
+    grids = nations.join(region, "n_regionkey").select(F.col("n_regionkey").alias("page_id"), table_grid(html).alias("grid"))
+    rows = grids.select("page_id", F.get("grid", F.lit(0)).alias("header"), F.posexplode("grid").alias("pos", "row")).where("pos > 0")
+    return rows.select("page_id", "pos", row_text(F.col("header"), F.col("row")).alias("text"))
+
+
+@query()
+def supplied_page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the supplied pages."""
+    grids = table(spark, sf_dir, "pages").where("html LIKE '%<t%'").select("page_id", table_grid(F.col("html")).alias("grid"))
+    rows = grids.select("page_id", F.get("grid", F.lit(0)).alias("header"), F.posexplode("grid").alias("pos", "row")).where("pos > 0")
     return rows.select("page_id", "pos", row_text(F.col("header"), F.col("row")).alias("text"))
 
 
@@ -52,13 +69,14 @@ def number_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", number_set(F.col("text")).alias("n")).where(F.size("n") > 0).select("doc_id", F.array_join("n", " ").alias("numbers"))
 
 
-@query(r"""WITH t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS evidence FROM conversations), n AS (SELECT conv_id, turn, list_distinct(list_transform(regexp_extract_all(text, '\d+(?:,\d{3})*(?:\.\d+)?'), lambda x: replace(x, ',', ''))) AS a,
+@query(r"""WITH s AS (SELECT conv_id, turn, text || ' ' || (conv_id % 9 + turn % 3) || ' and 1,0' || (turn % 2) || '0' AS text FROM conversations), t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS evidence FROM s), n AS (SELECT conv_id, turn, list_distinct(list_transform(regexp_extract_all(text, '\d+(?:,\d{3})*(?:\.\d+)?'), lambda x: replace(x, ',', ''))) AS a,
 list_transform(regexp_extract_all(evidence, '\d+(?:,\d{3})*(?:\.\d+)?'), lambda x: replace(x, ',', '')) AS e FROM t WHERE evidence IS NOT NULL)
 SELECT conv_id, turn, CAST(len(list_filter(a, lambda x: NOT list_contains(e, x))) AS BIGINT) AS n_unsupported FROM n WHERE len(a) > 0""")
 def unsupported_numbers_in_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of a turn that the turn before does not hold."""
+    """Numbers of a turn that the turn before does not hold; some are put in by key, as the supplied turns hold none."""
     from pyspark.sql import Window
 
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = table(spark, sf_dir, "conversations").withColumn("evidence", before).where("evidence IS NOT NULL").where(F.size(number_set(F.col("text"))) > 0)
+    said = F.concat(F.col("text"), F.lit(" "), (F.col("conv_id") % 9 + F.col("turn") % 3).cast("string"), F.lit(" and 1,0"), (F.col("turn") % 2).cast("string"), F.lit("0"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("text")).withColumn("evidence", before).where("evidence IS NOT NULL").where(F.size(number_set(F.col("text"))) > 0)
     return rows.select("conv_id", "turn", F.size(unsupported_numbers(F.col("text"), F.col("evidence"))).cast("long").alias("n_unsupported"))
