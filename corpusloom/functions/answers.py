@@ -44,16 +44,24 @@ def build_answer(parts: dict[str, Column]) -> Column:
     return F.when(body["decision"].isNotNull(), F.concat_ws("\n\n", *blocks))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value worked out once, by a list of one, however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_answer(text: Column) -> Column:
     """struct(keys in order of their first place, bodies of these, keys that come again)."""
-    text = F.coalesce(text, F.lit(""))
     key = F.create_map(*[F.lit(x) for k, v in SECTIONS.items() for x in (v, k)])
-    found = F.transform(F.regexp_extract_all(text, F.lit(HEADING), F.lit(1)), lambda label: key[label])
-    bodies = F.transform(F.slice(F.split(text, HEADING), 2, F.greatest(F.size(found), F.lit(1))), trimmed)
-    order = F.array_distinct(found)
-    own = F.transform(order, lambda k: F.get(bodies, (F.array_position(found, k) - 1).cast("int")))
-    again = F.array_compact(F.transform(found, lambda k, i: F.when(F.array_position(found, k) < i + 1, k)))
-    return F.struct(order.alias("order"), own.alias("bodies"), again.alias("duplicates"))
+    labels = lambda t: F.transform(F.regexp_extract_all(t, F.lit(HEADING), F.lit(1)), lambda label: key[label])
+    pieces = lambda t: F.transform(F.split(t, HEADING), trimmed)
+
+    def told(p: Column) -> Column:
+        found, order = p["found"], F.array_distinct(p["found"])
+        own = F.transform(order, lambda k: F.get(p["pieces"], F.array_position(p["found"], k).cast("int")))  # the first piece goes before any heading
+        again = F.array_compact(F.transform(found, lambda k, i: F.when(F.array_position(p["found"], k) < i + 1, k)))
+        return F.struct(order.alias("order"), own.alias("bodies"), again.alias("duplicates"))
+
+    return bound(bound(F.coalesce(text, F.lit("")), lambda t: F.struct(labels(t).alias("found"), pieces(t).alias("pieces"))), told)
 
 
 def section(parsed: Column, key: str) -> Column:
@@ -64,12 +72,15 @@ def section(parsed: Column, key: str) -> Column:
 
 def format_score(text: Column) -> Column:
     """0.4 for a decision, 0.2 each for the order, for no section twice, and for what a decision must rest on."""
-    parsed = parse_answer(text)
-    order, decision = parsed["order"], section(parsed, "decision")
-    right = order == F.filter(F.array(*[F.lit(k) for k in SECTIONS]), lambda k: F.array_contains(order, k))
-    rests = F.when(F.contains(decision, F.lit(UNDECIDED)), section(parsed, "missing_information") != "").otherwise(section(parsed, "evidence") != "")
-    points = F.when(decision != "", 4).otherwise(0) + F.when(right, 2).otherwise(0) + F.when(F.size(parsed["duplicates"]) == 0, 2).otherwise(0) + F.when(rests, 2).otherwise(0)
-    return F.when(F.size(order) == 0, 0.0).otherwise(points / 10)
+
+    def points(parsed: Column) -> Column:
+        order, decision = parsed["order"], section(parsed, "decision")
+        right = order == F.filter(F.array(*[F.lit(k) for k in SECTIONS]), lambda k: F.array_contains(parsed["order"], k))
+        rests = F.when(F.contains(decision, F.lit(UNDECIDED)), section(parsed, "missing_information") != "").otherwise(section(parsed, "evidence") != "")
+        sum_ = F.when(decision != "", 4).otherwise(0) + F.when(right, 2).otherwise(0) + F.when(F.size(parsed["duplicates"]) == 0, 2).otherwise(0) + F.when(rests, 2).otherwise(0)
+        return F.when(F.size(order) == 0, 0.0).otherwise(sum_ / 10)
+
+    return bound(parse_answer(text), points)
 
 
 def display_label(label: Column) -> Column:
@@ -79,16 +90,13 @@ def display_label(label: Column) -> Column:
 def decision_label(decision: Column) -> Column:
     """The label that a decision says: as a whole, or by the longest phrase that it holds."""
     said = sorted([*((v, k) for k, v in SHOWN.items()), *SAID.items()], key=lambda x: -len(x[0]))
-    text, whole = trimmed(decision), None
-    for phrase, label in said:
-        whole = F.when(text == phrase, label) if whole is None else whole.when(text == phrase, label)
-    for phrase, label in [*said, *OLDER]:
-        whole = whole.when(F.contains(text, F.lit(phrase)), label)
-    return whole
+    phrases = lambda rows: F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(label).alias("label")) for p, label in rows])
+    first = lambda rows, holds: F.get(F.filter(phrases(rows), holds), F.lit(0))["label"]
+    return bound(trimmed(decision), lambda t: F.coalesce(first(said, lambda x: x["phrase"] == t), first([*said, *OLDER], lambda x: F.contains(t, x["phrase"]))))
 
 
 def answer_label(text: Column) -> Column:
-    return decision_label(F.nullif(section(parse_answer(text), "decision"), F.lit("")))
+    return decision_label(bound(parse_answer(text), lambda p: F.nullif(section(p, "decision"), F.lit(""))))
 
 
 def answer_format(task: Column) -> Column:
@@ -104,19 +112,17 @@ def format_reward(text: Column, task: Column) -> Column:
 def label_reward(text: Column, gold: Column, evaluable: Column) -> Column:
     """1 where the answer's label is the wanted one, or stands for the same of the four older labels; 0 for rows that
     can't be evaluated."""
-    said = answer_label(text)
     older = gold.isin("APPLICABLE", "NOT_APPLICABLE", "EXCEPTION_APPLIES", "INSUFFICIENT_INFORMATION", "compliant", "non_compliant", "uncertain")
-    alike = older & (canonical_label(said) == canonical_label(gold)) & (canonical_label(gold) != "UNKNOWN")
     counts = F.coalesce(evaluable, F.lit(False)) & ~F.coalesce(gold, F.lit("UNKNOWN")).isin("UNKNOWN", "NOT_ASSESSED")
-    return F.when(F.coalesce(counts & ((said == gold) | alike), F.lit(False)), 1.0).otherwise(0.0)
+    alike = lambda said: older & (canonical_label(said) == canonical_label(gold)) & (canonical_label(gold) != "UNKNOWN")
+    return bound(answer_label(text), lambda said: F.when(F.coalesce(counts & ((said == gold) | alike(said)), F.lit(False)), 1.0).otherwise(0.0))
 
 
 def intent_reward(text: Column, intent: Column) -> Column:
     """1 for a label of the question's own axis or for none decided, 0.25 for one of another axis, 0 for none."""
-    said, fits = answer_label(text), F.lit(False)
-    for name, pair in INTENT_LABELS.items():
-        fits = fits | ((intent == name) & said.isin(*pair, "INSUFFICIENT_INFORMATION"))
-    return F.when(said.isNull() | ~F.coalesce(intent.isin(*INTENT_LABELS), F.lit(False)), 0.0).when(fits, 1.0).otherwise(0.25)
+    own = F.create_map(*[x for name, pair in INTENT_LABELS.items() for x in (F.lit(name), F.array(*[F.lit(p) for p in (*pair, "INSUFFICIENT_INFORMATION")]))])
+    known = F.coalesce(intent.isin(*INTENT_LABELS), F.lit(False))
+    return bound(answer_label(text), lambda said: F.when(said.isNull() | ~known, 0.0).when(F.array_contains(F.try_element_at(own, intent), said), 1.0).otherwise(0.25))
 
 
 def condition_coverage(text: Column, conditions: Column) -> Column:

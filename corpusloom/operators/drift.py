@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import HANGUL, SPACES, TOKEN
+from corpusloom.sources.checkpoints import saved
 
 # Upper bounds of the length bins, and the thresholds of the three scores.
 LENGTH_BOUNDS = (10, 50, 100, 200, 500, 1000)
@@ -39,8 +40,6 @@ def character_ratios(texts: DataFrame, by: list[str], text: str = "text") -> Dat
 
 def vocabulary(texts: DataFrame, by: list[str], top: int = 50, text: str = "text") -> DataFrame:
     """(by..., token, n): the most frequent tokens of each group, ties by token."""
-    from pyspark.sql import Window
-
     tokens = texts.select(*by, F.explode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))).alias("token"))
     counts = tokens.groupBy(*by, F.lower("token").alias("token")).agg(F.count("*").alias("n"))
     if not by:
@@ -55,43 +54,86 @@ def psi(reference: Column, current: Column) -> Column:
     return (c - r) * F.log(c / r)
 
 
+def summarize(texts: DataFrame, by: list[str], text: str = "text") -> DataFrame:
+    """(by..., n, avg_len, bins, chars) in one pass: texts, their mean length, numbers for each length bin, and numbers of
+    Hangul, ASCII letters, digits and all characters that are no white space. Empty texts are left out."""
+    t, bare = F.col(text), F.regexp_replace(F.col(text), SPACES, "")
+    full = texts.where(F.coalesce(t, F.lit("")) != "")
+    binned = F.array(*[F.count_if(length_bin(t) == i) for i in range(len(LENGTH_BOUNDS) + 1)])
+    counted = F.struct(F.sum(F.regexp_count(bare, F.lit(HANGUL))).alias("ko"), F.sum(F.regexp_count(bare, F.lit("[A-Za-z]"))).alias("en"), F.sum(F.regexp_count(bare, F.lit(r"\p{Nd}"))).alias("digit"), F.sum(F.length(bare)).alias("total"))
+    return full.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(F.length(t)), 4).alias("avg_len"), binned.alias("bins"), counted.alias("chars"))
+
+
+def _shares(chars: Column) -> dict[str, Column]:
+    total = F.greatest(chars["total"], F.lit(1))
+    parts = {c: chars[c] / total for c in ("ko", "en", "digit")}
+    return parts | {"other": (chars["total"] - chars["ko"] - chars["en"] - chars["digit"]) / total}
+
+
+def length_psi_of(bins: Column, against: Column) -> Column:
+    """PSI of a histogram against another."""
+    total = lambda b: F.greatest(F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
+    parts = F.zip_with(bins, against, lambda c, r: psi(r / total(against), c / total(bins)))
+    return F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 4)
+
+
+def character_shift_of(chars: Column, against: Column) -> Column:
+    """The largest change of a character share."""
+    a, b = _shares(chars), _shares(against)
+    return F.round(F.greatest(*[F.abs(a[c] - b[c]) for c in a]), 4)
+
+
+def _against(current: DataFrame, reference: DataFrame) -> DataFrame:
+    """Summaries beside the one row of the reference's."""
+    return current.crossJoin(F.broadcast(reference.select(F.col("bins").alias("ref_bins"), F.col("chars").alias("ref_chars"))))
+
+
 def length_psi(reference: DataFrame, current: DataFrame, by: list[str]) -> DataFrame:
     """PSI of the length histogram of each group of current against that of reference as a whole."""
-    ref = length_histogram(reference, []).select("bin", F.col("n").alias("r"))
-    ref = ref.crossJoin(ref.agg(F.greatest(F.sum("r"), F.lit(1)).alias("rs")))
-    cur = length_histogram(current, by)
-    totals = cur.groupBy(*by).agg(F.greatest(F.sum("n"), F.lit(1)).alias("cs"))
-    joined = cur.join(totals, by) if by else cur.crossJoin(totals)
-    return joined.join(F.broadcast(ref), "bin").groupBy(*by).agg(F.round(F.sum(psi(F.col("r") / F.col("rs"), F.col("n") / F.col("cs"))), 4).alias("length_psi"))
+    return _against(summarize(current, by), summarize(reference, [])).select(*by, length_psi_of(F.col("bins"), F.col("ref_bins")).alias("length_psi"))
 
 
 def vocabulary_js(reference: DataFrame, current: DataFrame, by: list[str], top: int = 50) -> DataFrame:
-    """Jensen-Shannon divergence, in bits, of each group's vocabulary against reference's."""
-    ref = vocabulary(reference, [], top).select("token", F.col("n").alias("r"))
-    groups = current.select(*by).distinct()
-    cur = vocabulary(current, by, top).select(*by, "token", F.col("n").alias("c"))
-    full = groups.crossJoin(F.broadcast(ref)).join(cur, [*by, "token"], "full_outer").fillna(0, ["r", "c"])
-    sums = full.groupBy(*by).agg(F.greatest(F.sum("r"), F.lit(1)).alias("rs"), F.greatest(F.sum("c"), F.lit(1)).alias("cs"))
-    p, q = F.col("r") / F.col("rs"), F.col("c") / F.col("cs")
-    m = F.greatest((p + q) / 2, F.lit(EPSILON))
+    """Jensen-Shannon divergence, in bits, of each group's vocabulary against reference's. Only the `top` tokens of each
+    side are joined."""
+    ref = saved(vocabulary(reference, [], top).select("token", F.col("n").alias("r")))
+    cur = saved(vocabulary(current, by, top).select(*by, "token", F.col("n").alias("c")))
+    full = cur.select(*by).distinct().crossJoin(F.broadcast(ref)).join(cur, [*by, "token"], "full_outer").fillna(0, ["r", "c"])
+    along = Window.partitionBy(*(by or [F.lit(1)]))
+    p, q = F.col("r") / F.greatest(F.sum("r").over(along), F.lit(1)), F.col("c") / F.greatest(F.sum("c").over(along), F.lit(1))
+    shares = full.select(*by, p.alias("p"), q.alias("q"))
+    m = F.greatest((F.col("p") + F.col("q")) / 2, F.lit(EPSILON))
     part = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    return full.join(sums, by).groupBy(*by).agg(F.round(0.5 * F.sum(part(p)) + 0.5 * F.sum(part(q)), 4).alias("vocab_js"))
+    return shares.groupBy(*by).agg(F.round(0.5 * F.sum(part(F.col("p"))) + 0.5 * F.sum(part(F.col("q"))), 4).alias("vocab_js"))
 
 
 def character_shift(reference: DataFrame, current: DataFrame, by: list[str]) -> DataFrame:
     """The largest change of a character share."""
-    ref = character_ratios(reference, []).select(*[F.col(c).alias(f"r_{c}") for c in ("ko", "en", "digit", "other")])
-    cur = character_ratios(current, by).crossJoin(F.broadcast(ref))
-    return cur.select(*by, F.round(F.greatest(*[F.abs(F.col(c) - F.col(f"r_{c}")) for c in ("ko", "en", "digit", "other")]), 4).alias("char_shift"))
+    return _against(summarize(current, by), summarize(reference, [])).select(*by, character_shift_of(F.col("chars"), F.col("ref_chars")).alias("char_shift"))
 
 
 def drift(reference: DataFrame, current: DataFrame, by: list[str], thresholds: dict[str, float] = THRESHOLDS, least: int = 30) -> DataFrame:
-    """The three scores of each group and the verdict: drift, stable or insufficient_sample."""
+    """The three scores of each group and the verdict: drift, stable or insufficient_sample. Each side is summed up once,
+    and read once more for its vocabulary."""
     full = lambda df: df.where("coalesce(text, '') <> ''")
-    reference, current = full(reference), full(current)
-    n = current.groupBy(*by).agg(F.count("*").alias("n"))
-    out = n.join(length_psi(reference, current, by), by).join(vocabulary_js(reference, current, by), by).join(character_shift(reference, current, by), by)
+    ref, cur = saved(summarize(reference, [])), saved(summarize(current, by))
+    scores = _against(cur, ref).select(*by, "n", length_psi_of(F.col("bins"), F.col("ref_bins")).alias("length_psi"), character_shift_of(F.col("chars"), F.col("ref_chars")).alias("char_shift"))
+    out = scores.join(vocabulary_js(full(reference), full(current), by), by).select(*by, "n", "length_psi", "vocab_js", "char_shift")
     above = F.lit(False)
     for name, limit in thresholds.items():
         above = above | (F.col(name) > limit)
     return out.withColumn("verdict", F.when(F.col("n") < least, "insufficient_sample").when(above, "drift").otherwise("stable"))
+
+
+def retrain_triggers(checks: DataFrame, cooldown: int = 600, baseline: str = "baseline", at: str = "at", verdict: str = "verdict") -> DataFrame:
+    """checks with `triggered`: those of drift, of each baseline, that come `cooldown` seconds or more after the last one
+    that did. Which one does depends on those before, so each baseline's checks, a row for each time it was checked,
+    are read in order."""
+    row = F.struct(F.col(at).alias("at"), (F.col(verdict) == "drift").alias("drift"))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<boolean>").alias("out"))
+    sec = lambda x: x["at"].cast("timestamp").cast("long")
+    goes = lambda a, x: F.coalesce(x["drift"], F.lit(False)) & (a["last"].isNull() | (sec(x) - a["last"] >= cooldown))
+    step = lambda a, x: F.struct(F.when(goes(a, x), sec(x)).otherwise(a["last"]).alias("last"), F.array_append(a["out"], goes(a, x)).alias("out"))
+    listed = checks.groupBy(baseline).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    decided = listed.select(baseline, F.explode(F.arrays_zip("rows", F.aggregate("rows", start, step)["out"].alias("triggered"))).alias("x"))
+    return decided.select(baseline, F.col("x.rows.at").alias(at), F.col("x.rows.drift").alias("drift"), F.col("x.triggered").alias("triggered"))

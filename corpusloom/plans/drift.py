@@ -76,3 +76,16 @@ FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) JOIN ({psi_sql('l
 def drift_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return ops.drift(docs, docs, ["lang"], least=150)
+
+
+@query("SELECT lang, count(*) AS n, round(avg(length(text)), 4) AS avg_len FROM documents WHERE coalesce(text, '') <> '' GROUP BY lang")
+def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.summarize(table(spark, sf_dir, "documents"), ["lang"]).select("lang", "n", "avg_len")
+
+
+@query("""WITH RECURSIVE c AS (SELECT user_id, ts, event_id, event_type = 'error' AS drift, epoch(ts) AS s FROM events), t AS (SELECT user_id, min(s) AS s FROM c WHERE drift GROUP BY user_id UNION ALL SELECT t.user_id, (SELECT min(c.s) FROM c WHERE c.user_id = t.user_id AND c.drift AND floor(c.s) - floor(t.s) >= 86400) FROM t WHERE t.s IS NOT NULL)
+SELECT user_id, count(s) AS triggered FROM t GROUP BY user_id UNION ALL SELECT user_id, 0 FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'error') = 0""")
+def retrain_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors as checks of drift of a user, which trigger once a day at most."""
+    checks = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", "drift").otherwise("stable").alias("verdict"))
+    return ops.retrain_triggers(checks, 86400, "user_id", "ts").groupBy("user_id").agg(F.count_if("triggered").alias("triggered"))

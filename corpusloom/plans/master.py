@@ -205,7 +205,7 @@ LABELS = ("APPLICABLE", "NOT_APPLICABLE", "OBLIGATION_TRIGGERED", "INSUFFICIENT_
 
 
 @query(f"""WITH d AS (SELECT doc_id, doc_id % 4 AS t, doc_id % 6 AS form FROM documents) SELECT doc_id, CASE WHEN form = 5 THEN NULL ELSE {sql_pick(LABELS, 't')} END AS label,
-CASE WHEN form = 5 THEN 0.0 WHEN form = 4 THEN CASE WHEN t = 3 THEN 0.6 ELSE 0.8 END WHEN form = 3 THEN CASE WHEN t = 3 THEN 0.6 ELSE 0.8 END WHEN form = 2 THEN 0.8 WHEN t = 3 THEN CASE WHEN form = 1 THEN 1.0 ELSE 0.8 END ELSE 1.0 END AS score FROM d""")
+CAST(CASE WHEN form = 5 THEN 0.0 WHEN form = 4 THEN CASE WHEN t = 3 THEN 0.6 ELSE 0.8 END WHEN form = 3 THEN CASE WHEN t = 3 THEN 0.6 ELSE 0.8 END WHEN form = 2 THEN 0.8 WHEN t = 3 THEN CASE WHEN form = 1 THEN 1.0 ELSE 0.8 END ELSE 1.0 END AS DOUBLE) AS score FROM d""")
 def answer_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Built answers read again: whole (0, 1 with what is missing), without evidence (2), with a section twice (3), out of
     order (4), and free prose (5)."""
@@ -216,8 +216,8 @@ def answer_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", answers.answer_label(text).alias("label"), F.round(answers.format_score(text), 4).alias("score"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, doc_id % 4 AS t, doc_id % 3 AS g FROM documents) SELECT doc_id, CASE WHEN g = 2 THEN 0.0 WHEN (g = 0 AND t = 0) OR (g = 1 AND t = 2) THEN 1.0 ELSE 0.0 END AS by_label, CASE WHEN t IN (2, 3) THEN 1.0 ELSE 0.25 END AS by_intent,
-CASE WHEN doc_id % 2 = 0 THEN 0.5 ELSE 0.0 END AS coverage FROM d""")
+@query(f"""WITH d AS (SELECT doc_id, doc_id % 4 AS t, doc_id % 3 AS g FROM documents) SELECT doc_id, CAST(CASE WHEN g = 2 THEN 0.0 WHEN (g = 0 AND t = 0) OR (g = 1 AND t = 2) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS by_label, CAST(CASE WHEN t IN (2, 3) THEN 1.0 ELSE 0.25 END AS DOUBLE) AS by_intent,
+CAST(CASE WHEN doc_id % 2 = 0 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS coverage FROM d""")
 def answer_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, text = F.col("doc_id"), F.concat(F.lit("근거:\n선체 두께\n\n판단:\n"), pick(SHOWN, F.col("doc_id") % 4))
     gold = pick(("APPLICABLE", "OBLIGATION_TRIGGERED", "UNKNOWN"), d % 3)
