@@ -143,11 +143,12 @@ def repeated_places(prints: DataFrame, window: int) -> DataFrame:
     whether this place is the first. A copy is a place in another document, or one in the same document that doesn't
     overlap the first place; what overlaps it is the same text and is left out.
     """
-    many = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first <> last OR n > 1")
-    held = saved(prints.join(many.drop("n"), "print"))
+    # Saved by themselves, both sides of a join are dealt for it alone, so that a print that stands everywhere is split.
+    many = saved(prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first <> last OR n > 1").drop("n"))
+    held = saved(prints.join(many, "print"))
     starts = held.where("doc_id = first").groupBy("print").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
     copied = F.col("end") >= F.col("start") + window
-    starts = starts.select("print", "start", copied.alias("again"))
+    starts = saved(starts.select("print", "start", copied.alias("again")))
     first_place = (F.col("doc_id") == F.col("first")) & (F.col("pos") == F.col("start"))
     shown = (F.col("doc_id") != F.col("first")) | (F.col("pos") >= F.col("start") + window) | (first_place & (F.col("again") | (F.col("first") != F.col("last"))))
     return held.join(starts, "print").where(shown).select("doc_id", "pos", "first", first_place.alias("own"))
