@@ -38,7 +38,7 @@ def rotation(dims: int, bits: int, seed: int) -> np.ndarray:
     while sum(p.shape[1] for p in parts) < bits:
         q, r = np.linalg.qr(rng.standard_normal((dims, dims)))
         parts.append(q * np.sign(np.diag(r)))
-    return np.concatenate(parts, axis=1)[:, :bits]
+    return np.concatenate(parts, axis=1)[:, :bits] if parts else np.zeros((dims, 0))
 
 
 def table_plan(size: Column, threshold: float, miss: float, bucket: int) -> tuple[Column, Column]:
@@ -62,7 +62,7 @@ def _nodes(batches):
 
 
 def _keys(units: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
-    """One key for each vector and table."""
+    """One key for each vector and table; without bits it is the same for all."""
     signs = units @ rotation(units.shape[1], bits * tables, seed) > 0
     weights = (1 << np.arange(bits, dtype=np.int64))[None, None, :]
     return (signs.reshape(len(units), tables, bits) * weights).sum(axis=2)

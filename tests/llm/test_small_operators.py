@@ -552,14 +552,14 @@ def test_link_exact_sides():
     assert forest.find(0) != forest.find(1)
 
 
-@pytest.mark.parametrize("chunk", [512, 3])
-def test_vectors_match_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "bucket"), [(512, 1024), (3, 4)])
+def test_vectors_match_brute_force(spark, chunk, bucket):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((12, 16))
     vectors = [(int(i), (base[i % 12] + rng.standard_normal(16) * rng.choice([0, 0.05, 0.09])).tolist(), int(i % 3)) for i in range(90)]
     odd = [(200, None, 1), (201, [0.0] * 16, 1), (202, [float("nan")] * 16, 1), (203, vectors[0][1], None), (204, [None] * 16, 1), (205, [], 1), (0, vectors[0][1], 0), (None, vectors[3][1], 0)]
     rows = vectors + odd
-    got = embedding_dedup.dedup_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), chunk=chunk, bucket=4)
+    got = embedding_dedup.dedup_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), chunk=chunk, bucket=bucket)
     good = [k for k, (_, v, l) in enumerate(rows) if v and l is not None and None not in v and np.isfinite(v).all() and any(v)]
     links, parent = {k: 0 for k in range(len(rows))}, list(range(len(rows)))
 
