@@ -111,10 +111,9 @@ def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH w AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\pL\pN_]+'))) AS t FROM documents),
-r AS (SELECT min(doc_id) AS doc_id, t FROM w WHERE len(t) > 0 GROUP BY t)
-SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 4) AS jaccard
-FROM r a JOIN r b ON a.doc_id < b.doc_id AND least(len(a.t), len(b.t)) >= 0.85 * greatest(len(a.t), len(b.t))
-WHERE len(list_intersect(a.t, b.t)) >= 0.85 * len(list_distinct(list_concat(a.t, b.t)))
+r AS (SELECT min(doc_id) AS doc_id, t, len(t) AS n FROM w WHERE len(t) > 0 GROUP BY t), x AS (SELECT doc_id, n, unnest(t) AS word FROM r),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS i FROM x a JOIN x b ON a.word = b.word AND a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) GROUP BY ALL)
+SELECT a, b, round(i / (na + nb - i), 4) AS jaccard FROM p WHERE i >= 0.85 * (na + nb - i)
 UNION ALL SELECT r.doc_id, w.doc_id, 1.0 FROM r JOIN w ON r.t = w.t AND w.doc_id > r.doc_id""")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records whose word sets are alike, between the first records of equal sets, and these with their copies."""

@@ -51,12 +51,12 @@ def cross_document_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.cross_document_references(articles(spark, sf_dir))
 
 
-@query(f"""WITH {A}, s AS (SELECT a.*, k % 10 = 0 AS asks, k % 13 AS term FROM a), c AS (SELECT q.chunk_id, count(*) FILTER (t.term = q.term AND t.kind = 'rule' AND t.k % 4 = 0) AS titled, min(t.chunk_id) FILTER (t.term = q.term AND t.kind = 'rule' AND t.k % 4 = 0) AS by_title
+@query(f"""WITH {A}, s AS (SELECT a.*, k % 10 = 0 AS asks, k % 41 AS term FROM a), c AS (SELECT q.chunk_id, count(*) FILTER (t.term = q.term AND t.kind = 'rule' AND t.k % 4 = 0) AS titled, min(t.chunk_id) FILTER (t.term = q.term AND t.kind = 'rule' AND t.k % 4 = 0) AS by_title
 FROM s q JOIN s t ON t.part = q.rpart AND t.ch = q.rch AND t.kind = 'rule' WHERE q.asks AND NOT (q.rpart = q.part AND q.rch = q.ch) GROUP BY q.chunk_id) SELECT chunk_id, by_title AS target, '2 term' AS form FROM c WHERE titled = 1""")
 def cross_document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References by a term that one title of the named chapter holds."""
     rows, num = articles(spark, sf_dir), lambda c: c.cast("string")
-    term = F.concat(F.lit("압력용기"), F.element_at(F.array(*[F.lit(c) for c in "갑을병정무기경신임계자축인"]), (F.col("k") % 13 + 1).cast("int")))
+    term = F.concat(F.lit("압력용기"), F.lpad(num(F.col("k") % 41), 2, "0"))
     asks = F.concat(num((F.col("k") * 3) % 8 + 1), F.lit("편 "), num((F.col("k") * 7) % 5 + 1), F.lit("장에서 규정하는 "), term, F.lit("에 따른다"))
     made = rows.withColumn("content", F.when(F.col("k") % 10 == 0, asks).otherwise("본문")).withColumn("article_title", F.when(F.col("k") % 4 == 0, term).otherwise("제목"))
     return ops.cross_document_references(made)
@@ -101,9 +101,12 @@ def definition_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.definition_links(made.where("k % 17 <> 0"), ops.defined_terms(made))
 
 
-@query(f"""WITH {A} SELECT min(chunk_id) FILTER (kind = 'rule') AS rule, min(chunk_id) FILTER (kind = 'guidance') AS guidance FROM a GROUP BY part, ch, art HAVING count(*) FILTER (kind = 'rule') > 0 AND count(*) FILTER (kind = 'guidance') > 0""")
+@query("""WITH a AS (SELECT p_partkey AS k, 'P' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS chunk_id FROM part) SELECT min(chunk_id) FILTER (k % 2 = 0) AS rule, min(chunk_id) FILTER (k % 2 = 1) AS guidance FROM a WHERE k % 6 <> 0 GROUP BY k // 2 HAVING count(*) = 2""")
 def mirror_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.mirror_links(articles(spark, sf_dir))
+    """Two parts in a row as a rule and its guidance; every third pair lacks the rule."""
+    half = F.floor(F.col("k") / 2).cast("string")
+    made = articles(spark, sf_dir).where("k % 6 <> 0").withColumn("article_no", half).withColumn("source_file", F.lit("1편")).withColumn("chapter_no", F.lit("1")).withColumn("document_type", F.when(F.col("k") % 2 == 0, "rule").otherwise("guidance"))
+    return ops.mirror_links(made)
 
 
 ATOMS = """c AS (SELECT l_orderkey AS doc, l_linenumber AS o, l_orderkey || ':' || l_linenumber AS chunk_id, CASE WHEN l_linenumber % 3 = 1 THEN 'text' WHEN l_linenumber % 3 = 2 THEN 'table' ELSE 'figure' END AS t, min(l_suppkey) % 3 AS no, min(l_partkey) % 3 AS f, min(l_returnflag) AS seg FROM lineitem GROUP BY l_orderkey, l_linenumber),
