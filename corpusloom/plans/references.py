@@ -51,14 +51,15 @@ def cross_document_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.cross_document_references(articles(spark, sf_dir))
 
 
-@query(f"""WITH {A}, s AS (SELECT a.*, k % 10 = 0 AS asks, k % 41 AS term FROM a), c AS (SELECT q.chunk_id, count(*) FILTER (t.term = q.term AND t.kind = 'rule' AND t.k % 4 = 0) AS titled, min(t.chunk_id) FILTER (t.term = q.term AND t.kind = 'rule' AND t.k % 4 = 0) AS by_title
-FROM s q JOIN s t ON t.part = q.rpart AND t.ch = q.rch AND t.kind = 'rule' WHERE q.asks AND NOT (q.rpart = q.part AND q.rch = q.ch) GROUP BY q.chunk_id) SELECT chunk_id, by_title AS target, '2 term' AS form FROM c WHERE titled = 1""")
+@query(f"""WITH {A}, s AS (SELECT a.*, k % 10 = 0 AS asks, k % 41 AS term FROM a), c AS (SELECT q.chunk_id, count(*) FILTER (t.k % 3 = 0) AS titled, min(t.chunk_id) FILTER (t.k % 3 = 0) AS by_title, count(*) FILTER (t.asks) AS texts, min(t.chunk_id) FILTER (t.asks) AS by_text
+FROM s q JOIN s t ON t.part = q.rpart AND t.ch = q.rch AND t.term = q.term AND t.kind = 'rule' WHERE q.asks AND NOT (q.rpart = q.part AND q.rch = q.ch) GROUP BY q.chunk_id),
+x AS (SELECT chunk_id, CASE WHEN titled = 1 THEN by_title WHEN titled = 0 AND texts = 1 THEN by_text END AS target FROM c) SELECT chunk_id, target, '2 term' AS form FROM x WHERE target <> chunk_id""")
 def cross_document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References by a term that one title of the named chapter holds."""
+    """References by a term that one title of the named chapter holds, or else one text."""
     rows, num = articles(spark, sf_dir), lambda c: c.cast("string")
     term = F.concat(F.lit("압력용기"), F.lpad(num(F.col("k") % 41), 2, "0"))
     asks = F.concat(num((F.col("k") * 3) % 8 + 1), F.lit("편 "), num((F.col("k") * 7) % 5 + 1), F.lit("장에서 규정하는 "), term, F.lit("에 따른다"))
-    made = rows.withColumn("content", F.when(F.col("k") % 10 == 0, asks).otherwise("본문")).withColumn("article_title", F.when(F.col("k") % 4 == 0, term).otherwise("제목"))
+    made = rows.withColumn("content", F.when(F.col("k") % 10 == 0, asks).otherwise("본문")).withColumn("article_title", F.when(F.col("k") % 3 == 0, term).otherwise("제목"))
     return ops.cross_document_references(made)
 
 
