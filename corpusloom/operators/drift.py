@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import HANGUL, SPACES, TOKEN
-from corpusloom.sources.checkpoints import saved
 
 # Upper bounds of the length bins, and the thresholds of the three scores.
 LENGTH_BOUNDS = (10, 50, 100, 200, 500, 1000)
@@ -96,9 +95,9 @@ def length_psi(reference: DataFrame, current: DataFrame, by: list[str]) -> DataF
 def vocabulary_js(reference: DataFrame, current: DataFrame, by: list[str], top: int = 50) -> DataFrame:
     """Jensen-Shannon divergence, in bits, of each group's vocabulary against reference's. Only the `top` tokens of each
     side are joined."""
-    ref = saved(vocabulary(reference, [], top).select("token", F.col("n").alias("r")))
-    cur = saved(vocabulary(current, by, top).select(*by, "token", F.col("n").alias("c")))
-    full = cur.select(*by).distinct().crossJoin(F.broadcast(ref)).join(cur, [*by, "token"], "full_outer").fillna(0, ["r", "c"])
+    ref = vocabulary(reference, [], top).select("token", F.col("n").alias("r"))
+    cur = vocabulary(current, by, top).select(*by, "token", F.col("n").alias("c"))
+    full = current.select(*by).distinct().crossJoin(F.broadcast(ref)).join(cur, [*by, "token"], "full_outer").fillna(0, ["r", "c"])
     along = Window.partitionBy(*(by or [F.lit(1)]))
     p, q = F.col("r") / F.greatest(F.sum("r").over(along), F.lit(1)), F.col("c") / F.greatest(F.sum("c").over(along), F.lit(1))
     shares = full.select(*by, p.alias("p"), q.alias("q"))
@@ -116,7 +115,7 @@ def drift(reference: DataFrame, current: DataFrame, by: list[str], thresholds: d
     """The three scores of each group and the verdict: drift, stable or insufficient_sample. Each side is summed up once,
     and read once more for its vocabulary."""
     full = lambda df: df.where("coalesce(text, '') <> ''")
-    ref, cur = saved(summarize(reference, [])), saved(summarize(current, by))
+    ref, cur = summarize(reference, []), summarize(current, by)
     scores = _against(cur, ref).select(*by, "n", length_psi_of(F.col("bins"), F.col("ref_bins")).alias("length_psi"), character_shift_of(F.col("chars"), F.col("ref_chars")).alias("char_shift"))
     out = scores.join(vocabulary_js(full(reference), full(current), by), by).select(*by, "n", "length_psi", "vocab_js", "char_shift")
     above = F.lit(False)
