@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.components import Forest
 from corpusloom.llm.near_sets import ROWS, Cut, Threshold, candidates_within, digest, set_components, sketches
-from corpusloom.llm.storage import saved, saved_table
+from corpusloom.llm.storage import discard, saved, saved_table
 from corpusloom.llm.textkit import _BACK, _ROOT, _powers, mix, spans, word_hashes
 
 _U = np.uint64
@@ -144,11 +144,13 @@ def repeated_places(prints: DataFrame, window: int) -> DataFrame:
     overlap the first place; what overlaps it is the same text and is left out.
     """
     # Saved by themselves, both sides of a join are dealt for it alone, so that a print that stands everywhere is split.
-    many = saved(prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first <> last OR n > 1").drop("n"))
-    held = saved(prints.join(many, "print"))
+    # As Parquet they take a fraction of a checkpoint's disk.
+    many = saved_table(prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first <> last OR n > 1").drop("n"))
+    held = saved_table(prints.join(many, "print"))
+    discard(many)
     starts = held.where("doc_id = first").groupBy("print").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
     copied = F.col("end") >= F.col("start") + window
-    starts = saved(starts.select("print", "start", copied.alias("again")))
+    starts = saved_table(starts.select("print", "start", copied.alias("again")))
     first_place = (F.col("doc_id") == F.col("first")) & (F.col("pos") == F.col("start"))
     shown = (F.col("doc_id") != F.col("first")) | (F.col("pos") >= F.col("start") + window) | (first_place & (F.col("again") | (F.col("first") != F.col("last"))))
     return held.join(starts, "print").where(shown).select("doc_id", "pos", "first", first_place.alias("own"))
@@ -195,6 +197,7 @@ def repeated_passages(docs: DataFrame, *, window: int = 40, among: int = 11) ->
     """
     prints = saved_table(docs.select("doc_id", "text").mapInArrow(_windows(window, among), "print long, doc_id long, pos int"))
     rows = repeated_places(prints, window)
+    discard(prints)  # the places are saved by now
     return rows.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(_spans(window), OUT)
 
 
@@ -206,7 +209,7 @@ def repeated_paragraphs(docs: DataFrame, *, words: int = 5, num: int = 80, den:
     """
     cut, limit = Cut(words, by_lines=True, least_words=least_words), Threshold(num, den)
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("ref"), "text")
-    units = saved(docs.mapInArrow(_paragraphs(cut, band_keys(bands, rows, limit)), f"{ROWS}, tokens array<long>"))
+    units = saved_table(docs.mapInArrow(_paragraphs(cut, band_keys(bands, rows, limit)), f"{ROWS}, tokens array<long>"))
     linked = set_components(docs, units, cut, None, limit, link_exact, chunk_sets=chunk_sets, chunk_words=chunk_words)
     per_node = units.groupBy("node").agg(F.min(F.struct("doc_id", "first_word")).alias("least"), F.count("*").alias("copies"))
     named = per_node.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
