@@ -81,11 +81,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document arranged for filling in its middle: doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256."""
+    from corpusloom.llm.fill_in_middle import digests, fill_in_middle
+
+    return digests(fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each lang diverge, by pairs and by terms: lang, source, part, item, value, rank."""
+    from corpusloom.llm.source_audit import audit_sources
+
+    return audit_sources(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_surrogates, op2_token_counts, op3_license_scan, op4_quality_gam, op5_paragraph_dedup, op6_decontamination, op7_packing, op8_embedding_dedup, op9_ngram_join, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_token_counts, op3_license_scan, op4_quality_gam, op5_paragraph_dedup, op6_decontamination, op7_packing, op8_embedding_dedup, op9_ngram_join, op10_secret_scan, op11_fill_in_middle, op13_source_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from corpusloom.llm import license_scan
+    from corpusloom.llm import fill_in_middle, license_scan, source_audit
 
-    return {"op3_license_scan": license_scan.oracle()}
+    return {"op3_license_scan": license_scan.oracle(), "op11_fill_in_middle": fill_in_middle.oracle(), "op13_source_audit": source_audit.oracle()}
