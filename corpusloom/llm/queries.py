@@ -88,6 +88,14 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(fill_in_middle(_table(spark, sf_dir, "documents")))
 
 
+def op12_hash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one: query_id, rank, vec_id, score."""
+    from corpusloom.llm.hash_search import search
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of each lang diverge, by pairs and by terms: lang, source, part, item, value, rank."""
     from corpusloom.llm.source_audit import audit_sources
@@ -96,7 +104,7 @@ def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_surrogates, op2_token_counts, op3_license_scan, op4_quality_gam, op5_paragraph_dedup, op6_decontamination, op7_packing, op8_embedding_dedup, op9_ngram_join, op10_secret_scan, op11_fill_in_middle, op13_source_audit)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_token_counts, op3_license_scan, op4_quality_gam, op5_paragraph_dedup, op6_decontamination, op7_packing, op8_embedding_dedup, op9_ngram_join, op10_secret_scan, op11_fill_in_middle, op12_hash_search, op13_source_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
