@@ -134,7 +134,7 @@ def _tiles(side: int):
     return run
 
 
-def audit_sources(docs: DataFrame, *, least_docs: int = 30, smoothing: int = 5, top_terms: int = 50, side: int = 256, terms_a_task: int = 2048) -> DataFrame:
+def audit_sources(docs: DataFrame, *, least_docs: int = 30, smoothing: int = 5, top_terms: int = 50, side: int = 256, rows_a_task: int = 4096) -> DataFrame:
     """lang, source, part, item, value, rank for each lang and source of docs.
 
     Part pair: item is another source of the lang, value how far their shares lie apart, summed over the terms that
@@ -166,7 +166,10 @@ def audit_sources(docs: DataFrame, *, least_docs: int = 30, smoothing: int = 5,
     alike = shares.groupBy("lang", "src", "p0", "p").agg(F.count("*").alias("n"))
     gain = F.abs(F.col("p") - F.col("q0")) - F.abs(F.col("p0") - F.col("q0"))
     one_sided = alike.join(other, "lang").where("src <> o").groupBy("lang", F.least("src", "o").alias("a"), F.greatest("src", "o").alias("b")).agg(F.sum(F.col("n") * gain).alias("correction"))
-    tiles = facts.groupBy("lang").agg((F.max("src") / side).cast("long").alias("last_tile"), F.ceil(F.max("kept") / terms_a_task).cast("long").alias("parts"))
+    # Tasks of rows_a_task postings at least, and of as many as the pairs that a tile may give.
+    sizes = facts.groupBy("lang").agg(F.max("src").alias("last")).join(posts.groupBy("lang").agg(F.count("*").alias("rows")), "lang")
+    pairs_a_tile = F.pow(F.least(F.col("last") + 1, F.lit(side)), F.lit(2)) / 2
+    tiles = sizes.select("lang", (F.col("last") / side).cast("long").alias("last_tile"), F.ceil(F.col("rows") / F.greatest(F.lit(float(rows_a_task)), pairs_a_tile)).cast("long").alias("parts"))
     tile, o = (F.col("src") / side).cast("long"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_tile")))
     dealt = shares.join(tiles, "lang").select("lang", "term", "src", "p", "p0", tile.alias("tile"), o.alias("o"), F.pmod(F.xxhash64("term"), F.col("parts")).alias("part"))
     where = ["lang", "i", "j", "part"]

@@ -119,7 +119,7 @@ def test_counts_are_the_same_however_often_given_out(spark, kw):
     assert len(got) == len(want)
 
 
-@pytest.mark.parametrize("kw,plain", [({}, {}), ({"side": 3, "terms_a_task": 4, "least_docs": 2, "top_terms": 3, "smoothing": 1}, {"least": 2, "top": 3, "smoothing": 1}), ({"least_docs": 10_000}, {"least": 10_000})])
+@pytest.mark.parametrize("kw,plain", [({}, {}), ({"side": 3, "rows_a_task": 4, "least_docs": 2, "top_terms": 3, "smoothing": 1}, {"least": 2, "top": 3, "smoothing": 1}), ({"least_docs": 10_000}, {"least": 10_000})])
 def test_audit_against_every_pair_and_term(spark, kw, plain):
     rows = audit_rows()
     got = source_audit.audit_sources(texts(spark, rows).repartition(5), **kw)
