@@ -87,6 +87,17 @@ def table_grid(html: pd.Series) -> pd.Series:
     return html.map(grid)
 
 
+def header_value_text(header: list[str], row: list[str]) -> str:
+    """What row_text gives, for one row of a table function."""
+    shown = [(h, v.strip()) for h, v in zip(header, row, strict=False) if v.strip()]
+    if len(shown) == len(row) and len({v for _, v in shown}) == 1:
+        return shown[0][1]
+    if not header or len(header) != len(row):
+        return " ".join(v for v in row if v.strip())
+    pairs = ((h + ": " + v).strip(" :") for h, v in zip(header, row, strict=True) if v.strip() and h.strip() != v.strip())
+    return " | ".join(dict.fromkeys(p for p in pairs if p))
+
+
 def row_text(header: Column, row: Column) -> Column:
     """A row as text: the value of a row that repeats one in all cells, once; 'header: value' for each value under a
     header of the row's width, those equal to their header left out; else the values, a blank between."""

@@ -16,6 +16,10 @@ SYMBOL = r"(?<![A-Za-z0-9])[A-Z](?:_?\{?[a-z0-9]{1,2}\}?)(?![a-z0-9])"
 KNOWN_SYMBOLS = ("Hz", "Pa", "Nm", "Nmm", "No", "Cu", "Ni", "Cr", "Al", "Mg", "Ti", "Zn", "Fe", "Mn", "Si", "Mo", "Co", "Pb", "Sn")
 # Standards without a number, conclusions for and against, and talk about the making of an answer.
 PLACEHOLDER = r"(?i)\b(?:ISO|IEC|KS|JIS|ASME|EN|API)[\s\-–—:]*0{3,5}(?!\d)"
+# Endings of inflected words, a number that is no reference or year, the ends of sentences, and how much of a line is shown.
+INFLECTED = "(?:다|며|고|서|여|록|면|니|지)$"
+CLAIM = r"(?<!\d)(?<!\d[.,])\d[\d,]*+(?:\.\d++)?+\s*+%?+(?!\s*(?:\.|항|장|절|편|호|조|년|번))"
+SENTENCES, LINES, LINE_CHARS = r"(?<=다)\.\s+", r"(?<=다)\.\s+|\n", 200
 APPLIES = r"적용된다|적용 대상이다|적용 대상이며|적용되며|적용받는다|적용되지만|적용되고"
 APPLIES_NOT = r"적용되지 않|적용 대상이 아니|적용하지 않|미적용"
 DENIED_DENIAL = r"(?:미적용|적용되지 않는 것|적용 배제)(?:이|의)?(?:\s*사유)?(?:가|이|은|는)?\s*아니"
@@ -99,6 +103,34 @@ def confusable_pairs(article: Column, said: Column, pattern: str = "[가-힣]{2,
     return one_sided_pairs(F.regexp_extract_all(article, F.lit(pattern), F.lit(0)), said, alike, most)
 
 
+def numeric_term_mismatches(question: Column, answer: Column, article: Column) -> Column:
+    """array of (used, expected, value, article_line): numbers of two characters or more that an answer claims in a
+    sentence with one term of a pair, while the article's lines with that number have the other term only.
+
+    Pairs are words that may be confused (inflected ones aside), symbols and sides, of which question and answer name
+    one. References and years ("203.", "5항") are no claims, and rows of tables no lines. Null texts count as empty.
+    """
+    q, a, t = (F.coalesce(c, F.lit("")) for c in (question, answer, article))
+    said = F.concat(q, F.lit("\n"), a)
+    words = F.filter(confusable_pairs(t, said), lambda p: ~p["a"].rlike(INFLECTED) & ~p["b"].rlike(INFLECTED))
+    names = lambda text, term: F.contains(text, term) | F.contains(plain_symbols(text), term)
+    pairs = F.concat(words, symbol_pairs(t, said), side_pairs(t, said))
+    turned = F.transform(pairs, lambda p: F.when(names(a, p["a"]), F.struct(p["a"].alias("used"), p["b"].alias("other"))).otherwise(F.struct(p["b"].alias("used"), p["a"].alias("other"))))
+    lines = F.filter(F.transform(F.split(t, LINES), lambda s: F.trim(s)), lambda s: (s != "") & ~F.contains(F.left(s, F.lit(LINE_CHARS)), F.lit("<t")))
+    sentences = F.split(a, SENTENCES)
+    numbers = lambda s: F.filter(F.transform(F.regexp_extract_all(s, F.lit(CLAIM), F.lit(0)), lambda n: F.regexp_replace(n, r"\s", "")), lambda n: F.length(n) >= 2)
+
+    def of_number(pair, n):
+        held = F.filter(lines, lambda s: F.contains(F.replace(s, F.lit(" ")), n))
+        other = F.filter(held, lambda s: names(s, pair["other"]))
+        wrong = (F.size(other) > 0) & ~F.exists(held, lambda s: names(s, pair["used"]))
+        return F.when(wrong, F.struct(pair["used"].alias("used"), pair["other"].alias("expected"), n.alias("value"), F.left(F.get(other, F.lit(0)), F.lit(LINE_CHARS)).alias("article_line")))
+
+    of_sentence = lambda pair, s: F.transform(numbers(s), lambda n: of_number(pair, n))
+    of_pair = lambda pair: F.flatten(F.transform(F.filter(sentences, lambda s: names(s, pair["used"])), lambda s: of_sentence(pair, s)))
+    return F.array_compact(F.flatten(F.transform(turned, of_pair)))
+
+
 def standards(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PLACEHOLDER), F.lit(0)), lambda s: F.trim(F.regexp_replace(F.upper(s), r"[\s\-–—:]+", " "))))
 

@@ -308,7 +308,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return bound.where(F.col("reached").isNull() | (F.col("high") >= F.col("reached"))).drop("place")
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, bits: int = 128, sample_rows: int = 20_000, sample_bytes: int = 32_000_000, steps: int = 20, deviations: float = 2.0, gather: int = 200, cell: int = 512, chunk: int = 1024, seed: int = 12) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, bits: int = 128, sample_rows: int = 20_000, sample_bytes: int = 32_000_000, steps: int = 20, deviations: float = 2.0, gather: int = 200, cell: int = 4096, chunk: int = 4096, seed: int = 12) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of vectors (vec_id, embedding) with the largest cosine to each row
     of queries (likewise), nearest first, ties to the smaller vec_id; a query's own row (the same id and vector) is left out. With fewer rows, all of them.
 
@@ -318,7 +318,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, bits: int = 12
 
     bits: a multiple of 64. Rotations are learned from sample_rows vectors at most (and sample_bytes of them as
     floats); every row is indexed. deviations: how far a near vector's code may lie beyond what its angle says
-    (more, if the sample's codes do) before it can be missed. Where the nearest lie far off, as in directions
+    (more, if the sample's codes do) before it can be missed. cell, chunk: rows of a cell aimed at, and of the pieces in
+    which larger ones meet their queries; a query is sent to each cell that it probes, so small cells cost more. Where the nearest lie far off, as in directions
     without any structure, radii are wide and most cells are probed: then blocks of queries meet all rows.
     """
     spark = vectors.sparkSession

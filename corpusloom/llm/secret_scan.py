@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
@@ -39,8 +40,11 @@ BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r
 #: What may stand between a name and a payload within one run.
 GLUE = re.compile(r"[_/+-]")
 BASE64_PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
-#: Compressed runs are scanned in pieces; a secret of up to OVERLAP bytes stands whole in one of them.
-PIECE, OVERLAP = 1 << 24, 1 << 20
+#: Compressed runs are scanned in pieces; a secret of up to OVERLAP bytes stands whole in one of them. A piece grows,
+#: up to GROWN bytes, until no run longer than OVERLAP is open at its end.
+PIECE, OVERLAP, GROWN = 1 << 24, 1 << 20, 1 << 27
+#: A line that may be a part of a run over several lines, and the end of one.
+RUN_LINE, RUN_TAIL = re.compile(rb"[A-Za-z0-9+/_=%\\&#;{}-]*"), re.compile(rb"[A-Za-z0-9+/_=%\\&#;{}-]+\Z")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, n_decoded long"
 
 
@@ -103,16 +107,20 @@ def _engine(data: bytes):
     return None
 
 
-def _inflated(data: bytes) -> Iterator[tuple[bytes, int]]:
-    """What a compressed run holds, in parts of a megabyte at most where the engine allows it, up to its end or to
-    where it breaks; with each part the bytes of data read so far. Streams laid end to end (the members of a gzip
-    file, say) are read one after another. Nothing if it is none."""
+#: What an engine is fed at once. A zstd engine gives all that it can, up to 128 KB for each block of four bytes.
+FED, FED_ZSTD = 1 << 12, 1 << 5
+
+
+def _inflated(data: bytes, headless: bool = False) -> Iterator[tuple[bytes, int]]:
+    """What a compressed run holds, in parts of about a megabyte at most, up to its end or to where it breaks; with
+    each part the bytes of data read so far. Streams laid end to end (the members of a gzip file, say) are read one
+    after another. Nothing if it is none. headless: a deflate stream without any head."""
     most, base = 1 << 20, 0
-    while (engine := _engine(data[base : base + 8])) is not None:
+    while (engine := zlib.decompressobj(-15) if headless and base == 0 else _engine(data[base : base + 8])) is not None:
         fed, bounded = base, not type(engine).__name__.startswith("Zstd")
         try:
             while fed < len(data) and not engine.eof:
-                left = data[fed : fed + (1 << 12)]
+                left = data[fed : fed + (FED if bounded else FED_ZSTD)]
                 fed += len(left)
                 while not engine.eof:
                     out = engine.decompress(left, most) if bounded else engine.decompress(left)
@@ -129,17 +137,34 @@ def _inflated(data: bytes) -> Iterator[tuple[bytes, int]]:
         base += len(data[base : base + 512]) - len(data[base : base + 512].lstrip(b"\0"))  # padding between members
 
 
-def _inflate(data: bytes) -> Iterator[tuple[bytes, int]]:
-    """The same in pieces of PIECE bytes, each of which begins with the last OVERLAP bytes of the one before."""
-    held, read = bytearray(), 0
+def _open_run(held: bytearray) -> int:
+    """Where the run begins that is still open at the end of what is held; its end if none is."""
+    end = start = len(held)
+    while end > 0:
+        low = held.rfind(b"\n", 0, end) + 1
+        line = bytes(held[low:end]).strip(b" \t\r")
+        if not RUN_LINE.fullmatch(line):
+            tail = RUN_TAIL.search(line)
+            return low + held[low:end].rfind(tail[0]) if tail else start
+        start, end = (low if line else start), low - 1
+    return start
+
+
+def _inflate(data: bytes, headless: bool = False) -> Iterator[tuple[bytes, int]]:
+    """The same in pieces of PIECE bytes, each of which begins with the last OVERLAP bytes of the one before. A piece in
+    whose end a longer run is open goes on until that has ended, or GROWN bytes are held."""
+    held, read, asked = bytearray(), 0, PIECE
     fresh = False
-    for out, read in _inflated(data):
+    for out, read in _inflated(data, headless):
         held += out
         fresh = True
-        if len(held) >= PIECE:
+        if len(held) >= asked:
+            if len(held) < GROWN and len(held) - _open_run(held) > OVERLAP:
+                asked = len(held) + PIECE
+                continue
             yield bytes(held), read
             del held[:-OVERLAP]
-            fresh = False
+            fresh, asked = False, PIECE
     if fresh:
         yield bytes(held), read
 
@@ -153,58 +178,62 @@ def _readable(data: bytes) -> str | None:
     return data.decode("utf-8", "replace") if HOLDS.search(data) else None
 
 
+def _wide(data: bytes) -> str | None:
+    """The same of bytes of which every other one is zero, as in UTF-16; the text without zeros."""
+    return _readable(data.replace(b"\0", b"")) if 3 * data.count(0) >= len(data) > 0 else None
+
+
 def _rewrite(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | None:
-    """The whole layer with each run that decodes put in plain form; None if none does."""
-    texts, starts, ends, at, changed = [], [], [], 0, False
+    """The whole layer with its runs put in plain form; None if there is none. What can't be decoded in a run is U+FFFD."""
+    texts, widths, at = [], [], 0
     for m in pattern.finditer(layer.text):
-        plain = decode(m[0])
-        if plain is None:
-            continue
-        changed = True
-        a, b = layer.maps(at, m.start())
-        texts.append(layer.text[at : m.start()])
-        starts.append(a)
-        ends.append(b)
-        run = m.start()
-        for char, width in plain:
-            lo, hi = layer.span(run, run + width)
-            texts.append(char)
-            starts.append(np.array([lo]))
-            ends.append(np.array([hi]))
-            run += width
+        plain, wide = decode(m[0])
+        texts += [layer.text[at : m.start()], plain]
+        widths.append((m.start() - at, wide))
         at = m.end()
-    if not changed:
+    if not at:
         return None
-    a, b = layer.maps(at, len(layer.text))
-    return Layer("".join([*texts, layer.text[at:]]), np.concatenate([*starts, a]), np.concatenate([*ends, b]), f"{layer.route}{name}/")
-
-
-def _url(run: str) -> list[tuple[str, int]] | None:
-    try:
-        text = bytes.fromhex(run.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return [(c, 3 * len(c.encode("utf-8"))) for c in text]
-
-
-def _unicode(run: str) -> list[tuple[str, int]] | None:
-    out, pending = [], None
+    texts.append(layer.text[at:])
+    n = sum(map(len, texts))
+    begins = np.ones(n + 1, dtype=np.int32)  # widths, moved by one, and summed up in place
+    begins[0], place = 0, 1
+    for gap, wide in widths:
+        place += gap
+        begins[place : place + len(wide)] = wide
+        place += len(wide)
+    np.cumsum(begins, out=begins)
+    starts, ends = begins[:-1], begins[1:]
+    if layer.starts is not None:
+        starts, ends = np.minimum.reduceat(layer.starts, starts), np.maximum.reduceat(layer.ends, starts)
+    return Layer("".join(texts), starts, ends, f"{layer.route}{name}/")
+
+
+def _url(run: str) -> tuple[str, np.ndarray]:
+    """The text of a run of escapes, and from how many characters each of its own came."""
+    text = bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape")
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    lost = (points >= 0xDC80) & (points < 0xDD00)
+    n = 1 + (points >= 0x80).astype(np.int32) + (points >= 0x800) + (points >= 0x10000)
+    return (text.encode("utf-8", "surrogateescape").decode("utf-8", "one by one") if lost.any() else text), np.where(lost, 1, n) * 3
+
+
+codecs.register_error("one by one", lambda e: ("\ufffd", e.start + 1))
+
+
+def _unicode(run: str) -> tuple[str, np.ndarray]:
+    chars, widths, high = [], [], 0
     for m in UNICODE_ITEM.finditer(run):
         code = int(m[6]) if m[6] else int(next(g for g in m.groups() if g), 16)
         width = m.end() - m.start()
-        if pending is not None:
-            if 0xDC00 <= code < 0xE000:
-                code, width = 0x10000 + ((pending[0] - 0xD800) << 10) + code - 0xDC00, width + pending[1]
-            else:
-                return None
-            pending = None
-        elif 0xD800 <= code < 0xDC00:
-            pending = (code, width)
+        if high and 0xDC00 <= code < 0xE000:
+            chars[-1] = chr(0x10000 + ((high - 0xD800) << 10) + code - 0xDC00)
+            widths[-1] += width
+            high = 0
             continue
-        if code > 0x10FFFF or 0xD800 <= code < 0xE000:
-            return None
-        out.append((chr(code), width))
-    return None if pending else out
+        high = code if 0xD800 <= code < 0xDC00 else 0
+        chars.append("\ufffd" if code > 0x10FFFF or 0xD800 <= code < 0xE000 else chr(code))
+        widths.append(width)
+    return "".join(chars), np.array(widths, dtype=np.int32)
 
 
 def _plain(run: str, skip: int = 0) -> bytes:
@@ -219,12 +248,12 @@ def _constant(text: str, span: tuple[int, int], route: str) -> Layer:
     return Layer(text, np.broadcast_to(np.int64(span[0]), len(text)), np.broadcast_to(np.int64(span[1]), len(text)), route)
 
 
-def _unpacked(layer: Layer, data: bytes, bounds, raw: bool = True) -> Iterator[Layer]:
+def _unpacked(layer: Layer, data: bytes, bounds, raw: bool = True, headless: bool = False) -> Iterator[Layer]:
     """Layers of what a compressed run holds, made as they are asked for; bounds gives the span of the bytes read."""
     none = True
-    for plain, read in _inflate(data):
+    for plain, read in _inflate(data, headless):
         none = False
-        if text := _readable(plain):
+        if text := _readable(plain) or _wide(plain):
             yield _constant(text, bounds(read), f"{layer.route}base64/inflate/")
     try:
         none = none or bool(data.decode("utf-8"))
@@ -325,6 +354,10 @@ def _run_layers(layer: Layer, run: str, span: tuple[int, int]) -> Iterator[Layer
                 return
         elif text := _readable(data):
             yield _constant(text, span, f"{layer.route}base64/")
+        elif text := _wide(data):
+            yield _constant(text, span, f"{layer.route}base64/utf16/")
+        elif skip == 0:
+            yield _unpacked(layer, data, lambda _: span, False, headless=True)
         for at in sorted(_stream_starts(data, run, skip) - ({0} if whole else set())):
             yield _unpacked(layer, data[at:], lambda _: span, False)
 
@@ -442,6 +475,7 @@ def _redact(column: int):
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """docs with every span found, plain or wrapped, replaced by [SECRET] in text; all else stays."""
+    """docs with every span found, plain or wrapped, replaced by [SECRET] in text; all else stays: nulls, empty texts,
+    repeated rows, other columns whatever their names. An empty table gives an empty one."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
     return docs.mapInArrow(_redact(docs.columns.index("text")), docs.schema)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,15 +127,44 @@ def drift(reference: DataFrame, current: DataFrame, by: list[str], thresholds: d
     return out.withColumn("verdict", F.when(F.col("n") < least, "insufficient_sample").when(above, "drift").otherwise("stable"))
 
 
+@dataclass
+class Trigger:
+    """What a baseline's next check depends on: when it last triggered, and whether that run is still going."""
+
+    last: int | None = None
+    running: bool = False
+
+    def take(self, at: int, said: str | None, cooldown: int) -> bool:
+        """Whether a row triggers: a check of drift, `cooldown` seconds or more after the last trigger, while no run of it
+        is going. "started" and "finished" rows are of runs; a trigger starts one if runs are told at all."""
+        if said in ("started", "finished"):
+            self.running = said == "started"
+            return False
+        if said != "drift" or self.running or (self.last is not None and at - self.last < cooldown):
+            return False
+        self.last = at
+        return True
+
+
 def retrain_triggers(checks: DataFrame, cooldown: int = 600, baseline: str = "baseline", at: str = "at", verdict: str = "verdict") -> DataFrame:
-    """checks with `triggered`: those of drift, of each baseline, that come `cooldown` seconds or more after the last one
-    that did. Which one does depends on those before, so each baseline's checks, a row for each time it was checked,
-    are read in order."""
-    row = F.struct(F.col(at).alias("at"), (F.col(verdict) == "drift").alias("drift"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<boolean>").alias("out"))
-    sec = lambda x: x["at"].cast("timestamp").cast("long")
-    goes = lambda a, x: F.coalesce(x["drift"], F.lit(False)) & (a["last"].isNull() | (sec(x) - a["last"] >= cooldown))
-    step = lambda a, x: F.struct(F.when(goes(a, x), sec(x)).otherwise(a["last"]).alias("last"), F.array_append(a["out"], goes(a, x)).alias("out"))
-    listed = checks.groupBy(baseline).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    decided = listed.select(baseline, F.explode(F.arrays_zip("rows", F.aggregate("rows", start, step)["out"].alias("triggered"))).alias("x"))
-    return decided.select(baseline, F.col("x.rows.at").alias(at), F.col("x.rows.drift").alias("drift"), F.col("x.triggered").alias("triggered"))
+    """(baseline, at, drift, triggered) for checks: triggered are those of drift, of each baseline, that come `cooldown`
+    seconds or more after the last one that did, and not while a run is going. Verdicts "started" and "finished" tell of runs.
+
+    Which one triggers depends on those before, so a baseline's checks are read in order; one task holds no more of
+    them than a batch, and two facts. Checks of one time count in the order of their verdicts.
+    """
+    kinds = {c: checks.schema[c].dataType.simpleString() for c in (baseline, at)}
+
+    def run(batches):
+        key, state = None, Trigger()
+        for rows in batches:
+            out = []
+            for b, second, said in zip(rows[baseline], rows["_s"], rows["_v"], strict=True):
+                if key is None or b != key[0]:
+                    key, state = (b,), Trigger()
+                out.append(state.take(int(second), said, cooldown))
+            yield pd.DataFrame({baseline: rows[baseline], at: rows[at], "drift": rows["_v"] == "drift", "triggered": out})
+
+    rows = checks.where(F.col(baseline).isNotNull() & F.col(at).isNotNull()).select(baseline, at, F.unix_seconds(F.col(at).cast("timestamp")).alias("_s"), F.coalesce(verdict, F.lit("")).alias("_v"))
+    sorted_ = rows.repartition(baseline).sortWithinPartitions(baseline, at, "_v")
+    return sorted_.mapInPandas(run, f"`{baseline}` {kinds[baseline]}, `{at}` {kinds[at]}, drift boolean, triggered boolean")

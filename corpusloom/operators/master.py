@@ -3,6 +3,8 @@ readiness, boundary cases, reprocessing, distractors, pairs across publishers.""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,28 +221,34 @@ def cross_publisher_pairs(members: DataFrame, articles: DataFrame, own: str = "K
     return (out if most is None else out.orderBy("n", "cluster").limit(most)).select("cluster", "own_id", "other_id")
 
 
-def distractors(rules: DataFrame, n: int, seed: int = 42, blocks: int = 64) -> DataFrame:
-    """(chunk_id, distractor, rank): for each rule (chunk_id, publisher, chapter) one other of its chapter and publisher
-    and others from anywhere, n in all, in an order by hash. Rules are dealt on a ring of hashes, so each looks at the
-    neighbours of its place and no two of all rules are paired."""
-    ring = Window.orderBy("at")
-    mark = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), "chunk_id")
-    chapter = Window.partitionBy("publisher", "chapter").orderBy("at", "chunk_id")
-    size, place = F.count("*").over(Window.partitionBy("publisher", "chapter")), F.row_number().over(chapter)
-    near = rules.withColumn("at", mark(1)).withColumn("size", size).withColumn("place", place)
-    following = near.select("publisher", "chapter", (F.when(F.col("place") == 1, F.col("size")).otherwise(F.col("place") - 1)).alias("place"), F.col("chunk_id").alias("distractor"))
-    same = near.where("size > 1 AND chapter IS NOT NULL").join(following, ["publisher", "chapter", "place"]).select("chunk_id", "distractor", F.lit(1).alias("rank"))
-    block = F.pmod(mark(2), F.lit(blocks))
-    dealt = rules.withColumn("block", block).withColumn("at", mark(3))
-    wide = Window.partitionBy("block").orderBy("at", "chunk_id")
-    count, number = F.count("*").over(Window.partitionBy("block")), F.row_number().over(wide)
-    dealt = dealt.withColumn("size", count).withColumn("number", number)
-    steps = dealt.select("chunk_id", "publisher", "chapter", "block", "size", "number", F.explode(F.sequence(F.lit(1), F.lit(2 * n))).alias("step")).where("step < size")
-    target = dealt.select("block", F.col("number").alias("goal"), F.col("chunk_id").alias("distractor"), F.col("publisher").alias("publisher2"), F.col("chapter").alias("chapter2"))
-    others = steps.withColumn("goal", F.pmod(F.col("number") + F.col("step") - 1, F.col("size")) + 1).join(target, ["block", "goal"]).where("NOT (publisher <=> publisher2 AND chapter <=> chapter2)")
-    both = same.unionByName(others.select("chunk_id", "distractor", (F.col("step") + 1).alias("rank")))
-    order = F.row_number().over(Window.partitionBy("chunk_id").orderBy("rank", "distractor"))
-    return both.withColumn("rank", order).where(F.col("rank") <= n)
+def distractors(rules: DataFrame, n: int, seed: int = 42, rows_a_task: int = 50_000) -> DataFrame:
+    """(chunk_id, distractor, rank): for each rule (chunk_id, publisher, chapter) one other of its chapter and publisher,
+    where there is one, and others from outside it, n in all or as many as there are; rank from 1, that of the own
+    chapter first. A rule without a chapter has none to share. chunk_id must be distinct.
+
+    Rules stand on a ring, chapter by chapter, by a keyed hash within. All that isn't of one's chapter is then one
+    stretch of it, from which places at even steps are taken from a hashed start on: no rule is looked at in vain, and
+    rules are joined by place. Chapters of any size are numbered in slices of about rows_a_task rows.
+    """
+    mark = lambda salt: F.conv(F.left(F.md5(F.concat_ws(":", F.lit(seed), F.lit(salt), F.col("chunk_id").cast("string"))), F.lit(8)), 16, 10).cast("long")
+    total = rules.count()
+    slices = max(1, math.ceil(total / rows_a_task))
+    alone = F.col("chapter").isNull()
+    group = F.concat_ws(":", F.when(alone, "1").otherwise("0"), F.coalesce(F.col("publisher").cast("string"), F.lit("")), F.coalesce(F.col("chapter").cast("string"), F.col("chunk_id").cast("string")))
+    dealt = rules.select("chunk_id", group.alias("g"), mark("at").alias("at"), mark("own").alias("own"), mark("out").alias("out")).withColumn("part", F.floor(F.col("at") * slices / 2**32).cast("int"))
+    counts = dealt.groupBy("g", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("g", "part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each slice of a chapter
+    starts = counts.withColumn("part_start", F.coalesce(before, F.lit(0))).withColumns({"start": F.min("part_start").over(Window.partitionBy("g")), "size": F.sum("n").over(Window.partitionBy("g"))}).drop("n")
+    placed = dealt.join(starts, ["g", "part"]).withColumn("place", F.col("part_start") + F.row_number().over(Window.partitionBy("g", "part").orderBy("at", "chunk_id")) - 1)
+    shares = F.when(F.col("size") > 1, 1).otherwise(0)
+    outside = F.lit(total) - F.col("size")
+    take = F.least(outside, F.lit(n) - shares)
+    own = F.when(shares == 1, F.array(F.col("start") + F.pmod(F.col("place") - F.col("start") + 1 + F.pmod(F.col("own"), F.col("size") - 1), F.col("size")))).otherwise(F.array().cast("array<long>"))
+    step = F.greatest(F.floor(outside / F.greatest(take, F.lit(1))), F.lit(1))
+    far = F.when(take > 0, F.transform(F.sequence(F.lit(0), F.greatest(take - 1, F.lit(0))), lambda j: F.pmod(F.col("start") + F.col("size") + F.pmod(F.col("out") + j * step, outside), F.lit(total)))).otherwise(F.array().cast("array<long>"))
+    asked = placed.where(F.lit(n > 0)).select("chunk_id", F.posexplode(F.concat(own, far)).alias("pos", "place"))
+    held = placed.select("place", F.col("chunk_id").alias("distractor"))
+    return asked.join(held, "place").select("chunk_id", "distractor", (F.col("pos") + 1).alias("rank"))
 
 
 def hard_distractors(hits: DataFrame, golden: DataFrame, excluded: DataFrame, n: int) -> DataFrame:

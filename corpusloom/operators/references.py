@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.retrieval import capped_concat
 
-# How references, definitions and precedence are written.
+# How references, definitions and precedence are written; words that are no terms or say nothing.
 CHAPTER_REF = r"((?<![가-힣])지침\s*|[가-힣]*(?:규칙|기준|지침)\s*)?(?:(\d{1,2})\s*편\s*)?(\d{1,2})\s*장\s*(\d{3,4})\.(?:의\s*(\d+)\s*항)?"
 BARE_REF = r"((?:\d\s*[편장]|규칙|기준|지침)\s*)?(?<![\d.])(\d{3})\.(?:의\s*(\d+)\s*항)?"
 TERM_REF = r"(\d{1,2})\s*편\s*(\d{1,2})\s*장에서 규정하는\s*([가-힣A-Za-z0-9\s]{2,25}?)(?:으로|로|과|와|의|을|를|은|는|이|가|에|\s*[,.)])"
@@ -25,11 +25,43 @@ TERM_STOP = ("규칙", "지침", "우리 선급", "이 규정", "선박", "경
 WORD_STOP = ("경우", "따라", "따른", "규정", "적합", "이상", "이하", "대하여", "위하여", "한다", "하여야", "있는", "관련")
 LOOSE_TERMS = ("최소한", "요건", "기준", "사항", "규정", "값", "경우", "내용", "방법", "절차", "일반")
 ATOM = r"(?i)(그림|표|figure|fig\.?|table)\s*\.?\s*([A-Za-z]?\d[\d.\-]*)"
+# Kinds of cited targets with how they are written, in order; \\s and \\w are Unicode's.
+ARTICLE_TAIL = r"(?:\s*의\s*\d+\s*항)?"
+IN_PART = rf"\d+\s*편(?:\s*\d+\s*장)?(?:\s*\d+\s*절)?(?:\s*\d{{3,4}}\.{ARTICLE_TAIL})?"
+IN_CHAPTER = rf"\d+\s*장(?:\s*\d+\s*절)?\s*\d{{3,4}}\.{ARTICLE_TAIL}"
+CITED = (
+    ("external_convention", r"SOLAS[^,。\n]{0,40}"),
+    ("external_convention", r"MARPOL[^,。\n]{0,40}"),
+    ("external_rule", r"IACS\s*(?:UR|UI|PR|Rec\.?)?[\s\w\.\-]{0,20}"),
+    ("internal_appendix", r"부록\s*[\d\-]+(?:\-\d+)?"),
+    ("internal_rule", rf"규칙\s*{IN_PART}"),
+    ("internal_rule", rf"규칙\s*{IN_CHAPTER}"),
+    ("internal_rule", rf"규칙\s*\d{{3,4}}\.{ARTICLE_TAIL}"),
+    ("internal_guidance", rf"(?:적용\s*)?지침\s*{IN_PART}"),
+    ("internal_guidance", rf"(?:적용\s*)?지침\s*{IN_CHAPTER}"),
+    ("internal_guidance", rf"(?:적용\s*)?지침\s*\d{{3,4}}\.{ARTICLE_TAIL}"),
+    ("internal_article", rf"(?<![\d.])\d+\s*편\s*\d+\s*장(?:\s*\d+\s*절)?(?:\s*\d{{3,4}}\.{ARTICLE_TAIL})?"),
+    ("internal_article", rf"(?<![\d.])\d+\s*장\s*\d{{3,4}}\.{ARTICLE_TAIL}"),
+    ("internal_clause", r"\b\d{3,4}\.\s*의\s*\d+\s*항"),
+    ("table", r"표\s*\d+(?:\.\d+)+"),
+    ("figure", r"그림\s*\d+(?:\.\d+)+"),
+)
 # The tracks in the order that decides between equally rare ones, and those without a feature.
 TRACKS = ("precedence", "def_link", "formula_calc", "figure_qa", "table_lookup", "hierarchy", "crossref")
 FALLBACKS = ("spec", "applicability")
 
 
+def cited(text: Column) -> Column:
+    """array of (ref_type, target): what a text cites, each target once, by the first kind that finds it, longest first,
+    then by kind and place. A target within another one is left out."""
+    found = [F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + p), F.lit(0)), lambda m, kind=kind: F.struct(F.lit(kind).alias("ref_type"), F.regexp_replace(F.regexp_replace(m, r"(?U)\s+", " "), r"^[ ,.]+|[ ,.]+$", "").alias("target"))) for kind, p in CITED]
+    every = F.filter(F.flatten(F.array(*found)), lambda r: r["target"] != "")
+    placed = F.transform(every, lambda r, i: F.struct((-F.length(r["target"])).alias("shortness"), i.alias("i"), r["ref_type"].alias("ref_type"), r["target"].alias("target")))
+    whole = F.filter(F.array_sort(placed), lambda r: ~F.exists(every, lambda o: (o["target"] != r["target"]) & F.contains(o["target"], r["target"])))
+    once = F.filter(whole, lambda r, i: F.array_position(F.transform(whole, lambda o: o["target"]), r["target"]) == i + 1)
+    return F.transform(once, lambda r: F.struct(r["ref_type"].alias("ref_type"), r["target"].alias("target")))
+
+
 def _blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 

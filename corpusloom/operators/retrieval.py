@@ -23,8 +23,8 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def search(store: DataFrame, queries: DataFrame, k: int, least: float | None = None, by: list[str] | None = None, most_queries: int = 20_000) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k best vectors of each query, ties by id.
+def search(store: DataFrame, queries: DataFrame, k: int | None, least: float | None = None, by: list[str] | None = None, most_queries: int = 20_000) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k best vectors of each query, ties by id; without k all of them, without ranks.
 
     queries (query_id, vector) is a stated set. It is counted and broadcast in blocks of most_queries rows at most, each
     met by all of the store; with by, columns on which both sides must agree, the sides are joined instead. Ranks are
@@ -43,6 +43,8 @@ def search(store: DataFrame, queries: DataFrame, k: int, least: float | None = N
     for b in range(blocks if blocks > 1 else 0):
         part = one(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
         scored = part if scored is None else scored.unionByName(part)
+    if k is None:
+        return scored
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 

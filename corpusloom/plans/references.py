@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators import probes
 from corpusloom.operators import references as ops
 from corpusloom.plans.registry import query, table
 
@@ -128,11 +129,11 @@ def citation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.citation_links(chunks).select("chunk_id", F.array_join("linked_figure_chunk_ids", ",").alias("figures"), F.array_join("linked_table_chunk_ids", ",").alias("tables"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) AND o_orderstatus <> 'P' THEN 'parent' ELSE 'child' END AS chunk_level FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING max(l_quantity) > 45) AND o_orderstatus <> 'P' THEN 'parent' ELSE 'child' END AS chunk_level FROM orders""")
 def promoted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as tables, large line items as their rows: tables with rows become parents."""
+    """Orders as tables, their line items as rows if they are large and as notes if not: tables with rows become parents."""
     tables = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.when(F.col("o_orderstatus") == "P", "text").otherwise("table").alias("chunk_type"), F.lit(None).cast("long").alias("parent_chunk_id"), F.lit("child").alias("chunk_level"))
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select((-F.col("l_orderkey") * 10 - F.col("l_linenumber")).alias("chunk_id"), F.lit("table_row").alias("chunk_type"), F.col("l_orderkey").alias("parent_chunk_id"), F.lit("child").alias("chunk_level"))
+    rows = table(spark, sf_dir, "lineitem").select((-F.col("l_orderkey") * 10 - F.col("l_linenumber")).alias("chunk_id"), F.when(F.col("l_quantity") > 45, "table_row").otherwise("note").alias("chunk_type"), F.col("l_orderkey").alias("parent_chunk_id"), F.lit("child").alias("chunk_level"))
     return ops.promote_tables(tables.unionByName(rows)).where("chunk_id >= 0").select(F.col("chunk_id").alias("o_orderkey"), "chunk_level")
 
 
@@ -160,3 +161,57 @@ def routed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = dict(zip(ops.TRACKS, (19, 7, 23, 29, 5, 3, 4), strict=True))
     features = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.lpad(k.cast("string"), 9, "0")).alias("chunk_id"), F.concat(F.lit("D"), k % 6).alias("source_file"), (k % 5).cast("string").alias("term"), *[(k % n == 0).alias(t) for t, n in every.items()])
     return ops.route_tracks(features).select("chunk_id", "track")
+
+
+@query(f"""WITH {ROUTED}, x AS (SELECT k, unnest(['precedence', 'def_link', 'formula_calc', 'figure_qa', 'table_lookup', 'hierarchy', 'crossref']) AS t, unnest([precedence, def_link, formula_calc, figure_qa, table_lookup, hierarchy, crossref]) AS has, unnest(range(7)) AS i FROM f),
+c AS (SELECT t, i, count(*) FILTER (has) AS n FROM x GROUP BY t, i), r AS (SELECT t, row_number() OVER (ORDER BY n, i) AS rank FROM c), p AS (SELECT k, min_by(x.t, rank) FILTER (has) AS track, min_by(x.t, rank) FILTER (has AND x.t <> 'def_link') AS next FROM x JOIN r USING (t) GROUP BY k),
+q AS (SELECT f.*, track, next, row_number() OVER (PARTITION BY source_file, CASE WHEN def_link THEN term END, track ORDER BY chunk_id) AS turn FROM f JOIN p USING (k))
+SELECT chunk_id, coalesce(CASE WHEN track = 'def_link' AND turn > 2 THEN next ELSE track END, CASE WHEN ('0x' || right(sha256(source_file || '|' || chunk_id), 1))::INT % 2 = 0 THEN 'spec' ELSE 'applicability' END) AS track FROM q""")
+def texts_to_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From articles' texts to their tracks: parts as articles whose texts hold formulas, figures, tables and outlines by
+    their keys, and define terms, cite others or precede them by tables of their own."""
+    k = F.col("p_partkey")
+    has = lambda n: k % n == 0
+    body = F.concat_ws(
+        "\n", F.lit("1. General"), F.when(has(3), F.lit("(1) first\n(가) leaf")).otherwise(F.lit("(1) only")), F.when(has(23), F.lit("$$ a + b = c $$")).otherwise(F.lit("$$ $$")),
+        F.when(has(29), F.concat(F.lit("[인용된 그림] "), F.repeat(F.lit("shape "), 12))).otherwise(F.lit("[인용된 그림] short")),
+        F.when(has(5), F.lit("[인용된 표] <table><tr><th>a</th><th>b</th></tr><tr></tr><tr></tr></table>")).otherwise(F.lit("[인용된 표] <table><tr><th>a</th></tr></table>")))
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.lpad(k.cast("string"), 9, "0")).alias("chunk_id"), F.concat(F.lit("D"), k % 6).alias("source_file"), body.alias("content"), k.alias("k"))
+    of = lambda n: parts.where(F.col("k") % n == 0)
+    terms = of(7).select("chunk_id", (F.col("k") % 5).cast("string").alias("term"))
+    features = probes.features(probes.probed(parts), of(19), terms, of(4))
+    return ops.route_tracks(features).select("chunk_id", "track")
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN NULL ELSE 9.0 + p_partkey % 7 END AS threshold, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'gte' WHEN 2 THEN 'gte' WHEN 3 THEN 'lt' ELSE 'gt' END AS op, CASE WHEN p_partkey % 5 <> 0 THEN CASE p_partkey % 2 WHEN 0 THEN 'mm' ELSE 'kg' END END AS unit,
+CASE WHEN p_partkey % 5 <> 0 THEN CASE p_partkey % 2 WHEN 0 THEN '두께' ELSE '중량' END END AS quantity FROM part""")
+def unit_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as clauses with a number and unit: a scope, a requirement, a denied limit, a limit after a permission, a sum."""
+    k = F.col("p_partkey")
+    value, unit, noun = (F.lit(9) + k % 7).cast("string"), F.when(k % 2 == 0, "mm").otherwise("kg"), F.when(k % 2 == 0, "두께").otherwise("중량")
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    text = (
+        F.when(k % 5 == 0, said(noun, "가 ", value, " ", unit, " 이하의 선박에 적용한다."))
+        .when(k % 5 == 1, said("판의 ", noun, "는 ", value, " ", unit, " 이상이어야 한다."))
+        .when(k % 5 == 2, said("그 ", noun, "는 ", value, " ", unit, " 미만이어서는 아니 된다."))
+        .when(k % 5 == 3, said(noun, "가 5 t 이하일 때에는 생략할 수 있다.\n그 ", noun, "는 ", value, " ", unit, " 미만으로 한다."))
+        .otherwise(said(noun, "는 다음 식에 의한 6 t 이상으로 한다.\n", noun, "는 ", value, " ", unit, " 초과로 한다."))
+    )
+    found = table(spark, sf_dir, "part").select(k.alias("id"), probes.unit_threshold(text).alias("t"))
+    return found.select("id", F.col("t.threshold").alias("threshold"), F.col("t.op").alias("op"), F.col("t.unit").alias("unit"), F.col("t.quantity").alias("quantity"))
+
+
+@query("""WITH k AS (SELECT doc_id AS d, 1 + doc_id % 9 AS p, 1 + doc_id % 7 AS c, 101 + doc_id % 800 AS a, 1 + doc_id % 6 AS i FROM documents),
+t AS (SELECT d, unnest([CASE WHEN d % 3 = 0 THEN 'external_convention' END, 'internal_rule', 'internal_guidance', CASE WHEN d % 2 = 0 THEN 'table' END, 'figure', CASE WHEN d % 5 = 0 THEN 'internal_appendix' END]) AS ref_type,
+ unnest(['SOLAS II-' || i || ' 및 그 밖', '규칙 ' || p || '편 ' || c || '장 ' || a || '.의 ' || i || '항', '지침 ' || c || '장 ' || (a + 1) || '.', '표 ' || c || '.' || i || '.' || p, '그림 ' || p || '.' || i, '부록 ' || p || '-' || i]) AS target FROM k)
+SELECT d AS doc_id, ref_type, target, row_number() OVER (PARTITION BY d ORDER BY length(target) DESC, CASE ref_type WHEN 'external_convention' THEN 0 WHEN 'internal_appendix' THEN 1 WHEN 'internal_rule' THEN 2 WHEN 'internal_guidance' THEN 3 WHEN 'table' THEN 4 ELSE 5 END) - 1 AS pos FROM t WHERE ref_type IS NOT NULL""")
+def cited_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a text of references by its id, some twice and some within others."""
+    d = F.col("doc_id")
+    p, c, a, i = (F.col(n) for n in "pcai")
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    text = F.concat_ws(
+        ", ", F.when(d % 3 == 0, said("SOLAS II-", i, " 및 그 밖")), said("규칙  ", p, "편 ", c, "장 ", a, ".의 ", i, "항"), said(p, "편 ", c, "장 ", a, "."), said("지침 ", c, "장 ", a + 1, "."),
+        F.when(d % 2 == 0, said("표 ", c, ".", i, ".", p)), said("그림 ", p, ".", i), F.when(d % 5 == 0, said("부록 ", p, "-", i)), said(a, ".의 ", i, "항"), said("그림 ", p, ".", i))
+    rows = table(spark, sf_dir, "documents").select("doc_id", (1 + d % 9).alias("p"), (1 + d % 7).alias("c"), (101 + d % 800).alias("a"), (1 + d % 6).alias("i"))
+    return rows.select("doc_id", F.posexplode(ops.cited(text)).alias("pos", "r")).select("doc_id", "r.ref_type", "r.target", F.col("pos").cast("long").alias("pos"))

@@ -71,12 +71,14 @@ def label_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("c.agreement").alias("agreement"), decided["reason"].alias("reason"))
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 AS ref FROM lineitem WHERE l_quantity > 45), t AS (SELECT p_partkey % 997 AS ref, p_partkey FROM part WHERE p_size > 25)
-SELECT l_orderkey, l_linenumber, min(p_partkey) AS target FROM r JOIN t USING (ref) GROUP BY l_orderkey, l_linenumber, ref HAVING count(*) = 1""")
+@query("""WITH t AS (SELECT p_partkey - p_partkey % 2 * CAST(p_size > 25 AS INT) AS ref, p_partkey FROM part), u AS (SELECT ref, min(p_partkey) AS target FROM t GROUP BY ref HAVING count(*) = 1)
+SELECT l_orderkey, l_linenumber, target FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) JOIN u ON l_partkey = ref""")
 def unique_ref_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References with exactly one target."""
-    refs = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 50).alias("ref"), F.struct("l_orderkey", "l_linenumber", F.col("l_partkey") % 50).alias("rid"))
-    targets = table(spark, sf_dir, "part").where("p_size > 25").select((F.col("p_partkey") % 997).alias("ref"), F.col("p_partkey").alias("target"))
+    """Line items as references with exactly one target: large odd parts go by the number of the part before them, so
+    some numbers have two targets and some none."""
+    refs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("ref")).distinct().withColumn("rid", F.struct("l_orderkey", "l_linenumber", "ref"))
+    number = F.col("p_partkey") - F.col("p_partkey") % 2 * (F.col("p_size") > 25).cast("int")
+    targets = table(spark, sf_dir, "part").select(number.alias("ref"), F.col("p_partkey").alias("target"))
     return ops.unique_references(refs, targets, ["ref"], "rid", "target").select("l_orderkey", "l_linenumber", "target")
 
 
