@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 # Marks of an outline's levels, and of blocks that are appended to an article.
 LEVELS = (r"^\s{0,3}(\d{1,2})\.\s", r"^\s{0,3}\((\d{1,2})\)\s?", r"^\s{0,3}\(([가-힣])\)\s?")
@@ -31,7 +32,9 @@ CLAUSE_GUARDS = {
 }
 AREA, LENGTHS, BY_FORMULA = r"면적|단면적", ("mm", "cm", "m"), r"다음 ?식"
 TAIL_CHARS, NEGATED_CHARS, AFTER_CHARS, BACK_CHARS = 12, 16, 14, 150
-THRESHOLD = "threshold double, unit string, op string, op_kr string, conv_unit string, rule_sentence string, quantity string"
+THRESHOLD = StructType().add("threshold", DoubleType())
+for _name in ("unit", "op", "op_kr", "conv_unit", "rule_sentence", "quantity"):
+    THRESHOLD = THRESHOLD.add(_name, StringType())
 
 
 def outline_lines(articles: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
@@ -158,7 +161,7 @@ def threshold(text: str) -> tuple | None:
 @F.pandas_udf(THRESHOLD)
 def _thresholds(texts: pd.Series) -> pd.DataFrame:
     found = [threshold(t) if t else None for t in texts]
-    return pd.DataFrame([f or (None,) * 7 for f in found], columns=[c.split()[0] for c in THRESHOLD.split(", ")])
+    return pd.DataFrame([f or (None,) * len(THRESHOLD) for f in found], columns=THRESHOLD.names)
 
 
 def unit_threshold(text: Column) -> Column:

@@ -9,13 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from corpusloom.functions.text import SPACES
 
 ELLIPSIS = re.compile(r"\s*(?:\.{3,}|…|⋯)\s*")
 #: Code points that are white space; all lie in the first plane.
 _SPACES = np.array([c for c in range(0x10000) if chr(c).isspace()], dtype=np.uint32)
-SPAN = "start int, end int, snapped string"
+SPAN = StructType().add("start", IntegerType()).add("end", IntegerType()).add("snapped", StringType())
 #: A snapped quote: blocks of so many characters, covering so much of the quote, in a stretch so many times its length; quotes from so many characters on.
 BLOCK, SHARE, STRETCH, LEAST = 4, 0.85, 1.5, 10
 
