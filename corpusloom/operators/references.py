@@ -54,7 +54,9 @@ FALLBACKS = ("spec", "applicability")
 def cited(text: Column) -> Column:
     """array of (ref_type, target): what a text cites, each target once, by the first kind that finds it, longest first,
     then by kind and place. A target within another one is left out."""
-    found = [F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + p), F.lit(0)), lambda m, kind=kind: F.struct(F.lit(kind).alias("ref_type"), F.regexp_replace(F.regexp_replace(m, r"(?U)\s+", " "), r"^[ ,.]+|[ ,.]+$", "").alias("target"))) for kind, p in CITED]
+    trimmed = lambda m: F.regexp_replace(F.regexp_replace(m, r"(?U)\s+", " "), r"^[ ,.]+|[ ,.]+$", "")
+    named = lambda kind: lambda m: F.struct(F.lit(kind).alias("ref_type"), trimmed(m).alias("target"))
+    found = [F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + p), F.lit(0)), named(kind)) for kind, p in CITED]
     every = F.filter(F.flatten(F.array(*found)), lambda r: r["target"] != "")
     placed = F.transform(every, lambda r, i: F.struct((-F.length(r["target"])).alias("shortness"), i.alias("i"), r["ref_type"].alias("ref_type"), r["target"].alias("target")))
     whole = F.filter(F.array_sort(placed), lambda r: ~F.exists(every, lambda o: (o["target"] != r["target"]) & F.contains(o["target"], r["target"])))

@@ -82,7 +82,7 @@ def test_snapping_takes_the_articles_wording():
 def test_evidence_of_rows(spark):
     rows = [
         ("판두께는 9 mm 이상으로 하여야 한다.", ARTICLE, "KR_RULE_P10_C7_S1"),
-        ("판두깨는 9 mm 이상으로 하여야 한다.", ARTICLE, "x"),
+        ("판두깨는 9 mm 이상으로 하여야 한다. The plate thickness", ARTICLE, "x"),
         ("The plate thickness", ARTICLE, None),
         ("nothing of this kind is here", ARTICLE, "LR_RULE_A_RULE_B"),
         (None, ARTICLE, "x"),
@@ -104,7 +104,8 @@ def test_evidence_of_rows(spark):
         flat = "".join((r["quote"] or "").split())
         assert r["normalized_quote"] == flat and r["quote_hash"] == (hashlib.sha1(flat.encode()).hexdigest()[:12] if flat else "")
     assert got[1]["quote_snapped"] and [r["provision_id"] for r in got[:4]] == ["KR:P10:C7:S1", "", "", "LR:A:RULE:B"]
-    assert got[0]["evidence_language"] == "ko" and got[6]["evidence_language"] == "unknown"
+    hangul, latin = sum("가" <= c <= "힣" for c in ARTICLE), sum(c.isascii() and c.isalpha() for c in ARTICLE)
+    assert got[0]["evidence_language"] == ("ko" if hangul >= latin else "en") and got[6]["evidence_language"] == "unknown"
     assert got[7]["char_end"] == 6
 
 
