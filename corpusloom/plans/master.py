@@ -167,9 +167,9 @@ def cross_publisher_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 HEX = "CAST('0x' || substr(md5('42:{}:' || p_partkey), 1, 8) AS BIGINT)".format
 
 
-@query(f"""WITH p AS (SELECT p_partkey AS id, p_brand AS b, CASE WHEN p_size % 10 <> 0 THEN p_size END AS c, {HEX('at')} AS at, {HEX('own')} AS own, {HEX('out')} AS far FROM part),
+@query(f"""WITH p AS (SELECT p_partkey AS id, p_brand AS b, CASE WHEN p_size % 10 <> 0 THEN p_size END AS c, {HEX('at')} AS pos, {HEX('own')} AS own, {HEX('out')} AS far FROM part),
 g AS (SELECT *, CASE WHEN c IS NULL THEN '1' ELSE '0' END || ':' || b || ':' || coalesce(CAST(c AS VARCHAR), CAST(id AS VARCHAR)) AS g FROM p),
-r AS (SELECT *, row_number() OVER (ORDER BY g, at, id) - 1 AS place, count(*) OVER (PARTITION BY g) AS size, count(*) OVER () AS total FROM g), s AS (SELECT *, min(place) OVER (PARTITION BY g) AS start FROM r),
+r AS (SELECT *, row_number() OVER (ORDER BY g, pos, id) - 1 AS place, count(*) OVER (PARTITION BY g) AS size, count(*) OVER () AS total FROM g), s AS (SELECT *, min(place) OVER (PARTITION BY g) AS start FROM r),
 o AS (SELECT id, start + (place - start + 1 + own % (size - 1)) % size AS goal, 1 AS rank FROM s WHERE size > 1
       UNION ALL SELECT id, (start + size + (far + j * ((total - size) // (3 - CAST(size > 1 AS INT)))) % (total - size)) % total, j + 1 + CAST(size > 1 AS INT) FROM s, range(3) t(j) WHERE j < 3 - CAST(size > 1 AS INT))
 SELECT o.id AS chunk_id, s.id AS distractor, CAST(o.rank AS INTEGER) AS rank FROM o JOIN s ON s.place = o.goal""")

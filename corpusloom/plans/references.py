@@ -174,8 +174,8 @@ def texts_to_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     has = lambda n: k % n == 0
     body = F.concat_ws(
         "\n", F.lit("1. General"), F.when(has(3), F.lit("(1) first\n(가) leaf")).otherwise(F.lit("(1) only")), F.when(has(23), F.lit("$$ a + b = c $$")).otherwise(F.lit("$$ $$")),
-        F.when(has(29), F.concat(F.lit("[인용된 그림] "), F.repeat(F.lit("shape "), 12))).otherwise(F.lit("[인용된 그림] short")),
-        F.when(has(5), F.lit("[인용된 표] <table><tr><th>a</th><th>b</th></tr><tr></tr><tr></tr></table>")).otherwise(F.lit("[인용된 표] <table><tr><th>a</th></tr></table>")))
+        F.when(has(5), F.lit("[인용된 표] <table><tr><th>a</th><th>b</th></tr><tr></tr><tr></tr></table>")).otherwise(F.lit("[인용된 표] <table><tr><th>a</th></tr></table>")),
+        F.when(has(29), F.concat(F.lit("[인용된 그림] "), F.repeat(F.lit("shape "), 12))).otherwise(F.lit("[인용된 그림] short")))
     parts = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.lpad(k.cast("string"), 9, "0")).alias("chunk_id"), F.concat(F.lit("D"), k % 6).alias("source_file"), body.alias("content"), k.alias("k"))
     of = lambda n: parts.where(F.col("k") % n == 0)
     terms = of(7).select("chunk_id", (F.col("k") % 5).cast("string").alias("term"))
@@ -183,7 +183,7 @@ def texts_to_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.route_tracks(features).select("chunk_id", "track")
 
 
-@query("""SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN NULL ELSE 9.0 + p_partkey % 7 END AS threshold, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'gte' WHEN 2 THEN 'gte' WHEN 3 THEN 'lt' ELSE 'gt' END AS op, CASE WHEN p_partkey % 5 <> 0 THEN CASE p_partkey % 2 WHEN 0 THEN 'mm' ELSE 'kg' END END AS unit,
+@query("""SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN NULL ELSE CAST(9 + p_partkey % 7 AS DOUBLE) END AS threshold, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'gte' WHEN 2 THEN 'gte' WHEN 3 THEN 'lt' ELSE 'gt' END AS op, CASE WHEN p_partkey % 5 <> 0 THEN CASE p_partkey % 2 WHEN 0 THEN 'mm' ELSE 'kg' END END AS unit,
 CASE WHEN p_partkey % 5 <> 0 THEN CASE p_partkey % 2 WHEN 0 THEN '두께' ELSE '중량' END END AS quantity FROM part""")
 def unit_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as clauses with a number and unit: a scope, a requirement, a denied limit, a limit after a permission, a sum."""
@@ -203,7 +203,7 @@ def unit_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH k AS (SELECT doc_id AS d, 1 + doc_id % 9 AS p, 1 + doc_id % 7 AS c, 101 + doc_id % 800 AS a, 1 + doc_id % 6 AS i FROM documents),
 t AS (SELECT d, unnest([CASE WHEN d % 3 = 0 THEN 'external_convention' END, 'internal_rule', 'internal_guidance', CASE WHEN d % 2 = 0 THEN 'table' END, 'figure', CASE WHEN d % 5 = 0 THEN 'internal_appendix' END]) AS ref_type,
- unnest(['SOLAS II-' || i || ' 및 그 밖', '규칙 ' || p || '편 ' || c || '장 ' || a || '.의 ' || i || '항', '지침 ' || c || '장 ' || (a + 1) || '.', '표 ' || c || '.' || i || '.' || p, '그림 ' || p || '.' || i, '부록 ' || p || '-' || i]) AS target FROM k)
+ unnest(['SOLAS II-' || i || ' 및 그 밖', '규칙 ' || p || '편 ' || c || '장 ' || a || '.의 ' || i || '항', '지침 ' || c || '장 ' || (a + 1), '표 ' || c || '.' || i || '.' || p, '그림 ' || p || '.' || i, '부록 ' || p || '-' || i]) AS target FROM k)
 SELECT d AS doc_id, ref_type, target, row_number() OVER (PARTITION BY d ORDER BY length(target) DESC, CASE ref_type WHEN 'external_convention' THEN 0 WHEN 'internal_appendix' THEN 1 WHEN 'internal_rule' THEN 2 WHEN 'internal_guidance' THEN 3 WHEN 'table' THEN 4 ELSE 5 END) - 1 AS pos FROM t WHERE ref_type IS NOT NULL""")
 def cited_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with a text of references by its id, some twice and some within others."""

@@ -99,7 +99,7 @@ def knn_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.retrieval_metrics(queries.select("query_id").join(relevant, "query_id", "left"))
 
 
-@query("""WITH RECURSIVE v AS (SELECT a.vec_id, b.label, list_transform(range(1, len(a.embedding) + 1), i -> b.embedding[i]::DOUBLE + (0.1 + 0.1 * (a.vec_id % 4)) * a.embedding[i]::DOUBLE) AS v FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 4),
+@query("""WITH RECURSIVE v AS (SELECT a.vec_id, b.label, list_transform(range(1, len(a.embedding) + 1), lambda i: b.embedding[i]::DOUBLE + (0.1 + 0.1 * (a.vec_id % 4)) * a.embedding[i]::DOUBLE) AS v FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 4),
 e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) >= 0.9 * sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))),
 r AS (SELECT vec_id AS id, vec_id AS root FROM v UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
 SELECT id AS vec_id, min(root) AS cluster_id FROM r GROUP BY id""")

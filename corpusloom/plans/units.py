@@ -46,14 +46,14 @@ def enumerated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.select("doc_id", "unit", "heading", "para_no", "para_title", "item_no", "sub_item_no", "first_piece", "n_pieces", F.md5("text").alias("text_md5"))
 
 
-FLAT_AT = "list_filter(list_transform(string_split(text, ''), (c, i) -> CASE WHEN regexp_matches(c, '^[\\s\\pZ]$') THEN NULL ELSE i END), x -> x IS NOT NULL)"
+FLAT_AT = "list_filter(list_transform(string_split(text, ''), lambda c, i: CASE WHEN regexp_matches(c, '^[\\s\\pZ]$') THEN NULL ELSE i END), lambda x: x IS NOT NULL)"
 
 
 @query(rf"""WITH d AS (SELECT doc_id, text, substr(text, CAST(1 + doc_id % 40 AS BIGINT), 60) AS said FROM documents),
 q AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN said WHEN 1 THEN replace(said, ' ', chr(10) || '  ') WHEN 2 THEN replace(said, ' ', '') ELSE 'not in the text at all: ' || doc_id END AS quote FROM d),
 f AS (SELECT *, regexp_replace(quote, '[\s\pZ]+', '', 'g') AS flat, instr(text, quote) AS plain FROM q WHERE doc_id % 4 <> 3 AND trim(said) <> ''),
-g AS (SELECT *, {FLAT_AT} AS at FROM f), h AS (SELECT *, instr(array_to_string(list_transform(at, i -> substr(text, i, 1)), ''), flat) AS k FROM g WHERE plain = 0),
-s AS (SELECT doc_id, plain - 1 AS a, plain - 1 + length(quote) AS b FROM f WHERE plain > 0 UNION ALL SELECT doc_id, at[k] - 1, at[k + length(flat) - 1] FROM h WHERE k > 0)
+g AS (SELECT *, {FLAT_AT} AS places FROM f), h AS (SELECT *, instr(array_to_string(list_transform(places, lambda i: substr(text, i, 1)), ''), flat) AS k FROM g WHERE plain = 0),
+s AS (SELECT doc_id, plain - 1 AS a, plain - 1 + length(quote) AS b FROM f WHERE plain > 0 UNION ALL SELECT doc_id, places[k] - 1, places[k + length(flat) - 1] FROM h WHERE k > 0)
 SELECT q.doc_id, CAST(coalesce(s.a, -1) AS INTEGER) AS char_start, CAST(coalesce(s.b, -1) AS INTEGER) AS char_end, CASE WHEN regexp_replace(quote, '[\s\pZ]+', '', 'g') = '' THEN '' ELSE left(sha1(regexp_replace(quote, '[\s\pZ]+', '', 'g')), 12) END AS quote_hash FROM q LEFT JOIN s USING (doc_id)""")
 def quote_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stretch of each document as a quote: as it is, with other white space, without any, or not from there."""
@@ -76,12 +76,12 @@ def snapped_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 COMPARABLE = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '(?s)\$\$.*?\$\$|\$[^$\n]*\$', '', 'g'), '!\[.*?\]\([^)]*\)', '', 'g'), '[#*_>`|●•▪◦·–—]', ' ', 'g'), '[\s\pZ]+', ' ', 'g')))"
 
 
-@query(rf"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
+@query(rf"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(replace(text, '$', ''), chr(10))) AS line FROM documents),
 b AS (SELECT *, count(*) FILTER (trim(line) <> '') OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS block, {COMPARABLE.format('line')} <> '' AS told, pos // 3 AS unit FROM l)
 SELECT doc_id, CAST(unit AS VARCHAR) AS unit_id, CAST(min(block) FILTER (told) AS INTEGER) AS first_block, CAST(max(block) FILTER (told) AS INTEGER) AS last_block FROM b GROUP BY doc_id, unit""")
 def unit_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's lines as blocks of a source, and three lines each as units."""
-    docs = table(spark, sf_dir, "documents")
+    """Each document's lines as blocks of a source, and three lines each as units; without $, as a formula could begin in one line and end in another."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("$"), F.lit("")))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     units = lines.groupBy("doc_id", F.floor(F.col("pos") / 3).alias("unit_id")).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x")).select("doc_id", "unit_id", F.col("unit_id").alias("ord"), F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("text"))
     source = docs.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
