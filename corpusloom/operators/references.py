@@ -57,11 +57,13 @@ def cited(text: Column) -> Column:
     trimmed = lambda m: F.regexp_replace(F.regexp_replace(m, r"(?U)\s+", " "), r"^[ ,.]+|[ ,.]+$", "")
     named = lambda kind: lambda m: F.struct(F.lit(kind).alias("ref_type"), trimmed(m).alias("target"))
     found = [F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + p), F.lit(0)), named(kind)) for kind, p in CITED]
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  # a lambda's variable is computed once, a column within a lambda each time
+    length = lambda r, i: F.struct((-F.length(r["target"])).alias("shortness"), i.alias("i"), r["ref_type"].alias("ref_type"), r["target"].alias("target"))
+    outer = lambda rows: F.filter(rows, lambda r: ~F.exists(rows, lambda o: (o["target"] != r["target"]) & F.contains(o["target"], r["target"])))
+    firsts = lambda rows: once(F.transform(rows, lambda o: o["target"]), lambda targets: F.filter(rows, lambda r, i: F.array_position(targets, r["target"]) == i + 1))
     every = F.filter(F.flatten(F.array(*found)), lambda r: r["target"] != "")
-    placed = F.transform(every, lambda r, i: F.struct((-F.length(r["target"])).alias("shortness"), i.alias("i"), r["ref_type"].alias("ref_type"), r["target"].alias("target")))
-    whole = F.filter(F.array_sort(placed), lambda r: ~F.exists(every, lambda o: (o["target"] != r["target"]) & F.contains(o["target"], r["target"])))
-    once = F.filter(whole, lambda r, i: F.array_position(F.transform(whole, lambda o: o["target"]), r["target"]) == i + 1)
-    return F.transform(once, lambda r: F.struct(r["ref_type"].alias("ref_type"), r["target"].alias("target")))
+    kept = once(F.array_sort(F.transform(every, length)), lambda rows: once(outer(rows), firsts))
+    return F.transform(kept, lambda r: F.struct(r["ref_type"].alias("ref_type"), r["target"].alias("target")))
 
 
 def _blank_to_null(c: Column) -> Column:
