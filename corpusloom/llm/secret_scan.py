@@ -31,9 +31,9 @@ ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs are maximal, so asking for the least length at once finds the same spans as dropping short runs after.
 HEX = re.compile(r"[0-9a-f]{24,}")
-URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})++")
 UNICODE_ITEM = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)+")
+UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)++")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 over several lines, indented or not; the lines need not be of one width.
 BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
@@ -404,7 +404,7 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
 
     for layer in _layers(work):
         place = layer.one_place()
-        if (name := (_known(layer.text), place or (layer.starts.tobytes(), layer.ends.tobytes()))) in seen:
+        if (name := (_known(layer.text), place or tuple(hashlib.sha256(np.ascontiguousarray(x)).digest() for x in (layer.starts, layer.ends)))) in seen:
             continue
         seen.add(name)
         if place:

@@ -163,6 +163,40 @@ def test_secrets_beside_odd_characters(odd):
     assert secret_scan.scan(f"x {run} y")[1] == [("base64/assign", 2, 2 + len(run))]
 
 
+def test_secrets_between_broken_escapes():
+    """What can't be decoded in a run of escapes hides nothing beside it."""
+    secret = "password = hunter22"
+    url, units = "".join(f"%{b:02x}" for b in secret.encode()), "".join(f"\\u{ord(c):04x}" for c in secret)
+    for before, after in (("%ff", ""), ("", "%ff"), ("%e2%82", "%c3"), ("%ed%a0%80", "")):
+        run = before + url + after
+        assert secret_scan.scan(f"x {run} y")[1] == [("url/assign", 2 + len(before), 2 + len(before) + len(url))], run
+    for before, after in (("\\ud800", ""), ("", "\\udc00"), ("\\ud800\\ud800", "\\ud800")):
+        run = before + units + after
+        assert secret_scan.scan(f"x {run} y")[1] == [("unicode/assign", 2 + len(before), 2 + len(before) + len(units))], run
+
+
+def test_secrets_in_wide_text_and_headless_deflate():
+    secret = "some text password = hunter22 end"
+    for kind in ("utf-16-le", "utf-16-be"):
+        run = base64.b64encode(secret.encode(kind)).decode()
+        assert secret_scan.scan(f"x {run} y")[1] == [("base64/utf16/assign", 2, 2 + len(run))]
+    bare = zlib.compressobj(9, zlib.DEFLATED, -15)
+    run = base64.b64encode(bare.compress(secret.encode()) + bare.flush()).decode()
+    assert secret_scan.scan(f"x {run} y")[1] == [("base64/inflate/assign", 2, 2 + len(run))]
+
+
+def test_memory_of_long_runs_of_escapes():
+    """3.3 MB of escapes take less than 150 MB of what Python counts."""
+    import tracemalloc
+
+    run = "".join(f"%{b:02x}" for b in b"word " * 220_000 + b"password = hunter22")
+    tracemalloc.start()
+    found = secret_scan.scan(run)[1]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [("url/assign", len(run) - 57, len(run))] and most < 150 << 20
+
+
 @pytest.mark.parametrize("width", [64, 75, 76])
 @pytest.mark.parametrize("packed", [False, True])
 def test_secrets_in_wrapped_base64(spark, width, packed):
