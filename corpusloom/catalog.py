@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import control, curation, datasets, drift, evaluation, layout, master, references, retrieval, rules, structure, units  # noqa: F401
+from corpusloom.plans import control, curation, datasets, drift, evaluation, grammars, layout, master, references, retrieval, rules, structure, units  # noqa: F401
 from corpusloom.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -23,7 +23,7 @@ CONDITIONS = {"quantity": ("이상", ["25"]), "discount": ("between_inclusive",
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity >= 25 THEN 'SATISFIED' ELSE 'NOT_SATISFIED' END AS quantity, CASE WHEN l_discount BETWEEN 0.02 AND 0.06 THEN 'SATISFIED' ELSE 'NOT_SATISFIED' END AS discount,
-CASE WHEN l_returnflag IN ('A', 'R') THEN 'SATISFIED' ELSE 'NOT_SATISFIED' END AS flag, CASE WHEN l_quantity * 1000 > 30000 THEN 'SATISFIED' ELSE 'NOT_SATISFIED' END AS power, 'UNKNOWN' AS other_dimension FROM lineitem WHERE l_orderkey % 10 < 10""")
+CASE WHEN l_returnflag IN ('A', 'R') THEN 'SATISFIED' ELSE 'NOT_SATISFIED' END AS flag, CASE WHEN l_quantity * 1000 > 30000 THEN 'SATISFIED' ELSE 'NOT_SATISFIED' END AS power, 'UNKNOWN' AS other_dimension FROM lineitem""")
 def condition_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir)
     numeric = logic.literal_condition
