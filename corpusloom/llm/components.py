@@ -36,44 +36,39 @@ class Forest:
 
 
 def _local(batches):
-    forest, kind = Forest(), pa.int64()
+    forest, given, kind = Forest(), {}, pa.int64()
     for batch in batches:
         kind = batch.column(0).type
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             forest.join(a, b)
+            given[a] = b
     rows = [(x, r) for x in forest.parent if (r := forest.find(x)) != x]
     for i in range(0, len(rows), 100_000):
         part = rows[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], kind), pa.array([r for _, r in part], kind)], ["a", "b"])
+        moved = [given.get(x) != r for x, r in part]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], kind), pa.array([r for _, r in part], kind), pa.array(moved, pa.bool_())], ["a", "b", "moved"])
 
 
 def local_forest(edges: DataFrame) -> DataFrame:
-    """Each partition's edges as stars: at most one edge for each id, the same connections."""
-    return edges.select("a", "b").mapInArrow(_local, edges.select("a", "b").schema)
+    """Each partition's edges (a, b) as stars, a over b: one edge for each id but the least of a tree, the same
+    connections; moved: whether the last edge given for a was another one."""
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.select("a", "b").mapInArrow(_local, f"a {kind}, b {kind}, moved boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root) for every id of edges (a, b), root being one id of its component, the same for all of it.
+    """(id, root) for every id of edges (a, b) of different ids, root being one id of its component, the same for all of it.
 
-    In each round every id hooks to its smallest neighbour, pointers jump twice, and edges between different
-    roots go on. No adjacency list is ever gathered and only emptiness reaches the driver.
+    Edges lead from the larger to the smaller id. In each round all edges up from an id meet in one task, whose
+    edges become stars, and each edge then leads to the least id that its upper end leads to. Once neither changes
+    any edge each id has one, to an id that has none. No adjacency list of an upper end is ever gathered and only
+    emptiness reaches the driver. Three exchanges a round.
     """
-    edges = saved(edges.select("a", "b").distinct())
-    maps: list[DataFrame] = []
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooked = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("up"))
-        hooked = saved(hooked)
-        for _ in range(2):
-            over = hooked.select(F.col("id").alias("up"), F.col("up").alias("top"))
-            hooked = hooked.join(over, "up").select("id", F.col("top").alias("up"))
-        parent = saved(hooked)
-        maps.append(parent)
-        left = edges.join(parent.select(F.col("id").alias("a"), F.col("up").alias("ra")), "a").join(parent.select(F.col("id").alias("b"), F.col("up").alias("rb")), "b")
-        edges = saved(local_forest(left.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
-        if edges.isEmpty():
+        stars = saved(local_forest(edges.repartition("a")))  # read twice, worked out once
+        up = stars.groupBy("a").agg(F.min("b").alias("top")).select(F.col("a").alias("b"), "top")
+        edges = saved(stars.join(up, "b", "left").select("a", F.coalesce("top", "b").alias("b"), (F.col("moved") | F.col("top").isNotNull()).alias("moved")))
+        if edges.where("moved").isEmpty():
             break
-    out = maps[0].select("id", F.col("up").alias("root"))
-    for m in maps[1:]:
-        out = out.join(m.select(F.col("id").alias("root"), F.col("up").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
-    return saved(out) if len(maps) > 1 else out
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

@@ -17,6 +17,7 @@ are dealt by node instead of by token: their rows go straight into a long list.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -445,14 +446,32 @@ def _survivors(limit: Threshold):
     return run
 
 
-def member_bitmap(places: DataFrame, bits: int) -> bytes:
-    """Bit `at` of each place (ref, line): put together by the executors in 4 KB pieces."""
+def member_bitmap(places: DataFrame, bits: int) -> bytearray:
+    """Bit `at` of each place (ref, line): put together by the executors in 4 KB pieces, which come as Arrow batches."""
     at = F.col("ref").bitwiseXOR(F.col("line").cast("long") * STEP).bitwiseAND(F.lit((1 << bits) - 1))
-    rows = places.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("piece")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("held")).collect()
+    pieces = places.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("piece")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("held")).toArrow()
     out = bytearray(1 << (bits - 3))
-    for r in rows:
-        out[r["piece"] * 4096 : (r["piece"] + 1) * 4096] = r["held"]
-    return bytes(out)
+    for batch in pieces.to_batches():
+        for piece, held in zip(batch.column(0), batch.column(1), strict=True):
+            k = piece.as_py() * 4096
+            out[k : k + 4096] = held.as_buffer()
+    return out
+
+
+def bits_needed(bitmap: bytearray, most: int) -> int:
+    """Of 2^bits, the least power, up to `most`, of which as many places as filled this bitmap fill an eighth."""
+    every = len(bitmap) * 8
+    clear = every - int(np.bitwise_count(np.frombuffer(bitmap, dtype=np.uint64)).sum())
+    places = every * math.log(every / max(1, clear))
+    return min(most, max(every.bit_length() - 1, math.ceil(math.log2(8 * places)) if places else 0))
+
+
+def member_filter(places: DataFrame, least: int = 25, most: int = 28) -> tuple[int, bytearray]:
+    """(bits, bitmap) of places (ref, line): 4 MB, or up to 32 MB for more than four million. Beyond 32 million places
+    it fills up and rules out less, so more texts meet the join, which drops them; the driver never holds more."""
+    held = member_bitmap(places, least)
+    bits = bits_needed(held, most)
+    return (least, held) if bits <= least else (bits, member_bitmap(places, bits))
 
 
 def common_tokens(postings: DataFrame, least: int, most: int) -> DataFrame | None:
@@ -537,17 +556,17 @@ def set_components(texts: DataFrame, rows: DataFrame, cut: Cut, tokens_of: Token
     placed = saved(placed.join(share, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))
 
     def met(where: DataFrame, crossing: bool) -> DataFrame:
-        """where: ref, line, node, block, i, j, side. The filter of 4 MB gives way to one of 128 MB if it fills up."""
-        bits, held = 25, member_bitmap(where, 25)
-        if int(np.bitwise_count(np.frombuffer(held, dtype=np.uint8)).sum()) > 1 << 22:
-            bits, held = 30, member_bitmap(where, 30)
+        """where: ref, line, node, block, i, j, side."""
+        bits, held = member_filter(where)
         bitmap = context.broadcast(held)
         members = text.mapInArrow(_members(cut, bitmap, bits), "ref long, line int, packed binary")
         dealt = members.join(where, ["ref", "line"]).select("block", "i", "j", "node", "packed", "side")
-        return _dealt(dealt, _linked(cut, limit, link, crossing), "a binary, b binary", "block", "i", "j", "node")
+        out = saved(_dealt(dealt, _linked(cut, limit, link, crossing), "a binary, b binary", "block", "i", "j", "node"))
+        bitmap.destroy()
+        return out
 
     spread = F.when(F.col("chunk") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
-    stars = saved(met(placed.select("ref", "line", "node", "block", F.lit(0).alias("i"), F.explode(spread).alias("j"), F.lit(False).alias("side")), False))
+    stars = met(placed.select("ref", "line", "node", "block", F.lit(0).alias("i"), F.explode(spread).alias("j"), F.lit(False).alias("side")), False)
     done = components(stars)
     # Only blocks of several chunks that fell into several components go on.
     apart = placed.where("chunks > 1").join(done.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))

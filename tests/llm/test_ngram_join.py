@@ -165,3 +165,36 @@ def test_shingles_do_not_depend_on_the_batch():
     texts = ["a b c d e", None, "", "a b c d e", "A  B\tC\nD e"]
     sets = [s.tolist() for _, s in shingle_sets(pa.array(texts), 4)]
     assert sets[0] == sets[3] == sets[4] and sets[1] == sets[2] == []
+
+
+def test_filter_grows_with_its_places_and_stays_small(spark):
+    """Places that filled up 4 MB took 128 MB at once, several times over, through the driver."""
+    held = bytearray(np.packbits(np.random.default_rng(1).random(1 << 16) < 0.2).tobytes())
+    assert near_sets.bits_needed(bytearray(8192), 28) == 16 and near_sets.bits_needed(held, 28) == 17 and near_sets.bits_needed(bytearray(b"\xff" * 8192), 28) == 23
+    places = spark.range(6000).selectExpr("xxhash64(id) as ref", "int(id % 3) as line")
+    bits, bitmap = near_sets.member_filter(places, least=15, most=18)
+    assert bits == 16 and len(bitmap) == 1 << 13 and near_sets.member_filter(places, least=15, most=15)[0] == 15
+    for r in places.collect():
+        at = (r["ref"] ^ (r["line"] * near_sets.STEP)) & ((1 << bits) - 1)
+        assert bitmap[at >> 3] >> (at & 7) & 1
+    assert near_sets.member_filter(places.limit(0), least=15)[0] == 15
+
+
+def test_components_take_few_exchanges(spark):
+    """A round took nine exchanges; stars that are whole end in one round, and ids may be binary."""
+    edges = spark.createDataFrame([(bytes([9]), bytes([1])), (bytes([2]), bytes([9])), (bytes([200]), bytes([150]))], "a binary, b binary")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    got = {bytes(r["id"]): bytes(r["root"]) for r in components(edges).collect()}
+    assert got == {bytes([k]): bytes([v]) for k, v in {9: 1, 1: 1, 2: 1, 200: 150, 150: 150}.items()}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before < 40
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_match_a_forest(spark, seed):
+    rng = random.Random(seed)
+    edges = [(a, b) for a, b in ((rng.randrange(120), rng.randrange(120)) for _ in range(90)) if a != b] + [(k, k + 1) for k in range(1000, 1040)]
+    forest = Forest()
+    for a, b in edges:
+        forest.join(a, b)
+    out = components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
+    assert len(out) == len({r["id"] for r in out}) and {r["id"]: r["root"] for r in out} == {x: forest.find(x) for e in edges for x in e}
