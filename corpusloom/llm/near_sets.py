@@ -294,13 +294,22 @@ def reached(square: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def stars(nodes: list, links: list[tuple[int, int]]) -> list[tuple]:
+    """Links (index, index of the centre) as edges from each node to the least that hangs on its centre."""
+    least: dict = {}
+    for k, s in links:
+        least[s] = min(least.get(s, nodes[s]), nodes[k])
+    edges = dict.fromkeys([(nodes[k], least[s]) for k, s in links] + [(nodes[s], node) for s, node in least.items()])
+    return [(a, b) for a, b in edges if a != b]
+
+
 def _possible(limit: Threshold):
     """Groups in a row by (list, i, j): stars of the nodes that sketches leave linked."""
 
     def close(rows):
         nodes, sizes, prints = map(list, zip(*rows, strict=True))
         if len(rows) > 4:
-            return [(nodes[k], nodes[s]) for k, s in reached(possible_links(prints, sizes, prints, sizes, limit)) if nodes[k] != nodes[s]]
+            return stars(nodes, reached(possible_links(prints, sizes, prints, sizes, limit)))
         return [(nodes[k], nodes[s]) for k in range(len(rows)) for s in range(k) if nodes[k] != nodes[s] and pair_may_link(prints[k], sizes[k], prints[s], sizes[s], limit)]
 
     def run(batches):
@@ -386,7 +395,7 @@ def _linked(cut: Cut, limit: Threshold, link: Link, crossing: bool):
                 nodes.append(node)
                 sides.append(side)
         forest = link(sets, limit, sides if crossing else None)
-        return [(nodes[r], nodes[i]) for i in range(len(sets)) if (r := forest.find(i)) != i and nodes[r] != nodes[i]]
+        return stars(nodes, [(i, r) for i in range(len(sets)) if (r := forest.find(i)) != i])
 
     def packed_up(out):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["a", "b"])

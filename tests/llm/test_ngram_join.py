@@ -198,3 +198,9 @@ def test_components_match_a_forest(spark, seed):
         forest.join(a, b)
     out = components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
     assert len(out) == len({r["id"] for r in out}) and {r["id"]: r["root"] for r in out} == {x: forest.find(x) for e in edges for x in e}
+
+
+def test_stars_lead_to_their_least_node():
+    """From a centre of the largest id every edge led up out of one id, so all of them met in one task."""
+    got = near_sets.stars([9, 4, 7, 4, 5, 6], [(1, 0), (2, 0), (3, 0), (5, 4)])
+    assert sorted(got) == [(6, 5), (7, 4), (9, 4)]
