@@ -6,13 +6,16 @@ written as Parquet and read again as the docs of the next. All but the last retu
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, ngram_join, packing, quality_gam, secret_scan
 from corpusloom.llm.storage import ensure_checkpoint_dir, remove
+from corpusloom.workers import return_memory
 
 #: Packing has no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -54,12 +57,23 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
+def _lean(stage: Callable) -> Callable:
+    """The stage, whose Python workers give freed memory back before the next stage uses them."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return_memory(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_classifier", keep_quality),
-    ("ngram_jaccard_join", keep_one_of_near_copies),
-    ("benchmark_decontamination", drop_benchmark_passages),
-    ("secret_scans", redact_secrets),
-    ("packing", pack_documents),
+    ("quality_classifier", _lean(keep_quality)),
+    ("ngram_jaccard_join", _lean(keep_one_of_near_copies)),
+    ("benchmark_decontamination", _lean(drop_benchmark_passages)),
+    ("secret_scans", _lean(redact_secrets)),
+    ("packing", _lean(pack_documents)),
 ]
 
 

@@ -3,6 +3,7 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -46,3 +47,15 @@ def test_run_packs_what_the_stages_keep(spark):
     want = {r["doc_id"] for r in docs.select("doc_id").collect()}
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in got} == want and 0 < len(want) <= 200
+
+
+def test_workers_of_a_stage_give_memory_back(spark):
+    """Workers kept what their largest batch took through all stages, and an executor went beyond its memory."""
+    docs = spark.createDataFrame([(1, "plain words", "en", "s", 11)], SCHEMA)
+    dict(corpus_pipeline.STAGES)["secret_scans"](spark, docs, SF).collect()
+
+    def settings(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"v": [os.environ.get("MALLOC_TRIM_THRESHOLD_", "")] * batch.num_rows})
+
+    assert {r["v"] for r in spark.range(2).mapInArrow(settings, "v string").collect()} == {"1048576"}
