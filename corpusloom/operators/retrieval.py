@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from corpusloom.functions.text import SPACES, strip_years
 
@@ -256,14 +256,24 @@ def word_windows(text: Column, size: int = 512, overlap: int = 64) -> Column:
     return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(size)), " ")))
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def hashing_embedding(texts: pd.Series) -> pd.Series:
-    """256 signed buckets of lower-cased tokens by MD5, at unit length."""
+@F.pandas_udf(ArrayType(IntegerType()))
+def hashed_counts(texts: pd.Series) -> pd.Series:
+    """256 buckets of tokens by MD5, each token counted up or down; only A to Z are lower-cased."""
     out = []
     for text in texts:
-        vector = np.zeros(256)
-        for token in re.findall("[0-9a-z가-힣]+", (text or "").lower()):
-            code = hashlib.md5(token.encode("utf-8")).digest()
-            vector[code[15]] += 1.0 if code[14] & 1 else -1.0
-        out.append(vector / max(float(np.sqrt((vector * vector).sum())), 1e-12))
+        counts = [0] * 256
+        for token in re.findall("[0-9A-Za-z가-힣]+", text or ""):
+            code = hashlib.md5(token.lower().encode("utf-8")).digest()
+            counts[code[15]] += 1 if code[14] & 1 else -1
+        out.append(np.array(counts, dtype=np.int32))
     return pd.Series(out)
+
+
+hashed_counts = hashed_counts.asNondeterministic()  # a filter on counts would be moved below them, and texts hashed twice
+
+
+def hashing_embedding(text: Column) -> Column:
+    """The hashed counts at unit length; all zeros where there is no token, or where all cancel out."""
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    norm = lambda c: F.greatest(F.sqrt(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x * x)), F.lit(1e-12))
+    return once(hashed_counts(text), lambda c: once(norm(c), lambda n: F.transform(c, lambda x: x / n)))

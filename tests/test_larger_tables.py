@@ -3,8 +3,10 @@
 import duckdb
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from corpusloom.operators.retrieval import hashing_embedding
 from tests.test_queries import rows
 
 
@@ -38,3 +40,15 @@ def test_editions_of_sections_whose_number_reads_as_a_year(spark, tmp_path):
 def test_staged_hits_keep_sections_whose_number_reads_as_a_year(spark, tmp_path):
     found = same_as_sql(spark, tmp_path, "retrieve_staged", embeddings=vectors(spark, [*range(3800, 3860)], dims=3))
     assert len(found) == 8
+
+
+def test_hashing_embedding_has_unit_length(spark):
+    got = spark.createDataFrame([("a b b",), ("Von.*** Keitkeitkeit.&&&",), (None,)], "text string").select(hashing_embedding(F.col("text")).alias("v")).collect()
+    assert [len(r["v"]) for r in got] == [256] * 3
+    assert [round(sum(x * x for x in r["v"]), 9) for r in got] == [1, 0, 0]
+
+
+def test_documents_whose_hashed_tokens_cancel_out(spark, tmp_path):
+    texts = ["Von.*** Keitkeitkeit.&&&", "a b c", None, "", "***", "\u212aelvin \u0130stanbul", "Von von 가나"]
+    found = same_as_sql(spark, tmp_path, "hashing_embed", documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in found) == [1, 2, 3, 4, 5, 6]
