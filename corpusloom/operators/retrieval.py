@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -23,26 +25,103 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def _dots(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of columns, added up in the order of the components as dot does."""
+    out = np.zeros(len(qi))
+    for a, b in zip(q, x, strict=True):
+        out += a[qi] * b[xi]
+    return out
+
+
+def _first_places(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best rows of each query, ties by id, and their places from 0."""
+    order = np.lexsort((np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids, -score, query))
+    place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+    return order[place < k], place[place < k]
+
+
+#: How many queries and rows of the store make a block of a matrix product.
+BLOCK_QUERIES, BLOCK_ROWS = 256, 8192
+
+
+def _scored(asked, k: int | None, least: float | None):
+    """Arrow batches of the store to pairs and their scores. Matrix products find what may count, and that alone is added
+    up in order; a task keeps the k best rows of each query."""
+
+    def run(batches):
+        query_ids, q = asked.value
+        lengths, error = np.sqrt(np.einsum("ij,ij->i", q, q)), 8 * q.shape[1] * np.finfo(float).eps
+        columns = np.ascontiguousarray(q.T)
+        kth, held = np.full(len(q), -np.inf), {}  # each query's k-th best score, once it has k rows; rows by block
+        out = lambda query, ids, score: pa.RecordBatch.from_arrays([query_ids.take(pa.array(query)), pa.array(ids, type=kind), pa.array(score)], names=["query_id", "vec_id", "score"])
+        for batch in (b.slice(start, BLOCK_ROWS) for b in batches for start in range(0, b.num_rows, BLOCK_ROWS)):
+            kind, ids = batch.column(0).type, batch.column(0).to_numpy(zero_copy_only=False)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
+            across, longest = np.ascontiguousarray(x.T), np.sqrt(np.einsum("ij,ij->i", x, x).max())
+            for b in range(0, len(q), BLOCK_QUERIES):
+                block = slice(b, b + BLOCK_QUERIES)
+                near, slack = q[block] @ across, lengths[block] * longest * error
+                cut = np.full(len(near), -np.inf if least is None else least)
+                if k is not None:
+                    cut = np.maximum(cut, kth[block])
+                    if len(x) > k and np.isneginf(kth[block]).any():
+                        cut = np.maximum(cut, np.partition(near, len(x) - k, axis=1)[:, len(x) - k])
+                qi, xi = np.nonzero(near >= (cut - slack)[:, None])
+                score = _dots(columns[:, block], across, qi, xi)
+                kept = slice(None) if least is None else score >= least
+                rows = qi[kept] + b, ids[xi[kept]], score[kept]
+                if k is None:
+                    yield out(*rows)
+                    continue
+                rows = [np.concatenate(v) for v in zip(held[b], rows, strict=True)] if b in held else rows
+                first, place = _first_places(*rows, k)
+                query, _, score = held[b] = [v[first] for v in rows]
+                kth[query[place == k - 1]] = score[place == k - 1]
+        for rows in held.values():
+            yield out(*rows)
+
+    return run
+
+
 def search(store: DataFrame, queries: DataFrame, k: int | None, least: float | None = None, by: list[str] | None = None, most_queries: int = 20_000) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best vectors of each query, ties by id; without k all of them, without ranks.
 
-    queries (query_id, vector) is a stated set. It is counted and broadcast in blocks of most_queries rows at most, each
-    met by all of the store; with by, columns on which both sides must agree, the sides are joined instead. Ranks are
-    bounded before the shuffle, so each task sends k rows for a query at most.
+    queries (query_id, vector) is a stated set. It is counted and sent to all tasks in blocks of most_queries rows or so,
+    each met by all of the store in matrix products; with by, columns on which both sides must agree, the sides are
+    joined instead. Each task sends k rows for a query at most. Vectors that are null, hold null, non-finite or huge
+    components, or differ in length from most queries' are scored by the expression.
     """
+    sc = store.sparkSession.sparkContext
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {store.schema['vec_id'].dataType.simpleString()}, score double"
+    usual_ = lambda v, i: i.isNotNull() & F.coalesce(F.forall(v, lambda c: c.isNotNull() & F.coalesce(F.abs(c) < 1e100, F.lit(False))), F.lit(False))
 
-    def one(asked: DataFrame) -> DataFrame:
-        s, q = store.alias("s"), asked.alias("q")
+    def plainly(s: DataFrame, q: DataFrame) -> DataFrame:
+        s, q = s.alias("s"), q.alias("q")
         on = [F.col(f"s.{c}") == F.col(f"q.{c}") for c in by or []]
-        rows = s.join(q, on) if on else s.crossJoin(F.broadcast(q))
-        scored = rows.select("query_id", "vec_id", dot(F.col("embedding"), F.col("vector")).alias("score"))
+        scored = (s.join(q, on) if on else s.crossJoin(F.broadcast(q))).select("query_id", "vec_id", dot(F.col("embedding"), F.col("vector")).alias("score"))
         return scored if least is None else scored.where(F.col("score") >= least)
 
-    blocks = 1 if by else max(1, -(-queries.count() // most_queries))
-    scored = one(queries) if blocks == 1 else None
-    for b in range(blocks if blocks > 1 else 0):
-        part = one(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
-        scored = part if scored is None else scored.unionByName(part)
+    def met(asked: DataFrame) -> list[DataFrame]:
+        told = asked.withColumn("dims of search", F.when(usual_(F.col("vector"), F.col("query_id")), F.size("vector")).otherwise(0))
+        sizes = {r["dims of search"]: r["n"] for r in told.groupBy("dims of search").agg(F.count("*").alias("n")).collect()}
+        dims = max(sizes, key=lambda d: (d > 0, sizes[d], d), default=0)
+        if dims <= 0:
+            return [plainly(store, asked)]
+        sent = told.where(F.col("dims of search") == dims).select("query_id", F.col("vector").cast("array<double>")).toArrow().combine_chunks()
+        ids, vectors = (c.chunk(0) if c.num_chunks == 1 else c.combine_chunks() for c in sent.columns)
+        asked_ = sc.broadcast((ids, vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)))
+        usual = F.coalesce(usual_(F.col("embedding"), F.col("vec_id")) & (F.size("embedding") == dims), F.lit(False))
+        dealt = store.where(usual).select("vec_id", F.col("embedding").cast("array<double>").alias("v")).repartition(2 * sc.defaultParallelism)
+        out = [dealt.mapInArrow(_scored(asked_, k, least), kinds), plainly(store.where(~usual), asked)]
+        others = told.where(F.col("dims of search") != dims).drop("dims of search")
+        return out if len(sizes) == 1 else [*out, plainly(store.where(usual), others)]
+
+    if by:
+        scored = plainly(store, queries)
+    else:
+        blocks = max(1, -(-queries.count() // most_queries))
+        parts = [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+        scored = functools.reduce(DataFrame.unionByName, [rows for part in parts for rows in met(part)])
     if k is None:
         return scored
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

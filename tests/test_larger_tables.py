@@ -3,9 +3,11 @@
 import duckdb
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from corpusloom.operators import retrieval
 from corpusloom.operators.retrieval import hashing_embedding
 from tests.test_queries import rows
 
@@ -52,3 +54,36 @@ def test_documents_whose_hashed_tokens_cancel_out(spark, tmp_path):
     texts = ["Von.*** Keitkeitkeit.&&&", "a b c", None, "", "***", "\u212aelvin \u0130stanbul", "Von von 가나"]
     found = same_as_sql(spark, tmp_path, "hashing_embed", documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in found) == [1, 2, 3, 4, 5, 6]
+
+
+def by_expression(store, queries, k, least=None):
+    """What search should give, by the expression for each pair."""
+    scored = store.crossJoin(queries).select("query_id", "vec_id", retrieval.dot(F.col("embedding"), F.col("vector")).alias("score"))
+    scored = scored if least is None else scored.where(F.col("score") >= least)
+    if k is None:
+        return sorted(map(repr, scored.collect()))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return sorted(map(repr, scored.withColumn("rank", rank).where(F.col("rank") <= k).collect()))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_takes_matrix_products_for_all_usual_vectors(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 16)
+    store = vectors(spark, [*range(200)], dims=5).unionByName(vectors(spark, [*range(1000, 1200)], dims=5))  # equal vectors
+    odd = [(2000, None), (2001, [float("nan")] + [0.5] * 4), (2002, [0.5, 0.5]), (2003, [None] + [0.5] * 4), (2004, [float("inf")] + [0.0] * 4), (2005, [0.0] * 5), (2006, []), (None, [0.5] * 5)]
+    store = store.drop("label").unionByName(spark.createDataFrame(odd, "vec_id long, embedding array<float>"))
+    queries = store.where("vec_id % 19 = 0 OR vec_id > 1999").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    for k, least, most in ((3, None, 20_000), (500, None, 9), (7, 0.5, 20_000), (None, 0.7, 20_000)):
+        got = retrieval.search(store, queries, k, least, most_queries=most)
+        assert sorted(map(repr, got.collect())) == by_expression(store, queries, k, least)
+    named = store.withColumn("vec_id", F.concat(F.lit("v"), "vec_id"))
+    assert sorted(map(repr, retrieval.search(named, queries, 3).collect())) == by_expression(named, queries, 3)
+
+
+def test_nearest_vectors_by_matrix_products(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "vector_topk", embeddings=vectors(spark, [*range(500)]))
+    assert "MapInArrow" in plan_of(__spark_entry__.queries()["vector_topk"](spark, str(tmp_path)))
