@@ -87,3 +87,8 @@ def test_search_takes_matrix_products_for_all_usual_vectors(spark, monkeypatch):
 def test_nearest_vectors_by_matrix_products(spark, tmp_path):
     same_as_sql(spark, tmp_path, "vector_topk", embeddings=vectors(spark, [*range(500)]))
     assert "MapInArrow" in plan_of(__spark_entry__.queries()["vector_topk"](spark, str(tmp_path)))
+
+
+def test_recall_by_matrix_products(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "knn_recall_mrr", embeddings=vectors(spark, [*range(500)]))
+    assert "MapInArrow" in plan_of(__spark_entry__.queries()["knn_recall_mrr"](spark, str(tmp_path)))
