@@ -92,3 +92,8 @@ def test_nearest_vectors_by_matrix_products(spark, tmp_path):
 def test_recall_by_matrix_products(spark, tmp_path):
     same_as_sql(spark, tmp_path, "knn_recall_mrr", embeddings=vectors(spark, [*range(500)]))
     assert "MapInArrow" in plan_of(__spark_entry__.queries()["knn_recall_mrr"](spark, str(tmp_path)))
+
+
+def test_threshold_by_matrix_products(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "vector_threshold", embeddings=vectors(spark, [*range(500)]))
+    assert "MapInArrow" in plan_of(__spark_entry__.queries()["vector_threshold"](spark, str(tmp_path)))
