@@ -192,13 +192,16 @@ def cross_document_references(articles: DataFrame) -> DataFrame:
     own = (F.col("part") == part_of(F.col("source_file"))) & (F.col("chapter") == F.col("chapter_no"))
     said = said.where(~F.coalesce(own, F.lit(False)) & (F.length("term") >= 2) & ~F.col("term").isin(*LOOSE_TERMS)).select("chunk_id", "pos", "part", "chapter", "term")
     pool = keyed.where("document_type = 'rule'").select(F.col("own_part").alias("part"), F.col("chapter_no").alias("chapter"), F.col("chunk_id").alias("target"), "article_title", F.col("content").alias("target_text"))
-    # How often the term stands in the text: what its removal takes off, by its length.
+    # A term is looked for once in each text and title of its chapter, however many references ask for it and however many
+    # articles say the same. How often it stands in a text: what its removal takes off, by its length.
+    asked = said.select("part", "chapter", "term").distinct()
+    alike = lambda c: pool.groupBy("part", "chapter", c).agg(F.count("*").alias("n"), F.min("target").alias("low")).join(asked, ["part", "chapter"])
     times = ((F.length("target_text") - F.length(F.replace(F.col("target_text"), F.col("term"), F.lit("")))) / F.length("term")).cast("int")
-    met = said.join(pool, ["part", "chapter"]).withColumn("titled", F.contains("article_title", "term")).withColumn("times", times)
-    titles = met.groupBy("chunk_id", "pos").agg(F.count_if("titled").alias("n_titled"), F.min(F.when(F.col("titled"), F.col("target"))).alias("by_title"))
-    ranked = met.where("times > 0").groupBy("chunk_id", "pos", "times").agg(F.count("*").alias("alike"), F.min("target").alias("by_text"))
-    most = ranked.groupBy("chunk_id", "pos").agg(F.max_by(F.struct("alike", "by_text"), "times").alias("m"))
-    chosen = titles.join(most, ["chunk_id", "pos"], "left").withColumn("target", F.when(F.col("n_titled") == 1, F.col("by_title")).when((F.col("n_titled") == 0) & (F.col("m.alike") == 1), F.col("m.by_text")))
+    titles = alike("article_title").where(F.contains("article_title", "term")).groupBy("part", "chapter", "term").agg(F.sum("n").alias("n_titled"), F.min("low").alias("by_title"))
+    ranked = alike("target_text").withColumn("times", times).where("times > 0").groupBy("part", "chapter", "term", "times").agg(F.sum("n").alias("alike"), F.min("low").alias("by_text"))
+    most = ranked.groupBy("part", "chapter", "term").agg(F.max_by(F.struct("alike", "by_text"), "times").alias("m"))
+    found = titles.join(most, ["part", "chapter", "term"], "full_outer").withColumn("target", F.when(F.col("n_titled") == 1, F.col("by_title")).when(F.col("n_titled").isNull() & (F.col("m.alike") == 1), F.col("m.by_text")))
+    chosen = said.join(found.where("target IS NOT NULL").select("part", "chapter", "term", "target"), ["part", "chapter", "term"])
     terms = chosen.where("target <> chunk_id").withColumn("item", F.lit(None).cast("string")).withColumn("form", F.lit("2 term"))
     out = out.unionByName(_checked(terms, articles).select("chunk_id", "form", "pos", "target"))
     if "references" in articles.columns:

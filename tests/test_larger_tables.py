@@ -1,5 +1,7 @@
 """Queries on tables that hold what only larger ones do, against DuckDB."""
 
+import time
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -7,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from corpusloom.operators import retrieval
+from corpusloom.operators import references, retrieval
 from corpusloom.operators.retrieval import hashing_embedding
 from tests.test_queries import rows
 
@@ -108,3 +110,14 @@ def test_contexts_leave_documents_where_they_are(spark, tmp_path):
     nearest = __spark_entry__.queries()["vector_topk"](spark, str(tmp_path)).where("rank <= 2").groupBy("query_id").agg(F.collect_set("vec_id").alias("v")).collect()
     told = {r["query_id"]: r["context"] for r in got.collect()}
     assert len(told) == 10 and all(f"doc {v}\n" in told[r["query_id"]] for r in nearest for v in [*r["v"], r["query_id"]])
+
+
+def test_terms_asked_for_by_many_articles_of_a_large_chapter(spark):
+    n, asks = 40_000, "2편 3장에서 규정하는 압력용기{}에 따른다"
+    rows = [(f"a{i}", "1편_가", "rule", "9", str(i), "제목", asks.format(i % 4)) for i in range(n)]
+    rows += [(f"t{i}", "2편_나", "rule", "3", str(i), {0: "압력용기0", 1: "압력용기1", 2: "압력용기1"}.get(i, "제목"), "압력용기2 압력용기2" if i == 9 else "압력용기2 압력용기3") for i in range(n)]
+    articles = spark.createDataFrame(rows, "chunk_id string, source_file string, document_type string, chapter_no string, article_no string, article_title string, content string")
+    start = time.monotonic()
+    got = references.cross_document_references(articles).groupBy("target", "form").agg(F.count("*").alias("n")).collect()
+    assert sorted(map(tuple, got)) == [("t0", "2 term", n // 4), ("t9", "2 term", n // 4)]
+    assert time.monotonic() - start < 60  # each pair of a reference and a text would be 1.6 billion
