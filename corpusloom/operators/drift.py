@@ -56,11 +56,11 @@ def psi(reference: Column, current: Column) -> Column:
     return (c - r) * F.log(c / r)
 
 
-def summarize(texts: DataFrame, by: list[str], text: str = "text") -> DataFrame:
+def summarize(texts: DataFrame, by: list[str], text: str = "text", empty: bool = False) -> DataFrame:
     """(by..., n, avg_len, bins, chars) in one pass: texts, their mean length, numbers for each length bin, and numbers of
-    Hangul, ASCII letters, digits and all characters that are no white space. Empty texts are left out."""
+    Hangul, ASCII letters, digits and all characters that are no white space. Empty texts are left out unless `empty`."""
     t, bare = F.col(text), F.regexp_replace(F.col(text), SPACES, "")
-    full = texts.where(F.coalesce(t, F.lit("")) != "")
+    full = texts if empty else texts.where(F.coalesce(t, F.lit("")) != "")
     binned = F.array(*[F.count_if(length_bin(t) == i) for i in range(len(LENGTH_BOUNDS) + 1)])
     counted = F.struct(F.sum(F.regexp_count(bare, F.lit(HANGUL))).alias("ko"), F.sum(F.regexp_count(bare, F.lit("[A-Za-z]"))).alias("en"), F.sum(F.regexp_count(bare, F.lit(r"\p{Nd}"))).alias("digit"), F.sum(F.length(bare)).alias("total"))
     return full.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(F.length(t)), 4).alias("avg_len"), binned.alias("bins"), counted.alias("chars"))
@@ -114,11 +114,11 @@ def character_shift(reference: DataFrame, current: DataFrame, by: list[str]) ->
     return _against(summarize(current, by), summarize(reference, [])).select(*by, character_shift_of(F.col("chars"), F.col("ref_chars")).alias("char_shift"))
 
 
-def drift(reference: DataFrame, current: DataFrame, by: list[str], thresholds: dict[str, float] = THRESHOLDS, least: int = 30) -> DataFrame:
+def drift(reference: DataFrame, current: DataFrame, by: list[str], thresholds: dict[str, float] = THRESHOLDS, least: int = 30, empty: bool = False) -> DataFrame:
     """The three scores of each group and the verdict: drift, stable or insufficient_sample. Each side is summed up once,
-    and read once more for its vocabulary."""
-    full = lambda df: df.where("coalesce(text, '') <> ''")
-    ref, cur = summarize(reference, []), summarize(current, by)
+    and read once more for its vocabulary. Empty texts are left out unless `empty`."""
+    full = lambda df: df if empty else df.where("coalesce(text, '') <> ''")
+    ref, cur = summarize(reference, [], empty=empty), summarize(current, by, empty=empty)
     scores = _against(cur, ref).select(*by, "n", length_psi_of(F.col("bins"), F.col("ref_bins")).alias("length_psi"), character_shift_of(F.col("chars"), F.col("ref_chars")).alias("char_shift"))
     out = scores.join(vocabulary_js(full(reference), full(current), by), by).select(*by, "n", "length_psi", "vocab_js", "char_shift")
     above = F.lit(False)

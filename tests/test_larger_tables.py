@@ -121,3 +121,9 @@ def test_terms_asked_for_by_many_articles_of_a_large_chapter(spark):
     got = references.cross_document_references(articles).groupBy("target", "form").agg(F.count("*").alias("n")).collect()
     assert sorted(map(tuple, got)) == [("t0", "2 term", n // 4), ("t9", "2 term", n // 4)]
     assert time.monotonic() - start < 60  # each pair of a reference and a text would be 1.6 billion
+
+
+def test_drift_counts_empty_documents_as_its_sql_does(spark, tmp_path):
+    texts = ["", None, "  ", "one", "two words", "drei " * 40, "vier " * 300]
+    docs = [(i, texts[i % 7] if i % 3 else "one two", ("en", "de", "fr")[i % 3]) for i in range(420)] + [(900 + i, ("", "ab 1")[i % 2], "es") for i in range(160)]
+    same_as_sql(spark, tmp_path, "drift_verdict", documents=spark.createDataFrame(docs, "doc_id long, text string, lang string"))
