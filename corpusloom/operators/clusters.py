@@ -130,7 +130,7 @@ def smallest_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = least
 
 
-def similarity_clusters(vectors: DataFrame, threshold: float, by: str = "label", vec_id: str = "vec_id", vector: str = "embedding", sample_rows: int = 4096, chunk: int = 1024) -> DataFrame:
+def similarity_clusters(vectors: DataFrame, threshold: float, by: str = "label", vec_id: str = "vec_id", vector: str = "embedding", sample_rows: int = 4096, chunk: int = 1024, zeros_link: bool = False) -> DataFrame:
     """(vec_id, cluster_id): components of pairs of one group whose cosine reaches the threshold, none of them lost.
 
     A metric index: unit vectors live with their nearest pivot and visit later pivots that may be home to a partner,
@@ -139,6 +139,8 @@ def similarity_clusters(vectors: DataFrame, threshold: float, by: str = "label",
     Equal vectors are one row. Pivots come from a sample of sample_rows vectors at most.
 
     Rows without a group, and null, zero or non-finite vectors, are clusters of their own, as are rows without an id.
+    With zeros_link, vectors that are zero or hold NaN link with all of their group, as "product of a and b >= threshold *
+    length of a * length of b" holds for them in SQL, where NaN equals itself.
     """
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(by).alias("g"), F.col(vec_id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("g").isNotNull() & F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
@@ -159,7 +161,12 @@ def similarity_clusters(vectors: DataFrame, threshold: float, by: str = "label",
     met = placed.select(*where, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "kind", "u").groupBy(*where, "i", "j")
     edges = stars.unionByName(met.applyInPandas(_linked(threshold), f"a {kinds['id']}, b {kinds['id']}"))
     same = rows.join(distinct.withColumnRenamed("id", "a"), ["g", "v"]).where("a <> id").select("a", F.col("id").alias("b"))
-    found = connected_components(edges.unionByName(same))
+    edges = edges.unionByName(same)
+    if zeros_link:
+        whole = vectors.select(F.col(by).alias("g"), F.col(vec_id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("g").isNotNull() & F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+        hubs = whole.where(F.exists("v", lambda x: F.isnan(x)) | F.forall("v", lambda x: x == 0)).groupBy("g").agg(F.min("id").alias("a"))
+        edges = edges.unionByName(whole.join(F.broadcast(hubs), "g").where("a <> id").select("a", F.col("id").alias("b")))
+    found = connected_components(edges)
     return vectors.select(F.col(vec_id).alias("id")).join(found, "id", "left").select(F.col("id").alias(vec_id), F.coalesce("root", "id").alias("cluster_id"))
 
 

@@ -127,3 +127,10 @@ def test_drift_counts_empty_documents_as_its_sql_does(spark, tmp_path):
     texts = ["", None, "  ", "one", "two words", "drei " * 40, "vier " * 300]
     docs = [(i, texts[i % 7] if i % 3 else "one two", ("en", "de", "fr")[i % 3]) for i in range(420)] + [(900 + i, ("", "ab 1")[i % 2], "es") for i in range(160)]
     same_as_sql(spark, tmp_path, "drift_verdict", documents=spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+
+
+def test_clusters_of_zero_vectors_and_nan_as_their_sql_says(spark, tmp_path):
+    usual = vectors(spark, [*range(60)], dims=4, labels=4).where("vec_id NOT IN (8, 12, 13, 17)")
+    odd = [(8, [0.0] * 4, 0), (12, [0.0] * 4, 1), (13, [0.0] * 4, 1), (17, [float("nan"), 1.0, 0.0, 0.0], 1)]
+    found = same_as_sql(spark, tmp_path, "vector_clusters", embeddings=usual.unionByName(spark.createDataFrame(odd, "vec_id long, embedding array<float>, label int")))
+    assert len(found) > 50
