@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,6 +32,8 @@ def source_blocks(text: str) -> list[str]:
 
 def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """A longest chain of pairs, sorted by the first, whose seconds rise."""
+    if all(x[1] < y[1] for x, y in pairwise(pairs)):
+        return pairs
     tails, at, back = [], [], []
     for k, (_, y) in enumerate(pairs):
         n = bisect_left(tails, y)
@@ -47,18 +49,17 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _runs(text: str) -> Iterator[tuple[str, int]]:
-    """Runs of RARE words, and where each begins."""
-    words = [(m.group(), m.start()) for m in re.finditer(r"\S+", text)]
-    for i in range(len(words) - RARE + 1):
-        yield " ".join(w for w, _ in words[i : i + RARE]), words[i][1]
+def _runs(text: str) -> list[tuple[str, int]]:
+    """Runs of RARE words of a text with single blanks, and where each begins."""
+    past = list(accumulate(len(w) + 1 for w in text.split(" ")))
+    return [(text[a : b - 1], a) for a, b in zip([0, *past], past[RARE - 1 :], strict=False)]
 
 
 def anchors(units: list[str], whole: str) -> list[tuple[int, int]]:
     """(unit, place in whole) that rise together: by runs of words that stand once in the units and once in the whole."""
     of_unit = [(run, u) for u, text in enumerate(units) for run, _ in _runs(text)]
-    held = list(_runs(whole))
-    once, here = Counter(run for run, _ in of_unit), Counter(run for run, _ in held)
+    held = _runs(whole)
+    once, here = Counter([run for run, _ in of_unit]), Counter([run for run, _ in held])
     place = {run: at for run, at in held if here[run] == 1}
     return rising([(u, place[run]) for run, u in of_unit if once[run] == 1 and run in place])
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from corpusloom.operators import references, retrieval
+from corpusloom.operators import alignment, references, retrieval
 from corpusloom.operators.retrieval import hashing_embedding
 from tests.test_queries import rows
 
@@ -134,3 +134,12 @@ def test_clusters_of_zero_vectors_and_nan_as_their_sql_says(spark, tmp_path):
     odd = [(8, [0.0] * 4, 0), (12, [0.0] * 4, 1), (13, [0.0] * 4, 1), (17, [float("nan"), 1.0, 0.0, 0.0], 1)]
     found = same_as_sql(spark, tmp_path, "vector_clusters", embeddings=usual.unionByName(spark.createDataFrame(odd, "vec_id long, embedding array<float>, label int")))
     assert len(found) > 50
+
+
+def test_units_of_a_long_document_are_placed_in_one_pass_over_its_runs():
+    words = [f"w{i * 7919 % 100_003}" for i in range(60_000)]
+    assert alignment._runs("a bc d e fg h") == [("a bc d e fg", 0), ("bc d e fg h", 2)] and list(alignment._runs("")) == []
+    units = [" ".join(words[i : i + 30]) for i in range(0, len(words), 30)]
+    assert alignment.anchors(units, " ".join(units)) == [(u, units_at + at) for u, units_at in enumerate(np.cumsum([0, *(len(u) + 1 for u in units[:-1])]).tolist()) for _, at in alignment._runs(units[u])]
+    assert alignment.rising([(0, 5), (1, 1), (2, 2), (3, 9), (4, 3)]) == [(1, 1), (2, 2), (4, 3)]
+    assert isinstance(alignment._runs("a b c d e"), list)  # slices of the text, not words put together again
