@@ -118,13 +118,15 @@ def align_units(units: DataFrame, sources: DataFrame, by: str = "doc_id", unit:
     blocks are numbered from 0. What isn't found, and units without a source, have nulls. Documents are placed one by one."""
     kind = units.schema[by].dataType.simpleString()
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("o", kind="stable")
-        placed = place_units([t or "" for t in left["t"]], source_blocks("\n\n".join(t for t in right["s"] if t)))
-        rows = [(k, i, *(p or (None, None, None))) for k, i, p in zip(left["k"], left["i"], placed, strict=True)]
-        out = pd.DataFrame(rows, columns=["k", "unit_id", "first_block", "last_block", "how"])
-        return out.astype({"first_block": "Int32", "last_block": "Int32"})
-
-    left = units.select(F.col(by).alias("k"), F.col(unit).cast("string").alias("i"), F.col(order).alias("o"), F.col(text).alias("t"))
-    right = sources.select(F.col(by).alias("k"), F.col(source).alias("s"))
-    return left.groupBy("k").cogroup(right.groupBy("k")).applyInPandas(run, f"k {kind}, {PLACED}").withColumnRenamed("k", by)
+    def run(batches):
+        for rows in batches:
+            out = []
+            for k, ids, texts, said in zip(rows["k"], rows["i"], rows["t"], rows["s"], strict=True):
+                out += [(k, i, *(p or (None, None, None))) for i, p in zip(ids, place_units([t or "" for t in texts], source_blocks(said or "")), strict=True)]
+            yield pd.DataFrame(out, columns=["k", "unit_id", "first_block", "last_block", "how"]).astype({"first_block": "Int32", "last_block": "Int32"})
+
+    parts = F.struct(F.col(order).isNull(), F.col(order), F.col(unit).cast("string").alias("i"), F.col(text).alias("t"))
+    left = units.groupBy(F.col(by).alias("k")).agg(F.array_sort(F.collect_list(parts)).alias("u"))
+    right = sources.groupBy(F.col(by).alias("k of source")).agg(F.array_join(F.filter(F.collect_list(source), lambda x: x != ""), "\n\n").alias("s"))
+    both = left.join(right, F.col("k").eqNullSafe(F.col("k of source")), "left").select("k", F.transform("u", lambda x: x["i"]).alias("i"), F.transform("u", lambda x: x["t"]).alias("t"), "s")
+    return both.mapInPandas(run, f"k {kind}, {PLACED}").withColumnRenamed("k", by)

@@ -143,3 +143,10 @@ def test_units_of_a_long_document_are_placed_in_one_pass_over_its_runs():
     assert alignment.anchors(units, " ".join(units)) == [(u, units_at + at) for u, units_at in enumerate(np.cumsum([0, *(len(u) + 1 for u in units[:-1])]).tolist()) for _, at in alignment._runs(units[u])]
     assert alignment.rising([(0, 5), (1, 1), (2, 2), (3, 9), (4, 3)]) == [(1, 1), (2, 2), (4, 3)]
     assert isinstance(alignment._runs("a b c d e"), list)  # slices of the text, not words put together again
+
+
+def test_documents_are_placed_in_batches_not_a_group_each(spark, tmp_path):
+    docs = [(i, "\n".join(f"line {i} {k} of some words" for k in range(i % 9))) for i in range(60)] + [(None, "no key\nat all")]
+    same_as_sql(spark, tmp_path, "unit_blocks", documents=spark.createDataFrame(docs, "doc_id long, text string"))
+    plan = plan_of(__spark_entry__.queries()["unit_blocks"](spark, str(tmp_path)))
+    assert "MapInPandas" in plan and "CoGroups" not in plan
